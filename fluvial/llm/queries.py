@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvial.common import table
-from fluvial.llm import bpe, decontaminate, host_rules, line_dedup
+from fluvial.llm import bpe, decontaminate, host_rules, line_dedup, minhash
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,11 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_decontaminate, op8_host_rules)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_decontaminate, op8_host_rules, op10_minhash)}
 
 ORACLE = {
     "op3_line_dedup": r"""
