@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvial.common import table
-from fluvial.llm import bpe, decontaminate, host_rules, line_dedup, minhash
+from fluvial.llm import bpe, decontaminate, host_rules, html_extract, langid, line_dedup, minhash, pii_crf
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,25 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, ~langid.held_out(F.col("doc_id")))
+    done = langid.identify(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    done = pii_crf.find(docs, pii_crf.train(docs))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return done.select("doc_id", *map(count, pii_crf.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = host_rules.apply_rules(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -37,7 +56,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_decontaminate, op8_host_rules, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_decontaminate, op5_html, op6_langid, op7_pii, op8_host_rules, op10_minhash)}
 
 ORACLE = {
     "op3_line_dedup": r"""
