@@ -74,37 +74,46 @@ class Encoder:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.split = regex.compile(PATTERN).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")").split if vocabulary.special else None
+        self.unreachable = self.unreachable_tokens()
         self.cache = _Pieces(self)
 
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether merging the bytes of a and b leaves exactly these two tokens.
+    def border_holds(self, x: int, y: int, but: int = -1) -> bool:
+        """Whether merging the bytes of x and y never merges across their border (apart from a merge of rank `but`).
 
         Undo the merges next to the border, latest first. At each step the two tokens at the border stood side by side
         until the merge that was just undone; had they a merge of an earlier rank, it would have come first.
         """
-        known = self.pairs.get((a, b))
-        if known is not None:
-            return known
-        x, y, until, last_left = a, b, len(self.v.rank), False
         parts, none = self.v.parts, (-1, -1, -1)
-        ok = True
+        until, last_left = len(self.v.rank), False
         while True:
             r = self.v.rank.get((x, y))
             # of equal ranks (the same merge on both sides) the left one comes first
-            if r is not None and (r < until or r == until and not last_left):
-                ok = False
-                break
+            if r is not None and r != but and (r < until or r == until and not last_left):
+                return False
             left, right = parts.get(x, none), parts.get(y, none)
             if left[0] < 0 and right[0] < 0:
-                break
+                return True
             if left[0] > right[0]:
                 x, until, last_left = left[2], left[0], True
             else:
                 y, until, last_left = right[1], right[0], False
-        if len(self.pairs) >= PAIR_CACHE:
-            self.pairs.clear()
-        self.pairs[a, b] = ok
-        return ok
+
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether the bytes of a and b are encoded as exactly these two tokens; looked up in the table."""
+        known = self.pairs.get((a, b))
+        if known is None:
+            if len(self.pairs) >= PAIR_CACHE:
+                self.pairs.clear()
+            known = self.pairs[a, b] = self.border_holds(a, b)
+        return known
+
+    def unreachable_tokens(self) -> set[int]:
+        """Tokens that merging their own bytes doesn't make. Halves have earlier merges, so go by rank."""
+        bad: set[int] = set()
+        for token, (r, x, y) in sorted(self.v.parts.items(), key=lambda t: t[1]):
+            if x in bad or y in bad or not self.border_holds(x, y, but=r):
+                bad.add(token)
+        return bad
 
     def next_shorter(self, token: int) -> int:
         """The longest token that is a proper prefix of token, or -1."""
@@ -115,7 +124,7 @@ class Encoder:
 
     def piece(self, piece: str) -> tuple[int, ...]:
         b = piece.encode("utf-8", "surrogatepass")
-        if (whole := self.v.ids.get(b)) is not None and self.reachable(whole):
+        if (whole := self.v.ids.get(b)) is not None and whole not in self.unreachable:
             return (whole,)
         size, n = self.v.bytes, len(b)
         longest = [-1] * n
@@ -126,7 +135,7 @@ class Encoder:
         pos, token = 0, longest[0]
         while pos < n:
             end = pos + len(size[token])
-            if not dead[end] and (not out or self.compatible(out[-1], token)) and self.reachable(token):
+            if not dead[end] and (not out or self.compatible(out[-1], token)) and token not in self.unreachable:
                 out.append(token)
                 pos = end
                 token = longest[pos] if pos < n else -1
@@ -138,24 +147,6 @@ class Encoder:
                 pos -= len(size[token])
         return tuple(out)
 
-    def reachable(self, token: int) -> bool:
-        """Whether merging the token's own bytes makes the token."""
-        key = (token, -1)
-        if key not in self.pairs:
-            p = self.v.parts.get(token)
-            self.pairs[key] = p is None or self.reachable(p[1]) and self.reachable(p[2]) and self.compatible_below(p)
-        return self.pairs[key]
-
-    def compatible_below(self, parts: tuple[int, int, int]) -> bool:
-        """As compatible(), for the two halves of a token: no merge across the border of a rank below its own."""
-        r, x, y = parts
-        rank = self.v.rank.pop((x, y))
-        try:
-            return self.compatible(x, y)
-        finally:
-            self.v.rank[x, y] = rank
-            self.pairs.pop((x, y), None)
-
     def encode(self, text: str) -> list[int]:
         lookup = self.cache.__getitem__
         if not any(s in text for s in self.v.special):
