@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvial.common import table
-from fluvial.llm import bpe, decontaminate, host_rules, html_extract, langid, line_dedup, minhash, pii_crf
+from fluvial.llm import bpe, decontaminate, host_rules, html_extract, langid, line_dedup, minhash, pii_crf, quality_lm, warc_index
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality_lm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "n_chars_scored", "perplexity", "threshold", "kept")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_removed", "text")
@@ -52,13 +57,23 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_index.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_line_dedup, op4_decontaminate, op5_html, op6_langid, op7_pii, op8_host_rules, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_lm, op3_line_dedup, op4_decontaminate, op5_html, op6_langid, op7_pii, op8_host_rules, op9_warc, op10_minhash)}
 
 ORACLE = {
+    "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, min(page_id) OVER (PARTITION BY h) AS first_id, array_to_string(list_transform(range(8), lambda i:
+  array_to_string(list_transform(range(4), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * i, 5))::INT >> (15 - 5 * k)::INT) & 31)::INT, 1)), '')), '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM d""",
     "op3_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
