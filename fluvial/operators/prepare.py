@@ -63,7 +63,7 @@ def aggregate_daily(df: DataFrame, plan: Sequence[DailyRule], by: Sequence[str],
 
 def calendar(first: Column | str, last: Column | str, spark_df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """by..., date: every day from first to last of each group of a table of (by..., first, last)."""
-    return spark_df.select(*by, F.explode(F.sequence(col(first), col(last), F.expr("INTERVAL 1 DAY"))).cast("date").alias("date"))
+    return spark_df.select(*by, F.explode(F.sequence(col(first).cast("date"), col(last).cast("date"), F.expr("INTERVAL 1 DAY"))).alias("date"))
 
 
 def densify(daily: DataFrame, by: Sequence[str], date: str = "date") -> DataFrame:
