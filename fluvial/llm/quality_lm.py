@@ -1,23 +1,33 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of character trigrams.
-
-The model is trained on all trusted texts. Counts of trigrams over an alphabet of SYMBOLS symbols (the most frequent
-characters of the trusted texts; all others are one symbol) are summed in shards of their hash; context totals,
-continuation counts, discounts and back-off weights come from them by further sums and joins in the same shards. The
-probabilities of the three orders have at most SYMBOLS ** 3 rows whatever the corpus, a proven bound, so the joined table
-goes to the documents as one array of 8 MB, and each document's perplexity is read off it without a shuffle of texts.
-
-A document is kept if its perplexity is at most that quantile of the trusted documents of its language, times `slack`;
-the quantiles are exact on a scale of BINS steps for each unit of log perplexity. Languages without trusted documents use the
-quantile over all languages.
-
-Null or empty text: no perplexity, not kept. Null language: the language "". Repeated rows count and are judged each; a
-document is trusted if any of its labels says so. Without trusted documents all probabilities are equal and nothing is
-dropped but documents without text. Other columns are ignored, whatever their names.
+"""Quality by perplexity under interpolated modified Kneser-Ney models of words and, for unknown words, of characters.
+
+Both models are trained on all trusted texts. The word model has bigrams over the VOCABULARY most frequent words and one
+symbol for all others; an unknown word is then spelled by a trigram model of characters over SYMBOLS symbols (the most
+frequent ones; all others are one symbol). All counts are summed in shards of their hash; context totals, continuation
+counts, discounts and back-off weights come from them by further sums and joins in the same shards.
+
+Scoring. What is bounded by a parameter goes to the documents: the vocabulary with its back-off weights, the HOT most
+frequent bigrams, the character model (an array of SYMBOLS ** 3 numbers). They give each document the probabilities of its
+unknown words and frequent bigrams, and the backed-off ones of all other bigrams. Those bigrams, a fifth of all or so,
+then meet the table of counted bigrams in a join sharded by bigram, which grows with the corpus and isn't broadcast; a sum
+by document adds what a counted bigram has over its backed-off probability. Texts are never shuffled.
+
+Perplexity is that of a character: all log probabilities over the number of characters of words and the spaces after
+them. A document is kept if its perplexity is at most that quantile of the trusted documents of its language, times
+`slack`; the quantiles are exact on a scale of BINS steps for each unit of log perplexity. Languages without trusted
+documents use the quantile over all languages.
+
+Null, empty or blank text: no perplexity, not kept. Null language: the language "". Repeated rows count and are judged
+each; a document is trusted if any of its labels says so. Without trusted documents nothing is dropped but documents
+without text. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import compress, repeat
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,10 +37,25 @@ from fluvial.common import checked_join, materialize
 SYMBOLS = 128
 BINS = 1000
 CHUNK = 1 << 20
+VOCABULARY = 20_000
+HOT = 200_000
+#: Unknown words are word 0; the beginning of a text is a context of its own.
+START = VOCABULARY + 1
+WIDTH = VOCABULARY + 2
+HELD_WORDS = 300_000
 
 
 def _code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _words(text: str | None) -> list[str]:
+    return text.lower().split() if text else []
+
+
+def _spelled(words: list[str]) -> str:
+    """Words as the character model reads them: each with a space before, and one at the end."""
+    return " " + " ".join(words) + " "
 
 
 def alphabet(trusted: DataFrame) -> np.ndarray:
@@ -40,7 +65,7 @@ def alphabet(trusted: DataFrame) -> np.ndarray:
         total = np.zeros(0x110000, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                c = _code_points(text or "")
+                c = _code_points(_spelled(_words(text)))
                 for k in range(0, len(c), CHUNK):
                     part = np.bincount(c[k : k + CHUNK])
                     total[: len(part)] += part
@@ -71,7 +96,7 @@ def trigram_counts(trusted: DataFrame, symbol: np.ndarray) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    keys, n = np.unique(trigram_keys(symbol[_code_points(text)]), return_counts=True)
+                    keys, n = np.unique(trigram_keys(symbol[_code_points(_spelled(_words(text)))]), return_counts=True)
                     total[keys] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["key", "c"])
@@ -120,23 +145,119 @@ def log_probabilities(counts: DataFrame) -> np.ndarray:
     return np.log(three).astype(np.float32).ravel()
 
 
-def perplexities(docs: DataFrame, symbol: np.ndarray, log_p: np.ndarray, keep: list[str]) -> DataFrame:
-    """keep columns, n_chars_scored, perplexity."""
-    shared = docs.sparkSession.sparkContext.broadcast((symbol, log_p))
+def vocabulary(trusted: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
+    """The number of each of the most frequent words, from 1; ties in the order of the words."""
 
     def run(batches):
-        symbol, log_p = shared.value
+        held = Counter()
         for batch in batches:
-            n, out = [], []
-            for text in batch.column(len(keep)).to_pylist():
-                s = symbol[_code_points(text or "")]
-                total = sum(float(log_p[trigram_keys(s)[k : k + CHUNK]].sum(dtype=np.float64)) for k in range(0, len(s), CHUNK))
-                n.append(len(s))
-                out.append(float(np.exp(-total / len(s))) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(out, pa.float64())], [*keep, "n_chars_scored", "perplexity"])
+            for text in batch.column(0).to_pylist():
+                held.update(_words(text))
+                if len(held) >= HELD_WORDS:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["w", "n"])
+                    held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["w", "n"])
+
+    counts = trusted.select("text").mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    return {r.w: k + 1 for k, r in enumerate(counts.orderBy(F.desc("n"), "w").limit(size).collect())}
+
+
+def bigram_keys(ids: np.ndarray) -> np.ndarray:
+    """The number of each word with the one before it."""
+    before = np.concatenate([[START], ids[:-1]]) if len(ids) else ids
+    return (before * WIDTH + ids).astype(np.int32)
+
+
+def bigram_counts(trusted: DataFrame, words) -> DataFrame:
+    """key, c: how often each bigram occurs; words: the vocabulary, broadcast."""
+
+    def run(batches):
+        known = words.value
+        for batch in batches:
+            keys = [bigram_keys(np.fromiter((known.get(w, 0) for w in _words(t)), np.int64)) for t in batch.column(0).to_pylist()]
+            u, n = np.unique(np.concatenate([np.empty(0, np.int32), *keys]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int32()), pa.array(n, pa.int64())], ["key", "c"])
+
+    return trusted.select("text").mapInArrow(run, "key int, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+class WordModel:
+    """log of the back-off weight of each context and of each word's lower-order probability; the most frequent bigrams."""
+
+    def __init__(self, back: np.ndarray, lower: np.ndarray, hot_keys: np.ndarray, hot_log_p: np.ndarray):
+        self.back, self.lower, self.hot_keys, self.hot_log_p = back, lower, hot_keys, hot_log_p
+
+    def backed_off(self, keys: np.ndarray) -> np.ndarray:
+        return self.back[keys // WIDTH] + self.lower[keys % WIDTH]
+
+
+def word_model(counts: DataFrame, hot: int = HOT) -> tuple[WordModel, DataFrame]:
+    """The bounded part of the model, and key, gain: what each other counted bigram has over its backed-off probability."""
+    counts = materialize(counts, "lm-bigrams")
+    pairs = counts.select(F.expr(f"key div {WIDTH}").alias("y"), (F.col("key") % WIDTH).alias("z"), "c")
+    first = pairs.groupBy("z").agg(F.count(F.lit(1)).alias("c"))
+    p1 = discounted(first, []).toPandas()  # at most VOCABULARY + 1 rows
+    lower = np.full(WIDTH, (p1.back.iloc[0] if len(p1) else 1.0) / (VOCABULARY + 1))
+    lower[p1.z] += p1.p
+    second = discounted(pairs, ["y"])
+    contexts = second.groupBy("y").agg(F.max("back").alias("back")).toPandas()  # at most VOCABULARY + 2 rows
+    back = np.ones(WIDTH)
+    back[contexts.y] = contexts.back
+    words = second.sparkSession.createDataFrame(pd.DataFrame({"z": np.arange(WIDTH), "lower": lower}))
+    probability = second.join(F.broadcast(words), "z").select((F.col("y") * WIDTH + F.col("z")).cast("int").alias("key"), F.log(F.col("p") + F.col("back") * F.col("lower")).alias("log_p"), (F.log(F.col("p") + F.col("back") * F.col("lower")) - F.log(F.col("back") * F.col("lower"))).alias("gain"))
+    top = counts.orderBy(F.desc("c"), "key").limit(hot)
+    top = probability.join(F.broadcast(top.select("key")), "key").toPandas().sort_values("key")  # at most `hot` rows
+    rest = probability.join(F.broadcast(counts.sparkSession.createDataFrame(top[["key"]].astype("int32")) if len(top) else counts.select("key").limit(0)), "key", "left_anti").select("key", "gain")
+    return WordModel(np.log(back), np.log(lower), top.key.to_numpy(np.int32), top.log_p.to_numpy(float)), rest
+
+
+def local_scores(docs: DataFrame, words, chars, keep: list[str]) -> DataFrame:
+    """keep columns, n_chars_scored, local (log probability but for the gains of rare bigrams), rare (their keys)."""
+
+    def run(batches):
+        known, model = words.value
+        symbol, log_p = chars.value
+        for batch in batches:
+            texts = [_words(t) for t in batch.column(len(keep)).to_pylist()]
+            size = np.array([len(t) for t in texts])
+            flat = [w for t in texts for w in t]
+            ids = np.fromiter(map(known.get, flat, repeat(0)), np.int64, len(flat))
+            doc = np.repeat(np.arange(len(texts)), size)
+            before = np.concatenate([[START], ids[:-1]]) if len(ids) else ids
+            before[(np.cumsum(size) - size)[size > 0]] = START
+            keys = (before * WIDTH + ids).astype(np.int32)
+            score = model.backed_off(keys)
+            hot = np.zeros(len(keys), bool)
+            if len(model.hot_keys):
+                at = np.minimum(np.searchsorted(model.hot_keys, keys), len(model.hot_keys) - 1)
+                hot = model.hot_keys[at] == keys
+                score[hot] = model.hot_log_p[at[hot]]
+            strange = ids == 0
+            spelled = list(compress(flat, strange.tolist()))
+            if spelled:
+                length = np.fromiter(map(len, spelled), np.int64, len(spelled)) + 1
+                # the space before the first word is context only; each word pays for its letters and the space after it
+                each = log_p[trigram_keys(symbol[_code_points(_spelled(spelled))])][1:].astype(float)
+                score[strange] += np.add.reduceat(each, np.cumsum(length) - length)
+            local = np.bincount(doc, score, len(texts))
+            chars_in = np.bincount(doc, np.fromiter(map(len, flat), np.int64, len(flat)) + 1, len(texts)).astype(np.int64)
+            rare = np.flatnonzero(~hot)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(texts)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(chars_in), pa.array(local), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[rare]))], [*keep, "n_chars_scored", "local", "rare"])
 
     d = docs.select(*keep, "text")
-    return d.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "text") + ", n_chars_scored bigint, perplexity double")
+    return d.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "text") + ", n_chars_scored bigint, local double, rare array<int>")
+
+
+def perplexities(docs: DataFrame, words: dict[str, int], model: WordModel, rest: DataFrame, symbol: np.ndarray, log_p: np.ndarray, keep: list[str]) -> DataFrame:
+    """keep columns, n_chars_scored, perplexity."""
+    sc = docs.sparkSession.sparkContext
+    local = local_scores(docs, sc.broadcast((words, model)), sc.broadcast((symbol, log_p)), keep)
+    local = materialize(local.withColumn("row", F.monotonically_increasing_id()), "lm-local")
+    gains = local.select("row", F.explode("rare").alias("key")).join(rest, "key").groupBy("row").agg(F.sum("gain").alias("gain"))
+    total = F.col("local") + F.coalesce("gain", F.lit(0.0))
+    scored = local.drop("rare").join(gains, "row", "left")
+    return scored.select(*keep, "n_chars_scored", F.when(F.col("n_chars_scored") > 0, F.exp(-total / F.col("n_chars_scored"))).alias("perplexity"))
 
 
 def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
@@ -148,7 +269,7 @@ def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
     return ranked.where(F.col("upto") >= quantile * F.col("all")).groupBy("lang").agg(F.exp((F.min("bin") + 1) / BINS).alias("threshold"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack: float = 1.25) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack: float = 1.4) -> DataFrame:
     """doc_id, lang, trusted, n_chars_scored, perplexity, threshold, kept. labels: doc_id, quality (1: trusted)."""
     d = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
     ids = labels.where("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
@@ -156,7 +277,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack:
     trusted = marked.where("trusted")
     symbol = alphabet(trusted)
     log_p = log_probabilities(trigram_counts(trusted, symbol))
-    scored = materialize(perplexities(marked, symbol, log_p, ["doc_id", "lang", "trusted"]), "lm-scores")
+    words = vocabulary(trusted)
+    model, rest = word_model(bigram_counts(trusted, docs.sparkSession.sparkContext.broadcast(words)))
+    scored = materialize(perplexities(marked, words, model, rest, symbol, log_p, ["doc_id", "lang", "trusted"]), "lm-scores")
     limits = {r.lang: r.threshold for r in thresholds(scored, quantile).collect()}  # one row for each language
     limit = F.lit(limits.pop(None, float("inf")))
     for lang, t in limits.items():
