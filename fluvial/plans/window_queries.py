@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fluvial.operators import prepare, skill, splits, windows
+from fluvial.common import shared_path
+from fluvial.operators import history, skill, splits, windows
 from fluvial.plans import views as V
 from fluvial.plans.registry import query, rounded
+from fluvial.streaming import daily
 
 FILLED_SQL = f"{V.DENSE_SQL}, filled AS (SELECT cell, date, coalesce(value, 0) AS value FROM dense)"
 
@@ -165,3 +167,38 @@ SELECT gauge_id, window_id, start, end_ AS "end" FROM w WHERE end_ <= b + 1""")
 def q20b_calendar_windows_years(spark, sf):
     span = V.series(spark, sf).groupBy("gauge_id").agg(F.min("date").alias("first"), F.max("date").alias("last"))
     return windows.year_windows(span, 1, 1, by=["gauge_id"])
+
+
+HISTORY_SQL = """history AS (SELECT o_custkey % 20 AS run, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS epoch, o_totalprice AS val_loss FROM orders)"""
+
+
+def _history(spark, sf):
+    o = V.table(spark, sf, "orders")
+    w = Window.partitionBy("run").orderBy("o_orderkey")
+    return o.withColumn("run", F.col("o_custkey") % 20).select("run", F.row_number().over(w).cast("bigint").alias("epoch"), F.col("o_totalprice").alias("val_loss"))
+
+
+@query(f"WITH {HISTORY_SQL} SELECT run, arg_min(epoch, (val_loss, epoch)) AS best_epoch, min(val_loss) AS best_loss FROM history GROUP BY 1")
+def q61_best_epoch(spark, sf):
+    return history.best_epochs(_history(spark, sf))
+
+
+@query(f"WITH {HISTORY_SQL} SELECT run, epoch, val_loss FROM (SELECT *, min(val_loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM history) WHERE m IS NULL OR val_loss < m")
+def q61b_kept_checkpoints(spark, sf):
+    return history.improvements(_history(spark, sf)).where("is_best").drop("is_best")
+
+
+@query(f"""WITH RECURSIVE {HISTORY_SQL}, f AS (SELECT run, epoch, val_loss AS best, 0 AS bad FROM history WHERE epoch = 1 UNION ALL SELECT h.run, h.epoch, CASE WHEN val_loss < best - 100 THEN val_loss ELSE best END, CASE WHEN val_loss < best - 100 THEN 0 ELSE bad + 1 END FROM f JOIN history h ON h.run = f.run AND h.epoch = f.epoch + 1 WHERE bad < 5)
+SELECT run, min(epoch) FILTER (WHERE bad >= 5) AS stop_epoch FROM f GROUP BY 1""")
+def q62_early_stop(spark, sf):
+    return history.stop_epochs(_history(spark, sf), 5, 100.0)
+
+
+@query("""SELECT user_id AS cell, ts::DATE AS date, count(value) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2""")
+def q60_stream_daily(spark, sf):
+    """The stream puts out all that has arrived; in complete mode that is every day."""
+    events = V.table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    out, checkpoint = shared_path(spark, "stream-daily"), shared_path(spark, "stream-checkpoint")
+    daily.run_once(daily.daily_stream(stream.withColumnRenamed("user_id", "cell"), ["cell"], "ts"), out, checkpoint, "complete")
+    return rounded(spark.read.parquet(out).withColumn("total", F.round("total", 4)))

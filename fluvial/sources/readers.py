@@ -228,3 +228,45 @@ def decode_metadata(c: Column | str) -> Column:
     """A map from JSON text; text that isn't JSON comes back under the name "raw"."""
     c = F.col(c) if isinstance(c, str) else c
     return F.coalesce(F.from_json(c, "map<string,string>"), F.create_map(F.lit("raw"), c))
+
+
+def read_sqlite(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """path, attributes (a map of texts) for each row of a table of SQLite files, as GeoPackages are; a file without the table
+    gives no rows. Each file is opened in memory by the task that reads it."""
+    import pyarrow as pa
+
+    def run(batches):
+        import sqlite3
+
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                con = sqlite3.connect(":memory:")
+                try:
+                    con.deserialize(data.as_py())
+                    cur = con.execute('SELECT * FROM "' + name.replace('"', '""') + '"')
+                    columns = [c[0] for c in cur.description]
+                    rows = [[(c, None if v is None or isinstance(v, bytes) else str(v)) for c, v in zip(columns, r)] for r in cur]
+                except sqlite3.Error:
+                    rows = []
+                finally:
+                    con.close()
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array(rows, pa.map_(pa.string(), pa.string()))], ["path", "attributes"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, attributes map<string,string>")
+
+
+def river_series(flow: DataFrame, stations: DataFrame, river: str = "comid", time: str = "time", value: str = "value") -> DataFrame:
+    """gauge_id, river, date, value: the daily mean flow of the rivers that stations (gauge_id, river) lie on."""
+    from fluvial.operators.compare import daily_mean
+
+    return daily_mean(flow.join(stations.select("gauge_id", river), river), ["gauge_id", river], time, value)
+
+
+def river_ids(stations: DataFrame, *sources: tuple[str, DataFrame], key: str = "gauge_id", river: str = "comid") -> DataFrame:
+    """stations with the first known river of named sources (gauge_id, river), and which source that is."""
+    d = stations
+    for name, df in sources:
+        d = d.join(df.select(key, F.col(river).alias(f"_{name}")), key, "left")
+    chosen = F.coalesce(*[F.col(f"_{n}") for n, _ in sources])
+    label = F.coalesce(*[F.when(F.col(f"_{n}").isNotNull(), F.lit(n)) for n, _ in sources], F.lit("none"))
+    return d.select(*stations.columns, chosen.alias(river), label.alias(f"{river}_source"))

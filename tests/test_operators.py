@@ -386,3 +386,31 @@ def test_reports(spark):
     fd = compare.flow_duration(d, ["g"], "v").where("g = 'a'").orderBy("rank").collect()
     assert [(r.v, round(r.exceedance, 4)) for r in fd] == [(2.0, 33.3333), (1.0, 66.6667)]
     assert math.isclose(one(spark.range(1).select(C.kge_skill(F.lit(1.0)).alias("k")), "k").k, 1.0)
+
+
+def test_geographic_nearest_and_gauge_places(spark):
+    rng = np.random.default_rng(12)
+    cells = np.stack([rng.uniform(-120, -100, 50), rng.uniform(30, 45, 50)], 1)
+    pts = np.stack([rng.uniform(-120, -100, 15), rng.uniform(30, 45, 15)], 1)
+    c = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(cells)], "flat_index bigint, x double, y double")
+    p = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(pts)], "gauge bigint, x double, y double")
+    got = {r.gauge: (r.flat_index, r.distance) for r in network.nearest(p, c, "gauge", geographic=True).collect()}
+    for k, (x, y) in enumerate(pts):
+        d = 111.32 * np.hypot((cells[:, 0] - x) * np.cos(np.radians(y)), cells[:, 1] - y)
+        assert got[k][0] == d.argmin() and got[k][1] == pytest.approx(d.min())
+    grid_ = spark.createDataFrame([(0, 0, 0, 0.0, 0.0, -110.0, 35.0), (1, 0, 1, 10.0, 0.0, -109.0, 35.0)], "flat_index bigint, y int, x int, xc double, yc double, lon double, lat double")
+    g = spark.createDataFrame([("a", 1, None, None, None, None, -110.0, 35.0), ("b", None, 0, 1, None, None, None, None), ("c", None, None, None, 9.0, 0.5, None, None), ("d", None, None, None, None, None, -109.9, 35.1)], "gauge_id string, flat_index bigint, row int, col int, x double, y double, lon double, lat double")
+    assert {r.gauge_id: (r.flat_index, r.method) for r in network.resolve_gauges(g, grid_).collect()} == {"a": (1, "flat_index"), "b": (1, "grid"), "c": (1, "projected"), "d": (0, "geographic")}
+    with pytest.raises(ValueError):
+        network.resolve_gauges(g.select("gauge_id"), grid_)
+
+
+def test_history(spark):
+    from fluvial.operators import history
+
+    h = spark.createDataFrame([("r", k, v) for k, v in enumerate([5.0, 4.0, 4.5, None, 4.0, 3.9, 1.0])] + [("s", 0, 1.0)], "run string, epoch bigint, val_loss double")
+    assert {r.run: r.best_epoch for r in history.best_epochs(h).collect()} == {"r": 6, "s": 0}
+    assert {r.run: r.stop_epoch for r in history.stop_epochs(h, 3).collect()} == {"r": 4, "s": None}
+    assert {r.run: r.stop_epoch for r in history.stop_epochs(h, 9).collect()} == {"r": None, "s": None}
+    g = spark.createDataFrame([("a",), ("b",), ("c",)], "gauge_id string")
+    assert {r.gauge_id: r.weight for r in history.gauge_weights(g, {"a": 3.0}, ["a", "b"], ["b"], 2.0).collect()} == {"a": 3.0, "b": 2.0}

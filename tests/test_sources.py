@@ -156,3 +156,21 @@ def test_streams(spark, tmp_path):
     a = skill.metrics_from_moments(spark.read.parquet(str(tmp_path / "m")), ["g"]).first()
     b = skill.metrics_from_moments(skill.moments(pairs, ["g"]), ["g"]).first()
     assert a.n == 8 and a.kge == pytest.approx(b.kge)
+
+
+def test_sqlite_and_rivers(spark, tmp_path):
+    import sqlite3
+
+    con = sqlite3.connect(tmp_path / "a.gpkg")
+    con.execute("CREATE TABLE attrs (id TEXT, slope REAL, geom BLOB)")
+    con.execute("INSERT INTO attrs VALUES ('wb-1', 0.5, x'00'), ('wb-2', NULL, NULL)")
+    con.commit()
+    con.close()
+    (tmp_path / "b.gpkg").write_bytes(b"not a database")
+    rows = readers.read_sqlite(spark, str(tmp_path), "attrs").collect()
+    assert sorted((r.attributes["id"], r.attributes["slope"]) for r in rows) == [("wb-1", "0.5"), ("wb-2", None)]
+    st = spark.createDataFrame([("g", 1), ("h", 2)], "gauge_id string, comid int")
+    flow = spark.createDataFrame([(1, T(2020, 1, 1, h), float(h)) for h in (0, 6)] + [(9, T(2020, 1, 1), 1.0)], "comid int, time timestamp_ntz, value double")
+    assert [tuple(r) for r in readers.river_series(flow, st).collect()] == [("g", 1, dt.date(2020, 1, 1), 3.0)]
+    named = readers.river_ids(st.select("gauge_id"), ("cache", st.where("gauge_id = 'g'")), ("near", spark.createDataFrame([("g", 7), ("h", 8)], "gauge_id string, comid int")))
+    assert sorted(tuple(r) for r in named.collect()) == [("g", 1, "cache"), ("h", 8, "near")]
