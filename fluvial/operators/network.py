@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvial.common import materialize, skew_join
+from fluvial.common import materialize
 from fluvial.functions.columns import canonical_id, clip, col, finite, kirpich_minutes, or_zero, ratio
 
 #: Row and column steps to the eight neighbours, row by row.
@@ -194,19 +194,18 @@ def accumulate(nodes: DataFrame, next_of: DataFrame, upstream: Sequence[str] = (
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, label: the smallest node that can be reached, edges (src, dst) taken both ways, for nodes with an edge to another.
 
-    Alternating steps: each node's larger neighbours are hung on its smallest one, then its smaller ones. No node's edges
-    meet in one task if they are many: joins on nodes are skew-proof.
+    Alternating steps: each node's larger neighbours are hung on its smallest one, then its smaller ones. Smallest neighbours
+    are written before they are joined back, so that both sides of the join are exchanged and a node with many edges can
+    be split by the adaptive skew join.
     """
 
     def hung(pairs: DataFrame, larger: bool) -> DataFrame:
         if larger:
             pairs = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        least = materialize(least.select("u", F.least("u", "m").alias("m"), "n"), name)
-        joined = skew_join(pairs, least, "u", "n", pairs.count())
-        if larger:
-            return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = materialize(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+        joined = pairs.where("v > u").join(least, "u") if larger else pairs.join(least, "u")
+        down = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return down if larger else down.unionByName(least.select("u", F.col("m").alias("v")))
 
     def tidy(pairs: DataFrame) -> DataFrame:
         return materialize(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
@@ -340,9 +339,9 @@ def nearest(points: DataFrame, cells: DataFrame, key: str, cell: str = "flat_ind
 def nearest_on_axis(points: DataFrame, axis: DataFrame, value: str, coordinate: str) -> DataFrame:
     """points with the nearest coordinate of an axis table; of two equally near ones the lower. The axis is one array, sorted;
     it has as many entries as the grid has rows or columns."""
-    a = axis.agg(F.sort_array(F.collect_set(coordinate)).alias("_axis"))
+    a = axis.agg(F.sort_array(F.collect_set(coordinate)).alias("_axis")).scalar()
     near = F.array_min(F.transform("_axis", lambda c: F.struct(F.abs(c - F.col(value)).alias("d"), c.alias("c"))))["c"]
-    return points.join(F.broadcast(a)).withColumn(coordinate, near).drop("_axis")
+    return points.withColumn("_axis", a).withColumn(coordinate, near).drop("_axis")
 
 
 def match_gauges(gauges: DataFrame, order: DataFrame, gauge: str = "gauge_id") -> DataFrame:

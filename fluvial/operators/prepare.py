@@ -74,10 +74,9 @@ def densify(daily: DataFrame, by: Sequence[str], date: str = "date") -> DataFram
 
 def reindex(targets: DataFrame, key: str, date: str = "date") -> DataFrame:
     """Every series on the union of all dates; missing ones are NULL. Dates are given to each series as one array."""
-    dates = targets.select(date).distinct().agg(F.sort_array(F.collect_set(date)).alias("_dates"))
-    keys = targets.select(key).distinct()
-    # the array has one entry for each day of the record, some ten thousand for decades
-    grid = keys.join(F.broadcast(dates)).select(key, F.explode("_dates").alias(date))
+    # a scalar subquery; the array has one entry for each day of the record, some ten thousand for decades
+    dates = targets.agg(F.sort_array(F.collect_set(date)).alias("_dates")).scalar()
+    grid = targets.select(key).distinct().select(key, F.explode(dates).alias(date))
     return grid.join(targets, [key, date], "left")
 
 

@@ -75,8 +75,8 @@ def transfer(values: DataFrame, mapping: DataFrame, targets: DataFrame | None =
     out = j.groupBy("target", time).agg(F.sum(F.col("_v") * F.col("weight")).alias(value))
     if targets is None:
         return out
-    times = values.select(time).distinct()
-    grid = targets.select("target").distinct().join(F.broadcast(times.agg(F.collect_set(time).alias("_t")))).select("target", F.explode("_t").alias(time))
+    times = values.agg(F.collect_set(time).alias("_t")).scalar()
+    grid = targets.select("target").distinct().select("target", F.explode(times).alias(time))
     return grid.join(out, ["target", time], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
