@@ -2,17 +2,22 @@
 
 1. Each document becomes its set of distinct word shingles (64-bit hashes), a 128-bit key of that set and a signature of
    BANDS * ROWS minimum hashes. Documents with equal keys form a class; from here on only classes count.
-2. Classes that agree in all rows of a band share a bucket. In a bucket every class is compared with a leader, never with
-   all others. Where a bucket's classes do not all lie in one component after that, it gets four times as many leaders
-   in the next round, and only comparisons between different components are made, until each bucket lies in one
-   component or all its classes were leaders. So no link between components stays untested, and a bucket of thousands of
-   near copies costs a few comparisons for each member.
+2. Classes that agree in all rows of a band share a bucket. In a bucket every class is compared with one leader, never with
+   all others.
 3. A comparison reads the two signatures in batches of BATCH hashes; as soon as the posterior probability that the
    similarity reaches the threshold is below `miss`, the pair is pruned. Survivors are verified on their full sets.
 4. Links merge into components by alternating large-star and small-star steps, each written to the shared folder.
+5. A bucket whose classes then lie in different components still may hold links between them. Its classes outside the
+   component that most of it belongs to, the askers, meet the others and one another in cells: blocks of bounded size, in
+   which the intersections of full sets are one matrix product, and of which each asker puts out one link for each
+   component. Classes of one component aren't compared again, so the work is that of askers times group, no pairs become
+   rows, and no link between components stays untested.
 
 A pair of similarity s is missed by the bands with probability (1 - s ** ROWS) ** BANDS: at 0.8 that is 3e-6.
 
+Where a few buckets, components or classes hold most rows, the tables they are joined with are written before, so that
+both sides of each join are exchanged and the adaptive skew join can split them.
+
 Null, empty or blank texts have no set and are linked with nothing. Fewer words than a shingle: the whole sequence is the
 only shingle. Repeated rows fall into one class. Rows without doc_id: their component is that of their class, null if
 nobody in it has an id. Other columns are ignored, whatever their names.
@@ -26,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvial.common import materialize, skew_join, small_enough
+from fluvial.common import materialize, small_batches, small_enough
+from fluvial.operators.network import components
 
 BANDS, ROWS, BATCH = 24, 4, 16
 HASHES = BANDS * ROWS
@@ -108,6 +114,7 @@ def least_matches(threshold: float, miss: float) -> np.ndarray:
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, key, sig for each document; key and sig are null without words."""
+    small_batches(docs.sparkSession)
     d = docs.select("doc_id", "text")
 
     def run(batches):
@@ -136,12 +143,13 @@ def _bands(classes: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """key, members (the sorted hashes) of the wanted classes (doc_id, key), computed anew from one text of each."""
-    ids = wanted.select("doc_id").distinct()
-    d = docs.select("doc_id", "text").join(F.broadcast(ids) if small_enough(ids, 32) else ids, "doc_id", "left_semi")
+    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
+    ids = F.broadcast(ids) if small_enough(ids, 32) else ids
+    d = docs.select("doc_id", "text").where("text IS NOT NULL").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_py(), k) for t in batch.column(1)]
+            sets = [s for s in (shingle_set(t.as_py(), k) for t in batch.column(1)) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "members"])
 
     return d.mapInArrow(run, "key binary, members binary")
@@ -183,33 +191,61 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
     return full.mapInArrow(confirm, "a binary, b binary")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """node, label: the smallest node that can be reached, for each node of edges (a, b) with a neighbour.
-
-    Large-star hangs each node's larger neighbours on its smallest one, small-star its smaller ones. No node's edges
-    meet in one task if they are many: joins on nodes are skew-proof.
-    """
-
-    def hung(pairs: DataFrame, both: bool) -> DataFrame:
-        if both:
-            pairs = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        least = materialize(least.select("u", F.least("u", "m").alias("m"), "n"), name)
-        joined = skew_join(pairs, least, "u", "n", pairs.count())
-        if both:
-            return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-
-    def tidy(pairs: DataFrame) -> DataFrame:
-        return materialize(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-
-    edge = tidy(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    was, now = None, mark(edge)
-    while was != now:
-        edge = tidy(hung(tidy(hung(edge, True)), False))
-        was, now = now, mark(edge)
-    return edge.select(F.col("u").alias("node"), F.col("v").alias("label"))
+def _compare(percent: int):
+    """For the rows of a cell: the links of askers with classes of other components, one for each such component."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        keys, labels = cell.column("key").to_pylist(), np.unique(cell.column("label").to_pylist(), return_inverse=True)[1]
+        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in cell.column("members")]
+        ask = np.array(cell.column("ask").to_pylist(), bool)
+        size = np.array([len(s) for s in sets])
+        left, right = (np.arange(len(keys)) if ask.all() else np.flatnonzero(~ask)), np.flatnonzero(ask)
+        row = np.repeat(np.arange(len(sets)), size)
+        _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        met = often[column] > 1  # what only one has adds to no intersection
+        number = np.cumsum(often > 1) - 1
+        row, column = row[met], number[column[met]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int((often > 1).sum()), COLUMNS):
+            part = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+            m = np.zeros((len(sets), COLUMNS), np.float32)
+            m[row[part], column[part] - at] = 1
+            both += m[left] @ m[right].T
+        linked = 100 * both >= percent * (size[left][:, None] + size[right][None] - both)
+        linked &= labels[left][:, None] != labels[right][None]
+        i, j = np.nonzero(linked)
+        _, first = np.unique(np.stack([labels[left[i]], right[j]]), axis=1, return_index=True)
+        pick = lambda at: pa.array([keys[k] for k in at], pa.binary())
+        return pa.table({"a": pick(left[i[first]]), "b": pick(right[j[first]])})
+
+    return run
+
+
+#: Shingles in a block of a cell, and columns of a cell's matrix at a time.
+BLOCK_SHINGLES, COLUMNS = 1 << 17, 1 << 12
+
+
+def _between_components(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes that share a bucket and lie in different components."""
+    named = members.select("band", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
+    named = materialize(named.select("band", "key", F.coalesce("label", "key").alias("label")), "minhash-named")
+    of_label = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    split = of_label.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most"))
+    split = materialize(split.where("labels > 1").select("band", F.col("most.label").alias("group")), "minhash-open")
+    rows = named.join(split, "band").select("group", "key", "label").distinct()
+    rows = materialize(rows.withColumn("ask", F.col("label") != F.col("group")).join(sets, "key"), "minhash-cells")
+    w = F.octet_length("members") / 8
+    blocks = lambda ask: F.greatest(F.ceil(F.sum(F.when(F.col("ask") == ask, w)) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    sizes = materialize(rows.groupBy("group").agg(blocks(False).alias("mains"), blocks(True).alias("asks")), "minhash-groups")
+    rows = rows.join(sizes, "group")
+    block = F.pmod(F.xxhash64("key"), F.when(F.col("ask"), F.col("asks")).otherwise(F.col("mains"))).cast("int")
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    asked = F.concat(each("mains", lambda i: cell("main", i, block)), each("asks", lambda j: cell("ask", F.least(block, j), F.greatest(block, j))))
+    cells = rows.withColumn("cell", F.explode(F.when(F.col("ask"), asked).otherwise(each("asks", lambda j: cell("main", block, j)))))
+    return cells.select("group", "cell", "key", "label", "ask", "members").groupBy("group", "cell").applyInArrow(_compare(percent), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
@@ -217,43 +253,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     described = materialize(describe(docs, k), "minhash-docs")
     classes = described.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     classes = materialize(classes, "minhash-classes")
-    buckets = _bands(classes).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lead")).where("n > 1")
-    buckets = materialize(buckets, "minhash-buckets")
-    total = classes.count() * BANDS
-    sized = buckets.withColumn("size", F.col("n"))
-    members = materialize(skew_join(_bands(classes), sized, "band", "n", total).where("lead IS NOT NULL"), "minhash-members")
+    buckets = _bands(classes).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lead"))
+    buckets = materialize(buckets.where("n > 1"), "minhash-buckets")
+    members = materialize(_bands(classes).join(buckets.select("band", "lead"), "band"), "minhash-members")
     candidates = members.select("key").distinct()
     wanted = classes.select("doc_id", "key").join(F.broadcast(candidates) if small_enough(candidates, 64) else candidates, "key", "left_semi")
-    sets = materialize(_sets(docs, wanted, k), "minhash-sets")
+    sets = materialize(_sets(docs, wanted, k).dropDuplicates(["key"]), "minhash-sets")
 
     pairs = members.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
-    labels, leaders = None, 1
-    largest = buckets.agg(F.max("n")).first()[0] or 0
-    while True:
-        links = materialize(_verified(pairs, classes, sets, percent, miss), "minhash-links")
-        if labels is not None:
-            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = components(links)
-        if leaders >= largest - 1:
-            break
-        named = members.select("band", "key", "size").join(labels.withColumnRenamed("node", "key"), "key", "left")
-        named = named.select("band", "key", "size", F.coalesce("label", "key").alias("label"))
-        split = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
-        split = materialize(split.select("band", "n"), "minhash-open")
-        if split.isEmpty():
-            break
-        leaders *= 4
-        named = materialize(skew_join(named, split.withColumn("is_open", F.lit(True)), "band", "n", total).where("is_open"), "minhash-named")
-        share = F.pmod(F.xxhash64("key", "band"), F.lit(1 << 30)) / (1 << 30)
-        chosen = named.where(share * F.col("size") < leaders).select("band", F.col("key").alias("a"), F.col("label").alias("la"))
-        pairs = named.join(chosen, "band").where("label <> la").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+    links = materialize(_verified(pairs, classes, sets, percent, miss), "minhash-links")
+    star = lambda e: components(e.select(F.col("a").alias("src"), F.col("b").alias("dst")), "minhash-components")
+    labels = star(links)
+    further = materialize(_between_components(members, labels, sets, percent), "minhash-links")
+    if not further.isEmpty():
+        labels = star(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(further))
 
     named = classes.select("key", "n", "doc_id").join(labels.withColumnRenamed("node", "key"), "key", "left").where("n > 1 OR label IS NOT NULL OR doc_id IS NULL")
     roots = labels.select(F.col("label").alias("key")).distinct().join(classes.select("key", "n", "doc_id"), "key").withColumn("label", F.col("key"))
-    named = materialize(named.unionByName(roots.select(*named.columns)).groupBy("key").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.max("label").alias("label")).withColumn("label", F.coalesce("label", "key")), "minhash-named")
-    least = materialize(named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("w")), "minhash-least")
-    found = skew_join(named.select("key", "n", "label"), least, "label", "w", named.count()).select("key", "n", "component_id")
-    found = materialize(found, "minhash-found")
-    out = skew_join(described.select("doc_id", "n_shingles", "key"), found, "key", "n", described.count())
+    named = materialize(named.unionByName(roots.select(*named.columns)).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")).withColumn("label", F.coalesce("label", "key")), "minhash-named")
+    least = materialize(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "minhash-least")
+    found = materialize(named.select("key", "label").join(least, "label").select("key", "component_id"), "minhash-found")
+    out = described.select("doc_id", "n_shingles", "key").join(found, "key", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -18,7 +18,7 @@ DOCS = [
     (8, "Mail me at Jo.e@x-y.example.com or call +1 (212) 555-0100. Again: 212 555 0100", "en", "a"), (9, LONG, "de", "b"), (10, "one two", "en", "a"), (11, "One TWO", "en", "b"),
     (12, f"Intro line\n{FOOT}\nBody of twelve", "en", "a"), (13, f"{FOOT}\nother body", "en", "b"), (14, f"third\n  {FOOT} \nmore\n{FOOT}", "en", "c"), (15, f"fourth {FOOT}", "en", "d"),
     (16, "a b c d e a b c d e a b c d e x", "en", "d"), (17, "the quick brown fox jumps over the lazy dog near the river bank today", "en", "d"), (17, "the quick brown fox jumps over the lazy dog near the river bank today", "en", "d"),
-    (None, BASE, "en", "a"), (None, "nobody owns this text at all, nobody", None, "e"), (20, "née à Ñandú 漢字 12.3.4.5 and 4111 1111 1111 1111", "fr", "e"),
+    (None, BASE, "en", "a"), (None, "nobody owns this text at all, nobody", None, "e"), (None, FAR.replace("w40", "zz"), "en", "e"), (20, "née à Ñandú 漢字 12.3.4.5 and 4111 1111 1111 1111", "fr", "e"),
 ]
 SCHEMA = "doc_id bigint, text string, lang string, source string"
 #: Extra columns with names that operators use themselves.
