@@ -13,8 +13,9 @@ by document adds what a counted bigram has over its backed-off probability. Text
 
 Perplexity is that of a character: all log probabilities over the number of characters of words and the spaces after
 them. A document is kept if its perplexity is at most that quantile of the trusted documents of its language, times
-`slack`; the quantiles are exact on a scale of BINS steps for each unit of log perplexity. Languages without trusted
-documents use the quantile over all languages.
+`slack`, and times exp(short / root of its characters), since the perplexity of a short text varies more. The quantiles
+are exact on a scale of BINS steps for each unit of log perplexity. Languages without trusted documents use the quantile
+over all languages.
 
 Null, empty or blank text: no perplexity, not kept. Null language: the language "". Repeated rows count and are judged
 each; a document is trusted if any of its labels says so. Without trusted documents nothing is dropped but documents
@@ -32,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvial.common import checked_join, materialize
+from fluvial.common import checked_join, materialize, small_batches
 
 SYMBOLS = 128
 BINS = 1000
 CHUNK = 1 << 20
 VOCABULARY = 20_000
-HOT = 200_000
+HOT = 1_000_000
 #: Unknown words are word 0; the beginning of a text is a context of its own.
 START = VOCABULARY + 1
 WIDTH = VOCABULARY + 2
@@ -118,11 +119,11 @@ def discounted(counts: DataFrame, context: list[str]) -> DataFrame:
     off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
     totals = counts.groupBy(*context).agg(F.sum("c").alias("total"), F.sum(off).alias("off")) if context else counts.agg(F.sum("c").alias("total"), F.sum(off).alias("off"))
     if context:
-        joined = counts.join(totals, context)
+        joined = counts.join(F.broadcast(totals), context)  # at most SYMBOLS ** 2 or VOCABULARY + 2 contexts
     else:
         t = totals.first()
         joined = counts.withColumns({"total": F.lit(t.total or 1), "off": F.lit(t.off or 0.0)})
-    return joined.select(*context, "z", ((F.col("c") - off) / F.col("total")).alias("p"), (F.col("off") / F.col("total")).alias("back"))
+    return joined.select(*context, "z", "c", ((F.col("c") - off) / F.col("total")).alias("p"), (F.col("off") / F.col("total")).alias("back"))
 
 
 def log_probabilities(counts: DataFrame) -> np.ndarray:
@@ -145,8 +146,18 @@ def log_probabilities(counts: DataFrame) -> np.ndarray:
     return np.log(three).astype(np.float32).ravel()
 
 
+def frequent(counts: DataFrame, most: int, count: str) -> int:
+    """The lowest count that at most `most` rows of counts have or exceed. Only how many rows have which count is collected."""
+    left, cut = most, None
+    for r in counts.groupBy(count).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc(count)).collect():
+        if r.rows > left:
+            break
+        left, cut = left - r.rows, r[count]
+    return cut if cut is not None else (1 << 62)
+
+
 def vocabulary(trusted: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
-    """The number of each of the most frequent words, from 1; ties in the order of the words."""
+    """The number of each of the most frequent words, at most size of them, from 1; words of equal count are all in or out."""
 
     def run(batches):
         held = Counter()
@@ -159,7 +170,8 @@ def vocabulary(trusted: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["w", "n"])
 
     counts = trusted.select("text").mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    return {r.w: k + 1 for k, r in enumerate(counts.orderBy(F.desc("n"), "w").limit(size).collect())}
+    counts = materialize(counts.where("n > 1"), "lm-words")  # a word that occurs once is no more than an unknown one
+    return {w: k + 1 for k, w in enumerate(sorted(r.w for r in counts.where(F.col("n") >= frequent(counts, size, "n")).collect()))}
 
 
 def bigram_keys(ids: np.ndarray) -> np.ndarray:
@@ -204,11 +216,11 @@ def word_model(counts: DataFrame, hot: int = HOT) -> tuple[WordModel, DataFrame]
     back = np.ones(WIDTH)
     back[contexts.y] = contexts.back
     words = second.sparkSession.createDataFrame(pd.DataFrame({"z": np.arange(WIDTH), "lower": lower}))
-    probability = second.join(F.broadcast(words), "z").select((F.col("y") * WIDTH + F.col("z")).cast("int").alias("key"), F.log(F.col("p") + F.col("back") * F.col("lower")).alias("log_p"), (F.log(F.col("p") + F.col("back") * F.col("lower")) - F.log(F.col("back") * F.col("lower"))).alias("gain"))
-    top = counts.orderBy(F.desc("c"), "key").limit(hot)
-    top = probability.join(F.broadcast(top.select("key")), "key").toPandas().sort_values("key")  # at most `hot` rows
-    rest = probability.join(F.broadcast(counts.sparkSession.createDataFrame(top[["key"]].astype("int32")) if len(top) else counts.select("key").limit(0)), "key", "left_anti").select("key", "gain")
-    return WordModel(np.log(back), np.log(lower), top.key.to_numpy(np.int32), top.log_p.to_numpy(float)), rest
+    backed = F.col("back") * F.col("lower")
+    p = second.join(F.broadcast(words), "z").select((F.col("y") * WIDTH + F.col("z")).cast("int").alias("key"), "c", F.log(F.col("p") + backed).alias("log_p"), (F.log(F.col("p") + backed) - F.log(backed)).cast("float").alias("gain"))
+    cut = frequent(counts, hot, "c")
+    top = p.where(F.col("c") >= cut).select("key", "log_p").toPandas().sort_values("key")  # at most `hot` rows
+    return WordModel(np.log(back), np.log(lower), top.key.to_numpy(np.int32), top.log_p.to_numpy(np.float32)), p.where(F.col("c") < cut).select("key", "gain")
 
 
 def local_scores(docs: DataFrame, words, chars, keep: list[str]) -> DataFrame:
@@ -269,8 +281,9 @@ def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
     return ranked.where(F.col("upto") >= quantile * F.col("all")).groupBy("lang").agg(F.exp((F.min("bin") + 1) / BINS).alias("threshold"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack: float = 1.4) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack: float = 1.4, short: float = 3.0) -> DataFrame:
     """doc_id, lang, trusted, n_chars_scored, perplexity, threshold, kept. labels: doc_id, quality (1: trusted)."""
+    small_batches(docs.sparkSession)
     d = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
     ids = labels.where("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
     marked = checked_join(d, ids, "doc_id", "left", row_bytes=24).withColumn("trusted", F.coalesce("trusted", F.lit(False)))
@@ -284,5 +297,5 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack:
     limit = F.lit(limits.pop(None, float("inf")))
     for lang, t in limits.items():
         limit = F.when(F.col("lang") == lang, F.lit(t)).otherwise(limit)
-    scored = scored.withColumn("threshold", limit * slack)
+    scored = scored.withColumn("threshold", limit * slack * F.exp(short / F.sqrt(F.greatest("n_chars_scored", F.lit(1)))))
     return scored.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))
