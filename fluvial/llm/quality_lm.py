@@ -126,13 +126,18 @@ def discounted(counts: DataFrame, context: list[str]) -> DataFrame:
     return joined.select(*context, "z", "c", ((F.col("c") - off) / F.col("total")).alias("p"), (F.col("off") / F.col("total")).alias("back"))
 
 
+def _frame(df: DataFrame) -> pd.DataFrame:
+    """A table with a proven bound, on the driver, as Arrow batches."""
+    return df.toArrow().to_pandas()
+
+
 def log_probabilities(counts: DataFrame) -> np.ndarray:
     """log p(z | x, y) of all SYMBOLS ** 3 trigrams. Lower orders use the number of distinct predecessors as counts."""
     third = materialize(counts, "lm-trigrams")
     second = third.groupBy("y", "z").agg(F.count(F.lit(1)).alias("c"))
     first = second.groupBy("z").agg(F.count(F.lit(1)).alias("c"))
     a = SYMBOLS
-    p1, p2, p3 = discounted(first, []).toPandas(), discounted(second, ["y"]).toPandas(), discounted(third, ["x", "y"]).toPandas()
+    p1, p2, p3 = (_frame(discounted(c, on)) for c, on in ((first, []), (second, ["y"]), (third, ["x", "y"])))
     one = np.full(a, (p1.back.iloc[0] if len(p1) else 1.0) / a)
     one[p1.z] += p1.p
     back = np.ones(a)
@@ -208,18 +213,18 @@ def word_model(counts: DataFrame, hot: int = HOT) -> tuple[WordModel, DataFrame]
     counts = materialize(counts, "lm-bigrams")
     pairs = counts.select(F.expr(f"key div {WIDTH}").alias("y"), (F.col("key") % WIDTH).alias("z"), "c")
     first = pairs.groupBy("z").agg(F.count(F.lit(1)).alias("c"))
-    p1 = discounted(first, []).toPandas()  # at most VOCABULARY + 1 rows
+    p1 = _frame(discounted(first, []))  # at most VOCABULARY + 1 rows
     lower = np.full(WIDTH, (p1.back.iloc[0] if len(p1) else 1.0) / (VOCABULARY + 1))
     lower[p1.z] += p1.p
     second = discounted(pairs, ["y"])
-    contexts = second.groupBy("y").agg(F.max("back").alias("back")).toPandas()  # at most VOCABULARY + 2 rows
+    contexts = _frame(second.groupBy("y").agg(F.max("back").alias("back")))  # at most VOCABULARY + 2 rows
     back = np.ones(WIDTH)
     back[contexts.y] = contexts.back
-    words = second.sparkSession.createDataFrame(pd.DataFrame({"z": np.arange(WIDTH), "lower": lower}))
+    words = second.sparkSession.createDataFrame(pa.table({"z": np.arange(WIDTH), "lower": lower}))
     backed = F.col("back") * F.col("lower")
     p = second.join(F.broadcast(words), "z").select((F.col("y") * WIDTH + F.col("z")).cast("int").alias("key"), "c", F.log(F.col("p") + backed).alias("log_p"), (F.log(F.col("p") + backed) - F.log(backed)).cast("float").alias("gain"))
     cut = frequent(counts, hot, "c")
-    top = p.where(F.col("c") >= cut).select("key", "log_p").toPandas().sort_values("key")  # at most `hot` rows
+    top = _frame(p.where(F.col("c") >= cut).select("key", F.col("log_p").cast("float").alias("log_p"))).sort_values("key")  # at most `hot` rows
     return WordModel(np.log(back), np.log(lower), top.key.to_numpy(np.int32), top.log_p.to_numpy(np.float32)), p.where(F.col("c") < cut).select("key", "gain")
 
 
