@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvial.common import materialize
+from fluvial.common import materialize, small_batches
 
 SEGMENT_WORDS = 1 << 20
 BLOCK_BYTES = 4 << 20
@@ -57,6 +57,7 @@ def _segment(name: str, ids: list, words: list[list[bytes]]) -> dict:
 
 def build_index(docs: DataFrame) -> DataFrame:
     """Segments of the index of docs (doc_id, text), written to the shared folder."""
+    small_batches(docs.sparkSession)
     d = docs.select("doc_id", "text")
     kind = d.schema["doc_id"].dataType.simpleString()
 

@@ -20,6 +20,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fluvial.common import small_batches
+
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_WORD = re.compile(r"[a-z]+")
@@ -228,5 +230,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [extract(h.as_py()) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     p = pages.select("page_id", "url", "html")
     return p.mapInArrow(run, f"page_id {p.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")

@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluvial.common import small_batches
+
 BUCKETS = 1 << 16
 DIM = 16
 ORDERS = (1, 2, 3, 4)
 PER_LANG = 500
-CHUNK = 1 << 19  # characters looked at together
+CHUNK = 1 << 17  # characters looked at together
 
 LETTER = re.compile(r"[^\W\d_]")
 _letters: np.ndarray | None = None
@@ -130,6 +132,7 @@ class Model:
 
 def _sample(docs: DataFrame, text: str, lang: str, learn: Column, per_lang: int) -> list:
     """Feature counts of about per_lang texts of each language, and of a short stretch of each."""
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64("doc_id", text).alias("h")).where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r.l: r.n for r in d.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
@@ -197,6 +200,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score, rejected."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     at = kept.index(text)
