@@ -5,7 +5,7 @@ labels each document's candidate tokens (those with a digit or @; all others are
 shape and neighbours of a token; the labels of two candidates next to each other; and, as skip edges, the labels of
 tokens whose digits or letters repeat anywhere in the document, however distant. Loopy message passing over all edges
 makes such tokens agree: a number written without its plus sign is found because the same number stands elsewhere as a
-phone. Tokens that get an entity label with at least `sure` probability and touch no base span become further spans.
+phone. Tokens that get an entity label with at least `sure` probability and touch no base span become further spans; neighbours with one label are one span.
 
 The weights are trained here on a bounded sample of documents (SAMPLE, chosen by hash), labelled by the base patterns:
 the token factors by gradient descent, the two kinds of edges from counts of agreeing labels. A group of repeats is
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluvial.common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 2000
 BUCKETS = 1 << 12
@@ -249,8 +251,9 @@ def train(docs: DataFrame, most: int = SAMPLE, epochs: int = 30, rate: float = 0
     return Field(w, np.clip(table("chain", 0.5), -2, 2), 2 * np.maximum(skip, np.clip(table("skip", 0.5), -4, 0)))
 
 
-def find(docs: DataFrame, field: Field, sure: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, field: Field, sure: float = 0.7) -> DataFrame:
     """doc_id, base and spans: arrays of (kind, start, end) by start, then kind as in KINDS; spans holds base and more."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
@@ -268,11 +271,19 @@ def find(docs: DataFrame, field: Field, sure: float = 0.9) -> DataFrame:
                         g.add(k, text, base[k])
             every = [list(b) for b in base]
             p = field.probabilities(g)
-            for i in np.flatnonzero((p[:, 1:].max(1, initial=0) >= sure) & (np.array(g.label, int) == 0)) if len(p) else ():
+            best = p[:, 1:].argmax(1) if len(p) else []
+            chained = {b for _, b in g.chain}
+            added: list[tuple[int, int]] = []  # the first and last token of each further span
+            for i in np.flatnonzero((p[:, 1:].max(1, initial=0) >= sure) & (np.array(g.label, int) == 0)).tolist() if len(p) else ():
+                if added and added[-1][1] == i - 1 and i in chained and best[i] == best[i - 1]:
+                    added[-1] = added[-1][0], i
+                else:
+                    added.append((i, i))
+            for i, j in added:
                 k = g.owner[i]
-                start, end = _core(texts[k], *g.span[i])
+                start, end = _core(texts[k], g.span[i][0], g.span[j][1])
                 if start < end:
-                    every[k].append((KINDS[int(p[i, 1:].argmax())], start, end))
+                    every[k].append((KINDS[int(best[i])], start, end))
             rows = [[[dict(zip(("kind", "start", "end"), s)) for s in sorted(x, key=order)] for x in col] for col in (base, every)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], span), pa.array(rows[1], span)], ["doc_id", "base", "spans"])
 
