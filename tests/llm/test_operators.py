@@ -54,6 +54,8 @@ def test_bpe_documents(docs, none, tokenizer):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids
         want[doc_id, len(ids), tuple(ids), tokenizer.decode(ids, skip_special_tokens=False)] += 1
     assert got == want
+    again = bpe.encode_documents(docs, VOCABULARY, decoded="decoded")
+    assert Counter((r.doc_id, r.n_tokens, tuple(r.ids), r.decoded) for r in again.collect()) == want
     assert bpe.decode_documents(bpe.encode_documents(none, VOCABULARY), VOCABULARY).count() == 0
 
 

@@ -1,5 +1,8 @@
 """The pipeline against a plain version of its stages, and each query against its SQL on the smallest tables."""
 
+import hashlib
+import html
+import re
 from collections import Counter
 
 import duckdb
@@ -44,3 +47,43 @@ def test_query_equals_sql(spark, name):
     columns = [c[0] for c in want.description]
     got = __spark_entry__.queries()[name](spark, SF)
     assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(want.fetchall())
+
+
+def documents(spark):
+    return [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+
+
+def test_near_duplicate_query(spark):
+    got = __spark_entry__.queries()["op10_minhash"](spark, SF)
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == Counter(brute.near_duplicates(documents(spark), 4))
+
+
+def test_pii_query(spark):
+    texts = {d[0]: d[1] for d in documents(spark)}
+    for r in __spark_entry__.queries()["op7_pii"](spark, SF).collect():
+        base = brute.base_spans(texts[r.doc_id])
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest() and set(text.split(",")) <= {*r.spans.split(","), ""}
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b[0] == k for b in base) for k in ("email", "ip", "card", "phone")]
+
+
+def test_html_query(spark):
+    """These pages have an article of headings and paragraphs, and everything else outside of it."""
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in __spark_entry__.queries()["op5_html"](spark, SF).collect():
+        article = pages[r.page_id].split("<article>")[1].split("</article>")[0]
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("<p>|</p>|<h1>|</h1>", article)]
+        assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_bpe_query(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: r for r in __spark_entry__.queries()["op1_bpe"](spark, SF).collect()}
+    for doc_id, text, *_ in documents(spark):
+        ids = t.encode(text, add_special_tokens=False).ids
+        r = got[doc_id]
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
