@@ -47,7 +47,7 @@ def q34_dem_downhill(spark, sf):
     return network.downhill_edges(_active(spark, sf))
 
 
-ENDED_SQL = f"""{DOWN_SQL}, ended AS (SELECT src, dst, 1000.0 * (b.x - a.x) AS dx, 1000.0 * (b.y - a.y) AS dy, a.elevation AS source_elevation, b.elevation AS target_elevation FROM down JOIN act a ON a.flat_index = src JOIN act b ON b.flat_index = dst),
+ENDED_SQL = f"""{DOWN_SQL}, ended AS (SELECT src, dst, (1000 * (b.x - a.x))::DOUBLE AS dx, (1000 * (b.y - a.y))::DOUBLE AS dy, a.elevation AS source_elevation, b.elevation AS target_elevation FROM down JOIN act a ON a.flat_index = src JOIN act b ON b.flat_index = dst),
 f1 AS (SELECT *, sqrt(dx ** 2 + dy ** 2) AS distance, source_elevation - target_elevation AS elevation_drop FROM ended), f2 AS (SELECT *, elevation_drop / greatest(distance, 1e-6) AS slope FROM f1),
 f3 AS (SELECT *, 0.01947 * greatest(distance, 1) ** 0.77 * greatest(slope, 1e-6) ** -0.385 AS travel_time_kirpich FROM f2)"""
 
@@ -109,7 +109,7 @@ def q39_components(spark, sf):
 
 @query(f"""WITH RECURSIVE {CLOSURE_SQL}, ups AS (SELECT anc AS node, count(*) AS c, sum(area) AS a FROM up JOIN flow ON flow.id = up.node GROUP BY 1), downs AS (SELECT up.node, sum(length_m) AS d, sum(length_m / sqrt(0.001 + area / 1000)) AS t FROM up JOIN flow ON flow.id = up.anc GROUP BY 1)
 SELECT id AS node, round(d, 4) AS distance_to_outlet_m, round(t, 3) AS travel_time_proxy_to_outlet, c::DOUBLE AS upstream_flowpath_count, round(a, 4) AS upstream_area_km2_topologic, round(least(area / greatest(a, 1e-6), 1), 6) AS incremental_area_fraction,
-  round(least(greatest(a - area, 0) / greatest(a, 1e-6), 1), 6) AS upstream_area_ratio, round(area / (SELECT max(area) FROM flow), 6) AS normalized_stream_order, CASE WHEN toid IS NULL THEN 1.0 ELSE 0.0 END AS is_outlet_node, 0 AS component
+  round(least(greatest(a - area, 0) / greatest(a, 1e-6), 1), 6) AS upstream_area_ratio, round(area / (SELECT max(area) FROM flow), 6) AS normalized_stream_order, CASE WHEN toid IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_outlet_node, 0::BIGINT AS component
 FROM flow JOIN ups ON ups.node = id JOIN downs ON downs.node = id""")
 def q39b_hydrology_features(spark, sf):
     f = V.flow(spark, sf)
@@ -266,7 +266,7 @@ def q46_nearest_cell(spark, sf):
     return rounded(network.nearest(g, _active(spark, sf), "gauge"))
 
 
-@query("""SELECT DISTINCT o_custkey % 1000 AS src, c_nationkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 1000 <> c_nationkey AND c_nationkey IN (SELECT o_custkey % 1000 FROM orders)""")
+@query("""SELECT DISTINCT o_custkey % 1000 AS src, c_nationkey::BIGINT AS dst FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 1000 <> c_nationkey AND c_nationkey IN (SELECT o_custkey % 1000 FROM orders)""")
 def q47_two_hop_edges(spark, sf):
     paths = table(spark, sf, "orders").select((F.col("o_custkey") % 1000).alias("id"), F.col("o_custkey").alias("toid"))
     hops = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("bigint").alias("toid"))

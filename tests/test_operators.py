@@ -148,7 +148,7 @@ def test_manifest(spark):
 
 
 def test_columns(spark):
-    d = spark.createDataFrame([("00123", "a.b c", "Noah.20200105.nc", 1.5, None), ("000", "__x__", "20201340_2020010203.nc", -2.0, 1.0), (" A01 ", "", "none", float("inf"), float("nan"))], "id string, name string, file string, x double, y double")
+    d = spark.createDataFrame([("00123", "a.b c", "run.20200105.nc", 1.5, None), ("000", "__x__", "20201340_2020010203.nc", -2.0, 1.0), (" A01 ", "", "none", float("inf"), float("nan"))], "id string, name string, file string, x double, y double")
     r = d.select(C.canonical_id("id"), C.safe_name("name"), C.file_timestamp("file"), C.number_label("x"), C.or_zero("x"), C.finite("y"), C.clip("y", 2.0), C.log_flow("x")).collect()
     assert [x[0] for x in r] == ["123", "0", "A01"] and [x[1] for x in r] == ["a_b_c", "x", ""]
     assert [x[2] for x in r] == [dt.datetime(2020, 1, 5), dt.datetime(2020, 1, 2, 3), None]
