@@ -40,7 +40,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.decode_documents(bpe.encode_documents(docs, path), path, text_col="text")
+    return bpe.encode_documents(docs, path, decoded="text")
 
 
 STAGES = [

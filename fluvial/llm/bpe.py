@@ -24,12 +24,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from fluvial.common import small_batches
+
 # The splitting pattern of byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces of at most so many characters are remembered, and so many of them in each Python worker.
-CACHE_CHARS, CACHE_PIECES = 48, 400_000
-PAIR_CACHE = 1_000_000
+CACHE_CHARS, CACHE_PIECES = 48, 100_000
+PAIR_CACHE = 400_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -161,17 +163,27 @@ class Encoder:
 
 
 class _Pieces(dict):
+    """Remembered pieces, in two generations: when the young one is full, it becomes the old one, whose pieces come back when
+    they are met again. So frequent pieces stay."""
+
     def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.encoder.piece(piece)
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encoder.piece(piece)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_PIECES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class Decoder:
     """Token ids to text: the bytes of all tokens in one block, and where each begins."""
@@ -207,12 +219,15 @@ def vocabulary_spec(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids array<int> for each document."""
+def encode_documents(docs: DataFrame, path: str, decoded: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids array<int> for each document; with decoded, a column of that name with the ids decoded again,
+    as decode_documents() has it, but without sending them to another worker."""
     spec = vocabulary_spec(docs.sparkSession, path)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         encoder = _once(Encoder, spec)
+        decoder = _once(Decoder, spec) if decoded else None
         for batch in batches:
             flat, offsets = array("i"), array("i", [0])
             for text in batch.column(1):
@@ -220,10 +235,16 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 offsets.append(len(flat))
             ends = np.frombuffer(offsets, np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), ids], ["doc_id", "n_tokens", "ids"])
+            columns, names = [batch.column(0), pa.array(np.diff(ends).astype(np.int64)), ids], ["doc_id", "n_tokens", "ids"]
+            if decoded:
+                values = np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32)
+                columns.append(pa.array([decoder.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.string()))
+                names.append(decoded)
+            yield pa.RecordBatch.from_arrays(columns, names)
+        encoder.cache.forget()  # workers stay for later stages; what was remembered need not
 
     d = docs.select("doc_id", "text")
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids array<int>")
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode_documents(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -13,7 +13,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    done = bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), path), path)
+    done = bpe.encode_documents(table(spark, sf_dir, "documents"), path, decoded="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return done.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
