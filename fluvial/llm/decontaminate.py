@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from fluvial.common import materialize, small_batches
 
-SEGMENT_WORDS = 1 << 20
+SEGMENT_WORDS = 1 << 18
 BLOCK_BYTES = 4 << 20
 CANDIDATES = 1 << 21  # so many are looked at together
 WINDOW = 10
