@@ -30,7 +30,7 @@ from fluvial.common import small_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces of at most so many characters are remembered, and so many of them in each Python worker.
-CACHE_CHARS, CACHE_PIECES = 48, 100_000
+CACHE_CHARS, CACHE_PIECES = 48, 150_000
 PAIR_CACHE = 400_000
 
 
@@ -72,6 +72,7 @@ class Encoder:
         for b, i in vocabulary.ids.items():
             self.find.add_word(b.decode("latin-1"), i)
         self.find.make_automaton()
+        self.size = list(map(len, vocabulary.bytes))
         self.shorter: dict[int, int] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.split = regex.compile(PATTERN).findall
@@ -128,25 +129,31 @@ class Encoder:
         b = piece.encode("utf-8", "surrogatepass")
         if (whole := self.v.ids.get(b)) is not None and whole not in self.unreachable:
             return (whole,)
-        size, n = self.v.bytes, len(b)
-        longest = [-1] * n
+        size, n, bad, pairs = self.size, len(b), self.unreachable, self.pairs
+        longest = [-1] * (n + 1)
         for end, token in self.find.iter(b.decode("latin-1")):
-            longest[end + 1 - len(size[token])] = token
+            longest[end + 1 - size[token]] = token
         out: list[int] = []
-        dead = bytearray(n + 1)
-        pos, token = 0, longest[0]
+        last, pos, token, dead = -1, 0, longest[0], None
         while pos < n:
-            end = pos + len(size[token])
-            if not dead[end] and (not out or self.compatible(out[-1], token)) and token not in self.unreachable:
-                out.append(token)
-                pos = end
-                token = longest[pos] if pos < n else -1
-            elif (less := self.next_shorter(token)) >= 0:
+            end = pos + size[token]
+            if dead is None or not dead[end]:
+                fits = last < 0 or pairs.get((last, token))
+                if fits is None:
+                    fits = self.compatible(last, token)
+                if fits and (not bad or token not in bad):
+                    out.append(token)
+                    last, pos, token = token, end, longest[end]
+                    continue
+            less = self.next_shorter(token)
+            if less >= 0:
                 token = less
             else:
+                dead = dead or bytearray(n + 1)
                 dead[pos] = 1
                 token = out.pop()
-                pos -= len(size[token])
+                last = out[-1] if out else -1
+                pos -= size[token]
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
