@@ -43,10 +43,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/fluvial/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: For tables with rows of megabytes: look at the size of pages and row groups after each row, not after each hundred, and
+#: compress in a stream, not with buffers as large as a page.
+LARGE_ROWS = {"compression": "zstd", "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(16 << 20)}
+
+
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives the loss of executors."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
