@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvial.common import materialize, small_batches
+from fluvial.common import LARGE_ROWS, materialize, small_batches
 
 SEGMENT_WORDS = 1 << 18
 BLOCK_BYTES = 4 << 20
@@ -83,7 +83,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         if ids:
             yield flush()
 
-    return materialize(d.mapInArrow(run, f"segment string, doc_ids array<{kind}>, n_words array<bigint>, starts array<bigint>, terms array<string>, ends array<bigint>, positions binary"), "positional-index")
+    return materialize(d.mapInArrow(run, f"segment string, doc_ids array<{kind}>, n_words array<bigint>, starts array<bigint>, terms array<string>, ends array<bigint>, positions binary"), "positional-index", **LARGE_ROWS)
 
 
 class _Block:
