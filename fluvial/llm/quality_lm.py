@@ -1,15 +1,20 @@
 """Quality by perplexity under interpolated modified Kneser-Ney models of words and, for unknown words, of characters.
 
-Both models are trained on all trusted texts. The word model has bigrams over the VOCABULARY most frequent words and one
-symbol for all others; an unknown word is then spelled by a trigram model of characters over SYMBOLS symbols (the most
-frequent ones; all others are one symbol). All counts are summed in shards of their hash; context totals, continuation
-counts, discounts and back-off weights come from them by further sums and joins in the same shards.
+Both models are trained on all trusted texts. The word model has bigrams over all words that occur more than once; all
+others are word 0, which is then spelled by a trigram model of characters over SYMBOLS symbols (the most frequent ones; all
+others are one symbol). The lowest order of the word model leaves what its discounts free to word 0. All counts are summed
+in shards of their hash; context totals, continuation counts, discounts and back-off weights come from them by further sums
+and joins in the same shards.
 
-Scoring. What is bounded by a parameter goes to the documents: the vocabulary with its back-off weights, the HOT most
+The VOCABULARY most frequent words are numbered and known to each task; any other word is a 64-bit hash, and it may be known
+or not. A numbered context has a probability of word 0 of its own. Another one that is known gives what it counted for word 0
+to its back-off weight; word 0 as a context has nothing but the lower order.
+
+Scoring. What is bounded by a parameter goes to the documents: the numbered words with their back-off weights, the HOT most
 frequent bigrams, the character model (an array of SYMBOLS ** 3 numbers). They give each document the probabilities of its
-unknown words and frequent bigrams, and the backed-off ones of all other bigrams. Those bigrams, a fifth of all or so,
-then meet the table of counted bigrams in a join sharded by bigram, which grows with the corpus and isn't broadcast; a sum
-by document adds what a counted bigram has over its backed-off probability. Texts are never shuffled.
+frequent bigrams, and the backed-off ones of all others, with each word that has no number as word 0. Those bigrams and
+words then meet the table of counted bigrams and known words in a join sharded by key, which grows with the corpus and isn't
+broadcast; a sum by document adds what each found one has over what was assumed. Texts are never shuffled.
 
 Perplexity is that of a character: all log probabilities over the number of characters of words and the spaces after
 them. A document is kept if its perplexity is at most that quantile of the trusted documents of its language, times
@@ -40,9 +45,12 @@ BINS = 1000
 CHUNK = 1 << 20
 VOCABULARY = 20_000
 HOT = 1_000_000
-#: Unknown words are word 0; the beginning of a text is a context of its own.
+#: Unknown words are word 0; the beginning of a text is a context of its own; hashes of words begin far above.
 START = VOCABULARY + 1
 WIDTH = VOCABULARY + 2
+HASHED = 1 << 62
+#: Added to a word's hash, this gives the key of the word as a context.
+AS_CONTEXT = 1 << 61
 HELD_WORDS = 300_000
 
 
@@ -112,14 +120,10 @@ def discounted(counts: DataFrame, context: list[str]) -> DataFrame:
     Discounts for counts of one, two, and three or more, from the counts of counts, as modified Kneser-Ney smoothing has
     them; where those are too few to give a discount between 0 and the count, it is half of the count, at most 0.5.
     """
-    of = counts.agg(*[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    y = of.n1 / (of.n1 + 2 * of.n2) if of.n1 else 0.5
-    d = [k - (k + 1) * y * getattr(of, f"n{k + 1}") / getattr(of, f"n{k}") if getattr(of, f"n{k}") else 0.5 for k in (1, 2, 3)]
-    d = [x if 0 < x < k else 0.5 for k, x in zip((1, 2, 3), d)]
-    off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+    off = _off(_discounts(counts))
     totals = counts.groupBy(*context).agg(F.sum("c").alias("total"), F.sum(off).alias("off")) if context else counts.agg(F.sum("c").alias("total"), F.sum(off).alias("off"))
     if context:
-        joined = counts.join(F.broadcast(totals), context)  # at most SYMBOLS ** 2 or VOCABULARY + 2 contexts
+        joined = counts.join(F.broadcast(totals), context)  # at most SYMBOLS ** 2 contexts
     else:
         t = totals.first()
         joined = counts.withColumns({"total": F.lit(t.total or 1), "off": F.lit(t.off or 0.0)})
@@ -161,8 +165,8 @@ def frequent(counts: DataFrame, most: int, count: str) -> int:
     return cut if cut is not None else (1 << 62)
 
 
-def vocabulary(trusted: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
-    """The number of each of the most frequent words, at most size of them, from 1; words of equal count are all in or out."""
+def word_counts(trusted: DataFrame) -> DataFrame:
+    """w, n: how often each word occurs, if more than once; a word that occurs once is no more than an unknown one."""
 
     def run(batches):
         held = Counter()
@@ -175,95 +179,195 @@ def vocabulary(trusted: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["w", "n"])
 
     counts = trusted.select("text").mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    counts = materialize(counts.where("n > 1"), "lm-words")  # a word that occurs once is no more than an unknown one
+    return materialize(counts.where("n > 1"), "lm-words")
+
+
+def vocabulary(trusted: DataFrame, size: int = VOCABULARY, counts: DataFrame | None = None) -> dict[str, int]:
+    """The number of each of the most frequent words, at most size of them, from 1; words of equal count are all in or out."""
+    counts = word_counts(trusted) if counts is None else counts
     return {w: k + 1 for k, w in enumerate(sorted(r.w for r in counts.where(F.col("n") >= frequent(counts, size, "n")).collect()))}
 
 
-def bigram_keys(ids: np.ndarray) -> np.ndarray:
-    """The number of each word with the one before it."""
-    before = np.concatenate([[START], ids[:-1]]) if len(ids) else ids
-    return (before * WIDTH + ids).astype(np.int32)
+def word_ids(words: list[str], numbers: dict[str, int]) -> np.ndarray:
+    """The number of each word, or the hash of one that has none."""
+    ids = np.fromiter(map(numbers.get, words, repeat(0)), np.int64, len(words))
+    far = np.flatnonzero(ids == 0)
+    if len(far):
+        held = np.empty(len(far), object)
+        held[:] = [words[i] for i in far.tolist()]
+        ids[far] = (pd.util.hash_array(held, categorize=False) >> np.uint64(3)).astype(np.int64) + HASHED
+    return ids
 
 
-def bigram_counts(trusted: DataFrame, words) -> DataFrame:
-    """key, c: how often each bigram occurs; words: the vocabulary, broadcast."""
+def hashed_words(counts: DataFrame, words) -> DataFrame:
+    """id: the hash of each counted word that has no number; words: the numbers, broadcast."""
 
     def run(batches):
-        known = words.value
         for batch in batches:
-            keys = [bigram_keys(np.fromiter((known.get(w, 0) for w in _words(t)), np.int64)) for t in batch.column(0).to_pylist()]
-            u, n = np.unique(np.concatenate([np.empty(0, np.int32), *keys]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int32()), pa.array(n, pa.int64())], ["key", "c"])
+            ids = word_ids(batch.column(0).to_pylist(), words.value)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[ids >= WIDTH])], ["id"])
+
+    return counts.select("w").mapInArrow(run, "id bigint").distinct()
+
 
-    return trusted.select("text").mapInArrow(run, "key int, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+def bigram_keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A number for each pair of words that have numbers, a negative hash for any other pair."""
+    y, z = before.astype(np.uint64), ids.astype(np.uint64)
+    h = y * np.uint64(0x9E3779B97F4A7C15) + z
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    h = (h ^ (h >> np.uint64(31))) | np.uint64(1 << 63)
+    near = (before < WIDTH) & (ids < WIDTH)
+    return np.where(near, y * np.uint64(WIDTH) + z, h).view(np.int64)
+
+
+def bigrams_of(texts: list[list[str]], numbers: dict[str, int]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All words of the texts, the word before each, and each."""
+    size = np.array([len(t) for t in texts], np.int64)
+    flat = [w for t in texts for w in t]
+    ids = word_ids(flat, numbers)
+    before = np.concatenate([[START], ids[:-1]]) if len(ids) else ids.copy()
+    before[(np.cumsum(size) - size)[size > 0]] = START
+    return flat, before, ids
+
+
+def bigram_counts(trusted: DataFrame, words, known: DataFrame | None = None) -> DataFrame:
+    """y, z, key, c: how often each bigram occurs. words: the numbers, broadcast; known: the hashes of all other known words.
+
+    Words that are neither are word 0.
+    """
+
+    def run(batches):
+        for batch in batches:
+            _, y, z = bigrams_of([_words(t) for t in batch.column(0).to_pylist()], words.value)
+            u, at, n = np.unique(bigram_keys(y, z), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(y[at]), pa.array(z[at]), pa.array(u), pa.array(n, pa.int64())], ["y", "z", "key", "c"])
+
+    sums = [F.max("key").alias("key"), F.sum("c").alias("c")]
+    counts = trusted.select("text").mapInArrow(run, "y bigint, z bigint, key bigint, c bigint").groupBy("y", "z").agg(*sums)
+    if known is None:
+        return counts.withColumns({k: F.when(F.col(k) < WIDTH, F.col(k)).otherwise(F.lit(0)) for k in "yz"}).groupBy("y", "z").agg(*sums)
+    counts = materialize(counts, "lm-counted")
+    marked = known.withColumn("known", F.lit(True))
+    for k in "zy":
+        far = counts.where(F.col(k) >= WIDTH).join(marked.withColumnRenamed("id", k), k, "left")
+        far = far.withColumn(k, F.when(F.col("known"), F.col(k)).otherwise(F.lit(0))).drop("known")
+        counts = counts.where(F.col(k) < WIDTH).unionByName(far)
+    return counts.groupBy("y", "z").agg(*sums)
 
 
 class WordModel:
-    """log of the back-off weight of each context and of each word's lower-order probability; the most frequent bigrams."""
+    """Logs, for numbered words, of the back-off weight and the probability of word 0 of each context and of each word's
+    lower-order probability; the most frequent bigrams."""
+
+    def __init__(self, back: np.ndarray, lower: np.ndarray, unknown: np.ndarray, hot_keys: np.ndarray, hot_log_p: np.ndarray):
+        self.back, self.lower, self.unknown, self.hot_keys, self.hot_log_p = back, lower, unknown, hot_keys, hot_log_p
 
-    def __init__(self, back: np.ndarray, lower: np.ndarray, hot_keys: np.ndarray, hot_log_p: np.ndarray):
-        self.back, self.lower, self.hot_keys, self.hot_log_p = back, lower, hot_keys, hot_log_p
+    def score(self, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+        return np.where(z == 0, self.unknown[y], self.back[y] + self.lower[z])
 
     def backed_off(self, keys: np.ndarray) -> np.ndarray:
-        return self.back[keys // WIDTH] + self.lower[keys % WIDTH]
+        return self.score(keys // WIDTH, keys % WIDTH)
+
+
+def _discounts(counts: DataFrame) -> list[float]:
+    """Discounts for counts of one, two, and three or more; see discounted()."""
+    of = counts.agg(*[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
+    y = of.n1 / (of.n1 + 2 * of.n2) if of.n1 else 0.5
+    d = [k - (k + 1) * y * getattr(of, f"n{k + 1}") / getattr(of, f"n{k}") if getattr(of, f"n{k}") else 0.5 for k in (1, 2, 3)]
+    return [x if 0 < x < k else 0.5 for k, x in zip((1, 2, 3), d)]
+
+
+def _off(d: list[float]):
+    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+
+
+def _with(df: DataFrame, side: DataFrame, on: str) -> DataFrame:
+    """Inner join; numbered words, which may hold many rows each, meet a broadcast table of at most WIDTH rows."""
+    near = df.where(F.col(on) < WIDTH).join(F.broadcast(side.where(F.col(on) < WIDTH)), on)
+    return near.unionByName(df.where(F.col(on) >= WIDTH).join(side.where(F.col(on) >= WIDTH), on))
 
 
 def word_model(counts: DataFrame, hot: int = HOT) -> tuple[WordModel, DataFrame]:
-    """The bounded part of the model, and key, gain: what each other counted bigram has over its backed-off probability."""
+    """The bounded part of the model, and key, gain: what each other counted bigram has over its backed-off probability, and
+    each known word without a number over word 0, as a word and as a context."""
     counts = materialize(counts, "lm-bigrams")
-    pairs = counts.select(F.expr(f"key div {WIDTH}").alias("y"), (F.col("key") % WIDTH).alias("z"), "c")
-    first = pairs.groupBy("z").agg(F.count(F.lit(1)).alias("c"))
-    p1 = _frame(discounted(first, []))  # at most VOCABULARY + 1 rows
-    lower = np.full(WIDTH, (p1.back.iloc[0] if len(p1) else 1.0) / (VOCABULARY + 1))
-    lower[p1.z] += p1.p
-    second = discounted(pairs, ["y"])
-    contexts = _frame(second.groupBy("y").agg(F.max("back").alias("back")))  # at most VOCABULARY + 2 rows
-    back = np.ones(WIDTH)
-    back[contexts.y] = contexts.back
-    words = second.sparkSession.createDataFrame(pa.table({"z": np.arange(WIDTH), "lower": lower}))
+    first = materialize(counts.groupBy("z").agg(F.count(F.lit(1)).alias("c")), "lm-continuations")
+    off = F.when(F.col("z") == 0, F.col("c")).otherwise(_off(_discounts(first.where("z <> 0"))))
+    t = first.agg(F.sum("c").alias("total"), F.sum(off).alias("off")).first()
+    log_free = float(np.log(t.off / t.total)) if t.total else 0.0
+    lowers = first.where("z <> 0").select("z", ((F.col("c") - off) / t.total).alias("lower")) if t.total else first.select("z", F.lit(0.0).alias("lower"))
+    near = _frame(lowers.where(F.col("z") < WIDTH))  # at most VOCABULARY rows
+    lower = np.zeros(WIDTH)
+    lower[near.z] = near.lower
+    lower[0] = np.exp(log_free)
+
+    pairs = counts.where("y <> 0")
+    off = F.when((F.col("z") == 0) & (F.col("y") >= WIDTH), F.col("c")).otherwise(_off(_discounts(pairs)))
+    pairs = pairs.withColumn("off", off)
+    contexts = pairs.groupBy("y").agg(F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("back"), F.sum(F.when(F.col("z") == 0, F.col("c") - F.col("off")).otherwise(0.0)).alias("free"))
+    contexts = materialize(contexts, "lm-contexts")
+    near = _frame(contexts.where(F.col("y") < WIDTH))  # at most VOCABULARY + 1 rows
+    back, free = np.ones(WIDTH), np.zeros(WIDTH)
+    back[near.y] = near.back
+    free[near.y] = near.free / near.total
+    unknown = np.log(free + back * lower[0])
+
     backed = F.col("back") * F.col("lower")
-    p = second.join(F.broadcast(words), "z").select((F.col("y") * WIDTH + F.col("z")).cast("int").alias("key"), "c", F.log(F.col("p") + backed).alias("log_p"), (F.log(F.col("p") + backed) - F.log(backed)).cast("float").alias("gain"))
-    cut = frequent(counts, hot, "c")
-    top = _frame(p.where(F.col("c") >= cut).select("key", F.col("log_p").cast("float").alias("log_p"))).sort_values("key")  # at most `hot` rows
-    return WordModel(np.log(back), np.log(lower), top.key.to_numpy(np.int32), top.log_p.to_numpy(np.float32)), p.where(F.col("c") < cut).select("key", "gain")
+    p = _with(_with(pairs.where("z <> 0"), contexts.drop("free"), "y"), lowers, "z")
+    log_p = F.log((F.col("c") - F.col("off")) / F.col("total") + backed)
+    p = materialize(p.select("key", "c", log_p.cast("float").alias("log_p"), (log_p - F.log(backed)).cast("float").alias("gain")), "lm-gains")
+    cut = frequent(p, hot, "c")
+    top = _frame(p.where(F.col("c") >= cut).select("key", "log_p")).sort_values("key")  # at most `hot` rows
+    words = lowers.where(F.col("z") >= WIDTH).select(F.col("z").alias("key"), (F.log("lower") - log_free).cast("float").alias("gain"))
+    far = contexts.where(F.col("y") >= WIDTH).select((F.col("y") + AS_CONTEXT).alias("key"), F.log("back").cast("float").alias("gain"))
+    with np.errstate(divide="ignore"):  # numbers that no word has
+        model = WordModel(np.log(back), np.log(lower), unknown, top.key.to_numpy(np.int64), top.log_p.to_numpy(np.float32))
+    return model, p.where(F.col("c") < cut).select("key", "gain").unionByName(words).unionByName(far)
 
 
 def local_scores(docs: DataFrame, words, chars, keep: list[str]) -> DataFrame:
-    """keep columns, n_chars_scored, local (log probability but for the gains of rare bigrams), rare (their keys)."""
+    """keep columns, n_chars_scored, local (log probability with all words that have no number as word 0, and without rare
+    bigrams), rare (keys of rare bigrams, and of words without numbers) and more (what to add to the gain of each if found)."""
 
     def run(batches):
         known, model = words.value
         symbol, log_p = chars.value
         for batch in batches:
             texts = [_words(t) for t in batch.column(len(keep)).to_pylist()]
-            size = np.array([len(t) for t in texts])
-            flat = [w for t in texts for w in t]
-            ids = np.fromiter(map(known.get, flat, repeat(0)), np.int64, len(flat))
-            doc = np.repeat(np.arange(len(texts)), size)
-            before = np.concatenate([[START], ids[:-1]]) if len(ids) else ids
-            before[(np.cumsum(size) - size)[size > 0]] = START
-            keys = (before * WIDTH + ids).astype(np.int32)
-            score = model.backed_off(keys)
-            hot = np.zeros(len(keys), bool)
-            if len(model.hot_keys):
-                at = np.minimum(np.searchsorted(model.hot_keys, keys), len(model.hot_keys) - 1)
-                hot = model.hot_keys[at] == keys
-                score[hot] = model.hot_log_p[at[hot]]
-            strange = ids == 0
+            flat, before, ids = bigrams_of(texts, known)
+            doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            keys = bigram_keys(before, ids)
+            strange, led = ids >= WIDTH, before >= WIDTH
+            y, z = np.where(led, 0, before), np.where(strange, 0, ids)
+            score = model.score(y, z)
+            more = np.zeros(len(keys), np.float32)
             spelled = list(compress(flat, strange.tolist()))
             if spelled:
                 length = np.fromiter(map(len, spelled), np.int64, len(spelled)) + 1
                 # the space before the first word is context only; each word pays for its letters and the space after it
                 each = log_p[trigram_keys(symbol[_code_points(_spelled(spelled))])][1:].astype(float)
                 score[strange] += np.add.reduceat(each, np.cumsum(length) - length)
+                more[strange] = model.back[y[strange]] + model.lower[0] - score[strange]
+            hot = np.zeros(len(keys), bool)
+            if len(model.hot_keys):
+                at = np.minimum(np.searchsorted(model.hot_keys, keys), len(model.hot_keys) - 1)
+                hot = model.hot_keys[at] == keys
+                score[hot] = model.hot_log_p[at[hot]]
             local = np.bincount(doc, score, len(texts))
             chars_in = np.bincount(doc, np.fromiter(map(len, flat), np.int64, len(flat)) + 1, len(texts)).astype(np.int64)
-            rare = np.flatnonzero(~hot)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(texts)))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(chars_in), pa.array(local), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[rare]))], [*keep, "n_chars_scored", "local", "rare"])
+            parts = [np.flatnonzero(~hot), np.flatnonzero(strange & ~hot), np.flatnonzero(led & ~hot)]
+            of = np.concatenate([doc[i] for i in parts])
+            order = np.argsort(of, kind="stable")
+            rare = np.concatenate([keys[parts[0]], ids[parts[1]], before[parts[2]] + AS_CONTEXT])[order]
+            added = np.concatenate([np.zeros(len(parts[0]), np.float32), more[parts[1]], np.zeros(len(parts[2]), np.float32)])[order]
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(keep)], pa.array(chars_in), pa.array(local), pa.ListArray.from_arrays(ends, pa.array(rare)), pa.ListArray.from_arrays(ends, pa.array(added))], [*keep, "n_chars_scored", "local", "rare", "more"]
+            )
 
     d = docs.select(*keep, "text")
-    return d.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "text") + ", n_chars_scored bigint, local double, rare array<int>")
+    return d.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "text") + ", n_chars_scored bigint, local double, rare array<bigint>, more array<float>")
 
 
 def perplexities(docs: DataFrame, words: dict[str, int], model: WordModel, rest: DataFrame, symbol: np.ndarray, log_p: np.ndarray, keep: list[str]) -> DataFrame:
@@ -271,9 +375,10 @@ def perplexities(docs: DataFrame, words: dict[str, int], model: WordModel, rest:
     sc = docs.sparkSession.sparkContext
     local = local_scores(docs, sc.broadcast((words, model)), sc.broadcast((symbol, log_p)), keep)
     local = materialize(local.withColumn("row", F.monotonically_increasing_id()), "lm-local")
-    gains = local.select("row", F.explode("rare").alias("key")).join(rest, "key").groupBy("row").agg(F.sum("gain").alias("gain"))
+    found = local.select("row", F.inline(F.arrays_zip("rare", "more"))).withColumnRenamed("rare", "key").join(rest, "key")
+    gains = found.groupBy("row").agg(F.sum(F.col("gain").cast("double") + F.col("more")).alias("gain"))
     total = F.col("local") + F.coalesce("gain", F.lit(0.0))
-    scored = local.drop("rare").join(gains, "row", "left")
+    scored = local.drop("rare", "more").join(gains, "row", "left")
     return scored.select(*keep, "n_chars_scored", F.when(F.col("n_chars_scored") > 0, F.exp(-total / F.col("n_chars_scored"))).alias("perplexity"))
 
 
@@ -295,8 +400,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack:
     trusted = marked.where("trusted")
     symbol = alphabet(trusted)
     log_p = log_probabilities(trigram_counts(trusted, symbol))
-    words = vocabulary(trusted)
-    model, rest = word_model(bigram_counts(trusted, docs.sparkSession.sparkContext.broadcast(words)))
+    counted = word_counts(trusted)
+    words = vocabulary(trusted, counts=counted)
+    numbers = docs.sparkSession.sparkContext.broadcast(words)
+    model, rest = word_model(bigram_counts(trusted, numbers, hashed_words(counted, numbers)))
     scored = materialize(perplexities(marked, words, model, rest, symbol, log_p, ["doc_id", "lang", "trusted"]), "lm-scores")
     limits = {r.lang: r.threshold for r in thresholds(scored, quantile).collect()}  # one row for each language
     limit = F.lit(limits.pop(None, float("inf")))

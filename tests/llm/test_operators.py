@@ -122,6 +122,29 @@ def test_kneser_ney_sums_to_one(spark):
         assert abs(np.exp(p).sum() - 1) < 1e-6
 
 
+def test_words_beyond_the_numbered_ones(spark):
+    """All words that occur twice are known, whatever the number of words that tasks hold; probabilities sum to one."""
+    texts = ["alpha beta gamma delta", "alpha beta gamma delta", "alpha beta zeta", "alpha gamma beta alpha once"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = quality_lm.word_counts(d)
+    words = quality_lm.vocabulary(d, size=1, counts=counts)
+    assert list(words) == ["alpha"]
+    numbers = spark.sparkContext.broadcast(words)
+    model, rest = quality_lm.word_model(quality_lm.bigram_counts(d, numbers, quality_lm.hashed_words(counts, numbers)), hot=1)
+    gain = {r.key: r.gain for r in rest.collect()}
+    symbol = np.zeros(0x110000, np.uint8)
+    spelling = np.full(quality_lm.SYMBOLS**3, -2.0, np.float32)
+    every = ["alpha", "beta", "gamma", "delta", "unseen"]
+    for context in ("alpha", "beta", "delta", "never"):
+        pairs = spark.createDataFrame([(w, context, f"{context} {w}") for w in every] + [("", context, context)], "w string, y string, text string")
+        got = {r.w: np.log(r.perplexity) * -r.n_chars_scored for r in quality_lm.perplexities(pairs, words, model, rest, symbol, spelling, ["w"]).collect()}
+        p = {w: got[w] - got[""] + (2.0 * (len(w) + 1) if w == "unseen" else 0) for w in every}  # without the letters of the unknown one
+        assert abs(np.exp(list(p.values())).sum() - 1) < 1e-4
+    ids = quality_lm.word_ids(["beta", "gamma", "zeta"], words)
+    assert ids[0] in gain and ids[1] in gain and ids[2] not in gain
+    assert quality_lm.bigram_keys(ids[:1], ids[1:2])[0] in gain and gain[quality_lm.bigram_keys(ids[:1], ids[1:2])[0]] > 0
+
+
 # -- 3 -----------------------------------------------------------------------------------------------------------------
 
 
