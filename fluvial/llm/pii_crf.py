@@ -8,8 +8,11 @@ makes such tokens agree: a number written without its plus sign is found because
 phone. Tokens that get an entity label with at least `sure` probability and touch no base span become further spans; neighbours with one label are one span.
 
 The weights are trained here on a bounded sample of documents (SAMPLE, chosen by hash), labelled by the base patterns:
-the token factors by gradient descent, the two kinds of edges from counts of agreeing labels. A group of repeats is
-chained from each occurrence to the next, so a token that occurs a thousand times has a thousand edges, not a million.
+the token factors by gradient descent, chain edges from counts of agreeing labels. The table of repeats is fixed: counts of
+base labels would say that repeats differ, as the patterns miss the very ones that are to be found. All occurrences of a group of
+repeats are tied to one further node, so a token that occurs a thousand times has a thousand edges, not a million, and any
+two are two steps apart. In a document a base span is known to have its label, and repeats of one number are no further
+evidence about it: together they weigh as one. Messages are passed until they stop changing, at most ROUNDS times.
 
 Null or empty text: no spans. Positions are code points, ends exclusive. Rows are independent of each other; other
 columns are ignored, whatever their names. Patterns and message passing are linear in the text.
@@ -30,7 +33,10 @@ from fluvial.common import small_batches
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 2000
 BUCKETS = 1 << 12
-ROUNDS = 10
+ROUNDS = 200
+STILL = 1e-7
+#: The log factor of a label that a base span gives.
+GIVEN = 8.0
 
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 EMAIL_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -128,16 +134,28 @@ def repeat_key(text: str, start: int, end: int) -> str | None:
     return digits if len(digits) >= 6 else None
 
 
+def occurrences(text: str, spans: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, range]]:
+    """(key, candidates) for each candidate that may repeat."""
+    keys = [repeat_key(text, *span) for span in spans]
+    return [(key, range(k, k + 1)) for k, key in enumerate(keys) if key]
+
+
 class Graph:
-    """Candidate tokens of many texts, with their chain and skip edges."""
+    """Candidate tokens of many texts, with their chain and skip edges. Repeats of more than two tokens have a hub."""
 
     def __init__(self):
         self.owner, self.span, self.features, self.label, self.chain, self.skip = [], [], [], [], [], []
+        #: (token, hub) for each edge to a hub; the number of hubs
+        self.spokes, self.hubs = [], 0
+        #: how many tokens say the same as this one
+        self.alike = []
 
     def add(self, owner: int, text: str, base: list[tuple[str, int, int]]) -> None:
-        first, last = len(self.span), {}
+        first = len(self.span)
         by_start = sorted(base, key=lambda s: s[1])
-        for start, end in candidates(text):
+        spans = candidates(text)
+        found = occurrences(text, spans, by_start)
+        for start, end in spans:
             k = len(self.span)
             label = 0
             for kind, a, b in by_start:
@@ -152,13 +170,23 @@ class Graph:
             self.features.append(token_features(text, start, end))
             if k > first and not text[self.span[k - 1][1] : start].strip() and start - self.span[k - 1][1] == 1:
                 self.chain.append((k - 1, k))
-            key = repeat_key(text, start, end)
-            if key:
-                if key in last:
-                    self.skip.append((last[key], k))
-                last[key] = k
             while by_start and by_start[0][2] <= start:
                 by_start.pop(0)
+        self.alike += [1] * len(spans)
+        groups: dict[str, dict[range, None]] = {}
+        for key, at in found:
+            groups.setdefault(key, {})[at] = None
+        for places in groups.values():
+            tokens = sorted({first + i for at in places for i in at})
+            if max(map(len, places)) == len(tokens):
+                continue  # nothing but one place
+            for k in tokens:
+                self.alike[k] = max(self.alike[k], len(tokens))
+            if len(tokens) == 2:
+                self.skip.append((tokens[0], tokens[1]))
+            else:
+                self.spokes += [(k, self.hubs) for k in tokens]
+                self.hubs += 1
 
 
 def marginals(unary: np.ndarray, edges: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -177,7 +205,10 @@ def marginals(unary: np.ndarray, edges: np.ndarray, tables: np.ndarray) -> np.nd
         away = (belief[source] - message[back])[:, :, None] + table
         new = np.log(np.exp(away - away.max((1, 2), keepdims=True)).sum(1))
         new -= logsum(new)
+        moved = np.abs(new - message).max()
         message = 0.5 * message + 0.5 * new
+        if moved < STILL:
+            break
     belief = unary.copy()
     np.add.at(belief, target, message)
     return np.exp(belief - logsum(belief))
@@ -190,10 +221,16 @@ class Field:
     def probabilities(self, g: Graph) -> np.ndarray:
         if not g.span:
             return np.zeros((0, len(KINDS) + 1))
+        n, label = len(g.span), np.array(g.label)
         unary = self.weights[np.array(g.features)].sum(1)
-        edges = np.array([*g.chain, *g.skip], np.int64).reshape(-1, 2)
-        tables = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(g.skip), 0)])
-        return marginals(unary, edges, tables)
+        unary -= unary.max(1, keepdims=True)
+        unary /= np.where(label == 0, np.maximum(np.array(g.alike) - 1, 1), 1)[:, None]
+        given = np.flatnonzero(label)
+        unary[given, label[given]] += GIVEN
+        skip = [*g.skip, *((k, n + hub) for k, hub in g.spokes)]
+        edges = np.array([*g.chain, *skip], np.int64).reshape(-1, 2)
+        tables = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(skip), 0)])
+        return marginals(np.concatenate([unary, np.zeros((g.hubs, unary.shape[1]))]), edges, tables)[:n]
 
 
 def _sample(docs: DataFrame, most: int) -> list:
@@ -208,12 +245,12 @@ def _sample(docs: DataFrame, most: int) -> list:
             for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 g = Graph()
                 g.add(0, text, base_spans(text))
-                rows.append((h, g.features[:MOST_TOKENS], g.label[:MOST_TOKENS], [x for x in g.chain if x[1] < MOST_TOKENS], [x for x in g.skip if x[1] < MOST_TOKENS]))
-            cols = list(zip(*rows)) or [()] * 5
+                rows.append((h, g.features[:MOST_TOKENS], g.label[:MOST_TOKENS], [x for x in g.chain if x[1] < MOST_TOKENS]))
+            cols = list(zip(*rows)) or [()] * 4
             pairs = pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pairs), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pairs), pa.array(cols[4], pairs)], ["h", "f", "y", "chain", "skip"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pairs), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pairs)], ["h", "f", "y", "chain"])
 
-    return sorted(taken.mapInArrow(run, "h bigint, f array<array<int>>, y array<int>, chain array<array<int>>, skip array<array<int>>").collect(), key=lambda r: r.h)
+    return sorted(taken.mapInArrow(run, "h bigint, f array<array<int>>, y array<int>, chain array<array<int>>").collect(), key=lambda r: r.h)
 
 
 #: For training, so many candidates of a sampled document are used; finding reads all.
@@ -245,10 +282,10 @@ def train(docs: DataFrame, most: int = SAMPLE, epochs: int = 30, rate: float = 0
         joint, own = n / n.sum(), n.sum(1) / n.sum()
         return strength * np.log(joint / np.outer(own, own))
 
-    # repeats agree: the diagonal is at least that of labels that agree nineteen times in twenty
+    # repeats agree nineteen times in twenty
     skip = np.full((labels, labels), np.log(0.05 / (labels - 1)))
     np.fill_diagonal(skip, np.log(0.95))
-    return Field(w, np.clip(table("chain", 0.5), -2, 2), 2 * np.maximum(skip, np.clip(table("skip", 0.5), -4, 0)))
+    return Field(w, np.clip(table("chain", 0.5), -2, 2), 2 * skip)
 
 
 def find(docs: DataFrame, field: Field, sure: float = 0.7) -> DataFrame:

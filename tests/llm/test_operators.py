@@ -286,6 +286,22 @@ def test_pii_repeats_agree():
     assert alone[1, 4] < 0.5
 
 
+def test_pii_evidence_reaches_all_repeats():
+    """One marked number among a hundred repeats, at the beginning, in the middle or at the end."""
+    labels = len(pii_crf.KINDS) + 1
+    weights = np.zeros((pii_crf.BUCKETS, labels))
+    weights[pii_crf._hash("+"), 4] = 6.0
+    weights[pii_crf._hash("no +"), 0] = 0.5
+    skip = np.full((labels, labels), np.log(0.05 / (labels - 1)))
+    np.fill_diagonal(skip, np.log(0.95))
+    for marked in (0, 50, 99):
+        text = " and ".join("+12125550100" if i == marked else "12125550100" for i in range(100))
+        g = pii_crf.Graph()
+        g.add(0, text, pii_crf.base_spans(text))
+        p = pii_crf.Field(weights, np.zeros((labels, labels)), skip).probabilities(g)
+        assert len(p) == 100 and len(g.spokes) + len(g.skip) <= 100 and (p[:, 4] > 0.8).all()
+
+
 def test_message_passing_is_exact_on_trees():
     rng = np.random.default_rng(0)
     unary, edges, tables = rng.normal(size=(4, 3)), np.array([[0, 1], [1, 2], [1, 3]]), rng.normal(size=(3, 3, 3))
