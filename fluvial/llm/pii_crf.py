@@ -45,6 +45,8 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARK = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"\S+")
+#: A part of a number, and what may follow the last one.
+PART = re.compile(r"""([+(]*[0-9][0-9().-]*?)[.,;:!?"']*""")
 
 
 def luhn(digits: str) -> bool:
@@ -112,7 +114,7 @@ def _hash(s: str) -> int:
 
 
 def token_features(text: str, start: int, end: int) -> list[int]:
-    token = text[start:end][:200]  # the shape of a longer token is that of its first part
+    token = text[start:end]
     shape = re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "0", token))
     digits = re.sub(r"[^0-9]", "", token)
     before, after = text[max(0, start - 24) : start].split()[-1:], text[end : end + 24].split()[:1]
@@ -134,10 +136,40 @@ def repeat_key(text: str, start: int, end: int) -> str | None:
     return digits if len(digits) >= 6 else None
 
 
+def number_key(digits: str) -> str | None:
+    """Equal for one number with and without its country code or leading zero: the last nine digits, unless it is longer than
+    a phone number, or shorter than nine; nothing below six."""
+    return None if len(digits) < 6 else digits[-9:] if len(digits) <= 15 else digits
+
+
 def occurrences(text: str, spans: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, range]]:
-    """(key, candidates) for each candidate that may repeat."""
-    keys = [repeat_key(text, *span) for span in spans]
-    return [(key, range(k, k + 1)) for k, key in enumerate(keys) if key]
+    """(key, candidates) for each number or address that may repeat: base spans, numbers written in several candidates, and
+    single candidates. base: by start."""
+    out = []
+    k = 0
+    for kind, a, b in base:
+        while k < len(spans) and spans[k][1] <= a:
+            k += 1
+        n = k
+        while n < len(spans) and spans[n][0] < b:
+            n += 1
+        key = text[a:b].lower() if kind in ("email", "ip") else number_key(re.sub(r"[^0-9]", "", text[a:b]))
+        if key:
+            out.append((key, range(k, n)))
+    run: list[str] = []
+    for k, (start, end) in enumerate([*spans, (len(text) + 2, len(text) + 2)]):
+        token = text[start:end]
+        part = PART.fullmatch(token)
+        digits = re.sub(r"[^0-9]", "", token)
+        if run and (not part or len(digits) >= 9 or token[0] == "+" or start - spans[k - 1][1] != 1 or spans[k - 1][1] - spans[k - 1][0] > len(PART.fullmatch(text[slice(*spans[k - 1])])[1])):
+            if len(run) > 1 and sum(map(len, run)) <= 19 and (key := number_key("".join(run))):
+                out.append((key, range(k - len(run), k)))
+            run = []
+        if part and len(digits) < 9:
+            run.append(digits)
+        if k < len(spans) and (key := repeat_key(text, start, end)):
+            out.append((key if "@" in key else number_key(key), range(k, k + 1)))
+    return out
 
 
 class Graph:

@@ -302,6 +302,29 @@ def test_pii_evidence_reaches_all_repeats():
         assert len(p) == 100 and len(g.spokes) + len(g.skip) <= 100 and (p[:, 4] > 0.8).all()
 
 
+def test_pii_trained_field_finds_all_repeats(spark):
+    field = pii_crf.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    texts = [" and ".join("+1 (407) 555-7710" if i == marked else other for i in range(100)) for marked in (0, 50, 99) for other in ("14075557710", "407-555-7710", "1 (407) 555-7710")]
+    got = pii_crf.find(spark.createDataFrame([*enumerate(texts), (9, " and ".join(["14075557710"] * 50))], "doc_id int, text string"), field)
+    assert {r.doc_id: (len(r.base), len(r.spans)) for r in got.collect()} == {i: (1, 100) if i < 9 else (0, 0) for i in range(10)}
+
+
+def test_pii_numbers_of_several_tokens_repeat():
+    same = ["+1 (407) 555-7710", "14075557710", "1-407-555-7710", "407-555-7710", "407 555 7710", "1 (407) 555-7710"]
+    for other in same[1:]:
+        text = f"call {same[0]} now or {other} then"
+        g = pii_crf.Graph()
+        g.add(0, text, pii_crf.base_spans(text))
+        tied = {k for k, _ in g.spokes}
+        assert {i for i, (a, b) in enumerate(g.span) if text[a:b] != "1"} <= tied, other
+    text = "card 4111 1111 1111 1111 and 4111111111111111 end"
+    g = pii_crf.Graph()
+    g.add(0, text, [])
+    assert {k for k, _ in g.spokes} == {0, 1, 2, 3, 4}
+    long = "x" * 300 + "@example.com"
+    assert pii_crf._hash("@") in pii_crf.token_features(long, 0, len(long))
+
+
 def test_message_passing_is_exact_on_trees():
     rng = np.random.default_rng(0)
     unary, edges, tables = rng.normal(size=(4, 3)), np.array([[0, 1], [1, 2], [1, 3]]), rng.normal(size=(3, 3, 3))
