@@ -3,8 +3,10 @@
 A page becomes a small tree. Paragraphs give points for their length and commas to their ancestors: all to the parent,
 half to the grandparent, ever less above; an element's points are discounted by the share of its text that stands in
 links. The best element is the container; it grows to the article or main element around it, and siblings with enough
-points of their own are kept beside it. Menus, page headers and footers, sidebars, notices, adverts, forms, comments,
-scripts and styles are left out, by element, role, or words of class and id.
+points of their own are kept beside it. Where the page has no such element, so are all sibling paragraphs, headings, lists
+and other blocks of text, and sections of them, that aren't mostly links. Menus, page headers and footers, sidebars, notices,
+adverts, forms, comments, scripts and styles are left out, by element, role, or words of class and id. A word that is only a
+part of a class or id doesn't leave out an element with most of the page's text, nor one that says what a wrapper has.
 
 In the result character references are decoded, white space inside a block is one space, blocks are joined by \\n in
 page order; nothing is cut. Null or empty html, or a page without text: an empty string. Broken markup (unclosed tags and
@@ -25,6 +27,7 @@ from fluvial.common import small_batches
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_WORD = re.compile(r"[a-z]+")
+PART_WORD = re.compile(r"^(?:has|no|with|without)[-_]|^(?:article|post|entry|content|story|section)[-_]+header$")
 
 # Elements by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,31 +47,61 @@ LEFT_OUT_WORDS = set(
     "signup login share sharing social related recommended recommendations comment comments disqus reply replies respond widget widgets pagination pager "
     "toolbar copyright disclaimer skip hidden".split()
 )
+#: Blocks of text: beside a container they are kept unless most of them is links.
+PROSE = set("p h1 h2 h3 h4 h5 h6 pre ul ol dl blockquote table figure".split())
 PLAIN = {"html", "body", "article", "main"}  # never left out by class or id
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "out", "score", "length", "linked")
+    __slots__ = ("tag", "parent", "children", "out", "maybe", "score", "length", "linked")
 
-    def __init__(self, tag, parent, out):
-        self.tag, self.parent, self.children, self.out = tag, parent, [], out
+    def __init__(self, tag, parent, out, maybe=False):
+        self.tag, self.parent, self.children, self.out, self.maybe = tag, parent, [], out, maybe
         self.score, self.length, self.linked = 0.0, 0, 0
 
 
-def _left_out(tag: str, attributes: str) -> bool:
+def _left_out(tag: str, attributes: str) -> bool | None:
+    """None: only if it doesn't hold most of the page's text."""
+    maybe = False
     if tag in LEFT_OUT:
         return True
     if not attributes or tag in PLAIN:
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id") and any(w in LEFT_OUT_WORDS for w in NAME_WORD.findall(value)):
-            return True
+        if name in ("class", "id"):
+            for token in value.split():
+                if token in LEFT_OUT_WORDS:
+                    return True
+                maybe = maybe or not PART_WORD.search(token) and any(w in LEFT_OUT_WORDS for w in NAME_WORD.findall(token))
         if name == "role" and value.strip() in LEFT_OUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-    return False
+    return None if maybe else False
+
+
+def _settle(root: Node) -> None:
+    """Leave out what may be left out, unless it holds more than half of the text."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        node.length = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and not c.out)
+    for node in reversed(order):
+        if node.parent is not None:
+            node.parent.length += node.length
+    most = root.length / 2
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        for c in node.children:
+            if not isinstance(c, str):
+                c.out = c.out or node.out or c.maybe and c.length <= most
+                stack.append(c)
+    for node in order:
+        node.length = 0
 
 
 def parse(page: str) -> Node:
@@ -124,13 +157,15 @@ def parse(page: str) -> Node:
             close_in_scope(IMPLIED[tag])
         if tag in ("html", "body") and open_tags.get(tag):
             continue
-        node = Node(tag, here, here.out or _left_out(tag, attributes))
+        out = _left_out(tag, attributes)
+        node = Node(tag, here, here.out or bool(out), out is None)
         here.children.append(node)
         if tag not in VOID:
             open_tags[tag] = open_tags.get(tag, 0) + 1
             here = node
     if at < n:
         here.children.append(page[at:])
+    _settle(root)
     return root
 
 
@@ -185,6 +220,46 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _links(x: Node | str) -> tuple[int, int]:
+    return (len(x.strip()), 0) if isinstance(x, str) else (x.length, x.length if x.tag == "a" else x.linked)
+
+
+def _is_prose(x: Node) -> bool:
+    """Whether x is or holds a block of text, and isn't mostly links."""
+    if not x.length or x.linked * 2 >= x.length:
+        return False
+    stack = [x]
+    while stack:
+        node = stack.pop()
+        if node.tag in PROSE and node.length:
+            return True
+        stack.extend(c for c in node.children if not isinstance(c, str) and not c.out)
+    return False
+
+
+def _beside(best: Node, enough: float, worth) -> list:
+    """best and those of its siblings that belong to it, in page order."""
+    marked = best.tag in ("article", "main")
+    kept, run = [], []
+
+    def flush():  # text without an element of its own
+        size, linked = map(sum, zip(*map(_links, run))) if run else (0, 0)
+        if not marked and linked * 2 < size and any(ch.isalnum() for c in run for ch in (c if isinstance(c, str) else "x")):
+            kept.extend(run)
+        run.clear()
+
+    for c in best.parent.children:
+        if isinstance(c, str) or c.tag not in BLOCK and not c.score and c is not best:
+            if isinstance(c, str) or not c.out:
+                run.append(c)
+            continue
+        flush()
+        if c is best or not c.out and (worth(c) >= enough > 0 or not marked and _is_prose(c)):
+            kept.append(c)
+    flush()
+    return kept
+
+
 def extract(page: str | None) -> str:
     if not page:
         return ""
@@ -217,8 +292,7 @@ def extract(page: str | None) -> str:
     if best.parent is None:
         kept = [best]
     else:
-        enough = max(10.0, 0.2 * worth(best))
-        kept = [c for c in best.parent.children if c is best or not isinstance(c, str) and not c.out and worth(c) >= enough]
+        kept = _beside(best, 0.2 * worth(best), worth)
     return "\n".join(t for _, t in blocks_of(kept))
 
 

@@ -215,6 +215,24 @@ def test_html_without_article():
     assert html_extract.extract(page) == ("Long text, with commas, " * 5).strip() + "\nTail"
 
 
+def test_html_siblings_of_the_container():
+    long = "<p>" + "Long text, with commas, " * 8 + "</p>"
+    menu = "<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul><div><a href=3>Three</a></div>"
+    page = f"<body><h1>Title</h1><p>intro</p>{menu}<div>{long * 5}</div><div><h2>Short</h2><p>section</p></div><p>end</p><pre>x = 1</pre></body>"
+    body = ("Long text, with commas, " * 8).strip()
+    assert html_extract.extract(page) == "\n".join(["Title", "intro", *[body] * 5, "Short", "section", "end", "x = 1"])
+    loose = f"<body>See <a href=1>this</a> before all <a href=2>Home</a> of it<div>{long * 5}</div></body>"
+    assert html_extract.extract(loose) == "\n".join(["See this before all Home of it", *[body] * 5])
+
+
+def test_html_words_in_names_of_wrappers():
+    long = "<p>" + "Long text, with commas, " * 8 + "</p>"
+    for name in ("site has-sidebar", "no-sidebar", "with-comments", "page-with-widget-area", "layout-sidebar-left"):
+        page = f'<body><div class="{name}"><div class="article-header"><h1>Title</h1></div><div>{long * 5}</div><div class="left-sidebar"><p>Side, side</p></div></div></body>'
+        assert html_extract.extract(page).split("\n") == ["Title", *[("Long text, with commas, " * 8).strip()] * 5], name
+    assert "Long" not in html_extract.extract(f"<body><div class='comments'>{long * 9}</div><div>{'A body of text. ' * 20}</div></body>")
+
+
 # -- 6 -----------------------------------------------------------------------------------------------------------------
 
 
