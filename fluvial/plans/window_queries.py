@@ -159,7 +159,7 @@ def q52_block_score(spark, sf):
 
 @query()
 def q58_balanced_split(spark, sf):
-    return rounded(splits.balanced(_features(spark, sf), seed=42, starts=200))
+    return rounded(splits.balanced(_features(spark, sf), seed=42))
 
 
 @query(f"""WITH {V.SERIES_SQL}, span AS (SELECT gauge_id, min(date) AS a, max(date) AS b FROM series GROUP BY 1), s AS (SELECT gauge_id, b, unnest(range(0, 40)) AS k, a FROM span), w AS (SELECT gauge_id, k AS window_id, (a + to_years(k::INT))::DATE AS start, (a + to_years((k + 1)::INT))::DATE AS end_, b FROM s)

@@ -414,3 +414,27 @@ def test_history(spark):
     assert {r.run: r.stop_epoch for r in history.stop_epochs(h, 9).collect()} == {"r": None, "s": None}
     g = spark.createDataFrame([("a",), ("b",), ("c",)], "gauge_id string")
     assert {r.gauge_id: r.weight for r in history.gauge_weights(g, {"a": 3.0}, ["a", "b"], ["b"], 2.0).collect()} == {"a": 3.0, "b": 2.0}
+
+
+def test_balanced_split_query_searches_all_starts(spark, monkeypatch):
+    """The registered query tries as many random assignments as the search has by default."""
+    from fluvial.plans import window_queries
+    from tests.conftest import SF
+
+    starts = []
+    shuffled = np.random.default_rng
+
+    class Counted:
+        def __init__(self, seed):
+            self.rng = shuffled(seed)
+
+        def shuffle(self, x):
+            starts.append(1)
+            self.rng.shuffle(x)
+
+        def permutation(self, n):
+            return self.rng.permutation(n)
+
+    monkeypatch.setattr(splits.np.random, "default_rng", Counted)
+    assert window_queries.q58_balanced_split(spark, SF).count() > 0
+    assert len(starts) == 2000
