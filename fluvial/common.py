@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +30,13 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, for a local master only, one of our own."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if sc.applicationId not in _own_dir:
         _own_dir[sc.applicationId] = tempfile.mkdtemp(prefix="fluvial-")
         sc.setCheckpointDir(_own_dir[sc.applicationId])
@@ -49,10 +53,47 @@ LARGE_ROWS = {"compression": "zstd", "parquet.page.size.row.check.min": "1", "pa
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives the loss of executors."""
-    path = shared_path(df.sparkSession, name)
+    """Write df to the shared folder and read it back: cuts lineage and survives the loss of executors.
+
+    The table goes when the application ends, or with the scratch() block in which it was written.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    file_system, at = _file_system(spark, path)
+    file_system.deleteOnExit(at)
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_scratch: list[list[str]] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """A block whose written tables are deleted at its end, but for those written by what it yields, a materialize()."""
+    kept: list[str] = []
+
+    def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
+        out = materialize(df, name, **options)
+        kept.append(_scratch[-1].pop())
+        return out
+
+    _scratch.append([])
+    try:
+        yield keep
+    finally:
+        for path in _scratch.pop():
+            file_system, at = _file_system(spark, path)
+            file_system.delete(at, True)
+        if _scratch:
+            _scratch[-1].extend(kept)
 
 
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
