@@ -93,7 +93,7 @@ def merge_moments(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(*[F.sum(m).alias(m) for m in MOMENTS])
 
 
-def metrics_from_moments(df: DataFrame, by: Sequence[str], eps: float = EPS32) -> DataFrame:
+def metrics_from_moments(df: DataFrame, by: Sequence[str], eps: float = EPS64) -> DataFrame:
     """kge_valid, r, alpha, beta, kge, nse_valid, nse, mse from moments()."""
     n = F.greatest(F.col("n"), F.lit(1)).cast("double")
     mp, mo = F.col("sum_p") / n, F.col("sum_o") / n

@@ -37,8 +37,8 @@ def _reported(m):
 MOMENT_STATS = f"""m AS (SELECT gauge_id, count(*) AS n, sum(prediction) AS sp, sum(observation) AS so, sum(prediction ** 2) AS spp, sum(observation ** 2) AS soo, sum(prediction * observation) AS spo, sum((prediction - observation) ** 2) AS sse
   FROM series WHERE prediction IS NOT NULL AND observation IS NOT NULL GROUP BY 1),
 v AS (SELECT *, sp / n AS mp, so / n AS mo, greatest(spp / n - (sp / n) ** 2, 0) AS vp, greatest(soo / n - (so / n) ** 2, 0) AS vo, greatest(soo - n * (so / n) ** 2, 0) AS sst FROM m),
-k AS (SELECT *, (spo / n - mp * mo) / (sqrt(vp + {E32}) * sqrt(vo + {E32}) + {E32}) AS r, sqrt(vp + {E32}) / (sqrt(vo + {E32}) + {E32}) AS a, (mp + {E32}) / (mo + {E32}) AS b FROM v),
-rows AS (SELECT gauge_id, n, n > 1 AND vo > {E32} AND abs(mo) > {E32} AS kge_valid, r, a AS alpha, b AS beta, 1 - sqrt((r - 1) ** 2 + (a - 1) ** 2 + (b - 1) ** 2) AS kge, n > 1 AND sst > {E32} AS nse_valid, 1 - sse / greatest(sst, {E32}) AS nse, sse / n AS mse FROM k)"""
+k AS (SELECT *, (spo / n - mp * mo) / (sqrt(vp + {E64}) * sqrt(vo + {E64}) + {E64}) AS r, sqrt(vp + {E64}) / (sqrt(vo + {E64}) + {E64}) AS a, (mp + {E64}) / (mo + {E64}) AS b FROM v),
+rows AS (SELECT gauge_id, n, n > 1 AND vo > {E64} AND abs(mo) > {E64} AS kge_valid, r, a AS alpha, b AS beta, 1 - sqrt((r - 1) ** 2 + (a - 1) ** 2 + (b - 1) ** 2) AS kge, n > 1 AND sst > {E64} AS nse_valid, 1 - sse / greatest(sst, {E64}) AS nse, sse / n AS mse FROM k)"""
 
 
 @query(f"""WITH {V.SERIES_SQL}, {MOMENT_STATS} SELECT gauge_id, n, kge_valid, round(r, 5) AS r, round(alpha, 5) AS alpha, round(beta, 5) AS beta, round(kge, 5) AS kge, nse_valid, round(nse, 5) AS nse, round(mse, 2) AS mse FROM rows""")
