@@ -7,7 +7,8 @@ the first occurrence (smallest doc_id, then position) stays, so no passage is lo
 
 Lines are compared without surrounding white space. Blank lines are never boilerplate. Null or empty text stays as it is;
 null site: one site named "". Repeated rows are treated alike: all rows with the first occurrence's doc_id and text keep the line.
-Other columns pass through, whatever their names.
+Other columns pass through, whatever their names. No documents: an empty result. Very long texts: linear in the number of
+lines. Texts travel through one shuffle if the table of affected documents is too large to broadcast.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ def line_keys(text):
 
 
 def occurrences(docs: DataFrame, site_col: str) -> DataFrame:
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("t"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(line_keys(F.col("text"))).alias("pos", "key"))
+    # the text is hashed below the explode, once for each document
+    d = docs.select("doc_id", F.xxhash64("text").alias("t"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), line_keys(F.col("text")).alias("keys"))
+    keyed = d.select("doc_id", "t", "site", F.posexplode_outer("keys").alias("pos", "key"))
     return keyed.where("key IS NOT NULL").select("doc_id", "t", "site", "pos", F.col("key.a").alias("a"), F.col("key.b").alias("b"))
 
 
@@ -58,8 +61,11 @@ def remove_boilerplate(docs: DataFrame, site_col: str = "source", min_sites: int
     gone = gone.groupBy(F.col("doc_id").alias("_gone_id"), F.col("t").alias("_gone_t")).agg(F.collect_set("pos").alias("_gone"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"))
     rows = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_t") == F.col("_gone_t")), "left")
-    lines = F.split("_row.text", "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    # lines and the positions that stay are columns of their own, so that each is computed once; both are linear in the text
+    rows = rows.select("_row", "_gone", F.split("_row.text", "\n").alias("_lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    rows = rows.select("_row", "_gone", "_lines", F.when(F.col("_gone").isNotNull(), stay).alias("_stay"))
+    left = F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     columns = [F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(left).alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in kept]
-    return rows.select(*columns, F.coalesce(F.when(F.col("_row.text") == "", 0).otherwise(F.size(lines)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return rows.select(*columns, F.coalesce(F.when(F.col("_row.text") == "", 0).otherwise(F.size("_lines")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
