@@ -7,11 +7,13 @@
 3. A comparison reads the two signatures in batches of BATCH hashes; as soon as the posterior probability that the
    similarity reaches the threshold is below `miss`, the pair is pruned. Survivors are verified on their full sets.
 4. Links merge into components by alternating large-star and small-star steps, each written to the shared folder.
-5. A bucket whose classes then lie in different components still may hold links between them. Its classes outside the
-   component that most of it belongs to, the askers, meet the others and one another in cells: blocks of bounded size, in
-   which the intersections of full sets are one matrix product, and of which each asker puts out one link for each
-   component. Classes of one component aren't compared again, so the work is that of askers times group, no pairs become
-   rows, and no link between components stays untested.
+5. A bucket whose classes then lie in different components still may hold links between them. The classes of all such
+   buckets are cut down by an exact prefix filter: two sets can only be similar if they share one of their rarest shingles,
+   a fifth of each. So classes that share a bucket but only a common passage don't meet. Of the classes that share a rare
+   shingle, those outside the component that most of them belong to, the askers, meet the others and one another in cells,
+   blocks of bounded size that are dealt out one by one. In a cell signatures are compared as in step 3, and survivors are
+   verified on their full sets until an asker has one link with a component. No pairs become rows, and no link between
+   components stays untested, but for the chance `miss` of a pruned pair.
 
 A pair of similarity s is missed by the bands with probability (1 - s ** ROWS) ** BANDS: at 0.8 that is 3e-6.
 
@@ -20,11 +22,14 @@ both sides of each join are exchanged and the adaptive skew join can split them.
 
 Null, empty or blank texts have no set and are linked with nothing. Fewer words than a shingle: the whole sequence is the
 only shingle. Repeated rows fall into one class. Rows without doc_id: their component is that of their class, null if
-nobody in it has an id. Other columns are ignored, whatever their names.
+nobody in it has an id. Other columns are ignored, whatever their names. No documents: an empty result. Very long texts are
+read whole, in memory linear in the text. doc_id may have any type with an order, also a struct.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -191,61 +196,121 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
     return full.mapInArrow(confirm, "a binary, b binary")
 
 
-def _compare(percent: int):
+def _compare(percent: int, miss: float):
     """For the rows of a cell: the links of askers with classes of other components, one for each such component."""
+    least = least_matches(percent / 100, miss)
 
     def run(cell: pa.Table) -> pa.Table:
-        keys, labels = cell.column("key").to_pylist(), np.unique(cell.column("label").to_pylist(), return_inverse=True)[1]
+        keys, label = cell.column("key").to_pylist(), np.unique(cell.column("label").to_pylist(), return_inverse=True)[1]
         sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in cell.column("members")]
+        sig = np.frombuffer(b"".join(cell.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+        size, block = np.array([len(x) for x in sets]), cell.column("block").to_numpy()
+        at = cell.column("cell")[0].as_py()
         ask = np.array(cell.column("ask").to_pylist(), bool)
-        size = np.array([len(s) for s in sets])
-        left, right = (np.arange(len(keys)) if ask.all() else np.flatnonzero(~ask)), np.flatnonzero(ask)
-        row = np.repeat(np.arange(len(sets)), size)
-        _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        met = often[column] > 1  # what only one has adds to no intersection
-        number = np.cumsum(often > 1) - 1
-        row, column = row[met], number[column[met]]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        both = np.zeros((len(left), len(right)), np.float32)
-        for at in range(0, int((often > 1).sum()), COLUMNS):
-            part = slice(*np.searchsorted(column, [at, at + COLUMNS]))
-            m = np.zeros((len(sets), COLUMNS), np.float32)
-            m[row[part], column[part] - at] = 1
-            both += m[left] @ m[right].T
-        linked = 100 * both >= percent * (size[left][:, None] + size[right][None] - both)
-        linked &= labels[left][:, None] != labels[right][None]
-        i, j = np.nonzero(linked)
-        _, first = np.unique(np.stack([labels[left[i]], right[j]]), axis=1, return_index=True)
-        pick = lambda at: pa.array([keys[k] for k in at], pa.binary())
-        return pa.table({"a": pick(left[i[first]]), "b": pick(right[j[first]])})
+        left, right = (np.flatnonzero(~ask), np.flatnonzero(ask)) if at["kind"] == "main" else (np.flatnonzero(block == at["i"]), np.flatnonzero(block == at["j"]))
+        small, large = np.minimum(size[left][:, None], size[right][None]), np.maximum(size[left][:, None], size[right][None])
+        alive = (label[left][:, None] != label[right][None]) & (100 * small >= percent * large)
+        if at["kind"] == "ask" and at["i"] == at["j"]:
+            alive = np.triu(alive, 1)
+        i, j = np.nonzero(alive)
+        equal = np.zeros(len(i), np.int64)
+        for k, most in enumerate(least):
+            part = slice(k * BATCH, (k + 1) * BATCH)
+            equal += (sig[left[i], part] == sig[right[j], part]).sum(1)
+            on = equal >= most
+            i, j, equal = i[on], j[on], equal[on]
+        links, known = [], set()
+        for k in np.argsort(-equal, kind="stable").tolist():  # the likeliest first; one link of an asker with a component is enough
+            x, y = left[i[k]], right[j[k]]
+            if (label[x], y) not in known:
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (size[x] + size[y] - both):
+                    known.add((label[x], y))
+                    links.append((keys[x], keys[y]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
     return run
 
 
-#: Shingles in a block of a cell, and columns of a cell's matrix at a time.
-BLOCK_SHINGLES, COLUMNS = 1 << 17, 1 << 12
+#: Shingles and rows in a block of a cell; rows in one of a group of more than MANY.
+BLOCK_SHINGLES, BLOCK_ROWS, MANY_ROWS, MANY = 1 << 17, 128, 512, 1 << 14
+#: Slots of the table of shingle frequencies. Any table gives an exact prefix filter; a larger one a sharper one.
+SLOTS = 1 << 20
+
+
+def shingle_frequencies(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets (members) fall into each of SLOTS slots."""
+
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for m in batch.column(0):
+                np.add.at(total, _slots(np.frombuffer(m.as_buffer(), np.uint64)), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["slot", "n"])
+
+    rows = sets.select("members").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    out = np.zeros(SLOTS, np.int64)
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
 
+def _slots(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
-def _between_components(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+
+def prefix(x: np.ndarray, frequency: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, so many that a set that shares none of them with its own such ones isn't similar.
+
+    Sets whose intersection is at least percent % of either share one of their len - ceil(percent % of len) + 1 first
+    shingles in any order that all sets agree on; here it is that of (frequency of the slot, hash).
+    """
+    n = len(x) + 1 + (-percent * len(x)) // 100
+    return x[np.lexsort((x, frequency[_slots(x)]))[:n]]
+
+
+def _between_components(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
     """Links (a, b) between classes that share a bucket and lie in different components."""
+    spark = members.sparkSession
     named = members.select("band", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
     named = materialize(named.select("band", "key", F.coalesce("label", "key").alias("label")), "minhash-named")
-    of_label = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    split = of_label.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most"))
-    split = materialize(split.where("labels > 1").select("band", F.col("most.label").alias("group")), "minhash-open")
-    rows = named.join(split, "band").select("group", "key", "label").distinct()
-    rows = materialize(rows.withColumn("ask", F.col("label") != F.col("group")).join(sets, "key"), "minhash-cells")
+    spans = named.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    spans = materialize(spans.where("least <> most").select("band"), "minhash-open")
+    rows = named.join(spans, "band").select("key", "label").distinct()
+    rows = materialize(rows.join(sets, "key").join(classes.select("key", "sig"), "key"), "minhash-askers")
+
+    frequency = spark.sparkContext.broadcast(shingle_frequencies(rows))  # SLOTS numbers
+
+    def prefixes(batches):
+        for batch in batches:
+            found = [prefix(np.frombuffer(m.as_buffer(), np.uint64), frequency.value, percent) for m in batch.column(2)]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["token", "key", "label"])
+
+    tokens = materialize(rows.select("key", "label", "members").mapInArrow(prefixes, "token bigint, key binary, label binary"), "minhash-prefixes")
+    of_label = tokens.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    split = of_label.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most"))
+    split = materialize(split.where("labels > 1").select("token", F.col("most.label").alias("group")), "minhash-tokens")
+    met = materialize(tokens.join(split, "token").select("group", "key", "label").distinct(), "minhash-meetings")
+    met = met.withColumn("ask", F.col("label") != F.col("group"))
     w = F.octet_length("members") / 8
-    blocks = lambda ask: F.greatest(F.ceil(F.sum(F.when(F.col("ask") == ask, w)) / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    sizes = materialize(rows.groupBy("group").agg(blocks(False).alias("mains"), blocks(True).alias("asks")), "minhash-groups")
-    rows = rows.join(sizes, "group")
-    block = F.pmod(F.xxhash64("key"), F.when(F.col("ask"), F.col("asks")).otherwise(F.col("mains"))).cast("int")
+    of = lambda ask, x: F.coalesce(F.sum(F.when(F.col("ask") == ask, x)), F.lit(0))
+    sizes = met.join(rows.select("key", w.alias("w")), "key").groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[of(a, x).alias(f"{name}_{a}") for a in (False, True) for name, x in (("w", F.col("w")), ("n", F.lit(1)))])
+    room = F.when(F.col("n") > MANY, MANY_ROWS).otherwise(BLOCK_ROWS)
+    blocks = lambda a: F.greatest(F.ceil(F.col(f"w_{a}") / BLOCK_SHINGLES), F.ceil(F.col(f"n_{a}") / room), F.lit(1)).cast("int")
+    sizes = sizes.withColumns({"mains": blocks(False), "asks": blocks(True)})
+    sizes = materialize(sizes.select("group", "mains", "asks", (F.col("w_False") * F.col("asks") + F.col("w_True") * (F.col("mains") + F.col("asks"))).alias("work")), "minhash-groups")
+    parts = max(1, math.ceil((sizes.agg(F.sum("work")).first()[0] or 0) / (4 * BLOCK_SHINGLES)))
+    met = met.join(sizes.drop("work"), "group")
+    met = met.withColumn("block", F.pmod(F.xxhash64("key"), F.when(F.col("ask"), F.col("asks")).otherwise(F.col("mains"))).cast("int"))
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
     each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    block = F.col("block")
     asked = F.concat(each("mains", lambda i: cell("main", i, block)), each("asks", lambda j: cell("ask", F.least(block, j), F.greatest(block, j))))
-    cells = rows.withColumn("cell", F.explode(F.when(F.col("ask"), asked).otherwise(each("asks", lambda j: cell("main", block, j)))))
-    return cells.select("group", "cell", "key", "label", "ask", "members").groupBy("group", "cell").applyInArrow(_compare(percent), "a binary, b binary")
+    cells = met.select("group", "key", "label", "ask", "block", F.when(F.col("ask"), asked).otherwise(each("asks", lambda j: cell("main", block, j))).alias("cells"))
+    cells = cells.join(rows.drop("label"), "key").withColumn("cell", F.explode("cells")).drop("cells")
+    # dealt by cell, not by group: a group's cells go to many tasks
+    return cells.repartition(parts, "group", "cell").groupBy("group", "cell").applyInArrow(_compare(percent, miss), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
@@ -264,7 +329,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     links = materialize(_verified(pairs, classes, sets, percent, miss), "minhash-links")
     star = lambda e: components(e.select(F.col("a").alias("src"), F.col("b").alias("dst")), "minhash-components")
     labels = star(links)
-    further = materialize(_between_components(members, labels, sets, percent), "minhash-links")
+    further = materialize(_between_components(members, labels, classes, sets, percent, miss), "minhash-links")
     if not further.isEmpty():
         labels = star(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(further))
 

@@ -87,3 +87,49 @@ def test_bpe_query(spark):
         r = got[doc_id]
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+PASSAGE = "one passage of the benchmark that nobody may have read before today in any text"
+CLASHING = ["n_words", "row", "_row", "key", "kept", "n_lines", "n_removed", "_gone", "lang_pred"]
+
+
+def odd_documents(spark, rows):
+    """Rows (doc_id, text, lang, source) as documents with n_chars and columns that stages use themselves."""
+    df = spark.createDataFrame(rows, brute.SCHEMA).withColumn("n_chars", F.length("text").cast("long"))
+    return df.withColumns({c: F.lit(1) for c in CLASHING})
+
+
+@pytest.fixture(scope="module")
+def bench_dir(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("bench"))
+    spark.createDataFrame([("i1", PASSAGE), (None, "few words"), ("i2", None), ("i1", PASSAGE)], "item_id string, text string").write.parquet(f"{at}/benchmark.parquet")
+    return at
+
+
+def test_decontamination_judges_each_row(spark, bench_dir):
+    rows = [(None, f"x {PASSAGE} y", "en", "a"), (None, "a clean text", "en", "a"), (7, PASSAGE, "en", "a"), (7, "clean, though another row with its id leaks", "en", "a"), (8, None, "en", "a"), (9, "", None, None), (10, "Few, words!", "en", "a"), (11, PASSAGE.upper(), "en", "b")]
+    got = corpus_pipeline.decontaminate_stage(spark, odd_documents(spark, rows), bench_dir)
+    want = [r for r, (*_, n, _) in zip(rows, brute.contamination(rows, [("i1", PASSAGE), ("", "few words")])) if not n]
+    assert Counter((r.doc_id, r.text, r.lang, r.source) for r in got.collect()) == Counter(want) and len(want) == 4
+    assert set(CLASHING) < set(got.columns)
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark, bench_dir):
+    near = brute.BASE.replace("word30", "other")
+    rows = [(1, brute.BASE, "en", "a"), (1, brute.BASE, "en", "b"), (None, brute.BASE, "en", "a"), (None, brute.BASE, "en", "a"), (2, near, "en", "a"), (3, brute.FAR, "en", "a"), (3, "another text with this id, which is clean and stays here", "en", "a")]
+    rows += [(None, "nobody's text, twice the same, word by word", "en", "a")] * 2 + [(4, None, "en", "a"), (4, None, "en", "a"), (5, "", "en", "a"), (None, "", "en", "a"), (6, brute.LONG, "de", "a")]
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.minhash_stage(spark, odd_documents(spark, rows), bench_dir).collect())
+    want = Counter({(1, brute.BASE): 1, (3, brute.FAR): 1, (3, rows[6][1]): 1, (None, rows[7][1]): 1, (4, None): 2, (5, ""): 1, (None, ""): 1, (6, brute.LONG): 1})
+    assert got == want
+
+
+def test_stages_on_odd_and_empty_tables(spark, bench_dir):
+    docs = odd_documents(spark, brute.DOCS)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, bench_dir).columns == docs.columns
+        none = stage(spark, odd_documents(spark, []), bench_dir)
+        assert none.columns == docs.columns and none.count() == 0
+    known = Counter(t for _, t, *_ in brute.DOCS)
+    for k in (0, 1, 2):
+        left = Counter(r.text for r in corpus_pipeline.STAGES[k][1](spark, docs, bench_dir).collect())
+        assert left and (k == 1 or not left - known)
