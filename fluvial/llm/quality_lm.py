@@ -1,20 +1,18 @@
-"""Quality by perplexity under interpolated modified Kneser-Ney models of words and, for unknown words, of characters.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of word trigrams, trained on all trusted texts.
 
-Both models are trained on all trusted texts. The word model has bigrams over all words that occur more than once; all
-others are word 0, which is then spelled by a trigram model of characters over SYMBOLS symbols (the most frequent ones; all
-others are one symbol). The lowest order of the word model leaves what its discounts free to word 0. All counts are summed
-in shards of their hash; context totals, continuation counts, discounts and back-off weights come from them by further sums
-and joins in the same shards.
+Every word and every n-gram that occurs in a trusted text counts; there is no vocabulary, and words are 64-bit hashes. The
+lowest order is interpolated with a model that spells words: byte trigrams, again by modified Kneser-Ney. So an unknown word
+costs what its letters cost, in any script. A text is START START w1 ... wn END.
 
-The VOCABULARY most frequent words are numbered and known to each task; any other word is a 64-bit hash, and it may be known
-or not. A numbered context has a probability of word 0 of its own. Another one that is known gives what it counted for word 0
-to its back-off weight; word 0 as a context has nothing but the lower order.
+Training. Counts are summed in shards by key; context totals, continuation counts (distinct words before), discounts and
+back-off weights come from them by further sums, and meet in joins by key. The result is one table of gains: an n-gram's gain
+is what it adds to the log probability of a text beyond that of its own suffix, with its weight as a context. A text's log
+probability is then that of spelling all its words, plus the gain of each n-gram in it that the table has.
 
-Scoring. What is bounded by a parameter goes to the documents: the numbered words with their back-off weights, the HOT most
-frequent bigrams, the character model (an array of SYMBOLS ** 3 numbers). They give each document the probabilities of its
-frequent bigrams, and the backed-off ones of all others, with each word that has no number as word 0. Those bigrams and
-words then meet the table of counted bigrams and known words in a join sharded by key, which grows with the corpus and isn't
-broadcast; a sum by document adds what each found one has over what was assumed. Texts are never shuffled.
+Scoring. Each task has the spelling model (a table over byte values), the HOT most frequent gains, and a Bloom filter of
+BLOOM_BITS of all n-grams in the table. N-grams that the filter doesn't know are in no trusted text; those that are hot are
+added at once; all others meet the table in a join by key, and a sum by document adds what is found. Filter and hot table
+change no result, only how many n-grams travel; texts never do.
 
 Perplexity is that of a character: all log probabilities over the number of characters of words and the spaces after
 them. A document is kept if its perplexity is at most that quantile of the trusted documents of its language, times
@@ -24,362 +22,358 @@ over all languages.
 
 Null, empty or blank text: no perplexity, not kept. Null language: the language "". Repeated rows count and are judged
 each; a document is trusted if any of its labels says so. Without trusted documents nothing is dropped but documents
-without text. Other columns are ignored, whatever their names.
+without text; without documents the result is empty. Very long texts are read whole, in memory linear in the text. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import compress, repeat
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvial.common import checked_join, materialize, small_batches
 
-SYMBOLS = 128
 BINS = 1000
-CHUNK = 1 << 20
-VOCABULARY = 20_000
 HOT = 1_000_000
-#: Unknown words are word 0; the beginning of a text is a context of its own; hashes of words begin far above.
-START = VOCABULARY + 1
-WIDTH = VOCABULARY + 2
-HASHED = 1 << 62
-#: Added to a word's hash, this gives the key of the word as a context.
-AS_CONTEXT = 1 << 61
-HELD_WORDS = 300_000
+#: The hot table has 2 ** HOT_BITS slots, each with the most frequent n-gram that falls into it.
+HOT_BITS = 21
+BLOOM_BITS = 27
 
+START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (" start", " end"))  # no word has a space
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-def _code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def _words(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
 
+def words_of(text: str | None) -> list[str]:
+    return text.lower().split() if text else []
 
-def _spelled(words: list[str]) -> str:
-    """Words as the character model reads them: each with a space before, and one at the end."""
-    return " " + " ".join(words) + " "
 
+def hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
-def alphabet(trusted: DataFrame) -> np.ndarray:
-    """The symbol of each code point: 1 and up for the most frequent ones, 0 for all others."""
 
-    def run(batches):
-        total = np.zeros(0x110000, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                c = _code_points(_spelled(_words(text)))
-                for k in range(0, len(c), CHUNK):
-                    part = np.bincount(c[k : k + CHUNK])
-                    total[: len(part)] += part
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["c", "n"])
+@dataclass
+class Sequences:
+    """Texts with START and END as one array: the hash of each word, its text, and the keys of the n-grams that end in it."""
 
-    counts = trusted.select("text").mapInArrow(run, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "c").limit(SYMBOLS - 1).collect()
-    symbol = np.zeros(0x110000, np.uint8)
-    for k, r in enumerate(top):
-        symbol[r.c] = k + 1
-    return symbol
+    word: np.ndarray
+    text: np.ndarray
+    pair: np.ndarray
+    triple: np.ndarray
+    #: whether a bigram (all but the first START) or trigram (all but both) ends here
+    second: np.ndarray
+    third: np.ndarray
 
 
-def trigram_keys(symbols: np.ndarray) -> np.ndarray:
-    """A number below SYMBOLS ** 3 for each symbol of a text, with its two predecessors (0 before the beginning)."""
-    s = symbols.astype(np.uint32)
-    before = np.concatenate([np.zeros(2, np.uint32), s])
-    return before[:-2] * np.uint32(SYMBOLS * SYMBOLS) + before[1:-1] * np.uint32(SYMBOLS) + s
+def sequences(texts: list[list[str]]) -> Sequences:
+    size = np.array([len(t) + 3 for t in texts], np.int64)
+    ends = np.cumsum(size)
+    starts = ends - size
+    word = np.empty(int(size.sum()), np.uint64)
+    inner = np.ones(len(word), bool)
+    inner[starts] = inner[starts + 1] = inner[ends - 1] = False
+    word[starts] = word[starts + 1] = START
+    word[ends - 1] = END
+    word[inner] = hashes([w for t in texts for w in t])
+    before = np.concatenate([[START], word[:-1]]) if len(word) else word
+    pair = _mix(before * _A + word)
+    pair_before = np.concatenate([[pair[0]], pair[:-1]]) if len(pair) else pair
+    second, third = np.ones(len(word), bool), np.ones(len(word), bool)
+    second[starts] = third[starts] = third[starts + 1] = False
+    return Sequences(word, np.repeat(np.arange(len(texts)), size), pair, _mix(pair_before * _B + pair), second, third)
 
 
-def trigram_counts(trusted: DataFrame, symbol: np.ndarray) -> DataFrame:
-    """x, y, z, c: how often symbol z follows x and y."""
-    shared = trusted.sparkSession.sparkContext.broadcast(symbol)
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
-    def run(batches):
-        symbol, total = shared.value, np.zeros(SYMBOLS**3, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    keys, n = np.unique(trigram_keys(symbol[_code_points(_spelled(_words(text)))]), return_counts=True)
-                    total[keys] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["key", "c"])
 
-    counts = trusted.select("text").mapInArrow(run, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
-    return counts.select(F.expr(f"key div {SYMBOLS * SYMBOLS}").alias("x"), F.expr(f"key div {SYMBOLS} % {SYMBOLS}").alias("y"), (F.col("key") % SYMBOLS).alias("z"), "c")
+# -- spelling ----------------------------------------------------------------------------------------------------------
 
 
-def discounted(counts: DataFrame, context: list[str]) -> DataFrame:
-    """counts (context..., z, c) with p, the discounted probability, and back, the weight of the context's lower order.
+def discounts(n: list[int]) -> list[float]:
+    """Discounts for counts of one, two, and three or more, from how many n-grams have a count of 1, 2, 3 and 4.
 
-    Discounts for counts of one, two, and three or more, from the counts of counts, as modified Kneser-Ney smoothing has
-    them; where those are too few to give a discount between 0 and the count, it is half of the count, at most 0.5.
+    Where those are too few to give a discount between 0 and the count, it is 0.5.
     """
-    off = _off(_discounts(counts))
-    totals = counts.groupBy(*context).agg(F.sum("c").alias("total"), F.sum(off).alias("off")) if context else counts.agg(F.sum("c").alias("total"), F.sum(off).alias("off"))
-    if context:
-        joined = counts.join(F.broadcast(totals), context)  # at most SYMBOLS ** 2 contexts
-    else:
-        t = totals.first()
-        joined = counts.withColumns({"total": F.lit(t.total or 1), "off": F.lit(t.off or 0.0)})
-    return joined.select(*context, "z", "c", ((F.col("c") - off) / F.col("total")).alias("p"), (F.col("off") / F.col("total")).alias("back"))
-
-
-def _frame(df: DataFrame) -> pd.DataFrame:
-    """A table with a proven bound, on the driver, as Arrow batches."""
-    return df.toArrow().to_pandas()
-
-
-def log_probabilities(counts: DataFrame) -> np.ndarray:
-    """log p(z | x, y) of all SYMBOLS ** 3 trigrams. Lower orders use the number of distinct predecessors as counts."""
-    third = materialize(counts, "lm-trigrams")
-    second = third.groupBy("y", "z").agg(F.count(F.lit(1)).alias("c"))
-    first = second.groupBy("z").agg(F.count(F.lit(1)).alias("c"))
-    a = SYMBOLS
-    p1, p2, p3 = (_frame(discounted(c, on)) for c, on in ((first, []), (second, ["y"]), (third, ["x", "y"])))
-    one = np.full(a, (p1.back.iloc[0] if len(p1) else 1.0) / a)
-    one[p1.z] += p1.p
-    back = np.ones(a)
-    back[p2.y] = p2.back
-    two = back[:, None] * one[None]
-    two[p2.y, p2.z] += p2.p
-    back = np.ones((a, a))
-    back[p3.x, p3.y] = p3.back
-    three = back[:, :, None] * two[None]
-    three[p3.x, p3.y, p3.z] += p3.p
-    return np.log(three).astype(np.float32).ravel()
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+    d = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.5 for k in (1, 2, 3)]
+    return [x if 0 < x < k else 0.5 for k, x in zip((1, 2, 3), d)]
 
 
-def frequent(counts: DataFrame, most: int, count: str) -> int:
-    """The lowest count that at most `most` rows of counts have or exceed. Only how many rows have which count is collected."""
-    left, cut = most, None
-    for r in counts.groupBy(count).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc(count)).collect():
-        if r.rows > left:
-            break
-        left, cut = left - r.rows, r[count]
-    return cut if cut is not None else (1 << 62)
+class Speller:
+    """log p(byte | two bytes before) in words, where 0 stands before a word, a space ends it and a \\n is the END of a text."""
 
+    def __init__(self, counts: np.ndarray | None = None, symbol: np.ndarray | None = None):
+        """counts: how often each trigram of symbols occurs; symbol: that of each byte, from 1; the last is that of all others."""
+        self.symbol = np.ones(256, np.int64) if symbol is None else symbol
+        a = self.size = int(self.symbol.max()) + 1
+        c3 = np.zeros((a, a, a), np.int64) if counts is None else counts.reshape(a, a, a)
+        c2 = (c3 > 0).sum(0)
+        p = np.full(a, 1 / (a - 1))
+        p[0] = 0.0  # nothing is followed by what stands before a word
+        for c in ((c2 > 0).sum(0), c2, c3):
+            d = np.array([0.0, *discounts([int((c == k).sum()) for k in (1, 2, 3, 4)])])[np.minimum(c, 3)]
+            total = c.sum(-1, keepdims=True)
+            p = np.where(total > 0, (c - d) / np.maximum(total, 1) + d.sum(-1, keepdims=True) / np.maximum(total, 1) * p, p)
+        with np.errstate(divide="ignore"):
+            self.log_p = np.log(p).astype(np.float32).ravel()
+        self.end = float(self.log_p[self.symbol[10]])
 
-def word_counts(trusted: DataFrame) -> DataFrame:
-    """w, n: how often each word occurs, if more than once; a word that occurs once is no more than an unknown one."""
+    def keys(self, spelled: np.ndarray) -> np.ndarray:
+        """The trigram that ends in each byte of words, each followed by a space."""
+        s, space = self.symbol[spelled], spelled == 32
+        one = np.concatenate([[0], np.where(space[:-1], 0, s[:-1])])[: len(s)]
+        two = np.concatenate([[0, 0], np.where(space[1:-1] | space[:-2], 0, s[:-2])])[: len(s)]
+        return (two * self.size + one) * self.size + s
 
-    def run(batches):
-        held = Counter()
+    def spell(self, spelled: np.ndarray) -> np.ndarray:
+        return self.log_p[self.keys(spelled)]
+
+
+def spelled(words: list[str]) -> np.ndarray:
+    return np.frombuffer("".join([w + " " for w in words]).encode(), np.uint8)
+
+
+def train_speller(trusted: DataFrame) -> Speller:
+    """From all trusted texts. On the driver: one row for each trigram of byte values that occurs."""
+
+    def seen(batches):
+        total = np.zeros(256, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.update(_words(text))
-                if len(held) >= HELD_WORDS:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["w", "n"])
-                    held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["w", "n"])
+                total += np.bincount(spelled(words_of(text)), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total))], ["b"])
 
-    counts = trusted.select("text").mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    return materialize(counts.where("n > 1"), "lm-words")
+    found = sorted(r.b for r in trusted.select("text").mapInArrow(seen, "b bigint").distinct().collect())
+    symbol = np.full(256, len({*found, 10}) + 1, np.int64)
+    symbol[sorted({*found, 10})] = np.arange(1, len({*found, 10}) + 1)
+    plain = Speller(symbol=symbol)
+    a = plain.size
 
+    def count(batches):
+        total = np.zeros(a**3, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if words := words_of(text):
+                    keys, n = np.unique(plain.keys(spelled(words)), return_counts=True)
+                    total[keys] += n
+                    total[symbol[10]] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["key", "c"])
 
-def vocabulary(trusted: DataFrame, size: int = VOCABULARY, counts: DataFrame | None = None) -> dict[str, int]:
-    """The number of each of the most frequent words, at most size of them, from 1; words of equal count are all in or out."""
-    counts = word_counts(trusted) if counts is None else counts
-    return {w: k + 1 for k, w in enumerate(sorted(r.w for r in counts.where(F.col("n") >= frequent(counts, size, "n")).collect()))}
+    rows = trusted.select("text").mapInArrow(count, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c")).toArrow()
+    counts = np.zeros(a**3, np.int64)
+    counts[rows.column("key").to_numpy()] = rows.column("c").to_numpy()
+    return Speller(counts, symbol)
 
 
-def word_ids(words: list[str], numbers: dict[str, int]) -> np.ndarray:
-    """The number of each word, or the hash of one that has none."""
-    ids = np.fromiter(map(numbers.get, words, repeat(0)), np.int64, len(words))
-    far = np.flatnonzero(ids == 0)
-    if len(far):
-        held = np.empty(len(far), object)
-        held[:] = [words[i] for i in far.tolist()]
-        ids[far] = (pd.util.hash_array(held, categorize=False) >> np.uint64(3)).astype(np.int64) + HASHED
-    return ids
+# -- the model ---------------------------------------------------------------------------------------------------------
 
 
-def hashed_words(counts: DataFrame, words) -> DataFrame:
-    """id: the hash of each counted word that has no number; words: the numbers, broadcast."""
+def trigram_counts(trusted: DataFrame) -> DataFrame:
+    """k12, k23, c: how often each trigram occurs, by the keys of its two bigrams."""
 
     def run(batches):
         for batch in batches:
-            ids = word_ids(batch.column(0).to_pylist(), words.value)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[ids >= WIDTH])], ["id"])
+            s = sequences([w for t in batch.column(0).to_pylist() if (w := words_of(t))])
+            at = np.flatnonzero(s.third)
+            _, first, n = np.unique(s.triple[at], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([_signed(s.pair[at[first] - 1]), _signed(s.pair[at[first]]), pa.array(n, pa.int64())], ["k12", "k23", "c"])
 
-    return counts.select("w").mapInArrow(run, "id bigint").distinct()
+    return trusted.select("text").mapInArrow(run, "k12 bigint, k23 bigint, c bigint").groupBy("k12", "k23").agg(F.sum("c").alias("c"))
 
 
-def bigram_keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """A number for each pair of words that have numbers, a negative hash for any other pair."""
-    y, z = before.astype(np.uint64), ids.astype(np.uint64)
-    h = y * np.uint64(0x9E3779B97F4A7C15) + z
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    h = (h ^ (h >> np.uint64(31))) | np.uint64(1 << 63)
-    near = (before < WIDTH) & (ids < WIDTH)
-    return np.where(near, y * np.uint64(WIDTH) + z, h).view(np.int64)
+def bigram_types(trusted: DataFrame) -> DataFrame:
+    """key, w2, w3, f: the key and the words of each bigram but START START, and how often it occurs."""
 
+    def run(batches):
+        for batch in batches:
+            s = sequences([w for t in batch.column(0).to_pylist() if (w := words_of(t))])
+            at = np.flatnonzero(s.third)
+            keys, first, n = np.unique(s.pair[at], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([_signed(keys), _signed(s.word[at[first] - 1]), _signed(s.word[at[first]]), pa.array(n, pa.int64())], ["key", "w2", "w3", "f"])
 
-def bigrams_of(texts: list[list[str]], numbers: dict[str, int]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """All words of the texts, the word before each, and each."""
-    size = np.array([len(t) for t in texts], np.int64)
-    flat = [w for t in texts for w in t]
-    ids = word_ids(flat, numbers)
-    before = np.concatenate([[START], ids[:-1]]) if len(ids) else ids.copy()
-    before[(np.cumsum(size) - size)[size > 0]] = START
-    return flat, before, ids
-
+    return trusted.select("text").mapInArrow(run, "key bigint, w2 bigint, w3 bigint, f bigint").groupBy("key", "w2", "w3").agg(F.sum("f").alias("f"))
 
-def bigram_counts(trusted: DataFrame, words, known: DataFrame | None = None) -> DataFrame:
-    """y, z, key, c: how often each bigram occurs. words: the numbers, broadcast; known: the hashes of all other known words.
 
-    Words that are neither are word 0.
-    """
+def spelled_words(trusted: DataFrame, speller: Speller) -> DataFrame:
+    """w, spell: each word, and END, with the log probability of its letters."""
+    shared = trusted.sparkSession.sparkContext.broadcast(speller)
 
     def run(batches):
         for batch in batches:
-            _, y, z = bigrams_of([_words(t) for t in batch.column(0).to_pylist()], words.value)
-            u, at, n = np.unique(bigram_keys(y, z), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(y[at]), pa.array(z[at]), pa.array(u), pa.array(n, pa.int64())], ["y", "z", "key", "c"])
-
-    sums = [F.max("key").alias("key"), F.sum("c").alias("c")]
-    counts = trusted.select("text").mapInArrow(run, "y bigint, z bigint, key bigint, c bigint").groupBy("y", "z").agg(*sums)
-    if known is None:
-        return counts.withColumns({k: F.when(F.col(k) < WIDTH, F.col(k)).otherwise(F.lit(0)) for k in "yz"}).groupBy("y", "z").agg(*sums)
-    counts = materialize(counts, "lm-counted")
-    marked = known.withColumn("known", F.lit(True))
-    for k in "zy":
-        far = counts.where(F.col(k) >= WIDTH).join(marked.withColumnRenamed("id", k), k, "left")
-        far = far.withColumn(k, F.when(F.col("known"), F.col(k)).otherwise(F.lit(0))).drop("known")
-        counts = counts.where(F.col(k) < WIDTH).unionByName(far)
-    return counts.groupBy("y", "z").agg(*sums)
-
-
-class WordModel:
-    """Logs, for numbered words, of the back-off weight and the probability of word 0 of each context and of each word's
-    lower-order probability; the most frequent bigrams."""
-
-    def __init__(self, back: np.ndarray, lower: np.ndarray, unknown: np.ndarray, hot_keys: np.ndarray, hot_log_p: np.ndarray):
-        self.back, self.lower, self.unknown, self.hot_keys, self.hot_log_p = back, lower, unknown, hot_keys, hot_log_p
-
-    def score(self, y: np.ndarray, z: np.ndarray) -> np.ndarray:
-        return np.where(z == 0, self.unknown[y], self.back[y] + self.lower[z])
-
-    def backed_off(self, keys: np.ndarray) -> np.ndarray:
-        return self.score(keys // WIDTH, keys % WIDTH)
-
-
-def _discounts(counts: DataFrame) -> list[float]:
-    """Discounts for counts of one, two, and three or more; see discounted()."""
-    of = counts.agg(*[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    y = of.n1 / (of.n1 + 2 * of.n2) if of.n1 else 0.5
-    d = [k - (k + 1) * y * getattr(of, f"n{k + 1}") / getattr(of, f"n{k}") if getattr(of, f"n{k}") else 0.5 for k in (1, 2, 3)]
-    return [x if 0 < x < k else 0.5 for k, x in zip((1, 2, 3), d)]
+            words = sorted({w for t in batch.column(0).to_pylist() for w in words_of(t)})
+            if not words:
+                continue
+            size = np.array([len(w.encode()) + 1 for w in words])
+            each = np.add.reduceat(shared.value.spell(spelled(words)).astype(float), np.cumsum(size) - size)
+            yield pa.RecordBatch.from_arrays([_signed(np.append(hashes(words), END)), pa.array(np.append(each, shared.value.end))], ["w", "spell"])
 
+    return trusted.select("text").mapInArrow(run, "w bigint, spell double").groupBy("w").agg(F.first("spell").alias("spell"))
 
-def _off(d: list[float]):
+
+def _off(counts: DataFrame) -> Column:
+    n = counts.agg(*[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
+    d = discounts([n.n1, n.n2, n.n3, n.n4])
     return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
 
 
-def _with(df: DataFrame, side: DataFrame, on: str) -> DataFrame:
-    """Inner join; numbered words, which may hold many rows each, meet a broadcast table of at most WIDTH rows."""
-    near = df.where(F.col(on) < WIDTH).join(F.broadcast(side.where(F.col(on) < WIDTH)), on)
-    return near.unionByName(df.where(F.col(on) >= WIDTH).join(side.where(F.col(on) >= WIDTH), on))
-
-
-def word_model(counts: DataFrame, hot: int = HOT) -> tuple[WordModel, DataFrame]:
-    """The bounded part of the model, and key, gain: what each other counted bigram has over its backed-off probability, and
-    each known word without a number over word 0, as a word and as a context."""
-    counts = materialize(counts, "lm-bigrams")
-    first = materialize(counts.groupBy("z").agg(F.count(F.lit(1)).alias("c")), "lm-continuations")
-    off = F.when(F.col("z") == 0, F.col("c")).otherwise(_off(_discounts(first.where("z <> 0"))))
-    t = first.agg(F.sum("c").alias("total"), F.sum(off).alias("off")).first()
-    log_free = float(np.log(t.off / t.total)) if t.total else 0.0
-    lowers = first.where("z <> 0").select("z", ((F.col("c") - off) / t.total).alias("lower")) if t.total else first.select("z", F.lit(0.0).alias("lower"))
-    near = _frame(lowers.where(F.col("z") < WIDTH))  # at most VOCABULARY rows
-    lower = np.zeros(WIDTH)
-    lower[near.z] = near.lower
-    lower[0] = np.exp(log_free)
-
-    pairs = counts.where("y <> 0")
-    off = F.when((F.col("z") == 0) & (F.col("y") >= WIDTH), F.col("c")).otherwise(_off(_discounts(pairs)))
-    pairs = pairs.withColumn("off", off)
-    contexts = pairs.groupBy("y").agg(F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("back"), F.sum(F.when(F.col("z") == 0, F.col("c") - F.col("off")).otherwise(0.0)).alias("free"))
-    contexts = materialize(contexts, "lm-contexts")
-    near = _frame(contexts.where(F.col("y") < WIDTH))  # at most VOCABULARY + 1 rows
-    back, free = np.ones(WIDTH), np.zeros(WIDTH)
-    back[near.y] = near.back
-    free[near.y] = near.free / near.total
-    unknown = np.log(free + back * lower[0])
-
-    backed = F.col("back") * F.col("lower")
-    p = _with(_with(pairs.where("z <> 0"), contexts.drop("free"), "y"), lowers, "z")
-    log_p = F.log((F.col("c") - F.col("off")) / F.col("total") + backed)
-    p = materialize(p.select("key", "c", log_p.cast("float").alias("log_p"), (log_p - F.log(backed)).cast("float").alias("gain")), "lm-gains")
-    cut = frequent(p, hot, "c")
-    top = _frame(p.where(F.col("c") >= cut).select("key", "log_p")).sort_values("key")  # at most `hot` rows
-    words = lowers.where(F.col("z") >= WIDTH).select(F.col("z").alias("key"), (F.log("lower") - log_free).cast("float").alias("gain"))
-    far = contexts.where(F.col("y") >= WIDTH).select((F.col("y") + AS_CONTEXT).alias("key"), F.log("back").cast("float").alias("gain"))
-    with np.errstate(divide="ignore"):  # numbers that no word has
-        model = WordModel(np.log(back), np.log(lower), unknown, top.key.to_numpy(np.int64), top.log_p.to_numpy(np.float32))
-    return model, p.where(F.col("c") < cut).select("key", "gain").unionByName(words).unionByName(far)
-
-
-def local_scores(docs: DataFrame, words, chars, keep: list[str]) -> DataFrame:
-    """keep columns, n_chars_scored, local (log probability with all words that have no number as word 0, and without rare
-    bigrams), rare (keys of rare bigrams, and of words without numbers) and more (what to add to the gain of each if found)."""
+def _contexts(counts: DataFrame, by: str, off: Column) -> DataFrame:
+    return counts.groupBy(by).agg(F.sum("c").alias("total"), (F.sum(off) / F.sum("c")).alias("back"))
+
+
+def train(trusted: DataFrame, speller: Speller) -> tuple[DataFrame, float]:
+    """key, gain, f (about how often the n-gram occurs), and the log of the weight of spelling in the lowest order."""
+    t3 = materialize(trigram_counts(trusted), "lm-trigrams")
+    off3 = _off(t3)
+    c3 = materialize(_contexts(t3, "k12", off3), "lm-contexts")
+    t2 = bigram_types(trusted).join(t3.groupBy(F.col("k23").alias("key")).agg(F.count(F.lit(1)).alias("c")), "key")
+    t2 = materialize(t2, "lm-bigrams")
+    off2 = _off(t2)
+    c2 = materialize(_contexts(t2, "w2", off2), "lm-contexts")
+    t1 = materialize(t2.groupBy(F.col("w3").alias("w")).agg(F.count(F.lit(1)).alias("c"), F.sum("f").alias("f")).join(spelled_words(trusted, speller), "w"), "lm-words")
+    off1 = _off(t1)
+    whole = t1.agg(F.sum("c").alias("total"), F.sum(off1).alias("off")).first()
+    if not whole.total:
+        return t1.select(F.col("w").alias("key"), F.lit(0.0).cast("float").alias("gain"), "f"), 0.0
+    free = float(np.log(whole.off / whole.total))
+
+    log_back = F.log(F.coalesce("back", F.lit(1.0)))
+    t1 = t1.withColumn("p1", (F.col("c") - off1) / whole.total + F.exp(free + F.col("spell")))
+    g1 = t1.select("w", "f", (F.log("p1") - free - F.col("spell")).alias("g")).join(c2.withColumnRenamed("w2", "w"), "w", "full")  # START is a context only
+    g1 = g1.select(F.col("w").alias("key"), (F.coalesce("g", F.lit(0.0)) + log_back).alias("gain"), F.coalesce("f", F.lit(1 << 40)).alias("f"))
+
+    t2 = t2.withColumn("d", F.col("c") - off2).join(c2, "w2").join(t1.select(F.col("w").alias("w3"), "p1"), "w3")
+    low = F.col("back") * F.col("p1")
+    t2 = materialize(t2.select("key", "f", (F.col("d") / F.col("total") + low).alias("p2"), F.log((F.col("d") / F.col("total") + low) / low).alias("g")), "lm-pairs")
+    g2 = t2.select("key", "f", "g").join(c3.select(F.col("k12").alias("key"), "back"), "key", "full")  # START START is a context only
+    g2 = g2.select("key", (F.coalesce("g", F.lit(0.0)) + log_back).alias("gain"), F.coalesce("f", F.lit(1 << 40)).alias("f"))
+
+    t3 = t3.select("k12", "k23", "c", (F.col("c") - off3).alias("d")).join(c3, "k12").join(t2.select(F.col("key").alias("k23"), "p2"), "k23")
+    low = F.col("back") * F.col("p2")
+    g3 = t3.select("k12", "k23", F.log((F.col("d") / F.col("total") + low) / low).cast("float").alias("gain"), F.col("c").alias("f"))
+
+    def keyed(batches):
+        for b in batches:
+            k12, k23 = (b.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([_signed(_mix(k12 * _B + k23)), b.column(2), b.column(3)], ["key", "gain", "f"])
+
+    g3 = g3.mapInArrow(keyed, "key bigint, gain float, f bigint")
+    lower = g1.unionByName(g2).withColumn("gain", F.col("gain").cast("float"))
+    return materialize(lower.unionByName(g3), "lm-gains"), free
+
+
+def frequent(counts: DataFrame, most: int, count: str) -> int:
+    """The lowest count that at most `most` rows of counts have or exceed. Only how many rows have which count is collected."""
+    left, cut = most, 1 << 62
+    for r in counts.groupBy(count).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc(count)).collect():
+        if r.rows > left:
+            break
+        left, cut = left - r.rows, r[count]
+    return cut
+
+
+def hot_table(gains: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and gains by slot; a slot without an n-gram holds a key of another slot. At most `most` rows are collected."""
+    rows = gains.where(F.col("f") >= frequent(gains.where("f > 1"), most, "f")).toArrow()
+    key, gain, f = (rows.column(c).to_numpy() for c in ("key", "gain", "f"))
+    keys, values = np.zeros(1 << HOT_BITS, np.uint64), np.zeros(1 << HOT_BITS, np.float32)
+    keys[0] = np.uint64(1) << np.uint64(63)
+    order = np.argsort(f, kind="stable")  # the most frequent of a slot is written last
+    key = key[order].view(np.uint64)
+    at = _slot(key)
+    keys[at], values[at] = key, gain[order]
+    return keys, values
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(64 - HOT_BITS)).astype(np.int64)
+
+
+def bloom_filter(gains: DataFrame) -> np.ndarray:
+    """Two bits of 2 ** BLOOM_BITS for each key, in words of 64; at most 2 ** (BLOOM_BITS - 6) rows are collected."""
+    bit = lambda shift: F.col("key").bitwiseAND(F.lit((1 << 63) - 1)) if not shift else F.shiftrightunsigned("key", shift)
+    bits = gains.select(F.explode(F.array(*[(bit(s) % F.lit(1 << BLOOM_BITS)).alias("b") for s in (0, 32)])).alias("b"))
+    words = bits.groupBy(F.floor(F.col("b") / 64).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 AS int))")).alias("word")).toArrow()
+    out = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
+    return out
+
+
+def maybe_known(bloom: np.ndarray, key: np.ndarray) -> np.ndarray:
+    out = np.ones(len(key), bool)
+    for bit in (key & np.uint64((1 << 63) - 1), key >> np.uint64(32)):
+        bit = bit % np.uint64(64 * len(bloom))
+        out &= (bloom[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
+# -- scoring -----------------------------------------------------------------------------------------------------------
+
+
+def partial_scores(docs: DataFrame, speller: Speller, free: float, hot: tuple[np.ndarray, np.ndarray], bloom: np.ndarray, keep: list[str]) -> DataFrame:
+    """row, key, add, n_chars_scored and the columns to keep: one row for each document, with what it has without the
+    n-grams that are still to be looked up, and one for each of those, with key."""
+    shared = docs.sparkSession.sparkContext.broadcast((speller, hot, bloom))
 
     def run(batches):
-        known, model = words.value
-        symbol, log_p = chars.value
+        from pyspark import TaskContext
+
+        speller, (hot_keys, hot_gains), bloom = shared.value
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts = [_words(t) for t in batch.column(len(keep)).to_pylist()]
-            flat, before, ids = bigrams_of(texts, known)
-            doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-            keys = bigram_keys(before, ids)
-            strange, led = ids >= WIDTH, before >= WIDTH
-            y, z = np.where(led, 0, before), np.where(strange, 0, ids)
-            score = model.score(y, z)
-            more = np.zeros(len(keys), np.float32)
-            spelled = list(compress(flat, strange.tolist()))
-            if spelled:
-                length = np.fromiter(map(len, spelled), np.int64, len(spelled)) + 1
-                # the space before the first word is context only; each word pays for its letters and the space after it
-                each = log_p[trigram_keys(symbol[_code_points(_spelled(spelled))])][1:].astype(float)
-                score[strange] += np.add.reduceat(each, np.cumsum(length) - length)
-                more[strange] = model.back[y[strange]] + model.lower[0] - score[strange]
-            hot = np.zeros(len(keys), bool)
-            if len(model.hot_keys):
-                at = np.minimum(np.searchsorted(model.hot_keys, keys), len(model.hot_keys) - 1)
-                hot = model.hot_keys[at] == keys
-                score[hot] = model.hot_log_p[at[hot]]
-            local = np.bincount(doc, score, len(texts))
-            chars_in = np.bincount(doc, np.fromiter(map(len, flat), np.int64, len(flat)) + 1, len(texts)).astype(np.int64)
-            parts = [np.flatnonzero(~hot), np.flatnonzero(strange & ~hot), np.flatnonzero(led & ~hot)]
-            of = np.concatenate([doc[i] for i in parts])
-            order = np.argsort(of, kind="stable")
-            rare = np.concatenate([keys[parts[0]], ids[parts[1]], before[parts[2]] + AS_CONTEXT])[order]
-            added = np.concatenate([np.zeros(len(parts[0]), np.float32), more[parts[1]], np.zeros(len(parts[2]), np.float32)])[order]
-            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))]).astype(np.int32))
+            texts = [words_of(t) for t in batch.column(len(keep)).to_pylist()]
+            rows = np.arange(row, row + len(texts))
+            row += len(texts)
+            some = [k for k, t in enumerate(texts) if t]
+            full = [texts[k] for k in some]
+            s = sequences(full)
+            local = np.zeros(len(texts))
+            chars = np.array([sum(map(len, t)) + len(t) for t in texts], np.int64)
+            keys, of = [], []
+            if full:
+                size = np.array([len("".join(t).encode()) + len(t) for t in full])
+                each = speller.spell(np.concatenate([spelled(t) for t in full])).astype(float)
+                local[some] = np.add.reduceat(each, np.cumsum(size) - size) + speller.end + free * np.array([len(t) + 1 for t in full])
+                for key, at in ((s.word, s.second), (s.pair, s.second), (s.triple, s.third)):
+                    key, text = key[at], s.text[at]
+                    slot = _slot(key)
+                    is_hot = hot_keys[slot] == key
+                    local[some] += np.bincount(text[is_hot], hot_gains[slot[is_hot]], len(full))
+                    key, text = key[~is_hot], text[~is_hot]
+                    known = maybe_known(bloom, key)
+                    keys.append(key[known])
+                    of.append(text[known])
+            key, of = np.concatenate([*keys, np.empty(0, np.uint64)]), np.concatenate([*of, np.empty(0, np.int64)]).astype(np.int64)
+            n = len(texts)
+            none = lambda c: pa.concat_arrays([c, pa.nulls(len(key), c.type)])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(chars_in), pa.array(local), pa.ListArray.from_arrays(ends, pa.array(rare)), pa.ListArray.from_arrays(ends, pa.array(added))], [*keep, "n_chars_scored", "local", "rare", "more"]
+                [*[none(c) for c in batch.columns[: len(keep)]], pa.array(np.concatenate([rows, rows[np.array(some, np.int64)[of]]])), pa.concat_arrays([pa.nulls(n, pa.int64()), _signed(key)]), none(pa.array(local)), none(pa.array(chars))],
+                [*keep, "row", "key", "add", "n_chars_scored"],
             )
 
     d = docs.select(*keep, "text")
-    return d.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "text") + ", n_chars_scored bigint, local double, rare array<bigint>, more array<float>")
+    return d.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "text") + ", row bigint, key bigint, add double, n_chars_scored bigint")
 
 
-def perplexities(docs: DataFrame, words: dict[str, int], model: WordModel, rest: DataFrame, symbol: np.ndarray, log_p: np.ndarray, keep: list[str]) -> DataFrame:
+def perplexities(docs: DataFrame, speller: Speller, gains: DataFrame, free: float, keep: list[str], hot: int = HOT) -> DataFrame:
     """keep columns, n_chars_scored, perplexity."""
-    sc = docs.sparkSession.sparkContext
-    local = local_scores(docs, sc.broadcast((words, model)), sc.broadcast((symbol, log_p)), keep)
-    local = materialize(local.withColumn("row", F.monotonically_increasing_id()), "lm-local")
-    found = local.select("row", F.inline(F.arrays_zip("rare", "more"))).withColumnRenamed("rare", "key").join(rest, "key")
-    gains = found.groupBy("row").agg(F.sum(F.col("gain").cast("double") + F.col("more")).alias("gain"))
-    total = F.col("local") + F.coalesce("gain", F.lit(0.0))
-    scored = local.drop("rare", "more").join(gains, "row", "left")
-    return scored.select(*keep, "n_chars_scored", F.when(F.col("n_chars_scored") > 0, F.exp(-total / F.col("n_chars_scored"))).alias("perplexity"))
+    parts = partial_scores(docs, speller, free, hot_table(gains, hot), bloom_filter(gains), keep)
+    # rows of documents have no key: deal them out by their number, so that they don't meet in one task
+    on = F.coalesce("key", F.xxhash64("row")).alias("on")
+    joined = parts.select(*keep, "row", "n_chars_scored", "add", F.col("key").isNotNull().alias("asks"), on).join(gains.select(F.col("key").alias("on"), "gain"), "on", "left")
+    scored = joined.groupBy("row").agg(*[F.max(c).alias(c) for c in [*keep, "n_chars_scored"]], F.sum(F.coalesce("add", F.lit(0.0)) + F.when(F.col("asks"), F.coalesce("gain", F.lit(0.0))).otherwise(0.0)).alias("total"))
+    return scored.select(*keep, "n_chars_scored", F.when(F.col("n_chars_scored") > 0, F.exp(-F.col("total") / F.col("n_chars_scored"))).alias("perplexity"))
 
 
 def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
@@ -398,13 +392,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack:
     ids = labels.where("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
     marked = checked_join(d, ids, "doc_id", "left", row_bytes=24).withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     trusted = marked.where("trusted")
-    symbol = alphabet(trusted)
-    log_p = log_probabilities(trigram_counts(trusted, symbol))
-    counted = word_counts(trusted)
-    words = vocabulary(trusted, counts=counted)
-    numbers = docs.sparkSession.sparkContext.broadcast(words)
-    model, rest = word_model(bigram_counts(trusted, numbers, hashed_words(counted, numbers)))
-    scored = materialize(perplexities(marked, words, model, rest, symbol, log_p, ["doc_id", "lang", "trusted"]), "lm-scores")
+    speller = train_speller(trusted)
+    gains, free = train(trusted, speller)
+    scored = materialize(perplexities(marked, speller, gains, free, ["doc_id", "lang", "trusted"]), "lm-scores")
     limits = {r.lang: r.threshold for r in thresholds(scored, quantile).collect()}  # one row for each language
     limit = F.lit(limits.pop(None, float("inf")))
     for lang, t in limits.items():

@@ -135,3 +135,72 @@ def base_spans(text):
         if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
             out.append(("phone", m.start(), m.end()))
     return sorted(out, key=lambda s: (s[1], ("email", "ip", "card", "phone").index(s[0])))
+
+
+class KneserNey:
+    """Interpolated modified Kneser-Ney of order 3 over the items of sequences (lists), above a given lowest distribution.
+
+    Each sequence has two starts before it. The highest order counts; lower orders count distinct items before.
+    """
+
+    def __init__(self, sequences, start, base):
+        self.base, self.counts = base, [defaultdict(set), defaultdict(set), defaultdict(int)]
+        for s in sequences:
+            x = [start, start, *s]
+            for a, b, c in zip(x, x[1:], x[2:]):
+                self.counts[2][a, b, c] += 1
+        for n in (2, 1):
+            for key in self.counts[n]:
+                self.counts[n - 1][key[1:]].add(key[0])
+        self.counts = [{k: v if isinstance(v, int) else len(v) for k, v in c.items()} for c in self.counts]
+        self.off, self.total, self.left = [], [], []
+        for counts in self.counts:
+            n = [sum(v == k for v in counts.values()) for k in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+            d = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.5 for k in (1, 2, 3)]
+            d = [x if 0 < x < k else 0.5 for k, x in zip((1, 2, 3), d)]
+            total, left = defaultdict(int), defaultdict(float)
+            for key, v in counts.items():
+                total[key[:-1]] += v
+                left[key[:-1]] += d[min(v, 3) - 1]
+            self.off.append(d), self.total.append(total), self.left.append(left)
+
+    def p(self, *key):
+        n = len(key) - 1
+        lower = self.p(*key[1:]) if n else self.base(key[0])
+        total = self.total[n].get(key[:-1], 0)
+        if not total:
+            return lower
+        v = self.counts[n].get(key, 0)
+        return ((v - self.off[n][min(v, 3) - 1] if v else 0) + self.left[n][key[:-1]] * lower) / total
+
+
+def perplexity(trusted):
+    """A function from a text to its perplexity by character, trained on the trusted texts."""
+    import math
+    from functools import lru_cache
+
+    words = [(t or "").lower().split() for t in trusted]
+    words = [w for w in words if w]
+    letters = [list((x + " ").encode()) for w in words for x in w] + [[10]] * len(words)
+    known = {b for x in letters for b in x} | {10}
+    size = len(known) + 1  # and one for all other bytes
+    spelling = KneserNey(letters, None, lambda b: 1 / size)
+    number = lambda b: b if b in known else -1
+
+    @lru_cache(None)
+    def spell(word):
+        x = [None, None, *(number(b) for b in (word + " ").encode())] if word != "\n" else [None, None, 10]
+        return math.exp(sum(math.log(spelling.p(*x[i : i + 3])) for i in range(len(x) - 2)))
+
+    model = KneserNey([[*w, "\n"] for w in words], "", spell)
+
+    def of(text):
+        w = (text or "").lower().split()
+        if not w:
+            return None
+        x = ["", "", *w, "\n"]
+        total = sum(math.log(model.p(*x[i : i + 3])) for i in range(len(x) - 2))
+        return math.exp(-total / (sum(map(len, w)) + len(w)))
+
+    return of, model

@@ -104,45 +104,39 @@ def test_quality_model_cases(spark, docs, none):
     assert all(r.kept == (r.n_chars_scored > 0) for r in untrained.collect())
 
 
-def test_kneser_ney_sums_to_one(spark):
-    d = spark.createDataFrame([("abracadabra abra",), ("banana bandana",), (None,)], "text string")
-    symbol = quality_lm.alphabet(d)
-    log_p = quality_lm.log_probabilities(quality_lm.trigram_counts(d, symbol)).reshape(quality_lm.SYMBOLS, quality_lm.SYMBOLS, quality_lm.SYMBOLS)
-    assert np.allclose(np.exp(log_p.astype(float)).sum(2), 1, atol=1e-4)
-    words = quality_lm.vocabulary(d)
-    model, rest = quality_lm.word_model(quality_lm.bigram_counts(d, spark.sparkContext.broadcast(words)), hot=2)
-    hot = dict(zip(model.hot_keys.tolist(), model.hot_log_p))
-    gain = {r.key: r.gain for r in rest.collect()}
-    every = np.arange(quality_lm.VOCABULARY + 1)
-    for context in (0, 1, quality_lm.START):
-        keys = context * quality_lm.WIDTH + every
-        p = model.backed_off(keys)
-        for k, key in enumerate(keys.tolist()):
-            p[k] = hot.get(key, p[k] + gain.get(key, 0.0))
-        assert abs(np.exp(p).sum() - 1) < 1e-6
-
-
-def test_words_beyond_the_numbered_ones(spark):
-    """All words that occur twice are known, whatever the number of words that tasks hold; probabilities sum to one."""
-    texts = ["alpha beta gamma delta", "alpha beta gamma delta", "alpha beta zeta", "alpha gamma beta alpha once"]
-    d = spark.createDataFrame([(t,) for t in texts], "text string")
-    counts = quality_lm.word_counts(d)
-    words = quality_lm.vocabulary(d, size=1, counts=counts)
-    assert list(words) == ["alpha"]
-    numbers = spark.sparkContext.broadcast(words)
-    model, rest = quality_lm.word_model(quality_lm.bigram_counts(d, numbers, quality_lm.hashed_words(counts, numbers)), hot=1)
-    gain = {r.key: r.gain for r in rest.collect()}
-    symbol = np.zeros(0x110000, np.uint8)
-    spelling = np.full(quality_lm.SYMBOLS**3, -2.0, np.float32)
-    every = ["alpha", "beta", "gamma", "delta", "unseen"]
-    for context in ("alpha", "beta", "delta", "never"):
-        pairs = spark.createDataFrame([(w, context, f"{context} {w}") for w in every] + [("", context, context)], "w string, y string, text string")
-        got = {r.w: np.log(r.perplexity) * -r.n_chars_scored for r in quality_lm.perplexities(pairs, words, model, rest, symbol, spelling, ["w"]).collect()}
-        p = {w: got[w] - got[""] + (2.0 * (len(w) + 1) if w == "unseen" else 0) for w in every}  # without the letters of the unknown one
-        assert abs(np.exp(list(p.values())).sum() - 1) < 1e-4
-    ids = quality_lm.word_ids(["beta", "gamma", "zeta"], words)
-    assert ids[0] in gain and ids[1] in gain and ids[2] not in gain
-    assert quality_lm.bigram_keys(ids[:1], ids[1:2])[0] in gain and gain[quality_lm.bigram_keys(ids[:1], ids[1:2])[0]] > 0
+TRUSTED = ["alpha beta gamma delta", "alpha beta gamma delta", "alpha beta zeta", "Alpha gamma beta alpha once", "漢字 かな née", None, " "]
+
+
+def gains_of(spark, trusted):
+    d = spark.createDataFrame([(t,) for t in trusted], "text string")
+    speller = quality_lm.train_speller(d)
+    return speller, *quality_lm.train(d, speller)
+
+
+def test_brute_model_sums_to_one():
+    _, model = brute.perplexity([t for t in TRUSTED if t and t.isascii()])
+    words = {k[-1] for k in model.counts[0]}
+    unknown = 1 - sum(model.base(w) for w in words)  # all other words together: only the lowest order has them
+    for context in (("", ""), ("alpha", "beta"), ("beta", "alpha"), ("never", "seen")):
+        left = 1.0
+        for n in (2, 1, 0):
+            c = context[2 - n :]
+            if total := model.total[n].get(c, 0):
+                left *= model.left[n][c] / total
+        assert abs(sum(model.p(*context, w) for w in words) + left * unknown - 1) < 1e-9
+
+
+@pytest.mark.parametrize("hot,bits", [(0, 10), (5, 7), (10_000, 27)])
+def test_perplexities_against_brute_force(spark, monkeypatch, hot, bits):
+    """Whatever hot table and Bloom filter hold, perplexities are those of the plain model."""
+    monkeypatch.setattr(quality_lm, "BLOOM_BITS", bits)
+    texts = ["alpha beta gamma", "gamma delta alpha unseen", "漢字 文字 née", "alpha", "zzz 1 \U0001F600", "", None, "once alpha beta zeta " * 50]
+    speller, gains, free = gains_of(spark, TRUSTED)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    got = {r.doc_id: r.perplexity for r in quality_lm.perplexities(docs, speller, gains, free, ["doc_id"], hot=hot).collect()}
+    of, _ = brute.perplexity(TRUSTED)
+    for k, t in enumerate(texts):
+        assert got[k] is None and of(t) is None or got[k] == pytest.approx(of(t), rel=1e-5), t
 
 
 # -- 3 -----------------------------------------------------------------------------------------------------------------

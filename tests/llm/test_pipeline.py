@@ -67,6 +67,17 @@ def test_pii_query(spark):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b[0] == k for b in base) for k in ("email", "ip", "card", "phone")]
 
 
+def test_quality_query(spark):
+    data = documents(spark)
+    good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    of, _ = brute.perplexity([d[1] for d in data if d[0] in good])
+    got = {r.doc_id: r for r in __spark_entry__.queries()["op2_quality_lm"](spark, SF).collect()}
+    assert len(got) == len(data) and len(good) > 20
+    for doc_id, text, *_ in data:
+        assert got[doc_id].perplexity == pytest.approx(of(text), rel=1e-5)
+        assert got[doc_id].kept == (got[doc_id].perplexity is not None and got[doc_id].perplexity <= got[doc_id].threshold)
+
+
 def test_html_query(spark):
     """These pages have an article of headings and paragraphs, and everything else outside of it."""
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
