@@ -4,18 +4,23 @@ A page becomes a small tree. Paragraphs give points for their length and commas
 half to the grandparent, ever less above; an element's points are discounted by the share of its text that stands in
 links. The best element is the container; it grows to the article or main element around it, and siblings with enough
 points of their own are kept beside it. Where the page has no such element, so are all sibling paragraphs, headings, lists
-and other blocks of text, and sections of them, that aren't mostly links. Menus, page headers and footers, sidebars, notices,
-adverts, forms, comments, scripts and styles are left out, by element, role, or words of class and id. A word that is only a
-part of a class or id doesn't leave out an element with most of the page's text, nor one that says what a wrapper has.
+and other blocks of text, and sections of them, that aren't mostly links. Menus, page headers and footers, sidebars, notices, adverts,
+comments, scripts and styles are left out by element or role; an article's own header stays, with its title. A whole word of
+class or id leaves out an element, unless it holds nine tenths of a page's text that has no article beside it; the clearest
+words as a part of one, and a form, leave out an element with at most half of the text; another word that is only a part
+one with at most a tenth, or one that is mostly links, and none that says what a wrapper has. If nothing is left, neither
+words nor forms count. Scores only choose the container.
 
 In the result character references are decoded, white space inside a block is one space, blocks are joined by \\n in
 page order; nothing is cut. Null or empty html, or a page without text: an empty string. Broken markup (unclosed tags and
 quotes, stray end tags) is read as browsers do in the common cases. Pages are independent of each other; other columns
-are ignored, whatever their names; repeated rows are extracted each. The work is linear in the page.
+are ignored, whatever their names; repeated rows are extracted each; of elements with equal scores the first is the container.
+The work is linear in the page, however it is written.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 
@@ -24,7 +29,11 @@ from pyspark.sql import DataFrame
 
 from fluvial.common import small_batches
 
-TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+#: What can end a tag: a quoted value that begins, or >.
+IN_TAG = re.compile(r"""=\s*(["'])|>""")
+#: So many tags whose quotes don't close are read to the end of the page in search of one; then quotes no longer count.
+OPEN_QUOTES = 32
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_WORD = re.compile(r"[a-z]+")
 PART_WORD = re.compile(r"^(?:has|no|with|without)[-_]|^(?:article|post|entry|content|story|section)[-_]+header$")
@@ -39,7 +48,9 @@ BLOCK = set(
 CLOSES_P = BLOCK - {"body", "html", "caption", "legend", "tbody", "td", "tfoot", "th", "thead", "tr"}
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"html", "body", "table", "ul", "ol", "dl", "article", "section", "main", "div", "td", "th", "select", "blockquote", "form", "aside", "nav", "header", "footer"}
-LEFT_OUT = set("nav header footer aside form button select menu dialog head label input datalist".split())
+LEFT_OUT = set("nav header footer aside button select menu dialog head label input datalist".split())
+#: RAW elements that, without an end tag, hold the rest of the page; of others only the tag goes.
+SWALLOW = set("script style textarea title iframe xmp noembed noframes".split())
 LEFT_OUT_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form tablist".split())
 LEFT_OUT_WORDS = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner sidebar menu nav navbar navigation "
@@ -47,6 +58,8 @@ LEFT_OUT_WORDS = set(
     "signup login share sharing social related recommended recommendations comment comments disqus reply replies respond widget widgets pagination pager "
     "toolbar copyright disclaimer skip hidden".split()
 )
+#: Of the words to be left out, those that say the same as a part of a longer word.
+CLEAR_WORDS = set("advert adverts advertisement advertising adsense sponsored sidebar navbar breadcrumb breadcrumbs cookie cookies consent gdpr newsletter comments disqus pagination footer".split())
 #: Blocks of text: beside a container they are kept unless most of them is links.
 PROSE = set("p h1 h2 h3 h4 h5 h6 pre ul ol dl blockquote table figure".split())
 PLAIN = {"html", "body", "article", "main"}  # never left out by class or id
@@ -55,117 +68,166 @@ PLAIN = {"html", "body", "article", "main"}  # never left out by class or id
 class Node:
     __slots__ = ("tag", "parent", "children", "out", "maybe", "score", "length", "linked")
 
-    def __init__(self, tag, parent, out, maybe=False):
+    def __init__(self, tag, parent, out, maybe=1.0):
         self.tag, self.parent, self.children, self.out, self.maybe = tag, parent, [], out, maybe
         self.score, self.length, self.linked = 0.0, 0, 0
 
 
-def _left_out(tag: str, attributes: str) -> bool | None:
-    """None: only if it doesn't hold most of the page's text."""
-    maybe = False
+#: The share of the page's text up to which an element is left out: by a whole class or id word; by a clear part of one, or
+#: as a form; by another part of one.
+BY_WORD, BY_CLEAR, BY_PART = 0.9, 0.5, 0.1
+
+
+def _left_out(tag: str, attributes: str) -> tuple[bool, float]:
+    """Whether the element is left out by what it is, and else up to which share of the page's text it is (0: never)."""
     if tag in LEFT_OUT:
-        return True
+        return True, 0.0
+    most = BY_CLEAR if tag == "form" else 0.0
     if not attributes or tag in PLAIN:
-        return False
+        return False, most
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id"):
             for token in value.split():
+                parts = set() if PART_WORD.search(token) else set(NAME_WORD.findall(token))
                 if token in LEFT_OUT_WORDS:
-                    return True
-                maybe = maybe or not PART_WORD.search(token) and any(w in LEFT_OUT_WORDS for w in NAME_WORD.findall(token))
+                    most = BY_WORD
+                elif parts & CLEAR_WORDS:
+                    most = max(most, BY_CLEAR)
+                elif parts & LEFT_OUT_WORDS:
+                    most = max(most, BY_PART)
         if name == "role" and value.strip() in LEFT_OUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, 0.0
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return None if maybe else False
+            return True, 0.0
+    return False, most
 
 
-def _settle(root: Node) -> None:
-    """Leave out what may be left out, unless it holds more than half of the text."""
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        node.length = sum(len(c.strip()) for c in node.children if isinstance(c, str))
-        stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and not c.out)
-    for node in reversed(order):
-        if node.parent is not None:
-            node.parent.length += node.length
-    most = root.length / 2
+def _settle(root: Node, words: bool) -> None:
+    """Decide what may be left out, by its share of the page's text; with words False only what is left out by what it is."""
+    order = _measure(root)
+    around = set()  # elements that hold an article with text
+    for node in order:
+        up = node if node.tag in ("article", "main") and node.length else None
+        while up is not None and up not in around:
+            around.add(up)
+            up = up.parent
+    most = root.length
     stack = [root]
     while stack:
         node = stack.pop()
         for c in node.children:
             if not isinstance(c, str):
-                c.out = c.out or node.out or c.maybe and c.length <= most
+                few = c.length <= c.maybe * most or c.maybe == BY_WORD and around and c not in around
+                few = few or c.maybe == BY_PART and c.linked * 2 > c.length and c.length * 2 <= most
+                c.out = c.out or node.out or words and c.maybe > 0 and few
                 stack.append(c)
     for node in order:
-        node.length = 0
+        node.length = node.linked = 0
+
+
+class _Open:
+    """The open elements, outermost first, and where each tag and each scope stands among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.scopes = [root], {"html": [0]}, [0]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in SCOPE:
+            self.scopes.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, k: int) -> None:
+        """Close all elements from the k-th on."""
+        while len(self.nodes) > k:
+            tag = self.nodes.pop().tag
+            self.at[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def close_in_scope(self, tags: set[str]) -> None:
+        """Close the outermost of tags in the innermost scope that isn't one of them."""
+        k = len(self.scopes) - 1
+        while k > 0 and self.nodes[self.scopes[k]].tag in tags:
+            k -= 1
+        border = self.scopes[k]
+        found = [places[j] for t in tags if (places := self.at.get(t)) and (j := bisect.bisect_right(places, border)) < len(places)]
+        if found:
+            self.cut(min(found))
 
 
 def parse(page: str) -> Node:
-    root = Node("html", None, False)
-    here, at, n = root, 0, len(page)
-    open_tags = {"html": 1}
-
-    def close_to(node: Node) -> Node:
-        nonlocal here
-        while here is not node:
-            open_tags[here.tag] -= 1
-            here = here.parent
-        open_tags[node.tag] -= 1
-        here = node.parent
-        return here
-
-    def close_in_scope(tags: set[str]) -> None:
-        last = None
-        node = here
-        while node is not root and (node.tag in tags or node.tag not in SCOPE):
-            if node.tag in tags:
-                last = node
-            node = node.parent
-        if last is not None:
-            close_to(last)
-
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue  # inside raw text
-        if m.start() > at:
-            here.children.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+    root = Node("html", None, False, 0.0)
+    stack = _Open(root)
+    done, at, n = 0, 0, len(page)  # text up to done is in the tree
+    last_end = page.rfind(">")
+    absent: set[str] = set()
+    unclosed = 0
+
+    def text_to(k: int) -> None:
+        if k > done:
+            stack.nodes[-1].children.append(page[done:k])
+
+    while 0 <= (lt := page.find("<", at)) < last_end or lt >= 0 and page.startswith("<!--", lt):
+        if page.startswith("<!--", lt):
+            text_to(lt)
+            end = page.find("-->", lt + 4)
+            done = at = n if end < 0 else end + 3
+            continue
+        if page[lt + 1 : lt + 2] in ("!", "?"):
+            text_to(lt)
+            done = at = page.find(">", lt) + 1
             continue
-        if m[1] or m[4]:
-            if open_tags.get(tag) and tag != "html":
-                node = here
-                while node.tag != tag:
-                    node = node.parent
-                close_to(node)
+        m = NAME.match(page, lt + 1)
+        if not m:
+            at = lt + 1
+            continue
+        end = -1
+        if unclosed < OPEN_QUOTES:
+            k = m.end()
+            while (q := IN_TAG.search(page, k)) and q[1]:
+                k = page.find(q[1], q.end()) + 1
+                if not k:
+                    break
+            end = q.start() if q and not q[1] else -1
+            unclosed += end < 0
+        if end < 0:
+            end = page.find(">", lt)
+        text_to(lt)
+        done = at = end + 1
+        tag, attributes = m[0].lower(), page[m.end() : end]
+        if tag[0] == "/":
+            tag = tag[1:]
+            if tag != "html" and stack.at.get(tag):
+                stack.cut(stack.at[tag][-1])
             elif tag == "br":
-                here.children.append(Node("br", here, False))
+                stack.nodes[-1].children.append(Node("br", stack.nodes[-1], False, 0.0))
             continue
-        attributes = m[3] if m[2] else m[6]
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            at = n if end is None else (page.find(">", end.start()) + 1 or n)
+            close = None if tag in absent else re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+            if close:
+                done = at = page.find(">", close.start()) + 1 or n
+            elif tag in SWALLOW:
+                done = at = n
+            else:
+                absent.add(tag)
             continue
-        if tag in CLOSES_P and open_tags.get("p"):
-            close_in_scope({"p"})
+        if tag in CLOSES_P and stack.at.get("p"):
+            stack.close_in_scope({"p"})
         if tag in IMPLIED:
-            close_in_scope(IMPLIED[tag])
-        if tag in ("html", "body") and open_tags.get(tag):
+            stack.close_in_scope(IMPLIED[tag])
+        if tag in ("html", "body") and stack.at.get(tag):
             continue
-        out = _left_out(tag, attributes)
-        node = Node(tag, here, here.out or bool(out), out is None)
+        here = stack.nodes[-1]
+        out, maybe = _left_out(tag, attributes)
+        if tag == "header" and stack.at.get("article"):
+            out = False  # an article's own header has its title
+        node = Node(tag, here, here.out or out, maybe)
         here.children.append(node)
         if tag not in VOID:
-            open_tags[tag] = open_tags.get(tag, 0) + 1
-            here = node
-    if at < n:
-        here.children.append(page[at:])
-    _settle(root)
+            stack.push(node)
+    text_to(n)
     return root
 
 
@@ -180,13 +242,13 @@ def blocks_of(nodes: list) -> list[tuple[Node | None, str]]:
         if text:
             found.append((owner, text))
 
-    stack: list = [(None, iter(nodes))]
+    stack: list = [(None, iter(nodes), None)]  # element, its children, the innermost block element
     while stack:
-        owner, rest = stack[-1]
+        owner, rest, block = stack[-1]
         child = next(rest, None)
         if child is None:
             stack.pop()
-            if owner is not None and owner.tag in BLOCK:
+            if owner is not None and owner is block:
                 flush(owner)
         elif isinstance(child, str):
             held.append(child)
@@ -194,8 +256,8 @@ def blocks_of(nodes: list) -> list[tuple[Node | None, str]]:
             held.append(" ")
         elif not child.out:
             if child.tag in BLOCK:
-                flush(next((o for o, _ in reversed(stack) if o is not None and o.tag in BLOCK), None))
-            stack.append((child, iter(child.children)))
+                flush(block)
+            stack.append((child, iter(child.children), child if child.tag in BLOCK else block))
     flush(None)
     return found
 
@@ -264,6 +326,12 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    return _main_text(root, True) or _main_text(parse(page), False)
+
+
+def _main_text(root: Node, words: bool) -> str:
+    """words: whether class and id words, and forms, leave out elements."""
+    _settle(root, words)
     order = _measure(root)
     for owner, text in blocks_of([root]):
         if owner is None:

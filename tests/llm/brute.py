@@ -204,3 +204,66 @@ def perplexity(trusted):
         return math.exp(-total / (sum(map(len, w)) + len(w)))
 
     return of, model
+
+
+def main_text(tree):
+    """The main text of a page whose body holds the tree: (tag, children), where a child of p, h2 or a is a text."""
+
+    def texts(x):
+        return [x] if isinstance(x, str) else [t for c in x[1] for t in texts(c)]
+
+    def length(x, links=False):
+        if isinstance(x, str):
+            return 0 if links else len(x)
+        return length(x, False) if links and x[0] == "a" else sum(length(c, links) for c in x[1])
+
+    parents, order = {}, []
+
+    def walk(x, parent):
+        if not isinstance(x, str):
+            parents[id(x)] = parent
+            order.append(x)
+            for c in x[1]:
+                walk(c, x)
+
+    body = ("body", [tree])
+    root = ("html", [body])
+    walk(root, None)
+    score = {id(x): 0.0 for x in order}
+    for x in order:
+        if x[0] in ("p", "h2") and length(x):
+            text = "".join(texts(x))
+            points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - length(x, True) / length(x))
+            up = parents[id(x)]
+            for share in (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12, 1 / 15):
+                if up is not None:
+                    score[id(up)] += points * share
+                    up = parents[id(up)]
+    worth = lambda x: score[id(x)] * (1 - length(x, True) / length(x) if length(x) else 0)
+    best = max(order, key=worth)
+
+    def prose(x):
+        return length(x) and (x[0] in ("p", "h2") or any(prose(c) for c in x[1] if not isinstance(c, str)))
+
+    if not worth(best):
+        kept = [root]
+    elif parents[id(best)] is None:
+        kept = [best]
+    else:
+        kept = [c for c in parents[id(best)][1] if c is best or worth(c) >= 0.2 * worth(best) or 2 * length(c, True) < length(c) and prose(c)]
+    blocks = []
+
+    def collect(x):
+        if x[0] in ("p", "h2"):
+            blocks.append("".join(texts(x)))
+        else:
+            for c in x[1]:
+                collect(c)
+
+    for x in kept:
+        collect(x)
+    return "\n".join(b for b in blocks if b)
+
+
+def page(x):
+    return x if isinstance(x, str) else f"<{x[0]}>{''.join(map(page, x[1]))}</{x[0]}>"

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import time
 from collections import Counter
 
 import numpy as np
@@ -227,6 +228,39 @@ def test_html_words_in_names_of_wrappers():
     assert "Long" not in html_extract.extract(f"<body><div class='comments'>{long * 9}</div><div>{'A body of text. ' * 20}</div></body>")
 
 
+WORDY = st.text("ab, ", min_size=0, max_size=260).map(lambda t: " ".join(t.split()))
+LEAF = st.one_of(st.tuples(st.sampled_from(["p", "h2"]), st.lists(WORDY, min_size=1, max_size=1)), st.tuples(st.just("p"), st.tuples(st.tuples(st.just("a"), st.lists(WORDY, min_size=1, max_size=1))).map(list)))
+TREE = st.recursive(LEAF, lambda inner: st.tuples(st.sampled_from(["div", "section"]), st.lists(inner, min_size=1, max_size=4)), max_leaves=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(TREE)
+def test_html_against_brute_force(tree):
+    assert html_extract.extract(f"<html><body>{brute.page(tree)}</body></html>") == brute.main_text(tree)
+
+
+@pytest.mark.parametrize("name", ["overflow-hidden", "content with-sidebar", "col has-sidebar", "post no-comments", "article-header-image", "ad-free", "social-science", "sidebar", "hidden"])
+def test_html_wrapper_of_all_text(name):
+    text = "A paragraph of the article, which is not short, and has commas."
+    assert html_extract.extract(f'<body><div class="{name}"><p>{text}</p><p>{text}</p></div></body>') == f"{text}\n{text}"
+    assert html_extract.extract(f'<body><form action="/"><div id="x"><p>{text}</p><p>{text}</p></div></form></body>') == f"{text}\n{text}"
+
+
+def test_html_leaves_out_what_is_beside_the_text():
+    text = "A paragraph of the article, which is not short, and has commas. " * 4
+    page = f'<header><h1>Site</h1></header><div class="main"><div class="text"><p>{text}</p><p>{text}</p></div><div class="sidebar"><p>Side</p></div><div class="site-comments"><p>Reader</p></div><form><p>Form</p></form></div>'
+    got = html_extract.extract(f"<body>{page}</body>")
+    assert got == f"{text.strip()}\n{text.strip()}"
+    assert html_extract.extract(f"<article><header><h1>Title</h1></header><p>{text}</p></article>").startswith("Title\n")
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<a " * 350_000 + ">", "<b>" * 100_000 + "<li>" * 100_000, "<b>" * 100_000 + "<p>x" * 100_000, "<a href=\">" * 100_001, "<svg>" * 200_000, "<td>" * 250_000, "<ul><li>" * 120_000, "<div><p>" * 60_000 + "</p></div>" * 60_000])
+def test_html_of_a_megabyte_takes_linear_time(page):
+    began = time.process_time()
+    html_extract.extract(page)
+    assert time.process_time() - began < 60
+
+
 # -- 6 -----------------------------------------------------------------------------------------------------------------
 
 
