@@ -233,7 +233,7 @@ def _compare(percent: int, miss: float):
 
 
 #: Shingles and rows in a block of a cell; rows in one of a group of more than MANY.
-BLOCK_SHINGLES, BLOCK_ROWS, MANY_ROWS, MANY = 1 << 17, 128, 512, 1 << 14
+BLOCK_SHINGLES, BLOCK_ROWS, MANY_ROWS, MANY = 1 << 17, 64, 512, 1 << 14
 #: Slots of the table of shingle frequencies. Any table gives an exact prefix filter; a larger one a sharper one.
 SLOTS = 1 << 20
 
