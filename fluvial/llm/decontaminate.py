@@ -7,11 +7,17 @@ documents of a segment follow one another in one space of positions. Nothing is
 search() cuts the test items into windows of consecutive words and orders the words of each window by how often the
 whole index has them. In each segment it starts from the postings of a window's rarest word and intersects them,
 adjusted by the words' offsets, with the next rarer word's, and so on. With slop 0 the result is each exact phrase; with
-slop s each proximity match, in which every word stands at most s words from its place, in the same document. Test items
-go to the segments in blocks of bounded size, so there may be any number of them.
+slop s each proximity match, in which every word stands at most s words from its place, in the same document.
+
+Windows are made and counted in joins. The index is read once for the counts of words and once for the search: if the
+windows have at most BLOCK_BYTES, which is counted, they are broadcast; otherwise each segment's words are joined with the
+windows' rarest words, and each segment meets the windows it may hold in a cogroup, in parts of about BLOCK_BYTES. So the
+number of passes doesn't grow with the test items, and no item needs to fit anywhere but in its own text.
 
 Null or empty texts have no words and never match. Repeated documents are indexed each; repeated items count once.
-Null item_id: as the id "". Other columns are ignored, whatever their names.
+Null item_id: as the id "". No documents or no items: nothing matches. Very long texts are inverted whole; a segment is at least
+one document. Of words of equal frequency the first in the window counts as the rarer. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvial.common import LARGE_ROWS, materialize, small_batches
+from fluvial.common import LARGE_ROWS, checked_join, materialize, small_batches, small_enough
 
 SEGMENT_WORDS = 1 << 18
 BLOCK_BYTES = 4 << 20
@@ -55,7 +61,7 @@ def _segment(name: str, ids: list, words: list[list[bytes]]) -> dict:
     return {"segment": name, "doc_ids": ids, "n_words": size, "starts": start, "terms": [w.decode("utf-8", "surrogatepass") for w in number], "ends": ends, "positions": np.diff(order, prepend=np.int32(0)).astype(np.int32).tobytes()}
 
 
-def build_index(docs: DataFrame) -> DataFrame:
+def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """Segments of the index of docs (doc_id, text), written to the shared folder."""
     small_batches(docs.sparkSession)
     d = docs.select("doc_id", "text")
@@ -77,7 +83,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 ids.append(doc_id.as_py())
                 words.append(words_of(text.as_py()))
                 held += len(words[-1])
-                if held >= SEGMENT_WORDS:
+                if held >= segment_words:
                     yield flush()
                     made, ids, words, held = made + 1, [], [], 0
         if ids:
@@ -86,49 +92,69 @@ def build_index(docs: DataFrame) -> DataFrame:
     return materialize(d.mapInArrow(run, f"segment string, doc_ids array<{kind}>, n_words array<bigint>, starts array<bigint>, terms array<string>, ends array<bigint>, positions binary"), "positional-index", **LARGE_ROWS)
 
 
-class _Block:
-    """Windows of a block of test items."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        number, found = _Numbers(), {}
-        for item_id, text in items:
-            w = words_of(text)
-            for at in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault(tuple(map(number.__getitem__, w[at : at + window])), set()).add(item_id)
-        self.vocabulary = {w.decode("utf-8", "surrogatepass"): n for w, n in number.items()}
-        self.windows, self.items = list(found), [sorted(x) for x in found.values()]
-
-    def order(self, counts: dict[str, int]) -> None:
-        """From now on each window's words come from the rarest, with their offsets."""
-        n = np.zeros(len(self.vocabulary), np.int64)
-        for word, count in counts.items():
-            n[self.vocabulary[word]] = count
-        self.size = np.array([len(w) for w in self.windows], np.int64)
-        longest = int(self.size.max(initial=0))
-        self.word = np.full((len(self.windows), longest), -1, np.int64)
-        self.offset = np.zeros((len(self.windows), longest), np.int64)
-        for k, w in enumerate(self.windows):
-            by = np.argsort(n[list(w)], kind="stable")
-            self.word[k, : len(w)], self.offset[k, : len(w)] = np.array(w)[by], by
+# -- windows of the test items -----------------------------------------------------------------------------------------
 
+#: Windows that a task puts out at a time.
+BATCH_WINDOWS = 10_000
 
-def _term_counts(index: DataFrame, block) -> dict[str, int]:
-    """How often the index has each word of the block; a block's vocabulary is bounded, so they fit on the driver."""
+
+def item_windows(items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(wid, words) for each distinct window of consecutive words of the items, and (wid, item_id)."""
+
+    def cut(batches):
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = [x.decode("utf-8", "surrogatepass") for x in words_of(text)]
+                places = range(max(1, len(w) - window + 1) if w else 0)
+                for k in range(0, len(places), BATCH_WINDOWS):
+                    part = [w[at : at + window] for at in places[k : k + BATCH_WINDOWS]]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(part), pa.string()), pa.array(part, pa.list_(pa.string()))], ["item_id", "words"])
+
+    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    found = materialize(items.mapInArrow(cut, "item_id string, words array<string>").distinct(), "item-windows")
+    words = materialize(found.select("words").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
+    return words, found.join(words, "words").select("wid", "item_id")
+
+
+def term_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n: how often the index has each of the terms that it has."""
+    few = small_enough(terms, 64)
+    wanted = index.sparkSession.sparkContext.broadcast({r.term for r in terms.collect()} if few else None)  # counted: it is small
 
     def run(batches):
-        words = block.value.vocabulary
-        total = np.zeros(len(words), np.int64)
+        only = wanted.value
         for batch in batches:
             for terms, ends in zip(batch.column(0), batch.column(1)):
-                n = np.diff(ends.values.to_numpy(), prepend=0)
-                for k, t in enumerate(terms.values.to_pylist()):
-                    if (at := words.get(t)) is not None:
-                        total[at] += n[k]
-        names = list(words)
-        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in np.flatnonzero(total)], pa.string()), pa.array(total[total > 0])], ["term", "n"])
+                names, n = terms.values.to_pylist(), np.diff(ends.values.to_numpy(), prepend=0)
+                at = [k for k, t in enumerate(names) if only is None or t in only]
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in at], pa.string()), pa.array(n[at], pa.int64())], ["term", "n"])
+
+    found = index.select("terms", "ends").mapInArrow(run, "term string, n bigint")
+    found = found if few else found.join(terms, "term", "left_semi")
+    return found.groupBy("term").agg(F.sum("n").alias("n"))
+
 
-    counts = index.select("terms", "ends").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    return {r.term: r.n for r in counts.collect()}
+def rarest_first(windows: DataFrame, index: DataFrame) -> DataFrame:
+    """wid, terms (from the rarest in the index to the most frequent), offsets (where each stands); only of windows whose words
+    the index has all."""
+    terms = windows.select("wid", F.size("words").alias("size"), F.posexplode("words").alias("offset", "term"))
+    counts = materialize(term_counts(index, materialize(terms.select("term").distinct(), "item-terms")), "term-counts")
+    each = checked_join(terms, counts, "term", "inner", row_bytes=64)
+    whole = each.groupBy("wid", "size").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by")).where(F.size("by") == F.col("size"))
+    return whole.select("wid", F.col("by.term").alias("terms"), F.col("by.offset").alias("offsets"))
+
+
+class _Block:
+    """Windows in the form in which a segment is searched for them."""
+
+    def __init__(self, wid: list[int], terms: list[list[str]], offsets: list[list[int]]):
+        number = _Numbers()
+        self.wid, self.size = np.array(wid, np.int64), np.array([len(t) for t in terms], np.int64)
+        longest = int(self.size.max(initial=0))
+        self.word, self.offset = np.full((len(wid), longest), -1, np.int64), np.zeros((len(wid), longest), np.int64)
+        for k, (t, o) in enumerate(zip(terms, offsets)):
+            self.word[k, : len(t)], self.offset[k, : len(t)] = [number[x] for x in t], o
+        self.vocabulary = dict(number)
 
 
 def _hits(row: dict, block: _Block, slop: int):
@@ -170,58 +196,104 @@ def _hits(row: dict, block: _Block, slop: int):
         yield window, start, doc
 
 
+FOUND = "segment string, ord int, found array<struct<wid:bigint,start:bigint,end:bigint>>"
+
+
+def _search_segment(segment: str, arrays: dict, block: _Block, slop: int) -> pa.RecordBatch:
+    """A row for each document of the segment that has a window: its place and the windows found, with their words."""
+    hits = [h for h in _hits(arrays, block, slop)] or [(np.empty(0, np.int64),) * 3]
+    window, start, doc = (np.concatenate(x) for x in zip(*hits))
+    start = start - arrays["starts"][doc]
+    low, end = np.maximum(start - slop, 0), np.minimum(start + block.size[window] + slop, arrays["n_words"][doc])
+    order = np.lexsort((low, doc))
+    docs, first = np.unique(doc[order], return_index=True)
+    rows = pa.StructArray.from_arrays([pa.array(block.wid[window[order]]), pa.array(low[order]), pa.array(end[order])], ["wid", "start", "end"])
+    found = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), rows)
+    return pa.RecordBatch.from_arrays([pa.array([segment] * len(docs), pa.string()), pa.array(docs, pa.int32()), found], ["segment", "ord", "found"])
+
+
+_SEGMENT = ["segment", "n_words", "starts", "terms", "ends", "positions"]
+
+
+def _arrays(table, k: int) -> tuple[str, dict]:
+    row = {n: table.column(n)[k] for n in _SEGMENT}
+    arrays = {n: row[n].values.to_numpy() for n in ("n_words", "starts", "ends")}
+    return row["segment"].as_py(), arrays | {"terms": row["terms"].values.to_pylist(), "positions": row["positions"].as_py()}
+
+
+def matches(index: DataFrame, ordered: DataFrame, slop: int = 0) -> DataFrame:
+    """segment, ord, found: the windows (wid, start, end) in each document that has some; ord: its place in the segment. A document
+    may have several rows. ordered: as rarest_first() has it."""
+    ordered = materialize(ordered, "ordered-windows")
+    weight = F.aggregate("terms", F.lit(32).cast("long"), lambda a, t: a + F.octet_length(t) + 24)
+    size = ordered.agg(F.sum(weight)).first()[0] or 0
+    if size <= BLOCK_BYTES:
+        rows = ordered.collect()
+        shared = index.sparkSession.sparkContext.broadcast(_Block([r.wid for r in rows], [r.terms for r in rows], [r.offsets for r in rows]))
+
+        def run(batches):
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    yield _search_segment(*_arrays(batch, k), shared.value, slop)
+
+        return index.select(*_SEGMENT).mapInArrow(run, FOUND)
+
+    rare = ordered.select("wid", weight.alias("w"), F.get("terms", F.lit(0)).alias("term"))
+    terms = index.select("segment", F.explode("terms").alias("term"))
+    held = materialize(terms.join(rare, "term").select("segment", "wid", "w"), "segment-windows")
+    most = held.groupBy("segment").agg(F.sum("w").alias("w")).agg(F.max("w")).first()[0] or 0
+    parts = max(1, math.ceil(most / BLOCK_BYTES))
+    held = held.select("segment", "wid", F.pmod("wid", F.lit(parts)).alias("part")).join(ordered, "wid")
+    segments = index.select(*_SEGMENT, F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")).alias("part"))
+
+    def meet(windows: pa.Table, segment: pa.Table) -> pa.Table:
+        if not windows.num_rows or not segment.num_rows:
+            return pa.Table.from_batches([_search_segment("", {"n_words": np.zeros(0, int), "starts": np.zeros(0, int), "ends": np.zeros(0, int), "terms": [], "positions": b""}, _Block([], [], []), slop)])
+        segment = segment.combine_chunks()
+        block = _Block(*(windows.column(c).to_pylist() for c in ("wid", "terms", "offsets")))
+        return pa.Table.from_batches([_search_segment(*_arrays(segment, 0), block, slop)])
+
+    return held.groupBy("segment", "part").cogroup(segments.groupBy("segment", "part")).applyInArrow(meet, FOUND)
+
+
+def joined_spans(spans):
+    """(start, end) spans, sorted, with those that meet or overlap made one."""
+    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def add(got, x):
+        last = F.element_at(got, -1)
+        return F.when(F.size(got) == 0, F.array(x)).when(x["start"] <= last["end"], F.concat(F.slice(got, F.lit(1), F.size(got) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))).otherwise(F.concat(got, F.array(x)))
+
+    return F.aggregate(spans, empty, add)
+
+
 def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
     """segment, ord, doc_id, item_id, spans: for each document and item that match, the spans of words that do.
 
-    items: item_id, text. ord: the document's place in its segment. spans: array of (start, end), in words, end exclusive.
+    items: item_id, text. spans: array of (start, end), in words, end exclusive.
     """
-    spark = index.sparkSession
-    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.length("text") + 16)).first()[0] or 0
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    schema = f"segment string, ord int, doc_id {kind}, item_id string, spans array<struct<start:bigint,end:bigint>>"
-    out = None
-    for b in range(blocks):
-        block = _Block([(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()], window)
-        block.order(_term_counts(index, spark.sparkContext.broadcast(block)))
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            block = shared.value
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    row = {n: batch.column(i)[k] for i, n in enumerate(batch.schema.names)}
-                    arrays = {n: row[n].values.to_numpy() for n in ("n_words", "starts", "ends")}
-                    arrays |= {"terms": row["terms"].values.to_pylist(), "positions": row["positions"].as_py()}
-                    spans: dict[tuple[int, str], list] = {}
-                    for w, s, d in _hits(arrays, block, slop):
-                        by = np.lexsort((s, d))
-                        for window, start, doc in zip(w[by].tolist(), (s - arrays["starts"][d])[by].tolist(), d[by].tolist()):
-                            for item in block.items[window]:
-                                got = spans.setdefault((doc, item), [])
-                                low, end = max(start - slop, 0), min(start + int(block.size[window]) + slop, int(arrays["n_words"][doc]))
-                                if got and got[-1]["start"] <= low <= got[-1]["end"]:
-                                    got[-1]["end"] = max(got[-1]["end"], end)
-                                else:
-                                    got.append({"start": low, "end": end})
-                    ids, segment = row["doc_ids"].values, row["segment"].as_py()
-                    fields = [("segment", pa.string()), ("ord", pa.int32()), ("doc_id", ids.type), ("item_id", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-                    yield pa.RecordBatch.from_pylist([{"segment": segment, "ord": d, "doc_id": ids[d].as_py(), "item_id": i, "spans": x} for (d, i), x in spans.items()], schema=pa.schema(fields))
-
-        found = index.select("segment", "doc_ids", "n_words", "starts", "terms", "ends", "positions").mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    windows, owners = item_windows(items, window)
+    found = matches(index, rarest_first(windows, index), slop).select("segment", "ord", F.inline("found"))
+    found = checked_join(found, materialize(owners, "owners"), "wid", "inner", row_bytes=64)
+    found = found.groupBy("segment", "ord", "item_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
+    ids = index.select("segment", F.posexplode("doc_ids").alias("ord", "doc_id"))
+    return found.select("segment", "ord", "item_id", joined_spans("s").alias("spans")).join(ids, ["segment", "ord"]).select("segment", "ord", "doc_id", "item_id", "spans")
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit (words inside a match), items (sorted ids), contaminated for each document."""
-    index = build_index(docs)
+    index = build_index(docs, segment_words)
     every = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("ord", "d")).select("segment", "ord", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").alias("n_words"))
-    by_doc = materialize(search(index, items, window), "phrase-matches").groupBy("segment", "ord").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("s"))
+    windows, owners = item_windows(items, window)
+    found = materialize(matches(index, rarest_first(windows, index)), "phrase-matches")
+    of = checked_join(found.select("segment", "ord", F.explode("found.wid").alias("wid")).distinct(), materialize(owners, "owners"), "wid", "inner", row_bytes=64)
+    of = of.groupBy("segment", "ord").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    spans = F.transform(F.flatten(F.collect_list("found")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    by_doc = found.groupBy("segment", "ord").agg(F.sort_array(spans).alias("s"))
     covered = F.aggregate(
         "s", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
         lambda a, x: F.struct((a["n"] + F.greatest(x["end"] - F.greatest(x["start"], a["to"]), F.lit(0))).alias("n"), F.greatest(a["to"], x["end"]).alias("to")),
     )["n"]
-    joined = every.join(by_doc.select("segment", "ord", "items", covered.alias("n_hit")), ["segment", "ord"], "left")
+    hits = materialize(by_doc.select("segment", "ord", covered.alias("n_hit")).join(of, ["segment", "ord"]), "contaminated")
+    joined = every.join(hits, ["segment", "ord"], "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
