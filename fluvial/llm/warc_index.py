@@ -5,20 +5,27 @@ writer puts out header, HTTP header and payload, and its line separator is the t
 Records with equal payloads become revisits of the one with the smallest page_id.
 
 build_index() scans the archives in a stream, record by record, sorts the captures by reversed-host URL key, compresses
-them in blocks of BLOCK_LINES lines, and keeps a sparse directory of each block's first and last key. lookup() searches
-the directory, then by bisection the block, and only then reads the byte ranges of the records it found. read_back()
-goes through all blocks and reads each record's range.
+them in blocks of BLOCK_LINES lines, and keeps a sparse directory of each block's first and last key, in pages, of which a
+root has the first key: ROOT_PAGES of KEY_CHARS characters at most, whatever the size of the index. lookup() searches the
+root by bisection, then the pages, then the blocks; keys meet pages and blocks in joins by number. Only then fetch() reads
+the byte ranges of the records found, in as many tasks as their bytes need.
+
+Files are opened by pyarrow, where it knows the scheme, and ranges are read from them. For all other schemes Spark reads
+the files, one by one, and ranges are cut from them in memory.
 
 Null html: an empty payload. Null url: the key "". Null page_id: a record without Page-Id; it never is the one that
 others revisit unless all of its copies lack an id, and then all are responses. Rows with equal page_id and payload are
-all responses if that page_id is the smallest. Other columns are ignored, whatever their names. Memory: a record, a block.
+all responses if that page_id is the smallest. No pages: no records. Very long payloads are written and read whole. Other
+columns are ignored, whatever their names. Memory: a record, a block, a page of the directory.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import contextlib
 import hashlib
+import math
 import re
 import zlib
 from urllib.parse import urlsplit
@@ -31,7 +38,11 @@ from pyspark.sql import functions as F
 from fluvial.common import materialize, shared_path, skew_join, small_enough
 
 BLOCK_LINES = 512
+PAGE_BLOCKS = 64
+ROOT_PAGES, KEY_CHARS = 1 << 16, 256
 READ = 1 << 20
+#: Bytes of records that a task of fetch() reads.
+PART_BYTES = 32 << 20
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = "key string, page_id string, record_type string, digest string, path string, offset bigint, length bigint"
@@ -46,8 +57,9 @@ def base32_sha1(data: Column) -> Column:
 
 def url_key(url: str) -> str:
     """Reversed host, path and query: com,example)/a?b=1. Scheme, user, port, a leading www. and the fragment go."""
+    url = re.sub(r"[\r\n]", "", url).strip()  # as the archive has it
     try:
-        p = urlsplit(url.strip())
+        p = urlsplit(url)
         host = (p.hostname or "").lower().removeprefix("www.")
     except ValueError:
         return url
@@ -91,9 +103,41 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     classify(pages, min_bytes).select(record(date).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def _open(path: str):
-    path = re.sub(r"^file:/+", "file:///", path)
-    fs, inside = pyarrow.fs.FileSystem.from_uri(path) if ":" in path else (pyarrow.fs.LocalFileSystem(), path)
+def _file_system(path: str):
+    """pyarrow's file system for a path as Spark has it, and the path in it."""
+    path = re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", path))
+    return pyarrow.fs.FileSystem.from_uri(path) if ":" in path else (pyarrow.fs.LocalFileSystem(), path)
+
+
+def reads_ranges(path: str) -> bool:
+    """Whether pyarrow can open files there."""
+    try:
+        _file_system(path)
+        return True
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+
+
+class _Held:
+    """A file in memory."""
+
+    def __init__(self, data: bytes):
+        self.data = memoryview(data)
+
+    def size(self) -> int:
+        return len(self.data)
+
+    def read_at(self, n: int, at: int) -> bytes:
+        return bytes(self.data[at : at + n])
+
+    def close(self) -> None:
+        pass
+
+
+def _open(path: str, data: bytes | None = None):
+    if data is not None:
+        return _Held(data)
+    fs, inside = _file_system(path)
     return fs.open_input_file(inside)
 
 
@@ -105,9 +149,9 @@ def header_fields(head: bytes) -> dict[str, str]:
     return out
 
 
-def scan_archive(path: str):
+def scan_archive(path: str, data: bytes | None = None):
     """(offset, length, fields) of each record of a file, read in pieces of READ bytes; blocks are skipped over."""
-    with _open(path) as f:
+    with contextlib.closing(_open(path, data)) as f:
         size, at, held, start = f.size(), 0, b"", 0
         while at < size:
             if start > at or at >= start + len(held):
@@ -125,18 +169,20 @@ def scan_archive(path: str):
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).where("length > 0").select("path")
+    """path and content, null where ranges of the file can be read."""
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    return files.select("path", F.lit(None).cast("binary").alias("content")) if reads_ranges(path) else files.select("path", "content")
 
 
 def build_index(spark: SparkSession, archives: str, path: str, block_lines: int = BLOCK_LINES) -> None:
-    """Blocks under path/blocks, the directory under path/directory."""
+    """Blocks under path/blocks, the directory under path/directory, its root under path/root."""
 
     def scan(batches):
         for batch in batches:
-            for file in batch.column(0).to_pylist():
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = []
-                for offset, length, x in scan_archive(file):
-                    rows.append((url_key(x.get("warc-target-uri", "")), x.get("page-id", ""), x["warc-type"], x["warc-payload-digest"], file, offset, length))
+                for offset, length, x in scan_archive(file, data.as_py()):
+                    rows.append((_plain(url_key(x.get("warc-target-uri", ""))), x.get("page-id", ""), x["warc-type"], x["warc-payload-digest"], file, offset, length))
                     if len(rows) == 5000:
                         yield _captures(rows)
                         rows = []
@@ -154,12 +200,14 @@ def build_index(spark: SparkSession, archives: str, path: str, block_lines: int
             yield _block(lines)
 
     captures = materialize(archive_files(spark, archives).mapInArrow(scan, CAPTURE), "warc-captures")
-    n = max(1, captures.count() // (64 * block_lines))
+    n = min(ROOT_PAGES, max(1, captures.count() // (PAGE_BLOCKS * block_lines)))
     order = ["key", "page_id", "path", "offset"]
     blocks = captures.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(pack, "first_key string, last_key string, n bigint, data binary")
-    blocks = blocks.withColumn("block", F.monotonically_increasing_id())
-    blocks.write.parquet(f"{path}/blocks")
-    spark.read.parquet(f"{path}/blocks").select("block", "first_key", "last_key", "n").write.parquet(f"{path}/directory")
+    # a page of the directory is what one task has packed
+    blocks.select(F.spark_partition_id().alias("page"), F.monotonically_increasing_id().alias("block"), "*").write.parquet(f"{path}/blocks")
+    spark.read.parquet(f"{path}/blocks").select("page", "block", "first_key", "last_key", "n").write.parquet(f"{path}/directory")
+    root = spark.read.parquet(f"{path}/directory").groupBy("page").agg(F.substring(F.min("first_key"), 1, KEY_CHARS).alias("first_key"))
+    root.write.parquet(f"{path}/root")
 
 
 def _captures(rows: list) -> pa.RecordBatch:
@@ -168,8 +216,8 @@ def _captures(rows: list) -> pa.RecordBatch:
 
 
 def _block(lines: list) -> pa.RecordBatch:
-    data = zlib.compress("\n".join("\t".join(map(str, x)) for x in ((_plain(r[0]), *r[1:]) for r in lines)).encode("utf-8", "surrogatepass"))
-    return pa.RecordBatch.from_arrays([pa.array([_plain(lines[0][0])]), pa.array([_plain(lines[-1][0])]), pa.array([len(lines)]), pa.array([data], pa.binary())], ["first_key", "last_key", "n", "data"])
+    data = zlib.compress("\n".join("\t".join(map(str, x)) for x in lines).encode("utf-8", "surrogatepass"))
+    return pa.RecordBatch.from_arrays([pa.array([lines[0][0]]), pa.array([lines[-1][0]]), pa.array([len(lines)]), pa.array([data], pa.binary())], ["first_key", "last_key", "n", "data"])
 
 
 def _plain(key: str) -> str:
@@ -181,75 +229,111 @@ def _unpack(data: bytes) -> list[tuple]:
     return [(*r[:5], int(r[5]), int(r[6])) for r in rows]
 
 
-def captures(spark: SparkSession, index: str) -> DataFrame:
-    """All captures, from the blocks."""
+def lookup(spark: SparkSession, index: str, urls: DataFrame) -> DataFrame:
+    """The captures of urls (one column, url), each once: root, directory and blocks are searched by bisection.
+
+    Keys are joined with the pages of the directory, and then with the blocks, that may have them; a block is unpacked once.
+    """
+    root = sorted((r.first_key, r.page) for r in spark.read.parquet(f"{index}/root").collect())  # ROOT_PAGES rows at most
+    shared = spark.sparkContext.broadcast(([k for k, _ in root], [p for _, p in root]))
 
-    def run(batches):
+    def to_pages(batches):
+        firsts, pages = shared.value
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                yield _captures(_unpack(data))
+            keys = sorted({_plain(url_key(u or "")) for u in batch.column(0).to_pylist()})
+            rows = []
+            for k in keys:
+                short = k[:KEY_CHARS]
+                low, high = bisect.bisect_left(firsts, short), bisect.bisect_right(firsts, short)
+                rows += [(pages[i], k) for i in range(max(low - 1, 0), high)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([k for _, k in rows], pa.string())], ["page", "key"])
+
+    def to_blocks(wanted: pa.Table, directory: pa.Table) -> pa.Table:
+        directory = directory.sort_by("block")
+        firsts, lasts, blocks = (directory.column(c).to_pylist() for c in ("first_key", "last_key", "block"))
+        rows = [(blocks[i], k) for k in wanted.column("key").to_pylist() for i in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k))]
+        return pa.table({"block": pa.array([b for b, _ in rows], pa.int64()), "key": pa.array([k for _, k in rows], pa.string())})
+
+    def to_lines(wanted: pa.Table, block: pa.Table) -> pa.Table:
+        lines = _unpack(block.column("data")[0].as_py()) if wanted.num_rows and block.num_rows else []
+        names = [x[0] for x in lines]
+        return pa.Table.from_batches([_captures([x for k in wanted.column("key").to_pylist() for x in lines[bisect.bisect_left(names, k) : bisect.bisect_right(names, k)]])])
+
+    keys = urls.select("url").distinct().mapInArrow(to_pages, "page int, key string").distinct()
+    directory = spark.read.parquet(f"{index}/directory").select("page", "block", "first_key", "last_key")
+    found = keys.groupBy("page").cogroup(directory.groupBy("page")).applyInArrow(to_blocks, "block bigint, key string")
+    blocks = spark.read.parquet(f"{index}/blocks").select("block", "data")
+    return found.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(to_lines, CAPTURE)
 
-    return spark.read.parquet(f"{index}/blocks").select("data").mapInArrow(run, CAPTURE)
 
+def _record(data: bytes, with_payload: bool) -> tuple:
+    head, _, block = data.partition(END.encode())
+    x = header_fields(head)
+    http, _, payload = block.partition(END.encode())
+    size, digest = int(header_fields(http)["content-length"]), x["warc-payload-digest"].removeprefix("sha1:")
+    if x["warc-type"] == "response":
+        size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return x.get("page-id"), size, digest, x["warc-type"], x.get("refers-to-page-id"), payload if with_payload else None
 
-def lookup(spark: SparkSession, index: str, urls: DataFrame) -> DataFrame:
-    """The captures of urls (one column, url): the directory gives each URL's blocks, bisection its lines in them.
 
-    The directory goes to the URLs by a range condition, broadcast if it is small; each block is unpacked once.
-    """
-    keyed = urls.select("url").distinct().mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([_plain(url_key(u or "")) for u in b.column(0).to_pylist()], pa.string())], ["wanted"]) for b in batches), "wanted string").distinct()
-    directory = spark.read.parquet(f"{index}/directory").select("block", "first_key", "last_key")
-    found = keyed.join(F.broadcast(directory) if small_enough(directory, 300) else directory, (F.col("wanted") >= F.col("first_key")) & (F.col("wanted") <= F.col("last_key")))
-    blocks = spark.read.parquet(f"{index}/blocks").select("block", "data")
-    wanted = found.groupBy("block").agg(F.collect_set("wanted").alias("wanted")).join(blocks, "block")
+def _records(rows: list) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    def run(batches):
-        for batch in batches:
-            for keys, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = _unpack(data)
-                names = [r[0] for r in rows]
-                yield _captures([r for k in sorted(keys) for r in rows[bisect.bisect_left(names, k) : bisect.bisect_right(names, k)]])
 
-    return wanted.select("wanted", "data").mapInArrow(run, CAPTURE)
+RECORD = "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary"
+#: Payloads of so many bytes are put out together.
+OUT_BYTES = 8 << 20
 
 
-def fetch(found: DataFrame, with_payload: bool = False) -> DataFrame:
+def fetch(found: DataFrame, with_payload: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
     """Read the byte range of each capture and parse the record: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Captures are dealt out by file and offset, so a task reads neighbouring ranges of few files. Digest and size of a
-    response are computed from the payload read, those of a revisit stand in its headers.
+    Captures are dealt out by file and offset, so a task reads neighbouring ranges of few files, about part_bytes in all.
+    Digest and size of a response are computed from the payload read, those of a revisit stand in its headers.
     """
+    spark = found.sparkSession
+    found = materialize(found.select("path", "offset", "length"), "warc-found")
+    stats = found.agg(F.sum("length").alias("bytes"), F.min("path").alias("path")).first()
 
     def run(batches):
         at, file = None, None
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for path, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
                 if path != at:
                     if file:
                         file.close()
                     at, file = path, _open(path)
-                head, _, block = file.read_at(length, offset).partition(END.encode())
-                x = header_fields(head)
-                http, _, payload = block.partition(END.encode())
-                size, digest = int(header_fields(http)["content-length"]), x["warc-payload-digest"].removeprefix("sha1:")
-                if x["warc-type"] == "response":
-                    size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                rows.append((x.get("page-id"), size, digest, x["warc-type"], x.get("refers-to-page-id"), payload if with_payload else None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                rows.append(_record(file.read_at(length, offset), with_payload))
+                held += length * with_payload
+                if held >= OUT_BYTES:
+                    yield _records(rows)
+                    rows, held = [], 0
+            yield _records(rows)
         if file:
             file.close()
 
-    dealt = found.select("path", "offset", "length").repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
-    out = dealt.mapInArrow(run, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary")
+    def cut(ranges: pa.Table, files: pa.Table) -> pa.Table:
+        if not ranges.num_rows or not files.num_rows:
+            return pa.Table.from_batches([_records([])])
+        file = _Held(files.column("content")[0].as_py())
+        return pa.Table.from_batches([_records([_record(file.read_at(n, at), with_payload) for at, n in zip(*(ranges.column(c).to_pylist() for c in ("offset", "length")))])])
+
+    if stats.path is None or reads_ranges(stats.path):
+        dealt = found.repartitionByRange(max(1, math.ceil((stats.bytes or 0) / part_bytes)), "path", "offset").sortWithinPartitions("path", "offset")
+        out = dealt.mapInArrow(run, RECORD)
+    else:
+        files = spark.read.format("binaryFile").load(stats.path.rsplit("/", 1)[0]).select("path", "content")
+        out = found.groupBy("path").cogroup(files.groupBy("path")).applyInArrow(cut, RECORD)
     return out if with_payload else out.drop("payload")
 
 
 def archive_and_read(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write pages as archives to the shared folder, index them, and read each record back through the index."""
+    """Write pages as archives to the shared folder, index them, look up the URLs of all pages and read their records back."""
     spark = pages.sparkSession
     archives, index = shared_path(spark, "archives"), shared_path(spark, "capture-index")
     write_archives(pages, archives, min_bytes)
     build_index(spark, archives, index)
     kind = pages.schema["page_id"].dataType
-    return fetch(captures(spark, index)).withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
+    return fetch(lookup(spark, index, pages)).withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})

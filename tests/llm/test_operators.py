@@ -165,13 +165,12 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.contamination(docs, items.limit(0)).where("contaminated").count() == 0
 
 
-def test_decontaminate_blocks_and_segments(spark, docs, monkeypatch):
+def test_decontaminate_many_windows_and_segments(spark, docs, monkeypatch):
+    """Windows that aren't broadcast, in several parts, and small segments."""
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 64)
-    monkeypatch.setattr(decontaminate, "SEGMENT_WORDS", 50)
-    monkeypatch.setattr(decontaminate, "CANDIDATES", 3)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 700)
     want = brute.contamination(brute.DOCS, [("" if i is None else i, t) for i, t in ITEMS])
-    got = decontaminate.contamination(docs, items)
+    got = decontaminate.contamination(docs, items, segment_words=50)
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got.collect()) == Counter((*w[:3], tuple(w[3])) for w in want)
 
 
@@ -181,6 +180,9 @@ def test_proximity(spark):
     items = spark.createDataFrame([(7, "red fox runs")], "item_id bigint, text string")
     assert [r.doc_id for r in decontaminate.search(index, items).collect()] == [1]
     assert sorted(r.doc_id for r in decontaminate.search(index, items, slop=1).collect()) == [1, 2]
+    again = spark.createDataFrame([(7, "a b"), (8, "b c")], "item_id bigint, text string")
+    index = decontaminate.build_index(spark.createDataFrame([(1, "a b a b x a b c")], "doc_id bigint, text string"))
+    assert {(r.item_id, tuple(map(tuple, r.spans))) for r in decontaminate.search(index, again).collect()} == {("7", ((0, 4), (5, 7))), ("8", ((6, 8),))}
 
 
 # -- 5 -----------------------------------------------------------------------------------------------------------------
@@ -434,9 +436,12 @@ def test_warc_round_trip(spark):
         want[page_id, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), kind, None if kind == "response" else first] += 1
     assert rows(got, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
     assert warc_index.archive_and_read(_pages(spark).limit(0)).count() == 0
+    odd = [(1, "  no host\t", "x" * 3_000_000), (2, None, "a"), (3, "http://h.example/\r\n?q", "b"), (4, "no host", "c"), (None, "\t", None)]
+    got = warc_index.archive_and_read(spark.createDataFrame(odd, "page_id bigint, url string, html string"))
+    assert Counter((r.page_id, r.payload_bytes) for r in got.collect()) == Counter((p, len(h or "")) for p, _, h in odd)
 
 
-def test_warc_lookup(spark, tmp_path):
+def test_warc_lookup(spark, tmp_path, monkeypatch):
     path = str(tmp_path)
     warc_index.write_archives(_pages(spark), f"{path}/warc", min_bytes=5, records_per_file=2)
     warc_index.build_index(spark, f"{path}/warc", f"{path}/index", block_lines=2)
@@ -445,6 +450,13 @@ def test_warc_lookup(spark, tmp_path):
     assert Counter(r.page_id for r in found.collect()) == Counter({"9": 1, "12": 2, "2": 1, "11": 1})
     read = {r.page_id: r for r in warc_index.fetch(found, with_payload=True).collect()}
     assert read["2"].payload == b"<p>one</p>" and read["11"].payload.decode().endswith("é漢") and read["9"].record_type == "response"
+    monkeypatch.setattr(warc_index, "PAGE_BLOCKS", 1)
+    monkeypatch.setattr(warc_index, "reads_ranges", lambda path: False)  # a scheme that only Spark knows
+    warc_index.build_index(spark, f"{path}/warc", f"{path}/index2", block_lines=1)
+    assert spark.read.parquet(f"{path}/index2/root").count() > 1
+    again = warc_index.lookup(spark, f"{path}/index2", wanted.unionByName(spark.createDataFrame([("http://a.example.org/ \n",)], "url string")))
+    assert Counter(r.page_id for r in again.collect()) == Counter(r.page_id for r in found.collect())
+    assert {r.page_id: r.payload for r in warc_index.fetch(again, with_payload=True).collect()} == {i: r.payload for i, r in read.items()}
     for file in tmp_path.glob("warc/*.txt"):
         for offset, length, fields in warc_index.scan_archive(str(file)):
             data = file.read_bytes()[offset : offset + length]
