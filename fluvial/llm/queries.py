@@ -49,7 +49,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii_crf.find(docs, pii_crf.train(docs))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return done.select("doc_id", *map(count, pii_crf.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return done.select("doc_id", *map(count, pii_crf.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

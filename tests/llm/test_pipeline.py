@@ -64,6 +64,7 @@ def test_pii_query(spark):
         base = brute.base_spans(texts[r.doc_id])
         text = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest() and set(text.split(",")) <= {*r.spans.split(","), ""}
+        assert r.n_spans == len([x for x in r.spans.split(",") if x])
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b[0] == k for b in base) for k in ("email", "ip", "card", "phone")]
 
 
