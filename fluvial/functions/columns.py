@@ -194,3 +194,26 @@ def seasons_of(date) -> Column:
 def half_year(date) -> Column:
     m = F.month(col(date))
     return F.when(m.isin(12, 1, 2, 3, 4, 5), "Dec-May").when(m.isin(6, 7, 8, 9), "Jun-Sep").otherwise("Other")
+
+
+def month_name(date) -> Column:
+    """January to December."""
+    return F.date_format(col(date), "MMMM")
+
+
+def gauge_of_location(reference, uri, link) -> Column:
+    """The gauge of a network location: what follows gages- in the URI of a reference to gages, else a link of digits only."""
+    named = (col(reference) == "gages") & F.coalesce(col(uri), F.lit("")).startswith("gages-")
+    return F.when(named, F.replace(col(uri), F.lit("gages-"), F.lit(""))).when(col(link).rlike("^[0-9]+$"), col(link))
+
+
+def channel_names(variable: str, coordinates: dict[str, list]) -> list[str]:
+    """A name for each combination of the coordinates of a variable's leading dimensions: those of the last one vary fastest.
+    A dimension without coordinates (a number instead of a list) counts from 0."""
+    import itertools
+
+    if not coordinates:
+        return [variable]
+    text = lambda v: str(v).replace(" ", "_").replace(".", "p")
+    parts = [[f"{d}{k}" for k in range(c)] if isinstance(c, int) else [f"{d}_{text(v)}" for v in c] for d, c in coordinates.items()]
+    return [f"{variable}__{'__'.join(p)}" for p in itertools.product(*parts)]

@@ -33,10 +33,13 @@ def distribution(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> Dat
 def quartiles(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """q1, median, q3 and whiskers at 1.5 times their distance, within the data."""
     x = finite(value)
-    q = df.groupBy(*by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.sort_array(F.collect_set(x)).alias("v"))
-    q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(2))
-    low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-    return q.select(*by, q1.alias("q1"), F.get("q", F.lit(1)).alias("median"), q3.alias("q3"), F.array_min(F.filter("v", lambda x: x >= low)).alias("low"), F.array_max(F.filter("v", lambda x: x <= high)).alias("high"))
+    q = df.groupBy(*by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = q.select(*by, F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"))
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    one = F.lit(1).alias("_one")
+    j = (df.join(q, list(by)) if by else df.select("*", one).join(F.broadcast(q.select("*", one)), "_one")).withColumn("_x", x)  # without groups q is one row
+    inside = F.min(F.when(F.col("_x") >= F.col("q1") - reach, F.col("_x"))).alias("low"), F.max(F.when(F.col("_x") <= F.col("q3") + reach, F.col("_x"))).alias("high")
+    return j.groupBy(*by, "q1", "median", "q3").agg(*inside).select(*by, "q1", "median", "q3", "low", "high")
 
 
 def flow_duration(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

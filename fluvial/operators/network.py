@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,16 +180,27 @@ def accumulate(nodes: DataFrame, next_of: DataFrame, upstream: Sequence[str] = (
     nodes: node and the columns; next_of: node, next. In round k every node has the sums over fewer than 2 ** k steps and
     its 2 ** k-th successor. A cycle never runs out of successors; after max_rounds rounds that is an error.
     """
+    ups, downs = [f"up_{c}" for c in upstream], [f"down_{c}" for c in downstream]
     cols = [*[F.coalesce(col(c), F.lit(0.0)).cast("double").alias(f"up_{c}") for c in upstream], *[F.coalesce(col(c), F.lit(0.0)).cast("double").alias(f"down_{c}") for c in downstream]]
     state = materialize(nodes.select("node", *cols).join(next_of, "node", "left"), "flow")
-    ups, downs = [f"up_{c}" for c in upstream], [f"down_{c}" for c in downstream]
+    late = []  # what still arrives at nodes, round by round; those that have reached the outlet take part in no join
+    done = state.where("next IS NULL").select("node", *ups, *downs)
+    running = state.where("next IS NOT NULL")
     for _ in range(max_rounds):
-        if state.where("next IS NOT NULL").isEmpty():
-            return state.drop("next")
-        arriving = state.where("next IS NOT NULL").groupBy(F.col("next").alias("node")).agg(*[F.sum(c).alias(f"_{c}") for c in ups], F.lit(1).alias("_"))
-        ahead = state.select(F.col("node").alias("next"), *[F.col(c).alias(f"_{c}") for c in downs], F.col("next").alias("_next"))
-        s = state.join(arriving, "node", "left").join(ahead, "next", "left")
-        state = materialize(s.select("node", *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in [*ups, *downs]], F.col("_next").alias("next")), "flow")
+        if running.isEmpty():
+            out = done
+            if ups and late:
+                more = reduce(lambda a, b: a.unionByName(b), late).groupBy("node").agg(*[F.sum(f"_{c}").alias(f"_{c}") for c in ups])
+                out = done.join(more, "node", "left").select("node", *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in ups], *downs)
+            return out
+        arriving = materialize(running.groupBy(F.col("next").alias("node")).agg(*[F.sum(c).alias(f"_{c}") for c in ups], F.lit(1).alias("_")).drop("_"), "flow")
+        ahead = done.withColumn("_next", F.lit(None).cast(state.schema["next"].dataType)).unionByName(running.withColumnRenamed("next", "_next"))
+        ahead = ahead.select(F.col("node").alias("next"), *[F.col(c).alias(f"_{c}") for c in downs], "_next")
+        if ups:
+            late.append(arriving.join(running.select("node"), "node", "left_anti"))
+        s = running.join(arriving, "node", "left").join(ahead, "next", "left")
+        s = materialize(s.select("node", *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in [*ups, *downs]], F.col("_next").alias("next")), "flow")
+        running, done = s.where("next IS NOT NULL"), done.unionByName(s.where("next IS NULL").drop("next"))
     raise ValueError("the network has a cycle")
 
 
@@ -295,13 +308,13 @@ def line_links(visits: DataFrame, lines: DataFrame, line: str = "line", order: s
 
 
 def densify_lines(lines: DataFrame, step: float, points: str = "points", line: str = "line") -> DataFrame:
-    """line, pos, x, y: the points (structs x, y) of each line and as many between as keep steps at most `step` long."""
+    """line, pos (a struct, in order), x, y: the points (structs x, y) of each line and as many between as keep steps at most `step` long."""
     d = lines.select(line, F.posexplode(points).alias("i", "a"), F.col(points).alias("_p")).withColumn("b", F.get("_p", F.col("i") + 1)).drop("_p")
     length = F.sqrt(F.pow(F.col("b.x") - F.col("a.x"), F.lit(2)) + F.pow(F.col("b.y") - F.col("a.y"), F.lit(2)))
     n = F.greatest(F.ceil(F.coalesce(length, F.lit(0.0)) / step), F.lit(1)).cast("int")
     d = d.withColumn("n", F.when(F.col("b").isNull(), 1).otherwise(n)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     at = lambda c: F.col(f"a.{c}") + F.coalesce(F.col(f"b.{c}") - F.col(f"a.{c}"), F.lit(0.0)) * F.col("k") / F.col("n")
-    return d.select(line, (F.col("i") * F.lit(1_000_000).cast("bigint") + F.col("k")).alias("pos"), at("x").alias("x"), at("y").alias("y"))
+    return d.select(line, F.struct("i", "k").alias("pos"), at("x").alias("x"), at("y").alias("y"))
 
 
 # -- nearest cells and gauges ------------------------------------------------------------------------------------------
@@ -340,8 +353,19 @@ def nearest_on_axis(points: DataFrame, axis: DataFrame, value: str, coordinate:
     """points with the nearest coordinate of an axis table; of two equally near ones the lower. The axis is one array, sorted;
     it has as many entries as the grid has rows or columns."""
     a = axis.agg(F.sort_array(F.collect_set(coordinate)).alias("_axis")).scalar()
-    near = F.array_min(F.transform("_axis", lambda c: F.struct(F.abs(c - F.col(value)).alias("d"), c.alias("c"))))["c"]
-    return points.withColumn("_axis", a).withColumn(coordinate, near).drop("_axis")
+    steps = 32  # halvings of an array of any length
+
+    def halve(s, _):
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = F.get("_axis", middle) <= F.col(value)
+        return F.struct(F.when(s["hi"] - s["lo"] <= 1, s["lo"]).when(right, middle).otherwise(s["lo"]).alias("lo"), F.when(s["hi"] - s["lo"] <= 1, s["hi"]).when(right, s["hi"]).otherwise(middle).alias("hi"))
+
+    begin = F.struct(F.lit(0).alias("lo"), F.size("_axis").alias("hi"))
+    low = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, halve)["lo"]
+    d = points.withColumn("_axis", a).withColumn("_lo", low)
+    below, above = F.get("_axis", F.col("_lo")), F.get("_axis", F.col("_lo") + 1)
+    near = F.when(above.isNull() | (F.abs(F.col(value) - below) <= F.abs(above - F.col(value))), below).otherwise(above)
+    return d.withColumn(coordinate, near).drop("_axis", "_lo")
 
 
 def match_gauges(gauges: DataFrame, order: DataFrame, gauge: str = "gauge_id") -> DataFrame:
@@ -406,7 +430,3 @@ def median_spacing(cells: DataFrame, axis: str) -> DataFrame:
     """spacing: the median distance of neighbouring coordinates of a grid's axis (as many as it has rows or columns)."""
     c = cells.select(finite(axis).alias("c")).distinct().agg(F.sort_array(F.collect_set("c")).alias("a"))
     return c.select(F.explode(F.expr("transform(slice(a, 2, greatest(size(a) - 1, 0)), (v, i) -> v - a[i])")).alias("d")).agg(F.median("d").alias("spacing"))
-
-
-def safe_share(part, whole) -> Column:
-    return F.coalesce(ratio(part, whole), F.lit(0.0))

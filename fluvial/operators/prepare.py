@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluvial.functions.columns import EPS32, INVERSE_TRANSFORMS, SECONDS_PER_HOUR, TIME_FEATURES, TRANSFORMS, clip, col, finite
@@ -181,5 +181,13 @@ def first_present(df: DataFrame, names: Sequence[str]) -> Column:
     return F.lit(None).cast("double")
 
 
-def last_in_order(df: DataFrame, by: Sequence[str], order: str) -> Window:
-    return Window.partitionBy(*by).orderBy(F.desc(order))
+def exclude(df: DataFrame, unwanted: DataFrame | Sequence[str], key: str = "gauge_id") -> DataFrame:
+    """df without the rows whose key is in a list, or in a table's column of that name."""
+    if isinstance(unwanted, DataFrame):
+        return df.join(unwanted.select(key), key, "left_anti")
+    return df.where(~F.coalesce(F.col(key).isin(list(unwanted)), F.lit(False)))
+
+
+def head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """The first n rows in an order, as many as a report or a look at a table needs; n is small."""
+    return df.orderBy(*order).limit(n)

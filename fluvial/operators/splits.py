@@ -87,13 +87,19 @@ class _Balance:
         return total
 
 
+MOST_BLOCKS = 20_000
+
+
 def balanced(features: DataFrame, fractions: Mapping[str, float] | None = None, seed: int = 42, starts: int = 2000, passes: int = 25) -> DataFrame:
     """features with period: the best of `starts` random assignments, improved by swaps of two blocks while any helps.
 
-    There is a row for each block of the record, some hundred for decades, so the search runs on the driver.
+    There is a row for each block of the record, some hundred for decades, so the search runs on the driver; more than
+    MOST_BLOCKS are an error.
     """
     fractions = fractions or {"train": 0.6, "validation": 0.2, "test": 0.2}
-    rows = robust_scaled(features).orderBy("block_id").select("block_id", *FEATURES).collect()
+    rows = robust_scaled(features).orderBy("block_id").select("block_id", *FEATURES).limit(MOST_BLOCKS + 1).collect()
+    if len(rows) > MOST_BLOCKS:
+        raise ValueError(f"{len(rows)} blocks; the search is for at most {MOST_BLOCKS}")
     if not rows:
         return features.withColumn("period", F.lit(None).cast("string"))
     balance = _Balance(np.array([[np.nan if v is None else v for v in r[1:]] for r in rows], float))
@@ -128,3 +134,16 @@ def _better_swaps(balance: _Balance, labels: np.ndarray, lowest: float, order: n
 
 def period_summary(assigned: DataFrame, names: Sequence[str] = FEATURES) -> DataFrame:
     return assigned.groupBy("period").agg(F.count(F.lit(1)).alias("blocks"), F.min("block_start").alias("first"), F.max("block_end").alias("last"), *[F.avg(n).alias(n) for n in names])
+
+
+def load_blocks(blocks: DataFrame, period: str) -> DataFrame:
+    """block_id, start, end, period of one period of a stored split, by start and end; "val" means validation. A block that
+    ends before it begins, and a period without blocks, are errors when run."""
+    named = F.lower("period")
+    d = blocks.withColumn("period", F.when(named == "val", "validation").otherwise(named))
+    d = d.where(F.col("period") == period)
+    bad = F.col("start").isNull() | F.col("end").isNull() | (F.col("end") <= F.col("start"))
+    d = d.where(F.when(bad, F.raise_error(F.concat(F.lit("invalid block "), F.col("block_id").cast("string")))).otherwise(F.lit(True)))
+    if d.isEmpty():
+        raise ValueError(f"no blocks of the period {period!r}")
+    return d.select("block_id", F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end"), "period")

@@ -44,6 +44,17 @@ def year_windows(spans: DataFrame, years: int, stride: int, first: str = "first"
     return w.select(*by, F.col("window_id").cast("bigint").alias("window_id"), "start", "end")
 
 
+def whole_period(spans: DataFrame, first: str = "first", last: str = "last", by: Sequence[str] = ()) -> DataFrame:
+    """by..., window_id, start, end: one window for the whole period, as validation and test use it."""
+    return spans.select(*by, F.lit(0).cast("bigint").alias("window_id"), F.col(first).alias("start"), F.date_add(last, 1).alias("end"))
+
+
+def segment_windows(blocks: DataFrame, length: int, stride: int, by: Sequence[str] = (), gap: int = 0, start: str = "start", end: str = "end") -> DataFrame:
+    """by..., segment_start, window_id, context_start, start, end: windows in each merged segment of blocks (end excluded)."""
+    merged = merge_segments(blocks, by, start, end, gap).select(*by, F.col("start").alias("segment_start"), F.col("start").alias("first"), F.date_add("end", -1).alias("last"))
+    return day_windows(merged, length, stride, by=[*by, "segment_start"])
+
+
 def merge_segments(blocks: DataFrame, by: Sequence[str], start: str = "start", end: str = "end", gap: int = 0) -> DataFrame:
     """by..., start, end: blocks that touch or overlap, or lie up to `gap` days apart, are one segment (ends excluded)."""
     w = Window.partitionBy(*by).orderBy(start, end)

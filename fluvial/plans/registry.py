@@ -28,4 +28,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
 
 
-from fluvial.plans import network_queries, series_queries, window_queries  # noqa: E402, F401
+from fluvial.plans import assembly_queries, network_queries, series_queries, source_queries, window_queries  # noqa: E402, F401

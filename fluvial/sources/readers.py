@@ -160,8 +160,11 @@ def read_targets(spark: SparkSession, path: str, variables: Sequence[str] = ("QQ
 
 
 def read_basins(spark: SparkSession, path: str) -> DataFrame:
-    """gauge_id, one for each line that isn't blank."""
-    return spark.read.text(path).select(F.trim("value").alias("gauge_id")).where(F.length("gauge_id") > 0)
+    """gauge_id, one for each line that isn't blank; a list without any is an error."""
+    d = spark.read.text(path).select(F.trim("value").alias("gauge_id")).where(F.length("gauge_id") > 0)
+    if d.isEmpty():
+        raise ValueError(f"no gauges in {path}")
+    return d
 
 
 def read_gauges(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -231,8 +234,8 @@ def decode_metadata(c: Column | str) -> Column:
 
 
 def read_sqlite(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """path, attributes (a map of texts) for each row of a table of SQLite files, as GeoPackages are; a file without the table
-    gives no rows. Each file is opened in memory by the task that reads it."""
+    """path, attributes (a map of texts) and blobs (a map of binary values, as geometries are) for each row of a table of SQLite
+    files, as GeoPackages are; a file without the table gives no rows. Each file is opened in memory by the task that reads it."""
     import pyarrow as pa
 
     def run(batches):
@@ -245,14 +248,14 @@ def read_sqlite(spark: SparkSession, path: str, name: str) -> DataFrame:
                     con.deserialize(data.as_py())
                     cur = con.execute('SELECT * FROM "' + name.replace('"', '""') + '"')
                     columns = [c[0] for c in cur.description]
-                    rows = [[(c, None if v is None or isinstance(v, bytes) else str(v)) for c, v in zip(columns, r)] for r in cur]
+                    rows = [([(c, None if v is None else str(v)) for c, v in zip(columns, r) if not isinstance(v, bytes)], [(c, v) for c, v in zip(columns, r) if isinstance(v, bytes)]) for r in cur]
                 except sqlite3.Error:
                     rows = []
                 finally:
                     con.close()
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array(rows, pa.map_(pa.string(), pa.string()))], ["path", "attributes"])
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.map_(pa.string(), pa.string())), pa.array([r[1] for r in rows], pa.map_(pa.string(), pa.binary()))], ["path", "attributes", "blobs"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, attributes map<string,string>")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, attributes map<string,string>, blobs map<string,binary>")
 
 
 def river_series(flow: DataFrame, stations: DataFrame, river: str = "comid", time: str = "time", value: str = "value") -> DataFrame:
