@@ -65,8 +65,7 @@ def flowline_network(lines: DataFrame, cells: DataFrame, step: float, size: floa
     visits = near.select("at.line", "at.pos", "flat_index").join(cells.where("active").select("flat_index"), "flat_index", "left_semi")
     marked = visits.join(lines.select("line", F.lower(F.coalesce("direction", F.lit(""))).contains("against").alias("against")), "line")
     # the order of the flow, so that the ends of lines are the right ones, too
-    sign = F.when(F.col("against"), -1).otherwise(1)
-    marked = marked.withColumn("pos", F.struct((sign * F.col("pos.i")).alias("i"), (sign * F.col("pos.k")).alias("k")))
+    marked = marked.withColumn("pos", F.when(F.col("against"), -F.col("pos")).otherwise(F.col("pos")))
     own = network.chain_edges(marked.drop("against")).join(lines.select("line", *attributes), "line").select("src", "dst", *attributes)
     links = network.line_links(marked.drop("against"), lines.select("line", "id", "down")).select("src", "dst", *[F.lit(None).cast("double").alias(a) for a in attributes])
     return network.unique_edges(own.unionByName(links), attributes)

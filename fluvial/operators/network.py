@@ -308,13 +308,13 @@ def line_links(visits: DataFrame, lines: DataFrame, line: str = "line", order: s
 
 
 def densify_lines(lines: DataFrame, step: float, points: str = "points", line: str = "line") -> DataFrame:
-    """line, pos (a struct, in order), x, y: the points (structs x, y) of each line and as many between as keep steps at most `step` long."""
+    """line, pos (in order, with room for 2 ** 32 between two points), x, y: the points (structs x, y) of each line and as many between as keep steps at most `step` long."""
     d = lines.select(line, F.posexplode(points).alias("i", "a"), F.col(points).alias("_p")).withColumn("b", F.get("_p", F.col("i") + 1)).drop("_p")
     length = F.sqrt(F.pow(F.col("b.x") - F.col("a.x"), F.lit(2)) + F.pow(F.col("b.y") - F.col("a.y"), F.lit(2)))
     n = F.greatest(F.ceil(F.coalesce(length, F.lit(0.0)) / step), F.lit(1)).cast("int")
     d = d.withColumn("n", F.when(F.col("b").isNull(), 1).otherwise(n)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     at = lambda c: F.col(f"a.{c}") + F.coalesce(F.col(f"b.{c}") - F.col(f"a.{c}"), F.lit(0.0)) * F.col("k") / F.col("n")
-    return d.select(line, F.struct("i", "k").alias("pos"), at("x").alias("x"), at("y").alias("y"))
+    return d.select(line, (F.shiftleft(F.col("i").cast("bigint"), 32) + F.col("k")).alias("pos"), at("x").alias("x"), at("y").alias("y"))
 
 
 # -- nearest cells and gauges ------------------------------------------------------------------------------------------

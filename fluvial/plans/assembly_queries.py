@@ -73,7 +73,7 @@ def q81b_densified_lines(spark, sf):
     point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     lines = table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("line"), F.array(point(F.col("n_regionkey"), F.lit(0)), point(F.col("n_regionkey") + 3, F.lit(4))).alias("points"))
     d = network.densify_lines(lines, 5 / 6 + 1e-9)
-    return rounded(d.select("line", (F.col("pos.i") * 6 + F.col("pos.k")).cast("bigint").alias("k"), "x", "y"))
+    return rounded(d.select("line", (F.shiftright("pos", 32) * 6 + F.col("pos") % (1 << 32)).cast("bigint").alias("k"), "x", "y"))
 
 
 @query("SELECT src, dst, round(avg(w), 6) AS w FROM (SELECT o_custkey % 100 AS src, o_custkey % 7 AS dst, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice ELSE 0 END AS w FROM orders) GROUP BY 1, 2")
@@ -215,7 +215,7 @@ def q83c_first_present_and_total(spark, sf):
     return prepare.total_runoff(p.withColumn("first", prepare.first_present(p, ["nothing", "p_size"]))).select("id", "first", "runoff_total")
 
 
-@query("SELECT c_nationkey::BIGINT AS cell, 2000 + c_nationkey AS year, (8760 + CASE WHEN c_nationkey % 4 = 0 THEN 24 ELSE 0 END)::BIGINT AS n FROM (SELECT DISTINCT c_nationkey FROM customer) WHERE c_nationkey % 3 <> 0")
+@query("SELECT c_nationkey::BIGINT AS cell, (2000 + c_nationkey)::BIGINT AS year, (8760 + CASE WHEN c_nationkey % 4 = 0 THEN 24 ELSE 0 END)::BIGINT AS n FROM (SELECT DISTINCT c_nationkey FROM customer) WHERE c_nationkey % 3 <> 0")
 def q83d_complete_years(spark, sf):
     """Years with all their hours, a leap day's included; every third nation lacks an hour."""
     c = table(spark, sf, "customer").select(F.col("c_nationkey").cast("bigint").alias("cell")).distinct()
