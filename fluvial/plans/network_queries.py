@@ -171,13 +171,13 @@ def q42b_weight_multipliers(spark, sf):
 
 
 STATE = [f"x{k}" for k in range(4)]
-NODES_SQL = f"""{V.TREE_SQL}, nodes AS (SELECT id AS node, {", ".join(f"embedding[{k + 1}]::DOUBLE AS x{k}" for k in range(4))} FROM flow JOIN embeddings ON vec_id = id % 500), edges AS (SELECT id AS src, toid AS dst, 100 / length_m AS weight FROM flow WHERE toid IS NOT NULL)"""
+NODES_SQL = f"""{V.TREE_SQL}, nodes AS (SELECT id AS node, {", ".join(f"embedding[{k + 1}]::DOUBLE AS x{k}" for k in range(4))} FROM flow JOIN embeddings ON vec_id = id % (SELECT count(*) FROM embeddings)), edges AS (SELECT id AS src, toid AS dst, 100 / length_m AS weight FROM flow WHERE toid IS NOT NULL)"""
 
 
 def _graph(spark, sf):
     f = V.flow(spark, sf)
     emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("_v"), *[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate(STATE)])
-    nodes = f.select(F.col("id").alias("node"), (F.col("id") % 500).alias("_v")).join(emb, "_v").select("node", *STATE)
+    nodes = f.select(F.col("id").alias("node"), (F.col("id") % emb.count()).alias("_v")).join(emb, "_v").select("node", *STATE)
     return nodes, f.where("toid IS NOT NULL").select(F.col("id").alias("src"), F.col("toid").alias("dst"), (100 / F.col("length_m")).alias("weight"))
 
 
@@ -240,11 +240,25 @@ def q43f_mpnn_layer(spark, sf):
     return rounded(routing.mpnn_layer(nodes, edges, STATE, ["weight"], [(MW, MB, "relu")], [(OW, OB, "relu")], [(UW, UB, "none")], 2))
 
 
-@query()
+def _sql_norm(columns: list[str], of: str) -> str:
+    """Layer normalisation and ReLU of columns c0, c1, ... as r0, r1, ..., from a table `of` with node."""
+    n = len(columns)
+    return f"""SELECT node, {", ".join(f"greatest(({c} - m) / sqrt(v + 1e-5), 0) AS r{k}" for k, c in enumerate(columns))} FROM (SELECT *, ({" + ".join(f"({c} - m) ** 2" for c in columns)}) / {n} AS v FROM (SELECT *, ({" + ".join(columns)}) / {n} AS m FROM {of}))"""
+
+
+G1, G2, S1, S2, G3, H1, H2 = _demo(7, 4, 8), _demo(8, 8), _demo(9, 8, 8), _demo(10, 8, 8), _demo(11, 8), _demo(12, 8, 1), _demo(13, 1)
+EIGHTH = range(8)
+
+
+@query(f"""WITH {NODES_SQL}, z AS (SELECT node, {", ".join(f"{x} AS c{j}" for j, x in enumerate(_sql_dense(G1, np.zeros(8), STATE)))} FROM nodes), e AS (SELECT src, dst, weight AS w FROM edges UNION ALL SELECT node, node, 1 FROM nodes), d AS (SELECT dst AS node, sum(w) AS d FROM e GROUP BY 1),
+g AS (SELECT dst AS node, {", ".join(f"sum(c{j} * w / sqrt(a.d * b.d)) + {float(G2[j])} AS c{j}" for j in EIGHTH)} FROM e JOIN z ON z.node = src JOIN d a ON a.node = src JOIN d b ON b.node = dst GROUP BY 1), r AS ({_sql_norm([f"c{j}" for j in EIGHTH], "g")}),
+m AS (SELECT dst AS node, {", ".join(f"avg(r{j}) AS a{j}" for j in EIGHTH)} FROM edges JOIN r ON node = src GROUP BY 1), b AS (SELECT r.*, {", ".join(f"coalesce(a{j}, 0) AS a{j}" for j in EIGHTH)} FROM r LEFT JOIN m USING (node)),
+s AS (SELECT node, {", ".join(" + ".join([str(float(G3[j]))] + [f"{float(S1[i, j])} * a{i} + {float(S2[i, j])} * r{i}" for i in EIGHTH]) + f" AS c{j}" for j in EIGHTH)} FROM b), t AS ({_sql_norm([f"c{j}" for j in EIGHTH], "s")})
+SELECT node, round(ln(1 + exp({" + ".join([str(float(H2[0]))] + [f"{float(H1[j, 0])} * r{j}" for j in EIGHTH])})), 6) AS value FROM t""")
 def q43g_graph_forward(spark, sf):
     nodes, edges = _graph(spark, sf)
-    layers = [{"kind": "gcn", "weights": _demo(7, 4, 8), "bias": _demo(8, 8), "weight": "weight"}, {"kind": "sage", "weights": _demo(9, 8, 8), "self_weights": _demo(10, 8, 8), "bias": _demo(11, 8)}]
-    return rounded(routing.graph_forward(nodes, edges, STATE, layers, (_demo(12, 8, 1), _demo(13, 1)), by=()))
+    layers = [{"kind": "gcn", "weights": G1, "bias": G2, "weight": "weight"}, {"kind": "sage", "weights": S1, "self_weights": S2, "bias": G3}]
+    return rounded(routing.graph_forward(nodes, edges, STATE, layers, (H1, H2), by=()))
 
 
 @query(f"""WITH {V.EMBEDDED_SQL}, s AS (SELECT feature, avg(value) AS m, greatest(stddev_samp(value), 1.1920928955078125e-07) AS d FROM feats GROUP BY 1) SELECT node, feature, round((value - m) / d, 5) AS value FROM feats JOIN s USING (feature)""")
@@ -286,11 +300,26 @@ def q47c_compaction(spark, sf):
     return network.compact(a, network.grid_edges(a, 4))[1]
 
 
-@query()
+LW = {"w_ih": _demo(21, 16, 1), "w_hh": _demo(22, 16, 4), "b_ih": _demo(23, 16), "b_hh": _demo(24, 16), "head": _demo(25, 4), "head_bias": 0.1}
+
+
+def _sql_gate(k: int) -> str:
+    return " + ".join([str(float(LW["b_ih"][k] + LW["b_hh"][k])), f"{float(LW['w_ih'][k, 0])} * x", *[f"{float(LW['w_hh'][k, j])} * h{j}" for j in range(4)]])
+
+
+def _sql_tanh(x: str) -> str:
+    return f"(2 / (1 + exp(-2 * ({x}))) - 1)"
+
+
+@query(f"""WITH RECURSIVE {V.DENSE_SQL}, x AS (SELECT cell AS node, date, coalesce(value / 100, 0) AS x, row_number() OVER (PARTITION BY cell ORDER BY date) AS k FROM dense),
+s AS (SELECT DISTINCT node, 0::BIGINT AS k, NULL::DATE AS date, {", ".join(f"0::DOUBLE AS h{j}, 0::DOUBLE AS c{j}" for j in range(4))} FROM x
+UNION ALL SELECT node, k, date, {", ".join(f"o{j} * {_sql_tanh(f'n{j}')} AS h{j}, n{j} AS c{j}" for j in range(4))} FROM
+ (SELECT node, k, date, {", ".join(f"c{j} / (1 + exp(-f{j})) + {_sql_tanh(f'g{j}')} / (1 + exp(-i{j})) AS n{j}, 1 / (1 + exp(-u{j})) AS o{j}" for j in range(4))} FROM
+  (SELECT x.node, x.k, x.date, {", ".join(f"c{j}, {_sql_gate(j)} AS i{j}, {_sql_gate(4 + j)} AS f{j}, {_sql_gate(8 + j)} AS g{j}, {_sql_gate(12 + j)} AS u{j}" for j in range(4))} FROM s JOIN x ON x.node = s.node AND x.k = s.k + 1)))
+SELECT node, date, round(ln(1 + exp({" + ".join(["0.1", *[f"{float(LW['head'][j])} * h{j}" for j in range(4)]])})), 6) AS value FROM s WHERE k > 0""")
 def q59_lstm_forward(spark, sf):
     d = V.dense(spark, sf).select(F.col("cell").alias("node"), "date", F.coalesce(F.col("value") / 100, F.lit(0.0)).alias("x"))
-    w = {"w_ih": _demo(21, 16, 1), "w_hh": _demo(22, 16, 4), "b_ih": _demo(23, 16), "b_hh": _demo(24, 16), "head": _demo(25, 4), "head_bias": 0.1}
-    return rounded(routing.lstm(d, ["x"], w))
+    return rounded(routing.lstm(d, ["x"], LW))
 
 
 K1 = _demo(31, 1, 1, 2)

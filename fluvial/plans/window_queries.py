@@ -169,13 +169,13 @@ def q20b_calendar_windows_years(spark, sf):
     return windows.year_windows(span, 1, 1, by=["gauge_id"])
 
 
-HISTORY_SQL = """history AS (SELECT o_custkey % 20 AS run, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS epoch, o_totalprice AS val_loss FROM orders)"""
+HISTORY_SQL = """history AS (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS epoch, o_totalprice AS val_loss FROM orders)"""
 
 
 def _history(spark, sf):
     o = V.table(spark, sf, "orders")
     w = Window.partitionBy("run").orderBy("o_orderkey")
-    return o.withColumn("run", F.col("o_custkey") % 20).select("run", F.row_number().over(w).cast("bigint").alias("epoch"), F.col("o_totalprice").alias("val_loss"))
+    return o.withColumn("run", F.col("o_custkey")).select("run", F.row_number().over(w).cast("bigint").alias("epoch"), F.col("o_totalprice").alias("val_loss"))
 
 
 @query(f"WITH {HISTORY_SQL} SELECT run, arg_min(epoch, (val_loss, epoch)) AS best_epoch, min(val_loss) AS best_loss FROM history GROUP BY 1")
@@ -188,10 +188,10 @@ def q61b_kept_checkpoints(spark, sf):
     return history.improvements(_history(spark, sf)).where("is_best").drop("is_best")
 
 
-@query(f"""WITH RECURSIVE {HISTORY_SQL}, f AS (SELECT run, epoch, val_loss AS best, 0 AS bad FROM history WHERE epoch = 1 UNION ALL SELECT h.run, h.epoch, CASE WHEN val_loss < best - 100 THEN val_loss ELSE best END, CASE WHEN val_loss < best - 100 THEN 0 ELSE bad + 1 END FROM f JOIN history h ON h.run = f.run AND h.epoch = f.epoch + 1 WHERE bad < 5)
-SELECT run, min(epoch) FILTER (WHERE bad >= 5) AS stop_epoch FROM f GROUP BY 1""")
+@query(f"""WITH RECURSIVE {HISTORY_SQL}, f AS (SELECT run, epoch, val_loss AS best, 0 AS bad FROM history WHERE epoch = 1 UNION ALL SELECT h.run, h.epoch, CASE WHEN val_loss < best - 100 THEN val_loss ELSE best END, CASE WHEN val_loss < best - 100 THEN 0 ELSE bad + 1 END FROM f JOIN history h ON h.run = f.run AND h.epoch = f.epoch + 1 WHERE bad < 3)
+SELECT run, min(epoch) FILTER (WHERE bad >= 3) AS stop_epoch FROM f GROUP BY 1""")
 def q62_early_stop(spark, sf):
-    return history.stop_epochs(_history(spark, sf), 5, 100.0)
+    return history.stop_epochs(_history(spark, sf), 3, 100.0)
 
 
 @query("""SELECT user_id AS cell, ts::DATE AS date, count(value) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2""")
