@@ -12,7 +12,8 @@ Prediction reads whole texts; embeddings times layer is one table of BUCKETS x l
 fixed by BUCKETS and the number of languages).
 
 Null text, or text without a letter: language "und", score 0, rejected. No labelled rows: "und" for all. Null doc_id: never
-held out. Other columns are ignored, whatever their names; repeated rows are predicted each.
+held out. No documents: an empty result. Very long texts are read in parts of CHUNK characters. Of equal probabilities the
+language that comes first counts. Other columns are ignored, whatever their names; repeated rows are predicted each.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def features(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for j in range(n):
             h = (h ^ c[j : j + m]) * np.uint32(0x01000193)
             h ^= h >> np.uint32(15)
-        ok = ~space[:m] if n == 1 else np.ones(m, bool)
+        ok = ~space[:m] if n == 1 else ~(space[:m] & space[1 : m + 1])  # no two spaces: they lie between texts
         for j in range(1, n - 1):
             ok &= ~space[j : j + m]
         where = np.flatnonzero(ok)

@@ -296,6 +296,35 @@ def test_language_parts_agree(docs, monkeypatch):
     assert whole[0] == parts[0] and np.allclose(whole[1], parts[1])
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=40), st.text("aé ß1,漢", max_size=40)), max_size=5))
+def test_language_against_brute_force(texts):
+    """Each text's n-grams one by one: their rows of the table averaged, the bias added, a softmax with the temperature."""
+    rng = np.random.default_rng(5)
+    model = langid.Model(["x", "y", "z"], rng.normal(0, 3, (langid.BUCKETS, 3)).astype(np.float32), rng.normal(size=3), 1.7, 0.5)
+    found, score = model.predict(texts)
+    for t, f, s in zip(texts, found, score):
+        words = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        rows = []
+        for w in words:
+            padded = f" {w} "
+            for n in (1, 2, 3, 4):
+                for gram in (padded[i : i + n] for i in range(len(padded) - n + 1)):
+                    if gram != " ":
+                        h = n
+                        for c in gram:
+                            h = ((h ^ ord(c)) * 0x01000193) & 0xFFFFFFFF
+                            h ^= h >> 15
+                        rows.append(((h * 0x9E3779B1) & 0xFFFFFFFF) >> 16)
+        if not words:
+            assert f == "und" and s == 0
+            continue
+        # words lie side by side, so the space between two of them also ends one n-gram and begins another
+        z = (model.table[rows].astype(float).mean(0) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert s == pytest.approx(p.max(), abs=1e-4) and f == model.languages[int(p.argmax())]
+
+
 # -- 7 -----------------------------------------------------------------------------------------------------------------
 
 
