@@ -15,8 +15,8 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from fluvial.operators import compare, network, prepare, skill, splits
-from fluvial.sources import sinks
+from fluvial.operators import assembly, compare, network, prepare, skill, splits
+from fluvial.sources import readers, sinks
 
 
 def evaluate(spark: SparkSession, a) -> None:
@@ -67,6 +67,16 @@ def network_features(spark: SparkSession, a) -> None:
     network.hydrology_features(spark.read.parquet(a.nodes), spark.read.parquet(a.edges)).write.mode("overwrite").parquet(a.output)
 
 
+def hydrofabric(spark: SparkSession, a) -> None:
+    read = lambda path: spark.read.parquet(path) if path else None
+    nodes, edges = assembly.hydrofabric(read(a.paths), read(a.junctions), read(a.path_attributes), read(a.divide_attributes))
+    sinks.write_graph({"nodes": nodes, "edges": edges}, a.output, {"builder": "hydrofabric"})
+
+
+def runoff(spark: SparkSession, a) -> None:
+    sinks.write_yearly(readers.read_runoff_days(spark, a.input, a.pattern), a.output, "date", a.mode)
+
+
 def scaler(spark: SparkSession, a) -> None:
     sinks.write_yaml(sinks.scaler_mapping(prepare.scaler_from_sums(prepare.scaler_sums(spark.read.parquet(a.input), ["variable"]), ["variable"])), a.output)
 
@@ -88,6 +98,8 @@ def parser() -> argparse.ArgumentParser:
     add("daily", daily, "--input", "--output", cell={"default": "flat_index"}, min_steps={"type": int}, mode={"choices": list(sinks.MODES), "default": "fail"})
     add("split", split, "--input", "--output", days={"type": int, "default": 180}, context={"type": int, "default": 0}, min_valid={"type": float, "default": 0.0}, seed={"type": int, "default": 42})
     add("network", network_features, "--nodes", "--edges", "--output")
+    add("hydrofabric", hydrofabric, "--paths", "--junctions", "--output", path_attributes={}, divide_attributes={})
+    add("runoff", runoff, "--input", "--output", pattern={"default": "*.parquet"}, mode={"choices": list(sinks.MODES), "default": "fail"})
     add("scaler", scaler, "--input", "--output")
     return p
 

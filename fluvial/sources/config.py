@@ -36,27 +36,27 @@ def get(config: Mapping, path: str, default: Any = None) -> Any:
     return at
 
 
-def _number(config: Mapping, path: str, ok: Callable[[float], bool], what: str) -> None:
-    value = get(config, path)
-    if value is None:
-        return
+def _is(value: Any, ok: Callable[[float], bool]) -> bool:
+    """Whether a value is a number, or reads as one, that is ok."""
     try:
-        good = ok(float(value))
+        return ok(float(value))
     except (TypeError, ValueError):
-        good = False
-    if not good:
+        return False
+
+
+def _number(config: Mapping, path: str, ok: Callable[[float], bool], what: str) -> None:
+    value = get(config, path)
+    if value is not None and not _is(value, ok):
         raise ValueError(f"{path} must be {what}, not {value!r}")
 
 
-def _weights(name: str, mapping: Any) -> None:
-    if mapping is None:
-        return
-    if not isinstance(mapping, Mapping):
+def _weights(name: str, weights: Any) -> None:
+    """Weights of gauges: all that are wrong are named at once."""
+    if weights is not None and not isinstance(weights, Mapping):
         raise ValueError(f"{name} must map gauges to positive weights")
-    for gauge, weight in mapping.items():
-        if not str(gauge).strip():
-            raise ValueError(f"{name} has a gauge without an id")
-        _number({"w": weight}, "w", lambda x: x > 0, f"a positive number for {gauge!r} in {name}")
+    wrong = {g: w for g, w in (weights or {}).items() if not str(g).strip() or not _is(w, lambda x: x > 0)}
+    if wrong:
+        raise ValueError(f"{name} must map named gauges to positive weights; wrong: {wrong}")
 
 
 def validate(config: Mapping) -> Mapping:

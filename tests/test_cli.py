@@ -38,3 +38,11 @@ def test_split_and_scaler(spark, table, tmp_path):
     from fluvial.sources.sinks import read_yaml
 
     assert set(read_yaml(str(tmp_path / "s.yml"))["q"]) == {"mean", "std"}
+
+
+def test_hydrofabric(spark, tmp_path):
+    spark.createDataFrame([("wb-1", "nex-1", 2000.0), ("wb-2", "nex-1", 500.0), ("wb-3", "nex-2", 100.0)], "id string, toid string, Length_m double").write.parquet(str(tmp_path / "paths"))
+    spark.createDataFrame([("nex-1", "wb-3")], "id string, toid string").write.parquet(str(tmp_path / "junctions"))
+    cli.main(["hydrofabric", "--paths", str(tmp_path / "paths"), "--junctions", str(tmp_path / "junctions"), "--output", str(tmp_path / "graph")])
+    edges = spark.read.parquet(str(tmp_path / "graph" / "edges")).collect()
+    assert sorted((r.src, r.dst, r.weight) for r in edges) == [(0, 2, 1 / 2000), (1, 2, 1 / 500)]
