@@ -15,13 +15,14 @@ added at once; all others meet the table in a join by key, and a sum by document
 change no result, only how many n-grams travel; texts never do.
 
 Perplexity is that of a character: all log probabilities over the number of characters of words and the spaces after
-them. A document is kept if its perplexity is at most that quantile of the trusted documents of its language, times
+them. A document is kept if its perplexity is at most that quantile of the held-out trusted documents of its language, times
 `slack`, and times exp(short / root of its characters), since the perplexity of a short text varies more. The quantiles
-are exact on a scale of BINS steps for each unit of log perplexity. Languages without trusted documents use the quantile
-over all languages.
+are exact on a scale of BINS steps for each unit of log perplexity. Held out is one of FOLDS shares of the trusted texts: the
+model isn't trained on it, since it knows its own texts by heart and limits taken from those would reject all others.
+Languages without held-out documents use the quantile over all languages.
 
 Null, empty or blank text: no perplexity, not kept. Null language: the language "". Repeated rows count and are judged
-each; a document is trusted if any of its labels says so. Without trusted documents nothing is dropped but documents
+each; a document is trusted if any of its labels says so. Without held-out documents nothing is dropped but documents
 without text; without documents the result is empty. Very long texts are read whole, in memory linear in the text. Other
 columns are ignored, whatever their names.
 """
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 from fluvial.common import checked_join, materialize, small_batches
 
 BINS = 1000
+FOLDS = 5
 HOT = 1_000_000
 #: The hot table has 2 ** HOT_BITS slots, each with the most frequent n-gram that falls into it.
 HOT_BITS = 21
@@ -385,19 +387,24 @@ def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
     return ranked.where(F.col("upto") >= quantile * F.col("all")).groupBy("lang").agg(F.exp((F.min("bin") + 1) / BINS).alias("threshold"))
 
 
+def held_out(text: Column) -> Column:
+    """Trusted texts that aren't learned from: one of FOLDS shares, by a hash of the text, so all copies of a text together."""
+    return F.coalesce(F.pmod(F.xxhash64(text), F.lit(FOLDS)) == 0, F.lit(False))
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack: float = 1.4, short: float = 3.0) -> DataFrame:
     """doc_id, lang, trusted, n_chars_scored, perplexity, threshold, kept. labels: doc_id, quality (1: trusted)."""
     small_batches(docs.sparkSession)
-    d = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    d = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), held_out(F.col("text")).alias("held"))
     ids = labels.where("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
     marked = checked_join(d, ids, "doc_id", "left", row_bytes=24).withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    trusted = marked.where("trusted")
-    speller = train_speller(trusted)
-    gains, free = train(trusted, speller)
-    scored = materialize(perplexities(marked, speller, gains, free, ["doc_id", "lang", "trusted"]), "lm-scores")
-    limits = {r.lang: r.threshold for r in thresholds(scored, quantile).collect()}  # one row for each language
+    learned = marked.where("trusted AND NOT held")
+    speller = train_speller(learned)
+    gains, free = train(learned, speller)
+    scored = materialize(perplexities(marked, speller, gains, free, ["doc_id", "lang", "trusted", "held"]), "lm-scores")
+    limits = {r.lang: r.threshold for r in thresholds(scored.where("held"), quantile).collect()}  # one row for each language
     limit = F.lit(limits.pop(None, float("inf")))
     for lang, t in limits.items():
         limit = F.when(F.col("lang") == lang, F.lit(t)).otherwise(limit)
-    scored = scored.withColumn("threshold", limit * slack * F.exp(short / F.sqrt(F.greatest("n_chars_scored", F.lit(1)))))
+    scored = scored.drop("held").withColumn("threshold", limit * slack * F.exp(short / F.sqrt(F.greatest("n_chars_scored", F.lit(1)))))
     return scored.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))

@@ -91,6 +91,8 @@ def test_quality_model_separates(spark):
     done = quality_lm.classify(d, labels).join(labels.select("doc_id", "quality"), "doc_id")
     share = {r.quality: r.k for r in done.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
     assert share[1] > 0.97 and share[0] < 0.45
+    held = done.where("trusted").join(d.where(quality_lm.held_out(F.col("text"))).select("doc_id"), "doc_id")
+    assert held.agg(F.avg(F.col("kept").cast("int")).alias("k")).first().k > 0.97  # also of those that it hasn't learned
 
 
 def test_quality_model_cases(spark, docs, none):
