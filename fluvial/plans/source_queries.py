@@ -273,3 +273,75 @@ def q74d_ids(spark, sf):
 @query("SELECT s_suppkey::BIGINT AS id FROM supplier WHERE s_name LIKE '%1' OR s_name LIKE 'Supplier#00000000_'")
 def q74e_glob(spark, sf):
     return table(spark, sf, "supplier").where(C.glob("s_name", "*1", "Supplier#00000000?")).select(F.col("s_suppkey").cast("bigint").alias("id"))
+
+
+# -- binary layers -------------------------------------------------------------------------------------------------------
+
+
+def _write_bytes(spark, path, data):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(data))
+    out.close()
+
+
+def _layer(spark, sf, kind):
+    """A shapefile with a line (kind 3) or polygon (kind 5) of k + 2 points for each of the nations, and its attributes."""
+    import struct
+
+    path = shared_path(spark, "layer")
+    rows = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()  # 25 rows
+    shapes, table_rows = b"\0" * 100, b""
+    for k, r in enumerate(rows, 1):
+        points = [(r.n_nationkey + i, 0.5 * i) for i in range(r.n_regionkey + 2)]
+        body = struct.pack("<i4d2i", kind, 0, 0, 0, 0, 1, len(points)) + struct.pack("<i", 0) + b"".join(struct.pack("<2d", *p) for p in points)
+        shapes += struct.pack(">2i", k, len(body) // 2) + body
+        table_rows += b" " + r.n_name.encode().ljust(25) + (b"Against" if r.n_regionkey == 2 else b"With").ljust(7)
+    field = lambda name, size: name.encode().ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([size, 0]) + b"\0" * 14
+    fields = field("NAME", 25) + field("FLOWDIR", 7)
+    _write_bytes(spark, f"{path}/r.shp", shapes)
+    _write_bytes(spark, f"{path}/r.dbf", struct.pack("<4BIHH20x", 3, 0, 0, 0, len(rows), 32 + len(fields) + 1, 33) + fields + b"\r" + table_rows)
+    return path
+
+
+LAYER_SQL = "SELECT n_nationkey + 1::BIGINT AS record, n_name AS name, n_regionkey = 2 AS against, (n_regionkey + 2)::BIGINT AS n_points, n_nationkey::DOUBLE AS x, 0.5::DOUBLE * (n_regionkey + 1) AS y FROM nation"
+
+
+def _read_layer(spark, sf, kind):
+    from fluvial.sources import shapes
+
+    d = shapes.read_shapefile(spark, _layer(spark, sf, kind), polygons=kind == 5)
+    last = F.element_at("points", -1)
+    return d.select(F.col("record").cast("bigint").alias("record"), F.col("attributes")["NAME"].alias("name"), shapes.against_flow().alias("against"), F.size("points").cast("bigint").alias("n_points"), F.get("points", F.lit(0))["x"].alias("x"), last["y"].alias("y"))
+
+
+@query(LAYER_SQL)
+def q75_shapefile_lines(spark, sf):
+    """Lines of a shapefile with their attributes, and which of them are drawn against the flow."""
+    return _read_layer(spark, sf, 3)
+
+
+@query(LAYER_SQL)
+def q75b_shapefile_polygons(spark, sf):
+    return _read_layer(spark, sf, 5)
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, CASE WHEN n_regionkey > 0 THEN n_name END AS name, (n_regionkey + 1)::BIGINT AS geometry_bytes FROM nation")
+def q75c_sqlite_layer(spark, sf):
+    """A table of a SQLite file, as GeoPackages are, with a geometry as binary; a file without the table gives no rows."""
+    import sqlite3
+
+    path = shared_path(spark, "geopackage")
+    rows = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()  # 25 rows
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE TABLE flowpaths (id INTEGER, name TEXT, geom BLOB)")
+    con.executemany("INSERT INTO flowpaths VALUES (?, ?, ?)", [(int(r.n_nationkey), r.n_name if r.n_regionkey else None, b"x" * (int(r.n_regionkey) + 1)) for r in rows])
+    con.commit()
+    _write_bytes(spark, f"{path}/one.gpkg", con.serialize())
+    other = sqlite3.connect(":memory:")
+    other.execute("CREATE TABLE divides (id INTEGER)")
+    other.commit()
+    _write_bytes(spark, f"{path}/two.gpkg", other.serialize())
+    d = readers.read_sqlite(spark, path, "flowpaths")
+    return d.select(F.col("attributes")["id"].alias("id"), F.col("attributes")["name"].alias("name"), F.length(F.col("blobs")["geom"]).cast("bigint").alias("geometry_bytes"))
