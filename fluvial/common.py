@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its counted rows fit in this many bytes.
@@ -119,3 +119,23 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: i
     heated = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     rest = heated.where(F.col("_hot").isNull()).select(*left.columns).join(cold, key, "left")
     return heated.where(F.col("_hot")).drop("_hot").unionByName(rest)
+
+
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "number", group: str | None = None) -> DataFrame:
+    """df with a gapless number from 0 in the given order; with `group`, the first column of the order, from 0 in each group, and
+    the group's size as `{name}_of`.
+
+    No task gets more than a range of the order, however large a group is: rows are range-partitioned, sorted and written, so that
+    their places can't change any more, and each partition's rows (of each group) start where those before it end. Those
+    starts are one row for each partition (and group in it). Rows that are equal in the whole order get numbers in any order.
+    """
+    placed = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    keys = [part.alias("_part"), *([F.col(group).alias("_group")] if group else [])]
+    starts = placed.groupBy(*keys).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    within = Window.partitionBy("_group") if group else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("_n").over(within.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = materialize(starts.select("_part", *(["_group"] if group else []), (before - F.col("_first")).alias("_shift"), F.sum("_n").over(within).alias(f"{name}_of")), "starts")
+    on = [part == F.col("_part"), *([F.col(group).eqNullSafe(F.col("_group"))] if group else [])]
+    out = checked_join(placed, starts if group else starts.drop(f"{name}_of"), on, "inner", row_bytes=128)
+    return out.withColumn(name, (F.col("_at") + F.col("_shift")).cast("bigint")).select(*df.columns, name, *([f"{name}_of"] if group else []))
