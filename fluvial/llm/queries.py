@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvial.common import table
-from fluvial.llm import bpe, decontaminate, host_rules, html_extract, langid, line_dedup, minhash, pii_crf, quality_lm, warc_index
+from fluvial.llm import bpe, decontaminate, host_rules, html_extract, langid, license_scan, line_dedup, merkle, minhash, pii_crf, quality_lm, resample, warc_index
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,25 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_lm, op3_line_dedup, op4_decontaminate, op5_html, op6_langid, op7_pii, op8_host_rules, op9_warc, op10_minhash)}
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = license_scan.scan(table(spark, sf_dir, "documents"))
+    joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return done.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return done.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    chosen = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    done = merkle.manifest_documents(table(spark, sf_dir, "documents"), tampered=F.when(chosen, F.translate("text", upper, lower)).otherwise(F.col("text")))
+    return done.drop("source")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_lm, op3_line_dedup, op4_decontaminate, op5_html, op6_langid, op7_pii, op8_host_rules, op9_warc, op10_minhash, op11_licenses, op12_resample, op13_merkle)}
 
 ORACLE = {
     "op9_warc": """
@@ -109,4 +127,43 @@ prior AS (SELECT avg(f / n) AS mu, var_pop(f / n) AS v FROM hosts),
 weight AS (SELECT mu, CASE WHEN mu = 0 OR mu >= 1 OR v = 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, mu * (1 - mu) / v - 1)) END AS k FROM prior),
 verdict AS (SELECT host, (f + k * mu) / (n + k) > 0.5 AS host_failed FROM hosts, weight)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept FROM b JOIN verdict ON b.host = verdict.host""",
+    "op12_resample": r"""
+WITH crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+all_words AS (SELECT doc_id, true AS doc, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT NULL, false, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+feats AS (SELECT doc_id, doc, unnest(w) AS f FROM all_words UNION ALL SELECT doc_id, doc, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM all_words),
+counted AS (SELECT doc_id, doc, f, count(*) AS n FROM feats GROUP BY doc_id, doc, f),
+kinds AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)),
+hashed AS (SELECT f, xor(list_reduce(list_transform(range(0, len(h), 2), lambda k: ('0x' || substr(h, k + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM kinds, crc_table),
+cells AS (SELECT doc_id, doc, bucket, n FROM counted JOIN hashed ON counted.f = hashed.f),
+totals AS (SELECT coalesce(sum(n) FILTER (WHERE doc), 0) AS s_all, coalesce(sum(n) FILTER (WHERE NOT doc), 0) AS t_all FROM cells),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE doc), 0) AS s, coalesce(sum(n) FILTER (WHERE NOT doc), 0) AS t FROM cells GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln(((t + 1) * (s_all + 10000))::DOUBLE / ((s + 1) * (t_all + 10000))::DOUBLE))::BIGINT AS gain FROM sums, totals),
+sizes AS (SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words FROM all_words WHERE doc),
+weighed AS (SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM cells JOIN gains ON cells.bucket = gains.bucket WHERE doc GROUP BY doc_id),
+noisy AS (SELECT s.doc_id, n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || s.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise FROM sizes s LEFT JOIN weighed w ON s.doc_id = w.doc_id),
+ranked AS (SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY weight + noise DESC, doc_id) AS k, (25 * count(*) OVER (PARTITION BY n_words >= 20)) // 100 AS draws FROM noisy)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND k <= draws THEN k END AS rank FROM ranked""",
+    "op13_merkle": r"""
+WITH RECURSIVE crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+tampered AS (SELECT *, CASE WHEN xor(list_reduce(list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295::BIGINT), 4294967295) % 5 = 0
+  THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM documents, crc_table),
+fields AS (SELECT doc_id, source, other, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS front FROM tampered),
+digests AS (SELECT doc_id, source, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(front || coalesce(strlen(other) || ':' || other, '-')) AS fake FROM fields),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree FROM digests),
+up AS (SELECT tree, 0 AS level, pos, n, leaf AS d FROM leaves UNION ALL SELECT tree, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY tree, level, pos // 16, n),
+subroots AS (SELECT tree, d AS subroot FROM up WHERE n = 1),
+top AS (SELECT 0 AS level, tree AS pos, count(*) OVER () AS n, subroot AS d FROM subroots UNION ALL SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 16, n),
+sub_runs AS (SELECT tree, level, pos // 16 AS run, list(d ORDER BY pos) AS c FROM up WHERE n > 1 GROUP BY tree, level, pos // 16),
+top_runs AS (SELECT level, pos // 16 AS run, list(d ORDER BY pos) AS c FROM top WHERE n > 1 GROUP BY level, pos // 16),
+steps AS (SELECT l.tree, l.pos, r.level AS k, array_to_string(r.c[1:(l.pos // (16 ** r.level)::BIGINT) % 16], '') AS lo, array_to_string(r.c[(l.pos // (16 ** r.level)::BIGINT) % 16 + 2:], '') AS hi
+  FROM leaves l JOIN sub_runs r ON r.tree = l.tree AND r.run = l.pos // (16 ** (r.level + 1))::BIGINT
+  UNION ALL SELECT l.tree, l.pos, 100 + r.level, array_to_string(r.c[1:(l.tree // (16 ** r.level)::BIGINT) % 16], ''), array_to_string(r.c[(l.tree // (16 ** r.level)::BIGINT) % 16 + 2:], '')
+  FROM leaves l JOIN top_runs r ON r.run = l.tree // (16 ** (r.level + 1))::BIGINT),
+proofs AS (SELECT tree, pos, sha256(string_agg(lo || hi, '' ORDER BY k)) AS proof_sha256, list({'lo': lo, 'hi': hi} ORDER BY k) AS path FROM steps GROUP BY tree, pos),
+fold AS (SELECT l.doc_id, l.tree, l.pos, l.leaf, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, coalesce(p.path, []) AS path, 1 AS k, l.fake AS d FROM leaves l LEFT JOIN proofs p ON p.tree = l.tree AND p.pos = l.pos
+  UNION ALL SELECT doc_id, tree, pos, leaf, proof_sha256, path, k + 1, sha256(path[k].lo || d || path[k].hi) FROM fold WHERE k <= len(path))
+SELECT f.doc_id, f.leaf, s.subroot, t.d AS root, f.proof_sha256, f.d AS folded_root, f.d = t.d AS verified
+FROM fold f JOIN subroots s ON s.tree = f.tree, (SELECT d FROM top WHERE n = 1) t WHERE f.k = len(f.path) + 1""",
 }
