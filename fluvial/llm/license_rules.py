@@ -153,8 +153,8 @@ cecill-2.1 | cecill 2 1 | cecill 2 1
 ecl-2.0 | ecl 2 0 | ecl 2 0
 
 == name 70 0.9
-gpl-3.0-or-later | general public | (?:gnu )?general public license(?: gpl)?(?: VER)? ?(?:v ?)?3(?: 0)? or (?:at your option any )?(?:later|newer)(?: version)?
-gpl-2.0-or-later | general public | (?:gnu )?general public license(?: gpl)?(?: VER)? ?(?:v ?)?2(?: 0)? or (?:at your option any )?(?:later|newer)(?: version)?
+gpl-3.0-or-later | general public | (?:gnu )?general public license(?: gpl)?(?: VER)? ?(?:v ?)?3(?: 0)? or (?:at your option )?(?:any )?(?:later|newer)(?: version)?
+gpl-2.0-or-later | general public | (?:gnu )?general public license(?: gpl)?(?: VER)? ?(?:v ?)?2(?: 0)? or (?:at your option )?(?:any )?(?:later|newer)(?: version)?
 lgpl-3.0 | lesser general public | (?:gnu )?lesser general public license(?: lgpl)?(?: VER)? ?(?:v ?)?3(?: 0)?
 lgpl-2.1 | lesser general public | (?:gnu )?lesser general public license(?: lgpl)?(?: VER)? ?(?:v ?)?2 1
 lgpl-2.0 | library general public | (?:gnu )?library general public license(?: lgpl)?(?: VER)? ?(?:v ?)?2(?: 0)?
