@@ -89,8 +89,14 @@ def open_source(spark: SparkSession, spec: Mapping, kind: str = "forcing", start
     """A source by its mode: single_file, zarr (a folder of one table), multi_file, multi_zarr_yearly, per_variable, or auto.
 
     spec: file_mode, path, variables, and files (variable to path) for per_variable. Tables have the key columns
-    flat_index and, for forcing, time.
+    flat_index and, for forcing, time. With format zarr or netcdf, path is a container or a folder of them (files, or a store for each year), of
+    which only chunks and years within the period are opened.
     """
+    if spec.get("format") in ("zarr", "netcdf"):
+        from fluvial.sources.arrays import read_arrays
+
+        forcing = kind == "forcing"
+        return read_arrays(spark, spec["path"], spec.get("variables"), start if forcing else None, end if forcing else None, spec["format"], **spec.get("options", {}))
     mode, variables, keys = spec.get("file_mode", "auto"), spec.get("variables"), list(spec.get("keys", ["flat_index"]))
     if mode == "auto":
         mode = "per_variable" if spec.get("files") else "multi_zarr_yearly" if spec.get("yearly") else "multi_file" if spec.get("pattern") else "single_file"
