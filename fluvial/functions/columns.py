@@ -135,10 +135,10 @@ def safe_name(c) -> Column:
 
 
 def number_label(c) -> Column:
-    """A number as part of a channel name: 2.0 is 2, 1.5 is 1p5, -1.5 is m1p5."""
+    """A number as part of a channel name: 2.0 is 2, 1.5 is 1p5, -1.5 is -1p5."""
     c = col(c).cast("double")
     whole = F.when(c == F.floor(c), c.cast("bigint").cast("string")).otherwise(c.cast("string"))
-    return F.replace(F.replace(whole, F.lit("."), F.lit("p")), F.lit("-"), F.lit("m"))
+    return F.replace(whole, F.lit("."), F.lit("p"))
 
 
 def glob(c, *patterns: str) -> Column:
@@ -197,8 +197,8 @@ def half_year(date) -> Column:
 
 
 def month_name(date) -> Column:
-    """January to December."""
-    return F.date_format(col(date), "MMMM")
+    """Jan to Dec."""
+    return F.date_format(col(date), "MMM")
 
 
 def gauge_of_location(reference, uri, link) -> Column:
@@ -207,13 +207,6 @@ def gauge_of_location(reference, uri, link) -> Column:
     return F.when(named, F.replace(col(uri), F.lit("gages-"), F.lit(""))).when(col(link).rlike("^[0-9]+$"), col(link))
 
 
-def channel_names(variable: str, coordinates: dict[str, list]) -> list[str]:
-    """A name for each combination of the coordinates of a variable's leading dimensions: those of the last one vary fastest.
-    A dimension without coordinates (a number instead of a list) counts from 0."""
-    import itertools
-
-    if not coordinates:
-        return [variable]
-    text = lambda v: str(v).replace(" ", "_").replace(".", "p")
-    parts = [[f"{d}{k}" for k in range(c)] if isinstance(c, int) else [f"{d}_{text(v)}" for v in c] for d, c in coordinates.items()]
-    return [f"{variable}__{'__'.join(p)}" for p in itertools.product(*parts)]
+def text_label(c) -> Column:
+    """Text as part of a channel name."""
+    return F.translate(col(c), " .", "_p")

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvial.common import materialize
 from fluvial.functions.columns import INVERSE_TRANSFORMS, TRANSFORMS, clip, finite, or_zero
 from fluvial.operators import network, prepare, routing, transfer, windows
 
@@ -21,23 +22,32 @@ def enrich(left: DataFrame, attributes: DataFrame, key: str, suffix: str = "_att
 
 
 def unique_geometry(df: DataFrame, geometry: str = "geometry") -> DataFrame:
-    """One row for each distinct geometry (binary or text)."""
-    return df.dropDuplicates([geometry])
+    """One row for each distinct geometry (binary or text), the first by the other columns."""
+    rest = [c for c in df.columns if c != geometry]
+    if not rest:
+        return df.distinct()
+    best = df.groupBy(geometry).agg(F.min(F.struct(*rest)).alias("_b"))
+    return best.select(*[F.col(c) if c == geometry else F.col("_b")[c].alias(c) for c in df.columns])
 
 
 def varies(df: DataFrame, column: str) -> bool:
-    """Whether a column is there, is positive somewhere and isn't the same everywhere."""
+    """Whether a column is there, is positive somewhere and isn't the same everywhere; missing values count as 0."""
     if column not in df.columns:
         return False
-    s = df.agg(F.max(finite(column)).alias("m"), F.stddev_pop(finite(column)).alias("d")).first()
+    s = df.agg(F.max(or_zero(column)).alias("m"), F.stddev_pop(or_zero(column)).alias("d")).first()
     return bool(s.m and s.m > 0 and (s.d or 0.0) > 1e-6)
 
 
+# Columns of flowpaths that edges carry.
+EDGE_COLUMNS = ("n", "nCC", "BtmWdth", "TopWdth", "TopWdthCC", "MusX", "MusK")
+
+
 def hydrofabric(paths: DataFrame, junctions: DataFrame, path_attributes: DataFrame | None = None, divide_attributes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """nodes and edges of a network of flowpaths (id, toid, divide_id, attributes) that meet at junctions (id, toid).
 
-    nodes: node (from 0, in the order of ids) and all attributes. edges: src, dst (nodes), length_m, slope and weight, which
-    is the inverse of the source's MusK if that varies, else of its length.
+    nodes: node (from 0, in the order of ids) and all attributes. edges: src, dst (nodes), length_m, slope and weight of the source, of which the weight
+    is the inverse of MusK if that varies among edges, else of the length; the columns of EDGE_COLUMNS that there are; a proxy of the travel
+    time (MusK if it varies, else length over the root of the slope); and the hydraulic features.
     """
     p = paths if path_attributes is None else enrich(paths, path_attributes, "id")
     if divide_attributes is not None and "divide_id" in p.columns:
@@ -47,18 +57,24 @@ def hydrofabric(paths: DataFrame, junctions: DataFrame, path_attributes: DataFra
     e = network.two_hop_edges(paths, junctions).join(numbers[0], "src").join(numbers[1], "dst")
     length = or_zero("Length_m") if "Length_m" in p.columns else or_zero("lengthkm") * 1000.0 if "lengthkm" in p.columns else F.lit(0.0)
     slope = next((or_zero(f"`{c}`") for c in ("So", "ChSlp", "mean.slope") if c in p.columns), F.lit(0.0))
-    by_musk = varies(p, "MusK")
-    own = nodes.select(F.col("node").alias("_s"), length.alias("length_m"), slope.alias("slope"), *([or_zero("MusK").alias("musk")] if by_musk else []))
-    weight = 1 / F.greatest(F.col("musk"), F.lit(1e-6)) if by_musk else 1 / F.greatest(F.col("length_m"), F.lit(1.0))
-    return nodes, e.join(own, "_s").select(F.col("_s").alias("src"), F.col("_d").alias("dst"), "length_m", "slope", weight.alias("weight"))
-
-
-def flowline_network(lines: DataFrame, cells: DataFrame, step: float, size: float = 1.0, attributes: Sequence[str] = ()) -> DataFrame:
+    given = [c for c in EDGE_COLUMNS if c in p.columns]
+    own = nodes.select(F.col("node").alias("_s"), length.alias("length_m"), slope.alias("slope"), *[or_zero(c).alias(c) for c in given])
+    edges = materialize(e.join(own, "_s").select(F.col("_s").alias("src"), F.col("_d").alias("dst"), "length_m", "slope", *given), "hydrofabric-edges")
+    by_musk = varies(edges, "MusK")
+    musk, far = F.greatest("MusK", F.lit(1e-6)) if by_musk else None, F.greatest("length_m", F.lit(1.0))
+    travel = musk if by_musk else far / F.sqrt(F.greatest(F.abs("slope"), F.lit(1e-6)))
+    edges = edges.withColumns({"weight": 1 / (musk if by_musk else far), "travel_time_proxy": travel})
+    named = {part: c if c in given else None for part, c in (("n", "n"), ("top", "TopWdth"), ("bottom", "BtmWdth"))}
+    return nodes, network.hydraulic_features(edges, **named)
+
+
+def flowline_network(lines: DataFrame, cells: DataFrame, step: float, size: float = 1.0, attributes: Sequence[str] = (), reverse: bool = False) -> DataFrame:
     """src, dst and the mean of each attribute, between the active cells that lines pass one after the other.
 
     lines: line, points (an array of x, y), id, down (the id of the line below), direction, attributes. Points are put in at
     most `step` apart; each takes its nearest cell; cells that aren't active are left out. A line whose direction has
-    "against" in it is drawn against the flow. The last cell of a line flows to the first one of the line below.
+    "against" in it is drawn against the flow. The last cell of a line flows to the first one of the line below, with the
+    attributes of the upper line. reverse: each edge also in the other direction.
     """
     placed = network.densify_lines(lines, step).withColumn("at", F.struct("line", "pos"))
     near = network.nearest(placed.select("at", "x", "y"), cells.select("flat_index", "x", "y"), "at", size=size)
@@ -67,16 +83,21 @@ def flowline_network(lines: DataFrame, cells: DataFrame, step: float, size: floa
     # the order of the flow, so that the ends of lines are the right ones, too
     marked = marked.withColumn("pos", F.when(F.col("against"), -F.col("pos")).otherwise(F.col("pos")))
     own = network.chain_edges(marked.drop("against")).join(lines.select("line", *attributes), "line").select("src", "dst", *attributes)
-    links = network.line_links(marked.drop("against"), lines.select("line", "id", "down")).select("src", "dst", *[F.lit(None).cast("double").alias(a) for a in attributes])
-    return network.unique_edges(own.unionByName(links), attributes)
+    links = network.line_links(marked.drop("against"), lines.select("line", "id", "down", *attributes), attributes=attributes)
+    every = own.unionByName(links)
+    if reverse:
+        every = every.unionByName(every.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *attributes))
+    return network.unique_edges(every, attributes)
 
 
 def physical(df: DataFrame, scaler: DataFrame, by: Sequence[str], space: str = "scaled", transform: str = "none", values: Sequence[str] = ("prediction", "observation")) -> DataFrame:
     """Predictions and observations as a loss in `space` takes them: scaled back, and with the transform undone, only for
-    physical, original or unscaled."""
-    if space not in ("physical", "original", "unscaled"):
+    physical, original or unscaled. Without any scaler they stay as they are; a series that the scaler lacks is an error when run."""
+    if space not in ("physical", "original", "unscaled") or scaler.isEmpty():
         return df
-    j = df.join(scaler.select(*by, F.col("mean").alias("_mean"), F.greatest("std", F.lit(1e-6)).alias("_std")), list(by))
+    j = df.join(scaler.select(*by, F.col("mean").alias("_mean"), F.greatest("std", F.lit(1e-6)).alias("_std"), F.lit(True).alias("_known")), list(by), "left")
+    lacking = F.raise_error(F.concat(F.lit("no scaler for "), F.to_json(F.struct(*by))))
+    j = j.where(F.when(F.col("_known"), F.lit(True)).otherwise(lacking.cast("boolean"))).drop("_known")
     return j.withColumns({v: INVERSE_TRANSFORMS[transform](finite(v) * F.col("_std") + F.col("_mean")) for v in values}).drop("_mean", "_std")
 
 

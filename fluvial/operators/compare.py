@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvial.functions.columns import finite, half_year, seasons_of
+from fluvial.operators.quantiles import quantiles as quantiles_of
 from fluvial.operators.skill import analysis_metrics
 
 
@@ -26,15 +27,18 @@ def distribution(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> Dat
     aggs = []
     for v in values:
         x = finite(v)
-        aggs += [F.count(x).alias(f"{v}_count"), F.avg(x).alias(f"{v}_mean"), F.stddev_samp(x).alias(f"{v}_std"), F.min(x).alias(f"{v}_min"), F.median(x).alias(f"{v}_median"), F.max(x).alias(f"{v}_max")]
-    return df.groupBy(*by).agg(*aggs)
+        aggs += [F.count(x).alias(f"{v}_count"), F.avg(x).alias(f"{v}_mean"), F.stddev_samp(x).alias(f"{v}_std"), F.min(x).alias(f"{v}_min"), F.max(x).alias(f"{v}_max")]
+    out = df.groupBy(*by).agg(*aggs)
+    for v in values:
+        m = quantiles_of(df, by, v, {f"{v}_median": 0.5}).withColumnsRenamed({c: f"_{c}" for c in by})
+        out = out.join(m, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] or F.lit(True)).drop(*[f"_{c}" for c in by])
+    return out.select(*by, *[f"{v}_{n}" for v in values for n in ("count", "mean", "std", "min", "median", "max")])
 
 
 def quartiles(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """q1, median, q3 and whiskers at 1.5 times their distance, within the data."""
     x = finite(value)
-    q = df.groupBy(*by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*by, F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"))
+    q = quantiles_of(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     one = F.lit(1).alias("_one")
     j = (df.join(q, list(by)) if by else df.select("*", one).join(F.broadcast(q.select("*", one)), "_one")).withColumn("_x", x)  # without groups q is one row

@@ -14,8 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvial.common import materialize
-from fluvial.functions.columns import canonical_id, clip, col, finite, kirpich_minutes, or_zero, ratio
+from fluvial.common import materialize, numbered
+from fluvial.functions.columns import canonical_id, clip, col, finite, kirpich_minutes, numeric_id, or_zero, ratio
+from fluvial.operators.quantiles import quantiles
 
 #: Row and column steps to the eight neighbours, row by row.
 EIGHT = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
@@ -245,6 +246,32 @@ def levels(nodes: DataFrame, next_of: DataFrame) -> DataFrame:
     return accumulate(nodes.withColumn("one", F.lit(1.0)), next_of, downstream=["one"]).select("node", F.col("down_one").cast("bigint").alias("hops"))
 
 
+def topological_order(nodes: DataFrame, next_of: DataFrame) -> DataFrame:
+    """node, level, position, on_cycle: an order in which every node comes before its successor (next_of: node, next).
+
+    level: the longest way from a node without predecessors; positions go by level, then node, and the nodes of cycles, which have no
+    level, come last. Levels and cycles are found by pointer doubling: in round k a node learns of the longest way among those of fewer than
+    2 ** k steps. When 2 ** k is the number of nodes, only nodes that run into a cycle still have a 2 ** k-th successor, and
+    these successors are the nodes of the cycles.
+    """
+    d = nodes.select("node").distinct().join(next_of.select("node", "next"), "node", "left").withColumn("level", F.lit(0).cast("bigint"))
+    state = materialize(d, "order")
+    n, step = state.count(), 1
+    while step < n and not state.where("next IS NOT NULL").isEmpty():
+        running = state.where("next IS NOT NULL")
+        arriving = running.groupBy(F.col("next").alias("node")).agg((F.max("level") + step).alias("_far"))
+        ahead = running.select(F.col("node").alias("next"), F.col("next").alias("_next"))
+        s = state.join(arriving, "node", "left").join(ahead, "next", "left")
+        state = materialize(s.select("node", F.col("_next").alias("next"), F.greatest("level", F.coalesce("_far", "level")).alias("level")), "order")
+        step *= 2
+    looped = state.where("next IS NOT NULL").select(F.col("next").alias("node")).distinct().withColumn("on_cycle", F.lit(True))
+    if n == 1:  # no round was needed: a node that flows to itself
+        looped = state.where("next = node").select("node", F.lit(True).alias("on_cycle"))
+    d = state.join(looped, "node", "left").select("node", "level", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
+    d = d.withColumn("level", F.when(~F.col("on_cycle"), F.col("level")))
+    return numbered(d, ["on_cycle", "level", "node"], "position")
+
+
 def hydrology_features(nodes: DataFrame, edges: DataFrame, musk: bool | None = None) -> DataFrame:
     """Features of a flow network from node, length_m, slope, area, total_area, stream_order (and MusK).
 
@@ -298,13 +325,14 @@ def chain_edges(visits: DataFrame, line: str = "line", order: str = "pos", cell:
     return d.select(F.when(flip, F.col(cell)).otherwise(F.col("_before")).alias("src"), F.when(flip, F.col("_before")).otherwise(F.col(cell)).alias("dst"), line)
 
 
-def line_links(visits: DataFrame, lines: DataFrame, line: str = "line", order: str = "pos", cell: str = "flat_index") -> DataFrame:
-    """src, dst from the last cell of each line (id, down) to the first one of the line that its `down` names."""
+def line_links(visits: DataFrame, lines: DataFrame, line: str = "line", order: str = "pos", cell: str = "flat_index", attributes: Sequence[str] = ()) -> DataFrame:
+    """src, dst and the attributes of the upper line, from the last cell of each line (id, down) to the first one of the line that its `down`
+    names, once for each line. Ids are any text; numbers are compared without decimals; no `down`, or 0, is none."""
     ends = visits.groupBy(line).agg(F.min_by(cell, order).alias("first"), F.max_by(cell, order).alias("last")).join(lines, line)
-    from fluvial.functions.columns import numeric_id
-
-    down = ends.select(numeric_id("id").alias("_id"), F.col("first").alias("dst"))
-    return ends.select(numeric_id("down").alias("_id"), F.col("last").alias("src")).join(down, "_id").where("src <> dst").select("src", "dst").distinct()
+    named = lambda c: F.coalesce(numeric_id(c), F.col(c).cast("string"))
+    down = ends.select(named("id").alias("_id"), F.col("first").alias("dst"))
+    upper = ends.where(~named("down").isin("", "0")).select(named("down").alias("_id"), F.col("last").alias("src"), *attributes)
+    return upper.join(down, "_id").where("src <> dst").select("src", "dst", *attributes)
 
 
 def densify_lines(lines: DataFrame, step: float, points: str = "points", line: str = "line") -> DataFrame:
@@ -428,5 +456,6 @@ def stale(metadata: Mapping, wanted: Mapping, keys: Sequence[str] = ("builder",
 
 def median_spacing(cells: DataFrame, axis: str) -> DataFrame:
     """spacing: the median distance of neighbouring coordinates of a grid's axis (as many as it has rows or columns)."""
-    c = cells.select(finite(axis).alias("c")).distinct().agg(F.sort_array(F.collect_set("c")).alias("a"))
-    return c.select(F.explode(F.expr("transform(slice(a, 2, greatest(size(a) - 1, 0)), (v, i) -> v - a[i])")).alias("d")).agg(F.median("d").alias("spacing"))
+    placed = numbered(cells.select(finite(axis).alias("c")).where("c IS NOT NULL").distinct(), ["c"], "k")
+    after = placed.select((F.col("k") - 1).alias("k"), F.col("c").alias("next"))
+    return quantiles(placed.join(after, "k").select((F.col("next") - F.col("c")).alias("d")), [], "d", {"spacing": 0.5})

@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluvial.functions.columns import EPS32, INVERSE_TRANSFORMS, SECONDS_PER_HOUR, TIME_FEATURES, TRANSFORMS, clip, col, finite
+from fluvial.functions.columns import EPS32, INVERSE_TRANSFORMS, SECONDS_PER_HOUR, TIME_FEATURES, TRANSFORMS, clip, col, finite, number_label, text_label
+from fluvial.operators.quantiles import quantiles
 
 AGGREGATES = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "mean": F.avg, "min": F.min, "max": F.max}
 
@@ -104,6 +105,27 @@ def in_period(df: DataFrame, start, end, time: str = "date") -> DataFrame:
     return df.where(F.col(time).between(F.lit(start), F.lit(end)))
 
 
+def channels(df: DataFrame, variable: str, dims: Mapping[str, str]) -> DataFrame:
+    """variable, pos, name: a row for each channel that a variable with leading dimensions has, that of the last one varying fastest.
+
+    dims: a dimension's name to the column that holds its coordinates, an array, or its size, if it has none. A name is the variable's, then
+    dimension_coordinate or, counting from 0, dimension and number. Without dimensions the variable is one channel.
+    """
+    d = df.select(F.col(variable).alias("variable"), F.lit(0).cast("bigint").alias("pos"), F.array().cast("array<string>").alias("parts"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(dims.values())])
+    for k, dim in enumerate(dims):
+        kind = d.schema[f"_{k}"].dataType
+        c = F.col(f"_{k}")
+        if kind.typeName() == "array":
+            label = number_label if kind.elementType.typeName() in ("float", "double") else lambda x: text_label(x.cast("string"))
+            coordinates, size, prefix = F.transform(c, label), F.size(c), f"{dim}_"
+        else:
+            coordinates, size, prefix = F.when(c > 0, F.transform(F.sequence(F.lit(0), c.cast("int") - 1), lambda i: i.cast("string"))), c, dim
+        d = d.withColumns({"_n": size, "_c": coordinates}).select(*d.columns, "_n", F.posexplode("_c").alias("_i", "_v"))
+        d = d.withColumns({"pos": F.col("pos") * F.col("_n") + F.col("_i"), "parts": F.array_append("parts", F.concat(F.lit(prefix), "_v"))}).drop("_n", "_i", "_v")
+    name = F.concat_ws("__", F.col("variable"), *([F.concat_ws("__", "parts")] if dims else []))
+    return d.select("variable", "pos", name.alias("name"))
+
+
 # -- scalers -----------------------------------------------------------------------------------------------------------
 
 
@@ -117,10 +139,9 @@ def standard_scaler(df: DataFrame, by: Sequence[str], value: str = "value", floo
 
 def percentile_scaler(df: DataFrame, by: Sequence[str], value: str = "value", low: float = 0.01, high: float = 0.99, bounds: tuple[float | None, float | None] = (None, None)) -> DataFrame:
     """by..., mean (the lower percentile or bound), std (upper less lower; 1 if that is at most 1e-6)."""
-    x = finite(value)
-    a = F.lit(bounds[0]) if bounds[0] is not None else F.percentile(x, low)
-    b = F.lit(bounds[1]) if bounds[1] is not None else F.percentile(x, high)
-    scale = df.groupBy(*by).agg(a.cast("double").alias("mean"), b.cast("double").alias("_high"))
+    given = {"mean": bounds[0], "_high": bounds[1]}
+    found = quantiles(df, by, value, {c: share for c, share in (("mean", low), ("_high", high)) if given[c] is None})
+    scale = found.select(*by, *[(F.col(c) if v is None else F.lit(float(v))).alias(c) for c, v in given.items()])
     return scale.select(*by, "mean", F.when(F.col("_high") - F.col("mean") > 1e-6, F.col("_high") - F.col("mean")).otherwise(1.0).alias("std"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluvial.functions.columns import log_flow
+from fluvial.operators.quantiles import quantiles
 
 PERIODS = ("train", "validation", "test")
 FEATURES = ("mean_log_flow", "p10_log_flow", "p90_log_flow", "daily_std_log_flow", "gauge_mean_spread", "gauge_std_mean", "season_sin", "season_cos")
@@ -33,8 +34,8 @@ def block_features(blocks: DataFrame, series: str = "gauge_id", value: str = "va
     """A row for each block: share of valid values, level and spread of log flow over all values, days and series, season."""
     b = blocks.select("block_id", "block_start", "block_end", F.col(series).alias("_s"), F.col(date).alias("_d"), log_flow(value).alias("x"))
     whole = b.groupBy("block_id", "block_start", "block_end").agg(
-        (F.count("x") / F.count(F.lit(1))).alias("valid_fraction"), F.avg("x").alias("mean_log_flow"), F.percentile("x", 0.1).alias("p10_log_flow"), F.percentile("x", 0.9).alias("p90_log_flow")
-    )
+        (F.count("x") / F.count(F.lit(1))).alias("valid_fraction"), F.avg("x").alias("mean_log_flow")
+    ).join(quantiles(b, ["block_id"], "x", {"p10_log_flow": 0.1, "p90_log_flow": 0.9}), "block_id")
     days = b.groupBy("block_id", "_d").agg(F.avg("x").alias("m")).groupBy("block_id").agg(F.stddev_pop("m").alias("daily_std_log_flow"))
     each = b.groupBy("block_id", "_s").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).groupBy("block_id").agg(F.stddev_pop("m").alias("gauge_mean_spread"), F.avg("s").alias("gauge_std_mean"))
     middle = F.date_add("block_start", F.floor(F.datediff("block_end", "block_start") / 2).cast("int"))
@@ -45,12 +46,14 @@ def block_features(blocks: DataFrame, series: str = "gauge_id", value: str = "va
 
 def robust_scaled(features: DataFrame, names: Sequence[str] = FEATURES) -> DataFrame:
     """Less the median, over the distance of the quartiles (the deviation, or 1, where that is 0)."""
-    aggs = [f(n) for n in names for f in (lambda n: F.median(n).alias(f"med_{n}"), lambda n: (F.percentile(n, 0.75) - F.percentile(n, 0.25)).alias(f"iqr_{n}"), lambda n: F.stddev_pop(n).alias(f"sd_{n}"))]
-    s = features.agg(*aggs).first()
+    long = features.select(*[F.col(n).cast("double").alias(n) for n in names]).unpivot([], list(names), "name", "value")
+    s = {f"sd_{n}": v for n, v in features.agg(*[F.stddev_pop(n).alias(n) for n in names]).first().asDict().items()}
+    for r in quantiles(long, ["name"], "value", {"q1": 0.25, "med": 0.5, "q3": 0.75}).collect():  # a row for each name
+        s |= {f"med_{r['name']}": r.med, f"iqr_{r['name']}": None if r.q1 is None else r.q3 - r.q1}
 
     def scaled(n):
-        width = next((w for w in (s[f"iqr_{n}"], s[f"sd_{n}"]) if w is not None and abs(w) > 1e-8), 1.0)
-        return (F.col(n) - F.lit(s[f"med_{n}"])) / width
+        width = next((w for w in (s.get(f"iqr_{n}"), s[f"sd_{n}"]) if w is not None and abs(w) > 1e-8), 1.0)
+        return (F.col(n) - F.lit(s.get(f"med_{n}"))) / width
 
     return features.withColumns({n: scaled(n) for n in names})
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fluvial.common import checked_join
 from fluvial.functions.columns import ACTIVATIONS, EPS64, finite, or_zero
+from fluvial.operators.quantiles import quantiles
 
 STRATEGIES = ("stored", "cell_area", "inverse_distance", "exp_distance", "downhill", "downhill_distance")
 
@@ -21,7 +22,7 @@ def _distance() -> Column:
 
 def distance_scale(mapping: DataFrame) -> float:
     """The lower median of the distances."""
-    m = mapping.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY greatest(distance, sqrt(greatest(cell_area, 0))))").alias("m")).first()["m"]
+    m = quantiles(mapping, [], _distance(), {"m": (0.5, "disc")}).first()["m"]
     return 1.0 if m is None else float(m)
 
 

@@ -10,6 +10,7 @@ from fluvial.operators import assembly, compare, history, network, prepare, rout
 from fluvial.plans import views as V
 from fluvial.plans.network_queries import ACTIVE_SQL, MB, MW, NODES_SQL, OB, OW, STATE, UB, UW, _active, _demo, _graph, _sql_dense
 from fluvial.plans.registry import query, rounded
+from fluvial.plans.series_queries import E32
 
 # -- hydrofabric ---------------------------------------------------------------------------------------------------------
 
@@ -42,7 +43,34 @@ FROM numbered a JOIN junctions j ON j.id = a.toid JOIN numbered b ON b.id = j.to
 def q80b_hydrofabric(spark, sf):
     """Edges over junctions with the slope of their divide and weights by Muskingum K, which varies."""
     paths, junctions, attrs, divides = _layers(spark, sf)
-    return rounded(assembly.hydrofabric(paths, junctions, attrs, divides)[1])
+    return rounded(assembly.hydrofabric(paths, junctions, attrs, divides)[1].select("src", "dst", "length_m", "slope", "weight"))
+
+
+@query(f"""WITH {PATHS_SQL}, numbered AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS node FROM paths), e AS (SELECT DISTINCT a.node AS src, b.node AS dst, a.id, a.divide_id FROM numbered a JOIN junctions j ON j.id = a.toid JOIN numbered b ON b.id = j.toid WHERE a.node <> b.node),
+v AS (SELECT src, dst, coalesce("MusK", 0)::DOUBLE AS musk, coalesce(a.length, 0) AS len, 0.001::DOUBLE * n_regionkey AS so, 0.01::DOUBLE * (1 + n_nationkey % 4) AS n, CASE WHEN n_nationkey % 5 <> 0 THEN 2.0::DOUBLE + n_regionkey END AS b, 3.0::DOUBLE + n_nationkey AS t FROM e LEFT JOIN attrs a ON a.id = e.id JOIN nation ON n_nationkey::VARCHAR = e.divide_id),
+h AS (SELECT *, max(musk) OVER () > 0 AND stddev_pop(musk) OVER () > 1e-6 AS vary, sqrt(greatest(abs(so), 1e-6)) AS root FROM v)
+SELECT src, dst, round(len, 6) AS length_m, round(so, 6) AS slope, round(n, 6) AS n, coalesce(b, 0)::DOUBLE AS "BtmWdth", t AS "TopWdth", round(musk, 6) AS "MusK", round(1 / CASE WHEN vary THEN greatest(musk, 1e-6) ELSE greatest(len, 1) END, 6) AS weight,
+  round(CASE WHEN vary THEN greatest(musk, 1e-6) ELSE greatest(len, 1) / root END, 6) AS travel_time_proxy, round(root / n, 6) AS velocity_proxy, round(greatest(len, 1) / (root / n), 6) AS manning_travel_time_proxy, round(1 / (greatest(len, 1) / (root / n)), 6) AS inverse_manning_travel_time_proxy,
+  round(greatest(len, 1) * t, 6) AS storage_proxy, round(t * root / n, 6) AS conveyance_proxy, round(t / greatest(coalesce(b, 0), 1e-6), 6) AS width_ratio_proxy FROM h""")
+def q80d_hydrofabric_edges(spark, sf):
+    """The whole table of edges: widths, roughness, Muskingum parameters, travel times and hydraulic proxies."""
+    paths, junctions, attrs, _ = _layers(spark, sf)
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    divides = table(spark, sf, "nation").select(k.cast("string").alias("divide_id"), (0.001 * r).alias("So"), (0.01 * (1 + k % 4)).alias("n"), F.when(k % 5 != 0, 2.0 + r).alias("BtmWdth"), (3.0 + k).alias("TopWdth"))
+    whole = assembly.enrich(paths.drop("length"), divides, "divide_id")
+    return rounded(assembly.hydrofabric(whole, junctions, attrs.withColumnRenamed("length", "Length_m"))[1])
+
+
+@query(f"""WITH RECURSIVE {V.TREE_SQL}, nxt AS (SELECT id AS node, CASE WHEN id = 0 AND (SELECT count(*) FROM flow) > 5 THEN 5 WHEN id > 5 AND id % 97 = 0 THEN NULL ELSE toid END AS next FROM flow),
+walk AS (SELECT node AS start, next AS node, 1 AS step FROM nxt WHERE next IS NOT NULL UNION ALL SELECT start, nxt.next, step + 1 FROM walk JOIN nxt ON nxt.node = walk.node WHERE nxt.next IS NOT NULL AND step < 40),
+cyc AS (SELECT DISTINCT start AS node FROM walk WHERE start = node), far AS (SELECT node, max(step) AS far FROM walk GROUP BY 1),
+d AS (SELECT n.node, CASE WHEN cyc.node IS NULL THEN coalesce(far, 0) END AS level, cyc.node IS NOT NULL AS on_cycle FROM nxt n LEFT JOIN cyc ON cyc.node = n.node LEFT JOIN far ON far.node = n.node)
+SELECT node::BIGINT AS node, level::BIGINT AS level, on_cycle, (row_number() OVER (ORDER BY on_cycle, level, node) - 1)::BIGINT AS position FROM d""")
+def q81k_topological_order(spark, sf):
+    """Upstream first, with outlets within the network, and a cycle (0, 5, 2) whose nodes come last."""
+    f = V.flow(spark, sf)
+    cut = F.when(F.col("id") == 0, F.lit(5).cast("bigint")).when((F.col("id") > 5) & (F.col("id") % 97 == 0), F.lit(None)).otherwise(F.col("toid"))
+    return network.topological_order(f.select(F.col("id").alias("node")), f.select(F.col("id").alias("node"), cut.alias("next")).where("next IS NOT NULL"))
 
 
 @query("SELECT count(DISTINCT n_regionkey) AS geometries FROM nation")
@@ -55,8 +83,8 @@ def q80c_unique_geometries(spark, sf):
 LINES_SQL = f"""{V.GRID_SQL}, lines AS (SELECT DISTINCT y AS line FROM cells), pts AS (SELECT line, i, 0.2 + 6.6 * i / 14 AS x FROM lines, (SELECT unnest(range(15)) AS i)),
 spot AS (SELECT line, i, flat_index, active FROM (SELECT pts.line, i, flat_index, active, row_number() OVER (PARTITION BY pts.line, i ORDER BY (c.x - pts.x) ** 2 + (c.y - pts.line) ** 2, flat_index) AS r FROM pts JOIN cells c ON c.y BETWEEN pts.line - 1 AND pts.line + 1 AND c.x BETWEEN 0 AND 9) WHERE r = 1),
 kept AS (SELECT line, CASE WHEN line % 3 = 0 THEN -i ELSE i END AS i, flat_index FROM spot WHERE active), own AS (SELECT line, lag(flat_index) OVER (PARTITION BY line ORDER BY i) AS src, flat_index AS dst FROM kept),
-ends AS (SELECT line, min_by(flat_index, i) AS first, max_by(flat_index, i) AS last FROM kept GROUP BY 1), links AS (SELECT a.last AS src, b.first AS dst FROM ends a JOIN ends b ON b.line = a.line + 1)
-SELECT src, dst, round(avg(w), 6) AS slope FROM (SELECT src, dst, line * 0.5 AS w FROM own WHERE src IS NOT NULL AND src <> dst UNION ALL SELECT DISTINCT src, dst, 0.0 FROM links WHERE src <> dst) GROUP BY 1, 2"""
+ends AS (SELECT line, min_by(flat_index, i) AS first, max_by(flat_index, i) AS last FROM kept GROUP BY 1), links AS (SELECT a.last AS src, b.first AS dst, a.line * 0.5 AS w FROM ends a JOIN ends b ON b.line = a.line + 1)
+SELECT src, dst, round(avg(w), 6) AS slope FROM (SELECT src, dst, line * 0.5 AS w FROM own WHERE src IS NOT NULL AND src <> dst UNION ALL SELECT src, dst, w FROM links WHERE src <> dst) GROUP BY 1, 2"""
 
 
 @query(f"WITH {LINES_SQL}")
@@ -289,14 +317,26 @@ def q83m_head(spark, sf):
     return prepare.head(c, 25, [F.desc("balance"), "id"])
 
 
-@query(f"WITH {V.SERIES_SQL} SELECT gauge_id, date, round(prediction, 2) AS prediction, round(observation, 2) AS observation FROM series WHERE observation IS NOT NULL")
+@query(f"""WITH {V.SERIES_SQL}, logs AS (SELECT gauge_id, date, ln(1 + greatest(prediction, 0)) AS lp, ln(1 + greatest(observation, 0)) AS lo FROM series WHERE observation IS NOT NULL),
+sc AS (SELECT gauge_id, avg(lo) AS m, greatest(stddev_pop(lo), 1e-6) AS s FROM logs GROUP BY 1), scaled AS (SELECT logs.gauge_id, 'scaled' AS space, (lp - m) / s AS p, (lo - m) / s AS o FROM logs JOIN sc ON sc.gauge_id = logs.gauge_id),
+spaces AS (SELECT * FROM scaled UNION ALL SELECT scaled.gauge_id, 'physical', exp(p * s + m) - 1, exp(o * s + m) - 1 FROM scaled JOIN sc ON sc.gauge_id = scaled.gauge_id),
+k AS (SELECT gauge_id, space, count(*)::DOUBLE AS n, avg(p) AS mp, avg(o) AS mo, var_pop(p) AS vp, var_pop(o) AS vo, covar_pop(p, o) AS cov, avg((p - o) ** 2) AS mse FROM spaces GROUP BY 1, 2 HAVING count(*) > 1),
+c AS (SELECT gauge_id, space, mse, n * cov / (sqrt(n * vp * n * vo + {E32}) + {E32}) AS r, sqrt(vp + {E32}) / (sqrt(vo + {E32}) + {E32}) AS a, (mp + {E32}) / (mo + {E32}) AS b FROM k)
+SELECT gauge_id, space, round(CASE WHEN space = 'physical' THEN mse / 1e6 ELSE mse END, 4) AS mse, round(r, 6) AS r, round(a, 6) AS alpha, CASE WHEN space = 'physical' THEN round(b, 6) END AS beta FROM c""")
 def q83n_loss_in_physical_space(spark, sf):
-    """Scaled logarithms of flow come back as flow, as a loss in physical space takes them."""
-    d = V.series(spark, sf).where("observation IS NOT NULL")
-    logs = d.withColumns({c: C.log_flow(c) for c in ("prediction", "observation")})
+    """Errors and the components of KGE on scaled logarithms, and on flow as a loss in physical space takes it. (In scaled space the mean observation is 0, up to
+    rounding, so beta says nothing.)"""
+    logs = V.series(spark, sf).where("observation IS NOT NULL").withColumns({c: C.log_flow(c) for c in ("prediction", "observation")})
     scaler = logs.groupBy("gauge_id").agg(F.avg("observation").alias("mean"), F.greatest(F.stddev_pop("observation"), F.lit(1e-6)).alias("std"))
     scaled = logs.join(scaler, "gauge_id").withColumns({c: (F.col(c) - F.col("mean")) / F.col("std") for c in ("prediction", "observation")}).drop("mean", "std")
-    return rounded(assembly.physical(scaled, scaler, ["gauge_id"], "physical", "log1p"), 2)
+    out = None
+    for space, unit in (("scaled", 1.0), ("physical", 1e6)):
+        d = assembly.physical(scaled, scaler, ["gauge_id"], space, "log1p")
+        error = d.groupBy("gauge_id").agg(F.round(F.avg(F.pow(F.col("prediction") - F.col("observation"), F.lit(2))) / unit, 4).alias("mse"))
+        beta = F.round("beta", 6) if space == "physical" else F.lit(None).cast("double")
+        part = skill.kge_components(d, ["gauge_id"]).join(error, "gauge_id").select("gauge_id", F.lit(space).alias("space"), "mse", F.round("r", 6).alias("r"), F.round("alpha", 6).alias("alpha"), beta.alias("beta"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # -- models --------------------------------------------------------------------------------------------------------------

@@ -171,7 +171,7 @@ def q42b_weight_multipliers(spark, sf):
 
 
 STATE = [f"x{k}" for k in range(4)]
-NODES_SQL = f"""{V.TREE_SQL}, nodes AS (SELECT id AS node, {", ".join(f"embedding[{k + 1}]::DOUBLE AS x{k}" for k in range(4))} FROM flow JOIN embeddings ON vec_id = id % (SELECT count(*) FROM embeddings)), edges AS (SELECT id AS src, toid AS dst, 100 / length_m AS weight FROM flow WHERE toid IS NOT NULL)"""
+NODES_SQL = f"""{V.TREE_SQL}, vectors AS MATERIALIZED (SELECT count(*) AS n FROM embeddings), keyed AS MATERIALIZED (SELECT id, id % n AS v FROM flow, vectors), nodes AS MATERIALIZED (SELECT id AS node, {", ".join(f"embedding[{k + 1}]::DOUBLE AS x{k}" for k in range(4))} FROM keyed JOIN embeddings ON vec_id = v), edges AS MATERIALIZED (SELECT id AS src, toid AS dst, 100 / length_m AS weight FROM flow WHERE toid IS NOT NULL)"""
 
 
 def _graph(spark, sf):

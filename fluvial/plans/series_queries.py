@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fluvial.common import table
 from fluvial.functions import columns as C
-from fluvial.operators import compare, prepare, skill
+from fluvial.operators import compare, prepare, quantiles, skill
 from fluvial.plans import views as V
 from fluvial.plans.registry import query, rounded
 
@@ -83,6 +83,13 @@ def q06b_quartiles(spark, sf):
     return rounded(compare.quartiles(V.samples(spark, sf), ["variable"], "value"))
 
 
+@query(f"""WITH {V.SAMPLES_SQL} SELECT variable, round(quantile_cont(value, 0.01), 6) AS p01, round(quantile_cont(value, 0.5), 6) AS med, quantile_disc(value, 0.5) AS low_med, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS top FROM samples GROUP BY 1""")
+def q13b_quantiles_by_selection(spark, sf):
+    """As for groups of any size: sketches bracket the ranks, counts narrow the brackets."""
+    shares = {"p01": 0.01, "med": 0.5, "low_med": (0.5, "disc"), "p99": 0.99, "top": 1.0}
+    return rounded(quantiles.exact_quantiles(V.samples(spark, sf), ["variable"], "value", shares, within=100))
+
+
 @query(f"""WITH {V.DAILY_SQL} SELECT cell, row_number() OVER (PARTITION BY cell ORDER BY value DESC) AS rank, round(100.0 * row_number() OVER (PARTITION BY cell ORDER BY value DESC) / (count(*) OVER (PARTITION BY cell) + 1), 6) AS exceedance, round(value, 6) AS value FROM daily""")
 def q07_flow_duration(spark, sf):
     return rounded(compare.flow_duration(V.daily(spark, sf), ["cell"], "value"))

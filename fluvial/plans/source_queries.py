@@ -272,18 +272,19 @@ def q73e_graph_json(spark, sf):
 # -- columns -------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT s_suppkey::BIGINT AS id, monthname(DATE '2000-01-01' + INTERVAL (s_suppkey) DAY) AS month, CASE WHEN s_suppkey % 3 = 0 THEN lpad(s_suppkey::VARCHAR, 8, '0') WHEN s_suppkey % 3 = 1 THEN s_suppkey::VARCHAR END AS gauge FROM supplier")
+@query("SELECT s_suppkey::BIGINT AS id, strftime(DATE '2000-01-01' + INTERVAL (s_suppkey) DAY, '%b') AS month, CASE WHEN s_suppkey % 3 = 0 THEN lpad(s_suppkey::VARCHAR, 8, '0') WHEN s_suppkey % 3 = 1 THEN s_suppkey::VARCHAR END AS gauge FROM supplier")
 def q74_months_and_gauges(spark, sf):
     s = table(spark, sf, "supplier").withColumn("k", F.col("s_suppkey") % 3)
     s = s.withColumns({"ref": F.when(F.col("k") == 0, "gages").otherwise("dams"), "uri": F.when(F.col("k") == 0, F.concat(F.lit("gages-"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0"))), "link": F.when(F.col("k") == 1, F.col("s_suppkey").cast("string")).otherwise("none")})
     return s.select(F.col("s_suppkey").cast("bigint").alias("id"), C.month_name(F.date_add(F.lit("2000-01-01").cast("date"), F.col("s_suppkey").cast("int"))).alias("month"), C.gauge_of_location("ref", "uri", "link").alias("gauge"))
 
 
-@query("SELECT 'soil__layer_' || r_regionkey::VARCHAR || 'p5__kind' || k::VARCHAR AS name, r_regionkey * 2 + k AS pos FROM region, (SELECT unnest(range(2)) AS k)")
+@query("""WITH layers AS (SELECT p_brand, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM (SELECT DISTINCT p_brand, p_size FROM part))
+SELECT p_brand AS variable, (i * 2 + k)::BIGINT AS pos, p_brand || '__layer_' || CASE (p_size - 25) % 2 WHEN 0 THEN ((p_size - 25) // 2)::VARCHAR ELSE replace(((p_size - 25) / 2)::VARCHAR, '.', 'p') END || '__kind' || k AS name FROM layers, (SELECT unnest(range(2)) AS k)""")
 def q74b_channel_names(spark, sf):
-    levels = sorted(r.r_regionkey + 0.5 for r in table(spark, sf, "region").collect())
-    names = C.channel_names("soil", {"layer": levels, "kind": 2})
-    return spark.createDataFrame(list(enumerate(names)), "pos bigint, name string")
+    """A channel for each layer, whole, half and negative ones, and kind; kinds have no coordinates."""
+    v = table(spark, sf, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set((F.col("p_size") - 25) / 2)).alias("layers"), F.lit(2).alias("kinds"))
+    return prepare.channels(v, "p_brand", {"layer": "layers", "kind": "kinds"})
 
 
 @query("SELECT p_partkey::BIGINT AS id, p_retailprice * 0.028316846592 AS cms, CASE WHEN p_size <> 7 THEN p_size::DOUBLE END AS size, CASE WHEN p_size <> 7 THEN p_size::DOUBLE ELSE 0 END AS filled FROM part")
@@ -292,12 +293,12 @@ def q74c_units_and_sentinels(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").cast("bigint").alias("id"), (F.col("p_retailprice") * C.CFS_TO_M3S).alias("cms"), size.alias("size"), C.or_zero(size).alias("filled"))
 
 
-@query("SELECT p_partkey::BIGINT AS id, coalesce(CASE WHEN p_size > 25 THEN p_name END, p_brand) AS given, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey::VARCHAR END AS number, p_size::VARCHAR || 'p5' AS label, regexp_replace(regexp_replace(p_brand, '[^A-Za-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS safe FROM part")
+@query("SELECT p_partkey::BIGINT AS id, coalesce(CASE WHEN p_size > 25 THEN p_name END, p_brand) AS given, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey::VARCHAR END AS number, CASE WHEN p_size % 2 = 0 THEN ((p_size - 20) // 2)::VARCHAR ELSE replace(((p_size - 20) / 2)::VARCHAR, '.', 'p') END AS label, regexp_replace(regexp_replace(p_brand, '[^A-Za-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS safe FROM part")
 def q74d_ids(spark, sf):
     """First given, numbers as ids, numbers as labels, and names of letters and digits only."""
     k = F.col("p_partkey").cast("string")
     p = table(spark, sf, "part").withColumns({"a": F.when(F.col("p_size") > 25, F.col("p_name")).otherwise(" "), "w": F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("wb-"), k)).otherwise(F.concat(k, F.lit(".0")))})
-    return p.select(F.col("p_partkey").cast("bigint").alias("id"), C.first_given("a", "p_brand").alias("given"), C.numeric_id("w").alias("number"), C.number_label(F.col("p_size") + 0.5).alias("label"), C.safe_name("p_brand").alias("safe"))
+    return p.select(F.col("p_partkey").cast("bigint").alias("id"), C.first_given("a", "p_brand").alias("given"), C.numeric_id("w").alias("number"), C.number_label((F.col("p_size") - 20) / 2).alias("label"), C.safe_name("p_brand").alias("safe"))
 
 
 @query("SELECT s_suppkey::BIGINT AS id FROM supplier WHERE s_name LIKE '%1' OR s_name LIKE 'Supplier#00000000_'")

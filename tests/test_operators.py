@@ -152,7 +152,7 @@ def test_columns(spark):
     r = d.select(C.canonical_id("id"), C.safe_name("name"), C.file_timestamp("file"), C.number_label("x"), C.or_zero("x"), C.finite("y"), C.clip("y", 2.0), C.log_flow("x")).collect()
     assert [x[0] for x in r] == ["123", "0", "A01"] and [x[1] for x in r] == ["a_b_c", "x", ""]
     assert [x[2] for x in r] == [dt.datetime(2020, 1, 5), dt.datetime(2020, 1, 2, 3), None]
-    assert [x[3] for x in r][:2] == ["1p5", "m2"] and [x[4] for x in r] == [1.5, -2.0, 0.0] and [x[5] for x in r] == [None, 1.0, None]
+    assert [x[3] for x in r][:2] == ["1p5", "-2"] and [x[4] for x in r] == [1.5, -2.0, 0.0] and [x[5] for x in r] == [None, 1.0, None]
     assert [x[6] for x in r][:2] == [None, 2.0] and r[1][7] == 0.0
     s = spark.createDataFrame([(-9999.0,), (-9999.05,), (3.0,)], "v double")
     assert [x.v for x in s.select(C.sentinel_to_null("v", -9999.0).alias("v")).collect()] == [None, None, 3.0]
