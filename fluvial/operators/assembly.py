@@ -68,7 +68,7 @@ def hydrofabric(paths: DataFrame, junctions: DataFrame, path_attributes: DataFra
     return nodes, network.hydraulic_features(edges, **named)
 
 
-def flowline_network(lines: DataFrame, cells: DataFrame, step: float, size: float = 1.0, attributes: Sequence[str] = (), reverse: bool = False) -> DataFrame:
+def flowline_network(lines: DataFrame, cells: DataFrame, step: float, attributes: Sequence[str] = (), reverse: bool = False) -> DataFrame:
     """src, dst and the mean of each attribute, between the active cells that lines pass one after the other.
 
     lines: line, points (an array of x, y), id, down (the id of the line below), direction, attributes. Points are put in at
@@ -77,7 +77,7 @@ def flowline_network(lines: DataFrame, cells: DataFrame, step: float, size: floa
     attributes of the upper line. reverse: each edge also in the other direction.
     """
     placed = network.densify_lines(lines, step).withColumn("at", F.struct("line", "pos"))
-    near = network.nearest(placed.select("at", "x", "y"), cells.select("flat_index", "x", "y"), "at", size=size)
+    near = network.nearest(placed.select("at", "x", "y"), cells.select("flat_index", "x", "y"), "at")
     visits = near.select("at.line", "at.pos", "flat_index").join(cells.where("active").select("flat_index"), "flat_index", "left_semi")
     marked = visits.join(lines.select("line", F.lower(F.coalesce("direction", F.lit(""))).contains("against").alias("against")), "line")
     # the order of the flow, so that the ends of lines are the right ones, too

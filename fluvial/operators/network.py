@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fluvial.common import materialize, numbered
 from fluvial.functions.columns import canonical_id, clip, col, finite, kirpich_minutes, numeric_id, or_zero, ratio
+from fluvial.operators import quadtree
 from fluvial.operators.quantiles import quantiles
 
 #: Row and column steps to the eight neighbours, row by row.
@@ -348,33 +349,10 @@ def densify_lines(lines: DataFrame, step: float, points: str = "points", line: s
 # -- nearest cells and gauges ------------------------------------------------------------------------------------------
 
 
-def nearest(points: DataFrame, cells: DataFrame, key: str, cell: str = "flat_index", size: float = 1.0, max_rounds: int = 40, geographic: bool = False) -> DataFrame:
-    """key, cell, distance: the nearest cell (x, y) of each point (x, y); of equally near ones the smallest cell.
-
-    geographic: x and y are degrees, and the distance is in km on a plane around each point.
-
-    Both sides are put into square buckets and a point is compared with the cells of its own and the eight around; that is
-    right if the nearest of them is at most one bucket's width away. The points for which it isn't go on with buckets of
-    twice the width. So no point meets all cells unless all lie about as far from it.
-    """
-    p, c = points.select(key, "x", "y"), cells.select(cell, F.col("x").alias("cx"), F.col("y").alias("cy"))
-    todo, done = materialize(p, "nearest"), None
-    if c.isEmpty():
-        return p.select(key, F.lit(None).cast(cells.schema[cell].dataType).alias(cell), F.lit(None).cast("double").alias("distance"))
-    for _ in range(max_rounds):
-        bucket = lambda v: F.floor(col(v) / size)
-        spread = todo.select("*", F.explode(_steps([(0, 0), *EIGHT])).alias("s")).select(key, "x", "y", (bucket("y") + F.col("s.dy")).alias("by"), (bucket("x") + F.col("s.dx")).alias("bx"))
-        met = spread.join(c.select("*", bucket("cy").alias("by"), bucket("cx").alias("bx")), ["by", "bx"])
-        narrow = F.cos(F.radians("y")) if geographic else F.lit(1.0)
-        d2 = F.pow((F.col("cx") - F.col("x")) * narrow, F.lit(2)) + F.pow(F.col("cy") - F.col("y"), F.lit(2))
-        best = met.groupBy(key).agg(F.min(F.struct(d2.alias("d2"), F.col(cell))).alias("b"), F.first(narrow * size).alias("r")).where("b.d2 <= r * r")
-        found = materialize(best.select(key, F.col(f"b.{cell}").alias(cell), (F.sqrt("b.d2") * (111.32 if geographic else 1.0)).alias("distance")), "nearest")
-        done = found if done is None else done.unionByName(found)
-        todo = materialize(todo.join(found.select(key), key, "left_anti"), "nearest")
-        if todo.isEmpty():
-            return done
-        size *= 2
-    raise ValueError("points too far from all cells")
+def nearest(points: DataFrame, cells: DataFrame, key: str, cell: str = "flat_index", geographic: bool = False) -> DataFrame:
+    """key, cell, distance: the nearest cell (x, y) of each point (x, y); of equally near ones the smallest cell. geographic: x and y are degrees, and the
+    distance is in km on a plane around each point. Cells are indexed by a quadtree."""
+    return quadtree.nearest(points, cells, key, cell, geographic)
 
 
 def nearest_on_axis(points: DataFrame, axis: DataFrame, value: str, coordinate: str) -> DataFrame:
@@ -404,7 +382,7 @@ def match_gauges(gauges: DataFrame, order: DataFrame, gauge: str = "gauge_id") -
     return j.drop("_id", "_hit", "_wanted")
 
 
-def resolve_gauges(gauges: DataFrame, cells: DataFrame, gauge: str = "gauge_id", size: float = 1.0) -> DataFrame:
+def resolve_gauges(gauges: DataFrame, cells: DataFrame, gauge: str = "gauge_id") -> DataFrame:
     """gauge, flat_index, method of gauges that say where they are by flat_index, by row and col, by projected x and y, or by
     lon and lat, the first of these that is given. cells: flat_index and what is used of y, x (row and column), xc, yc, lon, lat."""
     have = set(gauges.columns)
@@ -417,7 +395,7 @@ def resolve_gauges(gauges: DataFrame, cells: DataFrame, gauge: str = "gauge_id",
     for name, (px, py), (cx, cy) in (("projected", ("x", "y"), ("xc", "yc")), ("geographic", ("lon", "lat"), ("lon", "lat"))):
         if {px, py} <= have and {cx, cy} <= set(cells.columns):
             points = gauges.where(F.col(px).isNotNull() & F.col(py).isNotNull()).select(gauge, F.col(px).alias("x"), F.col(py).alias("y"))
-            near = nearest(points, cells.select("flat_index", F.col(cx).alias("x"), F.col(cy).alias("y")), gauge, size=size, geographic=name == "geographic")
+            near = nearest(points, cells.select("flat_index", F.col(cx).alias("x"), F.col(cy).alias("y")), gauge, geographic=name == "geographic")
             parts.append((name, near.select(gauge, F.col("flat_index").alias("node"))))
     if not parts:
         raise ValueError(f"gauges say nowhere where they are; there are {gauges.columns}")
