@@ -13,6 +13,8 @@ the byte ranges of the records found, in as many tasks as their bytes need.
 Files are opened by pyarrow, where it knows the scheme, and ranges are read from them. For all other schemes Spark reads
 the files, one by one, and ranges are cut from them in memory.
 
+A page_id may be any value that casts to text and back; in headers and index it is percent-encoded.
+
 Null html: an empty payload. Null url: the key "". Null page_id: a record without Page-Id; it never is the one that
 others revisit unless all of its copies lack an id, and then all are responses. Rows with equal page_id and payload are
 all responses if that page_id is the smallest. No pages: no records. Very long payloads are written and read whole. Other
@@ -55,6 +57,23 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+#: What a header line or a line of the index can't hold as it is, or loses at its ends.
+ESCAPES = {"%": "%25", "\t": "%09", "\n": "%0A", "\r": "%0D", " ": "%20"}
+
+
+def escaped(page_id: Column) -> Column:
+    """Any text as a value of a header: percent signs, tabs, line ends and spaces are percent-encoded."""
+    out = page_id.cast("string")
+    for c, code in ESCAPES.items():  # the percent sign comes first
+        out = F.replace(out, F.lit(c), F.lit(code))
+    return out
+
+
+def unescaped(value: str | None) -> str | None:
+    plain = {code: c for c, code in ESCAPES.items()}
+    return value if value is None else re.sub("%(?:25|09|0A|0D|20)", lambda m: plain[m[0]], value)
+
+
 def url_key(url: str) -> str:
     """Reversed host, path and query: com,example)/a?b=1. Scheme, user, port, a leading www. and the fragment go."""
     url = re.sub(r"[\r\n]", "", url).strip()  # as the archive has it
@@ -84,7 +103,7 @@ def classify(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def record(date: str) -> Column:
     """A record, but for the two line ends that close it, from the columns of classify()."""
-    name = lambda page_id, digest: F.concat(F.lit("<urn:sha1:"), digest, F.lit(":"), page_id.cast("string"), F.lit(">"))
+    name = lambda page_id, digest: F.concat(F.lit("<urn:sha1:"), digest, F.lit(":"), escaped(page_id), F.lit(">"))
     page_id, digest = F.col("page_id"), F.col("payload_digest")
     revisit = F.col("refers_to").isNotNull()
     line = lambda key, value: F.coalesce(F.concat(F.lit(f"{key}: "), value, F.lit("\r\n")), F.lit(""))
@@ -93,8 +112,8 @@ def record(date: str) -> Column:
     length = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
     return F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", name(F.coalesce(page_id.cast("string"), F.lit("")), digest)),
-        line("WARC-Date", F.lit(date)), line("WARC-Target-URI", url), line("Page-Id", page_id.cast("string")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
-        F.when(revisit, F.concat(line("WARC-Refers-To", name(F.col("refers_to"), digest)), line("Refers-To-Page-Id", F.col("refers_to").cast("string")), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
+        line("WARC-Date", F.lit(date)), line("WARC-Target-URI", url), line("Page-Id", escaped(page_id)), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
+        F.when(revisit, F.concat(line("WARC-Refers-To", name(F.col("refers_to"), digest)), line("Refers-To-Page-Id", escaped(F.col("refers_to"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", length.cast("string")), F.lit("\r\n"), http, F.when(revisit, "").otherwise(F.col("payload")),
     )
 
@@ -145,7 +164,7 @@ def header_fields(head: bytes) -> dict[str, str]:
     out = {}
     for line in head.decode("utf-8").split("\r\n")[1:]:
         name, _, value = line.partition(":")
-        out[name.strip().lower()] = value.strip()
+        out[name.strip().lower()] = value.strip(" \t")
     return out
 
 
@@ -226,7 +245,7 @@ def _plain(key: str) -> str:
 
 def _unpack(data: bytes) -> list[tuple]:
     rows = (line.split("\t") for line in zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n"))
-    return [(*r[:5], int(r[5]), int(r[6])) for r in rows]
+    return [(r[0], unescaped(r[1]), *r[2:5], int(r[5]), int(r[6])) for r in rows]
 
 
 def lookup(spark: SparkSession, index: str, urls: DataFrame) -> DataFrame:
@@ -273,7 +292,7 @@ def _record(data: bytes, with_payload: bool) -> tuple:
     size, digest = int(header_fields(http)["content-length"]), x["warc-payload-digest"].removeprefix("sha1:")
     if x["warc-type"] == "response":
         size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    return x.get("page-id"), size, digest, x["warc-type"], x.get("refers-to-page-id"), payload if with_payload else None
+    return unescaped(x.get("page-id")), size, digest, x["warc-type"], unescaped(x.get("refers-to-page-id")), payload if with_payload else None
 
 
 def _records(rows: list) -> pa.RecordBatch:

@@ -499,6 +499,17 @@ def test_warc_round_trip(spark):
     assert Counter((r.page_id, r.payload_bytes) for r in got.collect()) == Counter((p, len(h or "")) for p, _, h in odd)
 
 
+def test_warc_page_ids_of_any_text(spark, tmp_path):
+    ids = ["d\n1", " b ", "b", "tab\there", "50%", "%20", "%2520", "cr\r\n\r\nWARC/1.1", "", "\u00a0x\u2003", "\x0b\x85", "e: f", "\U0001F600"]
+    pages = spark.createDataFrame([(i, f"http://h.example/{k % 3}", "same" if k < 4 else f"own {k}") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc_index.archive_and_read(pages).collect()}
+    first = min(ids[:4], key=lambda s: s.encode())
+    assert got == {i: ("response", None) if k >= 4 or i == first else ("revisit", first) for k, i in enumerate(ids)}
+    warc_index.write_archives(pages, f"{tmp_path}/a")
+    warc_index.build_index(spark, f"{tmp_path}/a", f"{tmp_path}/i")
+    assert sorted(r.page_id for r in warc_index.lookup(spark, f"{tmp_path}/i", pages).collect()) == sorted(ids)
+
+
 def test_warc_lookup(spark, tmp_path, monkeypatch):
     path = str(tmp_path)
     warc_index.write_archives(_pages(spark), f"{path}/warc", min_bytes=5, records_per_file=2)
