@@ -1,22 +1,21 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Base spans come from four patterns with checks (email, IP address, payment card, phone). A conditional random field then
-labels the tokens that hold a digit or @, and the tokens next to them, as the beginning or the inside of a kind of entity, or
+labels the tokens that hold a digit, @ or an at in brackets, and the tokens next to them, as the beginning or the inside of a kind of entity, or
 as none. Besides the four kinds it knows secrets, such as access tokens. Its factors: features of a token (its whole shape,
 counts, checks, the words before and after); the labels of neighbouring tokens; and skip edges, which tie tokens whose
 number or address repeats anywhere in the document, or is similar (the same local part of an address, a number with the same
-beginning and length). So a number written without its plus sign is found because the same number stands elsewhere as a
-phone. All occurrences of a group are tied to one hub, a variable over kinds: a token that occurs a thousand times has a
-thousand edges, not a million, and any two are two steps apart. Loopy message passing runs until messages stand still; it is
-exact where the document's graph is a tree.
+beginning and length). So a number written without its plus sign, or an address with [at], is found because the same one stands elsewhere as a
+phone or an email. All occurrences of a group are tied to one hub, a variable over kinds: a token that occurs a thousand times has a
+thousand edges, not a million, and any two are two steps apart. What a pattern knows is observed: a base span's tokens have their label, and the hub of
+what repeats a base span has its kind, so what is known reaches any number of repeats undiminished. All other hubs are free. Loopy message passing
+runs until messages stand still; it is exact where the document's graph is a tree. A document whose messages don't settle is labelled without its free hubs, which leaves a tree.
 
 All weights are trained here together, by the pseudo-likelihood of the tokens given their hubs, on a bounded sample of documents
 (SAMPLE, chosen by hash, of at most MOST_TOKENS tokens each). Labels are those of the base patterns, and of a pattern for
 secrets with a cue. Since patterns miss the mentions that are to be found, each sampled document gets further ones: an
-entity of its own, written in another way (an example), and numbers and strings of other documents' forms that nothing
-marks (counter-examples). In a document a base span is known to have its label, a secret with a cue
-has strong evidence for it, and repeats of one number are no further
-evidence about it: together they weigh as one.
+entity of a kind drawn at random, its own or a made one in one of the layouts that the patterns know, and repeats of it in layouts that they don't (examples);
+and numbers, addresses and strings in all these layouts that nothing marks, once or several times (counter-examples).
 
 A token whose probability of a kind is at least `sure`, and that touches no base span, becomes a further span; tokens next
 to each other become one unless a new entity is twice as likely to begin.
@@ -43,20 +42,23 @@ KINDS = ("email", "ip", "card", "phone")
 ENTITIES = (*KINDS, "secret")
 #: No entity, the beginning of each kind, the inside of each.
 LABELS = ("", *ENTITIES, *ENTITIES)
-SAMPLE, MOST_TOKENS = 1000, 500
+SAMPLE, MOST_TOKENS = 600, 500
 BUCKETS = 1 << 12
-#: Messages nearly always stand still long before.
-ROUNDS = 1000
+#: Messages are damped more after so many rounds, and again, until they stand still; below the least step they don't settle.
+ROUNDS, LEAST_STEP = 200, 2.0**-6
 STILL = 1e-7
-#: The log factor of a label that a base span gives.
-GIVEN = 8.0
+#: The log factor of a label that is known not to be.
+NEVER = -1e4
 
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 EMAIL_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-MARK = re.compile(r"[0-9@]")
+MARK = re.compile(r"[0-9@]|[\[({][aA][tT][\])}]")
+AT, DOT = re.compile(r"[\[({]at[\])}]", re.I), re.compile(r"[\[({](?:dot|\.)[\])}]", re.I)
+#: Four small numbers with the same sign between them.
+FOUR = re.compile(r"(?<![0-9])([0-9]{1,3})(\.|-|_|,|/|[\[({](?:\.|dot)[\])}])([0-9]{1,3})\2([0-9]{1,3})\2([0-9]{1,3})(?![0-9])", re.I)
 TOKEN = re.compile(r"\S+")
 SECRET = re.compile(r"""(?i)(?:token|key|secret|passw(?:or)?d|pwd)["']?\s*[=:]\s*["']?([A-Za-z0-9_+/=-]{16,})""")
 #: A part of a number, and what may follow the last one.
@@ -168,7 +170,7 @@ def token_features(token: str, before: str, after: str) -> list[int]:
     core = token.strip("\"'()[]{}<>.,;:!?")
     mixed = len(core) >= 16 and digits and re.fullmatch(r"[A-Za-z0-9_+/=-]*[A-Za-z][A-Za-z0-9_+/=-]*", core)
     named = [
-        "bias", "shape " + re.sub("a0(a0)+", "a0~", shape), "n " + str(min(len(digits), 24)), "@" if "@" in token else "no @", "dots " + str(min(token.count("."), 4)),
+        "bias", "shape " + re.sub("a0(a0)+", "a0~", shape), f"n {len(digits)}", "@" if "@" in token or AT.search(token) else "no @", f"dots {token.count('.')}",
         "letters" if re.search("[A-Za-z]", token) else "none", "luhn" if 14 <= len(digits) <= 19 and luhn(digits) else "no luhn",
         "+" if token[0] == "+" else "no +", "before " + _plain(before), "after " + _plain(after), "mixed" if mixed else "no mix", "given" if before[-1:] in ("=", ":") else "not given",
     ]
@@ -176,13 +178,29 @@ def token_features(token: str, before: str, after: str) -> list[int]:
 
 
 def repeat_key(text: str, start: int, end: int) -> str | None:
-    """Equal for tokens that say the same: the digits of a number of six or more, else a token with @ in lower case."""
+    """Equal for tokens that say the same: an address in lower case, @ and dots plain; four small numbers; the digits of a number of six or more."""
     token = text[start:end]
-    digits = re.sub(r"[^0-9]", "", token)
-    if "@" in token:
+    if "@" in token or AT.search(token):
         a, b = _core(text, start, end)
-        return text[a:b].lower()
-    return digits if len(digits) >= 6 else None
+        return DOT.sub(".", AT.sub("@", text[a:b])).lower()
+    if four := four_numbers(token):
+        return four
+    return number_key(re.sub(r"[^0-9]", "", token))
+
+
+def entity_key(kind: str, text: str) -> str | None:
+    """The key of a span of this kind, as repeat_key() gives it for its repeats."""
+    if kind == "email":
+        return DOT.sub(".", AT.sub("@", text)).lower()
+    if kind == "ip":
+        return four_numbers(text) or "ip " + ".".join(x.lstrip("0") or "0" for x in text.split("."))
+    return number_key(re.sub(r"[^0-9]", "", text))
+
+
+def four_numbers(token: str) -> str | None:
+    m = FOUR.search(token)
+    parts = [int(x) for x in m.group(1, 3, 4, 5)] if m else [256]
+    return "ip " + ".".join(map(str, parts)) if max(parts) <= 255 else None
 
 
 def number_key(digits: str) -> str | None:
@@ -202,7 +220,7 @@ def occurrences(text: str, spans: list[tuple[int, int]], base: list[tuple[str, i
         n = k
         while n < len(spans) and spans[n][0] < b:
             n += 1
-        key = text[a:b].lower() if kind in ("email", "ip") else number_key(re.sub(r"[^0-9]", "", text[a:b]))
+        key = text[a:b] if kind == "secret" else entity_key(kind, text[a:b])
         if key:
             out.append((key, range(k, n)))
     run: list[str] = []
@@ -216,15 +234,23 @@ def occurrences(text: str, spans: list[tuple[int, int]], base: list[tuple[str, i
             run = []
         if part and len(digits) < 9:
             run.append(digits)
-        if k < len(spans) and (key := repeat_key(text, start, end)):
-            out.append((key if "@" in key else number_key(key), range(k, k + 1)))
+        if k < len(spans):
+            core = slice(*_core(text, start, end))
+            if key := repeat_key(text, start, end):
+                out.append((key, range(k, k + 1)))
+            if len(text[core]) >= 16:  # strings that may be secrets
+                out.append((text[core], range(k, k + 1)))
     return out
 
 
 def similar_keys(found: list[tuple[str, range]]) -> list[tuple[str, range]]:
-    """Keys that similar numbers and addresses share: the local part; the length and all digits but the last three."""
-    out = []
+    """Keys that similar numbers and addresses share: the local part; the length and all digits but the last three. Of what says the same only the
+    first place counts, which its own hub ties to the others, so many repeats weigh no more than one."""
+    out, seen = [], set()
     for key, at in found:
+        if key in seen:
+            continue
+        seen.add(key)
         if "@" in key:
             local = re.sub(r"\+.*|[._-]", "", key.split("@")[0])
             if len(local) >= 4:
@@ -234,11 +260,6 @@ def similar_keys(found: list[tuple[str, range]]) -> list[tuple[str, range]]:
     return out
 
 
-def _share(m: int) -> float:
-    """What one of m tokens that say the same weighs, so that together they are about one piece of evidence."""
-    return 1 / max(m - 1, 1)
-
-
 class Graph:
     """Tokens of many texts, with chain edges to the next token and spokes to the hubs of what repeats or is similar."""
 
@@ -247,8 +268,8 @@ class Graph:
         self.owner, self.span, self.features, self.label = [], [], [], []
         #: (token, next token); (token, hub, 0: repeats, 1: similar); the number of hubs
         self.chain, self.spokes, self.hubs = [], [], 0
-        #: how many tokens say the same as this one
-        self.alike = []
+        #: the kinds (numbers from 1) that are known of a hub; none of most
+        self.known: dict[int, set[int]] = {}
 
     def add(self, owner: int, text: str, base: list[tuple[str, int, int]]) -> None:
         first = len(self.span)
@@ -270,7 +291,6 @@ class Graph:
             self.span.append((start, end))
             self.label.append(label)
             self.features.append(token_features(text[start:end], *around))
-        self.alike += [1] * len(near)
         node = [first + n for n, x in enumerate(near) if x[2]]
         found = occurrences(text, [x[:2] for x in near if x[2]], by_start)
         for kind, keys in ((0, found), (1, similar_keys(found))):
@@ -282,18 +302,19 @@ class Graph:
                 if max(map(len, places)) == len(tokens):
                     continue  # nothing but one place
                 self.spokes += [(t, self.hubs, kind) for t in tokens]
+                given = {1 + (self.label[t] - 1) % len(ENTITIES) for t in tokens if self.label[t]}
+                if kind == 0 and given:
+                    self.known[self.hubs] = given
                 self.hubs += 1
-                for t in tokens:
-                    self.alike[t] = max(self.alike[t], len(tokens))
-
-
-    def chain_scale(self) -> list[float]:
-        """What a chain edge weighs: what stands beside repeats is no more evidence about them than they are themselves."""
-        return [_share(max(self.alike[a], self.alike[b])) for a, b in self.chain]
 
 
 def marginals(unary: np.ndarray, edges: np.ndarray, kinds: np.ndarray, tables: np.ndarray) -> np.ndarray:
     """Label probabilities by loopy message passing. unary: log factors; kinds: which of the tables of log factors an edge has."""
+    return settled_marginals(unary, edges, kinds, tables)[0]
+
+
+def settled_marginals(unary: np.ndarray, edges: np.ndarray, kinds: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Label probabilities, and the edges whose messages haven't settled."""
     n, labels = unary.shape
 
     def normal(x):
@@ -301,7 +322,7 @@ def marginals(unary: np.ndarray, edges: np.ndarray, kinds: np.ndarray, tables: n
         return x - top - np.log(np.exp(x - top).sum(1, keepdims=True))
 
     if not len(edges):
-        return np.exp(normal(unary))
+        return np.exp(normal(unary)), np.zeros(0, int)
     m = len(edges)
     source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     back = np.concatenate([np.arange(m) + m, np.arange(m)])
@@ -317,18 +338,21 @@ def marginals(unary: np.ndarray, edges: np.ndarray, kinds: np.ndarray, tables: n
         out[hit] += np.add.reduceat(message[order], at, axis=0)
         return out
 
-    for _ in range(ROUNDS):
-        belief = beliefs()
-        away = np.exp(normal(belief[source] - message[back]))
-        new = np.empty_like(message)
-        for f, of in of_kind:
-            new[of] = away[of] @ f
-        new = normal(np.log(new))
-        moved = np.abs(new - message).max()
-        message = 0.5 * message + 0.5 * new
-        if moved < STILL:
-            break
-    return np.exp(normal(beliefs()))
+    step, moved = 0.5, np.full(2 * m, np.inf)
+    while moved.max() >= STILL and step >= LEAST_STEP:
+        for _ in range(ROUNDS):
+            belief = beliefs()
+            away = np.exp(normal(belief[source] - message[back]))
+            new = np.empty_like(message)
+            for f, of in of_kind:
+                new[of] = away[of] @ f
+            new = normal(np.log(new))
+            moved = np.abs(new - message).max(1)
+            message += step * (new - message)
+            if moved.max() < STILL:
+                break
+        step /= 2
+    return np.exp(normal(beliefs())), np.flatnonzero(np.maximum(moved[:m], moved[m:]) >= STILL)
 
 
 class Field:
@@ -338,50 +362,90 @@ class Field:
     def __init__(self, weights: np.ndarray, chain: np.ndarray, spokes: np.ndarray):
         self.weights, self.chain, self.spokes = weights, chain, spokes
 
-    def factors(self, g: Graph) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """unary, edges, kinds, tables; hubs come after the tokens, and are no entity or the beginning of one."""
+    def factors(self, g: Graph, free: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """unary, edges, kinds, tables; hubs come after the tokens, and are no entity or the beginning of one. Hubs of known kinds are part of their
+        tokens' own factors. free: whether there are other hubs."""
         n, label = len(g.span), np.array(g.label)
         unary = self.weights[np.array(g.features)].sum(1)
+        for t, h, kind in g.spokes:
+            if h in g.known:
+                unary[t] += np.logaddexp.reduce(self.spokes[kind][:, sorted(g.known[h])], axis=1)
         unary -= unary.max(1, keepdims=True)
-        unary *= np.array([1.0 if y else _share(m) for y, m in zip(g.label, g.alike)])[:, None]
         given = np.flatnonzero(label)
-        unary[given, label[given]] += GIVEN
+        unary[given] = NEVER
+        unary[given, label[given]] = 0.0
         hubs = np.zeros((g.hubs, len(LABELS)))
-        hubs[:, 1 + len(ENTITIES) :] = -50.0
-        edges = np.array([*g.chain, *((t, n + h) for t, h, _ in g.spokes)], np.int64).reshape(-1, 2)
-        scales, of = np.unique(g.chain_scale(), return_inverse=True)
-        kinds = np.concatenate([of + 2, np.array([k for *_, k in g.spokes], np.int64)]).astype(np.int64)
-        return np.concatenate([unary, hubs]), edges, kinds, np.stack([*self.spokes, *(self.chain * x for x in scales)])
+        hubs[:, 1 + len(ENTITIES) :] = NEVER
+        spokes = [(t, n + h, kind) for t, h, kind in g.spokes if free and h not in g.known]
+        edges = np.array([*g.chain, *((t, h) for t, h, _ in spokes)], np.int64).reshape(-1, 2)
+        kinds = np.array([2] * len(g.chain) + [k for *_, k in spokes], np.int64)
+        return np.concatenate([unary, hubs]), edges, kinds, np.stack([*self.spokes, self.chain])
 
     def probabilities(self, g: Graph) -> np.ndarray:
         """Of each label, for each token."""
-        return marginals(*self.factors(g))[: len(g.span)] if g.span else np.zeros((0, len(LABELS)))
+        if not g.span:
+            return np.zeros((0, len(LABELS)))
+        unary, edges, kinds, tables = self.factors(g)
+        out, unsettled = settled_marginals(unary, edges, kinds, tables)
+        out = out[: len(g.span)]
+        if len(unsettled):
+            owner = np.array(g.owner)
+            lost = np.isin(owner, owner[edges[unsettled, 0]])
+            out[lost] = marginals(*self.factors(g, free=False))[: len(g.span)][lost]
+        return out
 
 
 # -- training ----------------------------------------------------------------------------------------------------------
 
 
-def rewritten(kind: str, text: str, rng: np.random.Generator) -> str | None:
-    """Another way to write a number or secret, which no base pattern knows."""
-    if kind == "secret":
-        return text
-    d = re.sub("[^0-9]", "", text)
-    if kind == "phone":
-        short = d[-10:]
-        out = [d, f"{short[:3]}-{short[3:6]}-{short[6:]}", f"{short[:3]}.{short[3:6]}.{short[6:]}", f"{d[:-10]} ({short[:3]}) {short[3:6]}-{short[6:]}".strip(), f"{short[:3]} {short[3:6]} {short[6:]}"][rng.integers(5)]
-    elif kind == "card":
-        out = [".", "/"][rng.integers(2)].join(d[k : k + 4] for k in range(0, len(d), 4))
-    else:
-        return None
-    return None if base_spans(out) else out
+def _groups(d: str) -> tuple[str, str, str, str]:
+    """Country code, area and the two parts of a phone number."""
+    return d[:-10], d[-10:-7], d[-7:-4], d[-4:]
+
+
+#: Ways to write an entity that the patterns know, and ways that they don't. d: its digits; for others the text itself.
+KNOWN = {
+    "phone": [lambda d: "+{} ({}) {}-{}".format(*_groups(d)), lambda d: "+" + d, lambda d: "+{}-{}-{}-{}".format(*_groups(d)), lambda d: "+{} {} {} {}".format(*_groups(d)), lambda d: "+{}.{}.{}.{}".format(*_groups(d))],
+    "card": [lambda d: d, lambda d: " ".join(d[k : k + 4] for k in range(0, len(d), 4)), lambda d: "-".join(d[k : k + 4] for k in range(0, len(d), 4))],
+    "ip": [lambda d: d],
+    "email": [lambda d: d],
+    "secret": [lambda d: f"token = {d}"],
+}
+OTHER = {
+    "phone": [lambda d: d, lambda d: d[-10:], lambda d: "{1}-{2}-{3}".format(*_groups(d)), lambda d: "{1}.{2}.{3}".format(*_groups(d)), lambda d: "({1}) {2}-{3}".format(*_groups(d)), lambda d: "{1} {2} {3}".format(*_groups(d)), lambda d: "{0} ({1}) {2}-{3}".format(*_groups(d)).strip(), lambda d: "{0}-{1}-{2}-{3}".format(*_groups(d)).strip("-")],
+    "card": [lambda d: ".".join(d[k : k + 4] for k in range(0, len(d), 4)), lambda d: "/".join(d[k : k + 4] for k in range(0, len(d), 4))],
+    "ip": [lambda d: d.replace(".", "-"), lambda d: d.replace(".", "[.]"), lambda d: d.replace(".", "_")],
+    "email": [lambda d: d.replace("@", "[at]"), lambda d: d.replace("@", "(at)"), lambda d: d.replace("@", "(at)").replace(".", "[dot]")],
+    "secret": [lambda d: d],
+}
+
 
+def plain(kind: str, text: str) -> str:
+    """What the ways to write an entity start from."""
+    return re.sub("[^0-9]", "", text) if kind in ("phone", "card") else text
 
-def unmarked(rng: np.random.Generator) -> str:
-    """A number or string that looks like a rewritten one, but is none."""
-    kind = ("phone", "card", "secret")[rng.integers(3)]
-    size = {"phone": int(rng.integers(10, 12)), "card": 16, "secret": 40}[kind]
-    made = "".join("0123456789abcdef"[i] for i in rng.integers(0, 16 if kind == "secret" else 10, size))
-    return rewritten(kind, made, rng) or made
+
+def made_entity(kind: str, rng: np.random.Generator) -> str:
+    """A random entity, in plain form."""
+    draw = lambda letters, n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
+    if kind == "phone":
+        return draw("123456789", 1) + draw("23456789", 1) + draw("0123456789", 9)
+    if kind == "card":
+        head = draw("3456", 1) + draw("0123456789", 14)
+        return next(head + c for c in "0123456789" if luhn(head + c))
+    if kind == "ip":
+        return ".".join(str(x) for x in rng.integers(1, 256, 4))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    if kind == "email":
+        return f"{draw(letters, int(rng.integers(2, 8)))}.{draw(letters, int(rng.integers(2, 9)))}@{draw(letters, int(rng.integers(3, 9)))}.{('com', 'org', 'example', 'net')[rng.integers(4)]}"
+    return draw("0123456789abcdef", 39) + "a7"
+
+
+def repeated(kind: str, entity: str, rng: np.random.Generator) -> str | None:
+    """The entity in a way that the patterns don't know."""
+    ways = OTHER[kind]
+    out = ways[rng.integers(len(ways))](entity)
+    return None if base_spans(out) else out
 
 
 #: Where a mention can be inserted without touching another one.
@@ -390,28 +454,31 @@ BETWEEN_WORDS = re.compile(r"[^\W\d_] [^\W\d_]")
 
 def example(text: str, rng: np.random.Generator) -> tuple[str, list, list]:
     """The text with further mentions, its spans that patterns know, and those of the further mentions."""
-    own = base_spans(text)
-    own += secret_spans(text, own)
-    phones = [s for s in own if s[0] == "phone"]
-    if phones and rng.random() < 0.5:  # in one token, as the patterns know it, too
-        _, a, b = phones[rng.integers(len(phones))]
-        text = f"{text[:a]}+{re.sub('[^0-9]', '', text[a:b])}{text[b:]}"
-        own = base_spans(text)
-        own += secret_spans(text, own)
     inserts: list[tuple[int, str, str]] = []
 
-    def insert(kind, word):
-        for _ in range(int(rng.integers(1, 3))):
-            m = BETWEEN_WORDS.search(text, int(rng.integers(0, len(text) + 1))) or BETWEEN_WORDS.search(text)
-            if m and m.start() + 1 not in {at for at, *_ in inserts}:
-                inserts.append((m.start() + 1, kind, word))
-
-    if own and rng.random() < 0.6:
-        kind, a, b = own[rng.integers(len(own))]
-        if word := rewritten(kind, text[a:b], rng):
-            insert(kind, word)
-    for _ in range(int(rng.integers(2, 7))):
-        insert("", unmarked(rng))
+    def insert(kind: str, word: str) -> None:
+        m = BETWEEN_WORDS.search(text, int(rng.integers(0, len(text) + 1))) or BETWEEN_WORDS.search(text)
+        if m and m.start() + 1 not in {at for at, *_ in inserts}:
+            inserts.append((m.start() + 1, kind, word))
+
+    own = base_spans(text)
+    own += secret_spans(text, own)
+    for kind in rng.permutation(ENTITIES)[: int(rng.integers(1, 4))].tolist():
+        mine = [s for s in own if s[0] == kind]
+        if mine and rng.random() < 0.5:
+            _, a, b = mine[rng.integers(len(mine))]
+            entity = plain(kind, text[a:b])
+        else:
+            entity = made_entity(kind, rng)
+            insert("", KNOWN[kind][rng.integers(len(KNOWN[kind]))](entity))
+        for _ in range((1, 1, 2, 4)[rng.integers(4)]):
+            if word := repeated(kind, entity, rng):
+                insert(kind, word)
+    for kind in rng.choice(ENTITIES, int(rng.integers(2, 8))).tolist():  # what nothing marks, once or several times
+        entity = made_entity(kind, rng)
+        for _ in range((1, 1, 1, 3)[rng.integers(4)]):
+            if word := repeated(kind, entity, rng):
+                insert("", word)
     parts, at, spans, moved = [], 0, [], 0
     for where, kind, word in sorted(inserts, key=lambda x: x[0]):
         parts += [text[at:where], " ", word]
@@ -427,7 +494,7 @@ def example(text: str, rng: np.random.Generator) -> tuple[str, list, list]:
 
 def _sample(docs: DataFrame, most: int) -> list:
     """Features, labels, weights and edges of about `most` documents that have candidates."""
-    d = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).where(F.col("text").rlike("[0-9@]"))
+    d = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).where(F.length("text") > 20)
     n = d.count()
     taken = d.where(F.pmod("h", F.lit(1 << 30)) < F.lit(most / max(n, 1) * (1 << 30)))
     copies = max(1, min(8, most // max(n, 1)))  # a small sample is used more than once, with other mentions
@@ -440,17 +507,15 @@ def _sample(docs: DataFrame, most: int) -> list:
                     continue
                 for copy in range(copies):
                     made, spans, more = example(text, np.random.default_rng(h % (1 << 32) + copy))
-                    g, known = Graph(), Graph()
+                    g = Graph()
                     g.add(0, made, spans + more)
-                    known.add(0, made, spans)
-                    scale = [1.0 if y else _share(m) for y, m in zip(known.label, g.alike)]
-                    rows.append((h, g.features, g.label, scale, g.chain, g.spokes, g.chain_scale()))
-            cols = list(zip(*rows)) or [()] * 7
+                    rows.append((h, g.features, g.label, g.chain, g.spokes))
+            cols = list(zip(*rows)) or [()] * 5
             pairs = pa.list_(pa.list_(pa.int32()))
-            kinds = (pa.int64(), pairs, pa.list_(pa.int32()), pa.list_(pa.float64()), pairs, pairs, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["h", "f", "y", "scale", "chain", "spokes", "weigh"])
+            kinds = (pa.int64(), pairs, pa.list_(pa.int32()), pairs, pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["h", "f", "y", "chain", "spokes"])
 
-    schema = "h bigint, f array<array<int>>, y array<int>, scale array<double>, chain array<array<int>>, spokes array<array<int>>, weigh array<double>"
+    schema = "h bigint, f array<array<int>>, y array<int>, chain array<array<int>>, spokes array<array<int>>"
     return sorted(taken.mapInArrow(run, schema).collect(), key=lambda r: (r.h, r.y))
 
 
@@ -459,15 +524,13 @@ def train(docs: DataFrame, most: int = SAMPLE, epochs: int = 120, rate: float =
     rows = _sample(docs, most)
     labels = len(LABELS)
     field = Field(np.zeros((BUCKETS, labels)), np.zeros((labels, labels)), np.zeros((2, labels, labels)))
-    f, y, scale, left, right, weigh, token, hub, kind, hubs = ([] for _ in range(10))
+    f, y, left, right, token, hub, kind, hubs = ([] for _ in range(8))
     for r in rows:
         n, m = len(y), len(hubs)
         f += r.f
         y += r.y
-        scale += r.scale
         left += [n + a for a, _ in r.chain]
         right += [n + b for _, b in r.chain]
-        weigh += r.weigh
         token += [n + t for t, _, _ in r.spokes]
         hub += [m + h for _, h, _ in r.spokes]
         kind += [k for *_, k in r.spokes]
@@ -478,8 +541,7 @@ def train(docs: DataFrame, most: int = SAMPLE, epochs: int = 120, rate: float =
         hubs += [said[h] for h in range(len(said))]
     if not y:
         return field
-    f, y, scale, left, right, token, hub, kind, hubs = (np.array(x) for x in (f, y, scale, left, right, token, hub, kind, hubs))
-    weigh = np.array(weigh, float).reshape(-1, 1)
+    f, y, left, right, token, hub, kind, hubs = (np.array(x) for x in (f, y, left, right, token, hub, kind, hubs))
     left, right, token, hub, kind, hubs = (x.astype(np.int64) for x in (left, right, token, hub, kind, hubs))
     params = [field.weights, field.chain, field.spokes]
     mean, spread = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
@@ -500,15 +562,15 @@ def train(docs: DataFrame, most: int = SAMPLE, epochs: int = 120, rate: float =
 
     for epoch in range(epochs):
         part, used, first, of_feature = every[epoch % 2]
-        z = field.weights[part].sum(1) * scale[:, None]
-        np.add.at(z, right, field.chain[y[left]] * weigh)
-        np.add.at(z, left, field.chain[:, y[right]].T * weigh)
+        z = field.weights[part].sum(1)
+        np.add.at(z, right, field.chain[y[left]])
+        np.add.at(z, left, field.chain[:, y[right]].T)
         np.add.at(z, token, field.spokes[kind, :, hubs[hub]] if len(hub) else np.zeros((0, labels)))
         g = off(z, y)
         grads = [decay * x * len(y) / 1000 * part for x, part in zip(params, (1, 0.1, 0.1))]
-        grads[0][used] += np.add.reduceat((g * scale[:, None])[of_feature], first, axis=0)
-        np.add.at(grads[1], y[left], g[right] * weigh)
-        np.add.at(grads[1].T, y[right], g[left] * weigh)
+        grads[0][used] += np.add.reduceat(g[of_feature], first, axis=0)
+        np.add.at(grads[1], y[left], g[right])
+        np.add.at(grads[1].T, y[right], g[left])
         np.add.at(grads[2].transpose(0, 2, 1), (kind, hubs[hub]), g[token])
         for x, m, v, d in zip(params, mean, spread, grads):
             m += 0.1 * (d - m)

@@ -404,6 +404,46 @@ def test_pii_trained_field_finds_all_repeats(spark):
     assert {r.doc_id: (len(r.base), len(r.spans)) for r in got.collect()} == {i: (1, 100) if i < 9 else (0, 0) for i in range(10)}
 
 
+@pytest.fixture(scope="module", params=["sf0.001", "sf0.01", "sf0.1"])
+def trained(spark, request):
+    return pii_crf.train(spark.read.parquet(f"/root/testdata/{request.param}/documents.parquet"))
+
+
+@pytest.mark.parametrize("kind", pii_crf.ENTITIES)
+def test_pii_every_layout_and_any_number_of_repeats(trained, kind):
+    """For each layout of what a pattern knows, all repeats in each other layout are found, and none of as many unmarked ones."""
+    rng = np.random.default_rng(9)
+    for known in pii_crf.KNOWN[kind]:
+        for other in pii_crf.OTHER[kind]:
+            for n in (1, 2, 10, 100):
+                entity = pii_crf.made_entity(kind, rng)
+                unmarked = [other(pii_crf.made_entity(kind, rng)) for _ in range(n)]
+                if pii_crf.base_spans(" ; ".join([other(entity), *unmarked])):
+                    continue  # a pattern knows it by chance
+                head = f"call {known(entity)} now and then "
+                text = head + " and ".join(f"see {other(entity)} there or {u} here" for u in unmarked)
+                base = pii_crf.base_spans(text)
+                g = pii_crf.Graph()
+                g.add(0, text, base + pii_crf.secret_spans(text, base))
+                p, label = trained.probabilities(g), np.array(g.label)
+                assert (p[label > 0, label[label > 0]] > 0.99).all()
+                got = {(k, *pii_crf._core(text, g.span[i][0], g.span[j][1])) for _, k, i, j in pii_crf.further_spans(g, p, 0.7)}
+                want, at = set(), len(head)
+                while (at := text.find(other(entity), at)) >= 0:
+                    want.add((kind, *pii_crf._core(text, at, at + len(other(entity)))))
+                    at += 1
+                assert {x for x in got if x[1] >= len(head)} == want and len(want) == n, (known(entity), other(entity), n)
+
+
+def test_pii_unsettled_documents_lose_only_free_hubs(monkeypatch):
+    g, field = graph_of("7 1234567 and 1234567 or 12345678 +12125550100 2125550100"), agreeing_field()
+    monkeypatch.setattr(pii_crf, "STILL", -1.0)  # nothing ever settles
+    monkeypatch.setattr(pii_crf, "ROUNDS", 30)
+    got = field.probabilities(g)
+    unary, edges, kinds, tables = field.factors(g, free=False)
+    assert set(kinds) <= {2} and np.allclose(got, pii_crf.marginals(unary, edges, kinds, tables)[: len(g.span)])
+
+
 def test_pii_numbers_of_several_tokens_repeat():
     same = ["+1 (407) 555-7710", "14075557710", "1-407-555-7710", "407-555-7710", "407 555 7710", "1 (407) 555-7710"]
     for other in same[1:]:
