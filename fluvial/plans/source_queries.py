@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from fluvial.common import shared_path, table
 from fluvial.functions import columns as C
+from fluvial.functions import projections
 from fluvial.operators import prepare, windows
 from fluvial.plans import views as V
 from fluvial.plans.registry import query, rounded
-from fluvial.sources import arrays, readers, sinks
+from fluvial.sources import arrays, geometry, readers, sinks
 
 # A grid of customers: a forcing with two variables for each nation (flat_index) and day.
 FORCING_SQL = """forcing AS (SELECT o_custkey % 25 AS flat_index, o_orderdate::DATE AS time, round(sum(o_totalprice), 2) AS rain, count(*)::DOUBLE AS temp FROM orders GROUP BY 1, 2)"""
@@ -376,3 +377,17 @@ def q75c_sqlite_layer(spark, sf):
     _write_bytes(spark, f"{path}/two.gpkg", other.serialize())
     d = readers.read_sqlite(spark, path, "flowpaths")
     return d.select(F.col("attributes")["id"].alias("id"), F.col("attributes")["name"].alias("name"), F.length(F.col("blobs")["geom"]).cast("bigint").alias("geometry_bytes"))
+
+
+@query("""SELECT c_custkey::BIGINT AS id, 'polygon' AS kind, 5070 AS srid, k::BIGINT AS k, round(-120 + c_nationkey + 0.01::DOUBLE * (k % 2), 6) AS lon, round(30 + (c_custkey % 100) / 10 + 0.01::DOUBLE * (k // 2), 6) AS lat FROM customer, (SELECT unnest([0, 1, 2]) AS k)""")
+def q76_geometry_layer(spark, sf):
+    """A layer of polygons in degrees, projected and written as GeoPackage blobs; read, decoded and projected back."""
+    path = shared_path(spark, "layer")
+    lon, lat = (-120.0 + F.col("c_nationkey")), (30.0 + (F.col("c_custkey") % 100) / 10)
+    corner = lambda k: F.struct((lon + 0.01 * (k % 2)).alias("x"), (lat + 0.01 * (k // 2)).alias("y"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").cast("bigint").alias("id"), F.array(F.array(*map(corner, range(3)))).alias("rings"))
+    albers = projections.Albers()
+    c.select("id", geometry.encoded(F.lit("polygon"), projections.reproject("rings", None, albers), F.lit(5070)).alias("geom")).write.parquet(path)
+    g = spark.read.parquet(path).select("id", geometry.decoded("geom").alias("g"))
+    d = g.select("id", "g.kind", "g.srid", F.posexplode(projections.reproject("g.rings", albers)[0]).alias("k", "p"))
+    return rounded(d.select("id", "kind", "srid", F.col("k").cast("bigint").alias("k"), F.col("p.x").alias("lon"), F.col("p.y").alias("lat")))
