@@ -7,7 +7,7 @@ beyond that.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fluvial.common import materialize
 from fluvial.functions.columns import ACTIVATIONS
 
 #: Dense layers with up to so many weights are expressions.
@@ -166,27 +167,96 @@ def graph_forward(nodes: DataFrame, edges: DataFrame, state: Sequence[str], laye
 # -- models along time ---------------------------------------------------------------------------------------------------
 
 
-def lstm(df: DataFrame, features: Sequence[str], weights: dict[str, np.ndarray], by: str = "node", order: str = "date", activation: str = "softplus") -> DataFrame:
-    """by, order, value: one LSTM layer along each series, from a zero state, and a linear head. weights: w_ih (4H, F),
-    w_hh (4H, H), b_ih, b_hh (4H), head (H,), head_bias; gates in the order input, forget, cell, output. A series is a group;
-    its state is carried along its rows, which relational operators can't do for a wide state."""
-    h = weights["w_hh"].shape[1]
-    sig = lambda z: 1 / (1 + np.exp(-z))
-    f = {"none": lambda z: z, "relu": lambda z: np.maximum(z, 0), "softplus": lambda z: np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0)}[activation]
-
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        pre = pdf[list(features)].to_numpy(float) @ weights["w_ih"].T + weights["b_ih"] + weights["b_hh"]
-        state, cell, out = np.zeros(h), np.zeros(h), np.empty(len(pdf))
-        for t, z in enumerate(pre):
-            i, fo, g, o = np.split(z + weights["w_hh"] @ state, 4)
-            cell = sig(fo) * cell + sig(i) * np.tanh(g)
-            state = sig(o) * np.tanh(cell)
-            out[t] = weights["head"] @ state + weights["head_bias"]
-        return pdf[[by, order]].assign(value=f(out))
-
-    schema = T.StructType([df.schema[by], df.schema[order], T.StructField("value", T.DoubleType())])
-    return df.select(by, order, *features).groupBy(by).applyInPandas(run, schema)
+class Recurrence:
+    """LSTM layers, one upon the other, and a linear head, for many series at a time.
+
+    weights: w_ih (4H, F), w_hh (4H, H), b_ih, b_hh (4H), or layers, a list of such; head (H,), head_bias; gates in the order input,
+    forget, cell, output. A state has two rows of H numbers for each layer, flat: hidden and cell.
+    """
+
+    def __init__(self, weights: Mapping, activation: str):
+        self.layers = weights.get("layers") or [weights]
+        self.head, self.bias = np.asarray(weights["head"], float), float(weights["head_bias"])
+        self.hidden = [np.shape(x["w_hh"])[1] for x in self.layers]
+        self.size = 2 * sum(self.hidden)
+        self.out = {"none": lambda z: z, "relu": lambda z: np.maximum(z, 0), "softplus": lambda z: np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0)}[activation]
+
+    def step(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Outputs and next states of series with inputs x (a row each) and states (a row each)."""
+        sig, kept, at = lambda z: 1 / (1 + np.exp(-z)), [], 0
+        for w, h in zip(self.layers, self.hidden):
+            before, cell = state[:, at : at + h], state[:, at + h : at + 2 * h]
+            i, f, g, o = np.split(x @ np.asarray(w["w_ih"], float).T + before @ np.asarray(w["w_hh"], float).T + w["b_ih"] + w["b_hh"], 4, axis=1)
+            cell = sig(f) * cell + sig(i) * np.tanh(g)
+            x = sig(o) * np.tanh(cell)
+            kept += [x, cell]
+            at += 2 * h
+        return self.out(x @ self.head + self.bias), np.concatenate(kept, axis=1)
+
+
+def recur(df: DataFrame, features: Sequence[str], weights: Mapping, by: str = "node", order: str = "date", activation: str = "softplus", initial: DataFrame | None = None) -> DataFrame:
+    """by, order, value, state: the steps of lstm(), with state null, and for each series a row without time and value that has its last state, an array.
+
+    Series are dealt out to tasks by `by`, and each task goes through its rows in the order of time, all series of a time step as one matrix: it holds
+    the states of its series and a batch of rows, however long the series are. initial: by, state, where series go on from; from zero if they have
+    none. So a record may be worked off in chunks of time, the states of one being the initial ones of the next.
+    """
+    import pyarrow as pa
+
+    cell, n = Recurrence(weights, activation), len(features)
+    rows = df.where(F.col(order).isNotNull()).select(by, order, *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(features)], F.lit(None).cast("array<double>").alias("_state"))
+    if initial is not None:
+        rows = rows.unionByName(initial.select(by, F.lit(None).cast(df.schema[order].dataType).alias(order), *[F.lit(None).cast("double").alias(f"_x{k}") for k in range(n)], F.col("state").alias("_state")))
+    # states come before all rows, since they have no time
+    dealt = rows.repartition(by).sortWithinPartitions(F.asc_nulls_first(order), by)
+
+    def run(batches):
+        place: dict = {}
+        states, schema = np.zeros((0, cell.size)), None
+        for batch in batches:
+            schema = pa.schema([(by, batch.schema.field(0).type), (order, batch.schema.field(1).type), ("value", pa.float64()), ("state", pa.list_(pa.float64()))])
+            keys, times = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            new = [k for k in dict.fromkeys(keys) if k not in place]
+            place.update({k: len(place) + i for i, k in enumerate(new)})
+            states = np.concatenate([states, np.zeros((len(new), cell.size))])
+            at = np.array([place[k] for k in keys], np.int64)
+            x = np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(n)], axis=1)
+            out, begin = np.empty(len(keys)), 0
+            while begin < len(keys):
+                end, seen = begin + 1, {keys[begin]}
+                if times[begin] is None:
+                    states[at[begin]] = batch.column(2 + n)[begin].as_py()
+                else:  # a time step; of a series that has several rows at one time each is a step
+                    while end < len(keys) and times[end] == times[begin] and keys[end] not in seen:
+                        seen.add(keys[end])
+                        end += 1
+                    out[begin:end], states[at[begin:end]] = cell.step(x[begin:end], states[at[begin:end]])
+                begin = end
+            steps = np.flatnonzero([t is not None for t in times])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(steps), batch.column(1).take(steps), pa.array(out[steps]), pa.nulls(len(steps), schema.field(3).type)], schema=schema)
+        if schema is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(list(place), schema.field(0).type), pa.nulls(len(place), schema.field(1).type), pa.nulls(len(place), pa.float64()), pa.array(states.tolist(), schema.field(3).type)], schema=schema)
+
+    schema = T.StructType([T.StructField(by, df.schema[by].dataType), T.StructField(order, df.schema[order].dataType), T.StructField("value", T.DoubleType()), T.StructField("state", T.ArrayType(T.DoubleType()))])
+    return dealt.mapInArrow(run, schema)
+
+
+def lstm(df: DataFrame, features: Sequence[str], weights: Mapping, by: str = "node", order: str = "date", activation: str = "softplus", initial: DataFrame | None = None) -> DataFrame:
+    """by, order, value: LSTM layers along each series, from a zero state or the initial ones (by, state), and a linear head; see Recurrence for the weights."""
+    return recur(df, features, weights, by, order, activation, initial).where(F.col(order).isNotNull()).drop("state")
+
+
+def lstm_in_chunks(df: DataFrame, features: Sequence[str], weights: Mapping, chunk: Column, by: str = "node", order: str = "date", activation: str = "softplus") -> DataFrame:
+    """As lstm(), one chunk of time after the other; each is written with its states, where a run that fails can go on. chunk: a column that rises with the order."""
+    d = df.withColumn("_chunk", chunk)
+    out = states = None
+    for k in sorted(r[0] for r in d.select("_chunk").distinct().collect()):  # a few
+        done = materialize(recur(d.where(F.col("_chunk") == k), features, weights, by, order, activation, states), "lstm-chunk")
+        part = done.where(F.col(order).isNotNull()).drop("state")
+        ended = done.where(F.col(order).isNull()).select(by, "state")
+        states = ended  # series that rest in a chunk are in it, too, with the state they came with
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else lstm(df, features, weights, by, order, activation)
 
 
 def causal_layer(df: DataFrame, inputs: Sequence[str], kernels: np.ndarray, bias: Sequence[float], dilation: int, by: str = "node", order: str = "date") -> DataFrame:

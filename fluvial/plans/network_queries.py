@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from fluvial.common import table
+from fluvial.common import shared_path, table
 from fluvial.operators import compare, network, prepare, routing, transfer
 from fluvial.plans import views as V
 from fluvial.plans.registry import query, rounded
+from fluvial.streaming import daily
 
 ACTIVE_SQL = f"{V.GRID_SQL}, act AS (SELECT * FROM cells WHERE active)"
 OFFSETS = "(VALUES " + ", ".join(f"({k}, {dy}, {dx})" for k, (dy, dx) in enumerate(network.EIGHT)) + ") o(k, dy, dx)"
@@ -311,17 +312,38 @@ def _sql_tanh(x: str) -> str:
     return f"(2 / (1 + exp(-2 * ({x}))) - 1)"
 
 
-@query(f"""WITH RECURSIVE {V.DENSE_SQL}, x AS (SELECT cell AS node, date, coalesce(value / 100, 0) AS x, row_number() OVER (PARTITION BY cell ORDER BY date) AS k FROM dense),
+LSTM_SQL = f"""WITH RECURSIVE {V.DENSE_SQL}, x AS (SELECT cell AS node, date, coalesce(value / 100, 0) AS x, row_number() OVER (PARTITION BY cell ORDER BY date) AS k FROM dense),
 s AS (SELECT DISTINCT node, 0::BIGINT AS k, NULL::DATE AS date, {", ".join(f"0::DOUBLE AS h{j}, 0::DOUBLE AS c{j}" for j in range(4))} FROM x
 UNION ALL SELECT node, k, date, {", ".join(f"o{j} * {_sql_tanh(f'n{j}')} AS h{j}, n{j} AS c{j}" for j in range(4))} FROM
  (SELECT node, k, date, {", ".join(f"c{j} / (1 + exp(-f{j})) + {_sql_tanh(f'g{j}')} / (1 + exp(-i{j})) AS n{j}, 1 / (1 + exp(-u{j})) AS o{j}" for j in range(4))} FROM
   (SELECT x.node, x.k, x.date, {", ".join(f"c{j}, {_sql_gate(j)} AS i{j}, {_sql_gate(4 + j)} AS f{j}, {_sql_gate(8 + j)} AS g{j}, {_sql_gate(12 + j)} AS u{j}" for j in range(4))} FROM s JOIN x ON x.node = s.node AND x.k = s.k + 1)))
-SELECT node, date, round(ln(1 + exp({" + ".join(["0.1", *[f"{float(LW['head'][j])} * h{j}" for j in range(4)]])})), 6) AS value FROM s WHERE k > 0""")
+SELECT node, date, round(ln(1 + exp({" + ".join(["0.1", *[f"{float(LW['head'][j])} * h{j}" for j in range(4)]])})), 6) AS value FROM s WHERE k > 0"""
+
+
+@query(LSTM_SQL)
 def q59_lstm_forward(spark, sf):
     d = V.dense(spark, sf).select(F.col("cell").alias("node"), "date", F.coalesce(F.col("value") / 100, F.lit(0.0)).alias("x"))
     return rounded(routing.lstm(d, ["x"], LW))
 
 
+@query(LSTM_SQL)
+def q59c_lstm_in_chunks(spark, sf):
+    """Ten days at a time; states are carried from chunk to chunk."""
+    d = V.dense(spark, sf).select(F.col("cell").alias("node"), "date", F.coalesce(F.col("value") / 100, F.lit(0.0)).alias("x"))
+    return rounded(routing.lstm_in_chunks(d, ["x"], LW, F.floor(F.dayofmonth("date") / 10)))
+
+
+@query(LSTM_SQL)
+def q59d_lstm_stream(spark, sf):
+    """The same as a stream that is run three times, each time with the days that have arrived since."""
+    d = V.dense(spark, sf).select(F.col("cell").alias("node"), "date", F.coalesce(F.col("value") / 100, F.lit(0.0)).alias("x"))
+    arrived, out, checkpoint = (shared_path(spark, f"lstm-{k}") for k in ("in", "out", "state"))
+    for low, high in ((0, 10), (10, 20), (20, 99)):
+        d.where((F.dayofmonth("date") > low) & (F.dayofmonth("date") <= high)).write.mode("append").parquet(arrived)
+        daily.run_once(daily.lstm_stream(spark.readStream.schema(d.schema).parquet(arrived), ["x"], LW), out, checkpoint)
+    return rounded(spark.read.parquet(out))
+
+
 K1 = _demo(31, 1, 1, 2)
 
 
