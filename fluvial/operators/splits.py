@@ -6,6 +6,7 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,67 +75,136 @@ def shares(n: int, fractions: Mapping[str, float]) -> dict[str, int]:
     return whole
 
 
-class _Balance:
-    """The score of an assignment of few blocks, on the driver."""
+class Balance:
+    """Scores of many assignments of blocks at once. x: a row of scaled features for each block, missing ones NaN."""
 
     def __init__(self, x: np.ndarray):
-        self.x, self.mean, self.std = x, np.nanmean(x, 0), np.nanstd(x, 0)
-
-    def __call__(self, labels: np.ndarray) -> float:
-        total = 0.0
+        self.known = ~np.isnan(x)
+        self.x = np.where(self.known, x, 0.0)
+        #: values, squares and whether there is a value: what means and deviations are made of
+        self.parts = np.stack([self.x, self.x * self.x, self.known.astype(float)])
+        self.mean, self.std = np.nanmean(x, 0), np.nanstd(x, 0)
+
+    @staticmethod
+    def _moments(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """sums: (3, ..., features) of values, squares and counts."""
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = sums[0] / sums[2]
+            return mean, np.sqrt(np.maximum(sums[1] / sums[2] - mean * mean, 0.0))
+
+    def far(self, sums: np.ndarray) -> np.ndarray:
+        """How far periods with these sums, of shape (3, ..., features), lie from all blocks."""
+        return self._far(*self._moments(sums))
+
+    def _far(self, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
+        out = np.linalg.norm(mean - self.mean, axis=-1) + 0.25 * np.linalg.norm(std - self.std, axis=-1)
+        return np.where(np.isnan(out), math.inf, out)
+
+    def scores(self, labels: np.ndarray) -> np.ndarray:
+        """Of assignments, one a row: each period's sums are a matrix product, and its deviations are taken from its own mean."""
+        total = np.zeros(len(labels))
         for p in range(len(PERIODS)):
-            part = self.x[labels == p]
-            if not len(part):
-                return math.inf
-            total += np.linalg.norm(np.nanmean(part, 0) - self.mean) + 0.25 * np.linalg.norm(np.nanstd(part, 0) - self.std)
+            mine = (labels == p).astype(float)
+            n = mine @ self.parts[2]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean = mine @ self.x / n
+                apart = np.where(self.known, self.x - mean[:, None, :], 0.0)
+                total += self._far(mean, np.sqrt(np.einsum("bn,bnf->bf", mine, apart * apart) / n))
         return total
 
+    def first_swap(self, labels: np.ndarray, order: np.ndarray, begin: int, end: int, lowest: float) -> tuple[int, int, float] | None:
+        """The first pair (i, j) of places in the order, i from begin to end, whose blocks had better change periods. Only the sums of two
+        periods change, by the difference of two rows, so all partners of a block are scored together; those that may be better are then scored
+        anew, since differences of sums are exact to the root of the precision only."""
+        sums = np.stack([[(labels == p).astype(float) @ part for p in range(len(PERIODS))] for part in self.parts])
+        each = self.far(sums)
+        for i in range(begin, end):
+            a = order[i]
+            others = order[i + 1 :]
+            others = others[labels[others] != labels[a]]
+            if not len(others):
+                continue
+            change = self.parts[:, others] - self.parts[:, a : a + 1]
+            mine, theirs = labels[a], labels[others]
+            new = each.sum() - each[mine] - each[theirs] + self.far(sums[:, mine][:, None] + change) + self.far(sums[:, theirs] - change)
+            for b in others[~(new >= lowest + 1e-5)]:
+                trial = labels.copy()
+                trial[a], trial[b] = labels[b], labels[a]
+                exact = float(self.scores(trial[None])[0])
+                if exact + 1e-10 < lowest:
+                    return i, int(np.flatnonzero(order == b)[0]), exact
+        return None
+
 
 MOST_BLOCKS = 20_000
+#: Numbers that are held to score assignments together.
+TOGETHER = 1 << 21
 
 
 def balanced(features: DataFrame, fractions: Mapping[str, float] | None = None, seed: int = 42, starts: int = 2000, passes: int = 25) -> DataFrame:
     """features with period: the best of `starts` random assignments, improved by swaps of two blocks while any helps.
 
-    There is a row for each block of the record, some hundred for decades, so the search runs on the driver; more than
-    MOST_BLOCKS are an error.
+    Assignments and swaps are dealt out to tasks, each of which has the blocks' scaled features, a row for each block of the record; more than
+    MOST_BLOCKS are an error. Shuffles come from one sequence: a task shuffles on to the first of its own, so the result doesn't depend on how many tasks there are.
+    Of equal scores the first assignment, and the first swap in a random order, counts.
     """
+    spark = features.sparkSession
     fractions = fractions or {"train": 0.6, "validation": 0.2, "test": 0.2}
     rows = robust_scaled(features).orderBy("block_id").select("block_id", *FEATURES).limit(MOST_BLOCKS + 1).collect()
     if len(rows) > MOST_BLOCKS:
         raise ValueError(f"{len(rows)} blocks; the search is for at most {MOST_BLOCKS}")
     if not rows:
         return features.withColumn("period", F.lit(None).cast("string"))
-    balance = _Balance(np.array([[np.nan if v is None else v for v in r[1:]] for r in rows], float))
+    x = np.array([[np.nan if v is None else v for v in r[1:]] for r in rows], float)
     counts = shares(len(rows), fractions)
     pool = np.repeat(np.arange(len(PERIODS)), [counts[p] for p in PERIODS])
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    shared = spark.sparkContext.broadcast(x)
+
+    def assignments(batches):
+        balance, rng, at = Balance(shared.value), np.random.default_rng(seed), 0
+        many = max(1, TOGETHER // shared.value.size)
+        for batch in batches:
+            for k in range(0, len(batch), many):
+                ids = batch.column(0).to_numpy()[k : k + many]
+                trials = []
+                for i in ids:
+                    while at <= i:
+                        trial = pool.copy()
+                        rng.shuffle(trial)
+                        at += 1
+                    trials.append(trial)
+                scores = balance.scores(np.stack(trials)).round(12)  # mirrored assignments score alike
+                best = int(scores.argmin())
+                yield pa.RecordBatch.from_arrays([pa.array([scores[best]]), pa.array([ids[best]]), pa.array([trials[best].tolist()], pa.list_(pa.int64()))], ["score", "id", "labels"])
+
+    ids = spark.range(0, max(starts, 1), 1, tasks)
+    top = ids.mapInArrow(assignments, "score double, id bigint, labels array<bigint>").agg(F.min(F.struct("score", "id", "labels")).alias("b")).first().b
+    best, lowest = np.array(top.labels), top.score
     rng = np.random.default_rng(seed)
-    best, lowest = pool, math.inf
-    for _ in range(starts):
-        trial = pool.copy()
-        rng.shuffle(trial)
-        if (s := balance(trial)) < lowest:
-            best, lowest = trial, s
+    for _ in range(starts):  # on to where the sequence of shuffles ends
+        rng.shuffle(pool.copy())
     for _ in range(passes):
-        swap = next(_better_swaps(balance, best, lowest, rng.permutation(len(best))), None)
-        if swap is None:
+        order = rng.permutation(len(best))
+
+        def swaps(batches, labels=best, order=order, lowest=lowest):
+            balance = Balance(shared.value)
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                found = balance.first_swap(labels, order, int(ids[0]), int(ids[-1]) + 1, lowest) if len(ids) else None
+                hits = [found] if found else []
+                yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["i", "j", "score"])
+
+        hit = spark.range(0, len(best), 1, min(tasks, len(best))).mapInArrow(swaps, "i bigint, j bigint, score double").agg(F.min(F.struct("i", "j", "score")).alias("b")).first().b
+        if hit is None:
             break
-        best, lowest = swap
-    names = [PERIODS[k] for k in best]
-    assigned = features.sparkSession.createDataFrame([(r.block_id, p) for r, p in zip(rows, names)], "block_id bigint, period string")
+        a, b = order[hit.i], order[hit.j]
+        best[a], best[b] = best[b], best[a]
+        lowest = hit.score
+    assigned = spark.createDataFrame([(r.block_id, PERIODS[k]) for r, k in zip(rows, best)], "block_id bigint, period string")
     return features.join(F.broadcast(assigned), "block_id")
 
 
-def _better_swaps(balance: _Balance, labels: np.ndarray, lowest: float, order: np.ndarray):
-    for i, a in enumerate(order):
-        for b in order[i + 1 :]:
-            if labels[a] != labels[b]:
-                trial = labels.copy()
-                trial[[a, b]] = trial[[b, a]]
-                if (s := balance(trial)) + 1e-10 < lowest:
-                    yield trial, s
-
-
 def period_summary(assigned: DataFrame, names: Sequence[str] = FEATURES) -> DataFrame:
     return assigned.groupBy("period").agg(F.count(F.lit(1)).alias("blocks"), F.min("block_start").alias("first"), F.max("block_end").alias("last"), *[F.avg(n).alias(n) for n in names])
 

@@ -362,6 +362,40 @@ def test_splits(spark):
     assert splits.period_summary(got).count() == 3
 
 
+def test_split_search_equals_a_plain_one(spark):
+    """The best of all shuffles of one sequence, then the first better swap of each pass, scored from all blocks each time."""
+    rng = np.random.default_rng(0)
+    for n, starts in ((23, 40), (9, 7)):
+        x = rng.normal(size=(n, len(splits.FEATURES)))
+        x[rng.random(x.shape) < 0.05] = np.nan
+        d = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "block_id bigint, " + ", ".join(f"{f} double" for f in splits.FEATURES))
+        z = np.array([[np.nan if v is None else v for v in r] for r in splits.robust_scaled(d).orderBy("block_id").select(*splits.FEATURES).collect()], float)
+        mean, std = np.nanmean(z, 0), np.nanstd(z, 0)
+        score = lambda y: sum(np.linalg.norm(np.nanmean(z[y == p], 0) - mean) + 0.25 * np.linalg.norm(np.nanstd(z[y == p], 0) - std) for p in range(3))
+        fractions = {"train": 0.6, "validation": 0.3, "test": 0.1}  # of different sizes, so that no two assignments mirror each other
+        counts = splits.shares(n, fractions)
+        pool, best, low = np.repeat([0, 1, 2], [counts[p] for p in splits.PERIODS]), None, np.inf
+        draw = np.random.default_rng(5)
+        for _ in range(starts):
+            y = pool.copy()
+            draw.shuffle(y)
+            if score(y) < low:
+                best, low = y, score(y)
+        for _ in range(25):
+            order, better = draw.permutation(n), None
+            for i, a in enumerate(order):
+                for b in order[i + 1 :]:
+                    y = best.copy()
+                    y[[a, b]] = y[[b, a]]
+                    if better is None and best[a] != best[b] and score(y) + 1e-10 < low:
+                        better = y
+            if better is None:
+                break
+            best, low = better, score(better)
+        got = splits.balanced(d, fractions, seed=5, starts=starts).orderBy("block_id").collect()
+        assert [r.period for r in got] == [splits.PERIODS[k] for k in best]
+
+
 def test_spatial(spark):
     ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (2.0, 1.0), (0.0, 2.0)]
     p = spark.createDataFrame([("d", ring)], "id string, ring array<struct<x:double,y:double>>")
