@@ -10,7 +10,7 @@ from fluvial.functions import projections
 from fluvial.operators import prepare, windows
 from fluvial.plans import views as V
 from fluvial.plans.registry import query, rounded
-from fluvial.sources import arrays, geometry, readers, sinks
+from fluvial.sources import arrays, geometry, manifest, readers, sinks
 
 # A grid of customers: a forcing with two variables for each nation (flat_index) and day.
 FORCING_SQL = """forcing AS (SELECT o_custkey % 25 AS flat_index, o_orderdate::DATE AS time, round(sum(o_totalprice), 2) AS rain, count(*)::DOUBLE AS temp FROM orders GROUP BY 1, 2)"""
@@ -391,3 +391,16 @@ def q76_geometry_layer(spark, sf):
     g = spark.read.parquet(path).select("id", geometry.decoded("geom").alias("g"))
     d = g.select("id", "g.kind", "g.srid", F.posexplode(projections.reproject("g.rings", albers)[0]).alias("k", "p"))
     return rounded(d.select("id", "kind", "srid", F.col("k").cast("bigint").alias("k"), F.col("p.x").alias("lon"), F.col("p.y").alias("lat")))
+
+
+@query("""WITH t AS (SELECT DISTINCT year(o_orderdate) AS year, o_orderdate::TIMESTAMP AS time FROM orders), s AS (SELECT *, epoch(lead(time) OVER (PARTITION BY year ORDER BY time)) - epoch(time) AS step FROM t)
+SELECT year, min(time) AS start_time, max(time) AS end_time, count(*) AS n_steps, median(step) AS step_seconds FROM s GROUP BY 1""")
+def q72f_incremental_manifest(spark, sf):
+    """A file for each year; the later ones arrive after the manifest was made, and only they are read then."""
+    root, path = shared_path(spark, "files"), shared_path(spark, "manifest")
+    f = table(spark, sf, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("time"), F.year("o_orderdate").alias("year"))
+    for late in (False, True):
+        f.where((F.col("year") >= 1996) == F.lit(late)).coalesce(1).write.mode("append").partitionBy("year").parquet(root)
+        manifest.update(spark, root, path)
+    d = manifest.current(spark, root, path)
+    return d.select(F.regexp_extract("path", "year=([0-9]+)", 1).cast("bigint").alias("year"), "start_time", "end_time", "n_steps", "step_seconds")
