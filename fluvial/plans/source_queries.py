@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fluvial.common import shared_path, table
 from fluvial.functions import columns as C
 from fluvial.functions import projections
-from fluvial.operators import prepare, windows
+from fluvial.operators import checks, prepare, windows
 from fluvial.plans import views as V
 from fluvial.plans.registry import query, rounded
 from fluvial.sources import arrays, geometry, manifest, readers, sinks
@@ -404,3 +404,34 @@ def q72f_incremental_manifest(spark, sf):
         manifest.update(spark, root, path)
     d = manifest.current(spark, root, path)
     return d.select(F.regexp_extract("path", "year=([0-9]+)", 1).cast("bigint").alias("year"), "start_time", "end_time", "n_steps", "step_seconds")
+
+
+@query(f"WITH {FORCING_SQL}, s AS (SELECT n_nationkey AS flat_index, n_regionkey * 10.0::DOUBLE AS elevation FROM nation) SELECT f.flat_index, f.time, f.rain, s.elevation FROM forcing f JOIN s ON s.flat_index = f.flat_index")
+def q73f_aligned_while_written(spark, sf):
+    """Forcing joined with its cells; that each row has its cell is observed in the pass that writes it."""
+    path = shared_path(spark, "aligned")
+    cells = _static(spark, sf).select("flat_index", "elevation")
+    checks.aligned(_forcing(spark, sf).select("flat_index", "time", "rain"), cells, ["flat_index"], path)
+    return spark.read.parquet(path)
+
+
+@query("""SELECT 'nodes' AS "table", 'node twice' AS rule, 0::BIGINT AS broken, count(*) AS rows FROM customer UNION ALL SELECT 'edges', 'dst without a node', count(*) FILTER (WHERE o_custkey % 50 = 0), count(*) FROM orders
+UNION ALL SELECT 'edges', 'loop', count(*) FILTER (WHERE o_custkey % 50 <> 0 AND o_custkey = o_orderkey % 100), count(*) FROM orders UNION ALL SELECT 'gauges', 'node without a node', count(*) FILTER (WHERE s_suppkey % 10 = 0), count(*) FROM supplier""")
+def q73g_graph_rules(spark, sf):
+    """A graph with faults; what its rules find while its tables are written."""
+    key = lambda c: F.col(c).cast("bigint")
+    nodes = table(spark, sf, "customer").select(key("c_custkey").alias("node"))
+    edges = table(spark, sf, "orders").select((key("o_orderkey") % 100).alias("src"), F.when(F.col("o_custkey") % 50 != 0, key("o_custkey")).otherwise(F.lit(-1)).alias("dst"))
+    gauges = table(spark, sf, "supplier").select(F.when(F.col("s_suppkey") % 10 != 0, key("s_suppkey")).otherwise(F.lit(-5)).alias("node"))
+    found = checks.write_graph_checked({"nodes": nodes, "edges": edges, "gauges": gauges}, shared_path(spark, "graph-checked"), strict=False)
+    shown = (("nodes", "node twice"), ("edges", "dst without a node"), ("edges", "loop"), ("gauges", "node without a node"))
+    return spark.createDataFrame([(t, r, found[t][r], found[t]["rows"]) for t, r in shown], "table string, rule string, broken bigint, rows bigint")
+
+
+@query("SELECT o_custkey::BIGINT AS gauge, coalesce(n, 0) AS n_late, coalesce(m, 0) AS n_early FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderdate >= DATE '1998-01-01' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, count(*) AS m FROM orders WHERE o_orderdate < DATE '1993-01-01' GROUP BY 1) b ON a.o_custkey = b.k WHERE o_custkey IS NOT NULL UNION ALL SELECT k, 0, m FROM (SELECT o_custkey AS k, count(*) AS m FROM orders WHERE o_orderdate < DATE '1993-01-01' GROUP BY 1) WHERE k NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '1998-01-01')")
+def q10c_metrics_full_join(spark, sf):
+    """Metrics of two runs side by side; gauges that only one of them has stay."""
+    o = table(spark, sf, "orders")
+    count = lambda d, name: d.groupBy(F.col("o_custkey").cast("bigint").alias("gauge")).agg(F.count(F.lit(1)).alias(name))
+    late, early = count(o.where("o_orderdate >= '1998-01-01'"), "n_late"), count(o.where("o_orderdate < '1993-01-01'"), "n_early")
+    return late.join(early, "gauge", "full").na.fill(0, ["n_late", "n_early"])
