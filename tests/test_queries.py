@@ -21,10 +21,10 @@ def con():
 def plain(rows):
     def cell(v):
         if isinstance(v, float):
-            return None if math.isnan(v) else round(v, 4) + 0.0
+            return None if math.isnan(v) else v + 0.0
         return str(v) if v is not None and not isinstance(v, (int, bool, str)) else v
 
-    return sorted((tuple(cell(v) for v in r) for r in rows), key=repr)
+    return sorted((tuple(cell(v) for v in r) for r in rows), key=lambda r: repr([f"{v:.9g}" if isinstance(v, float) else v for v in r]))
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
@@ -41,7 +41,7 @@ def test_query(spark, con, name):
     got = [tuple(r[c] for c in columns) for r in got]
     assert len(got) == len(want)
     a, b = plain(got), plain(want)
-    assert all(x == y or all(p == q or isinstance(p, float) and isinstance(q, float) and abs(p - q) <= 2e-4 * max(1, abs(q)) for p, q in zip(x, y)) for x, y in zip(a, b))
+    assert all(x == y or all(p == q or isinstance(p, float) and isinstance(q, float) and abs(p - q) <= 1e-9 * max(1, abs(q)) for p, q in zip(x, y)) for x, y in zip(a, b))
 
 
 def test_entry(spark):
