@@ -40,7 +40,7 @@ def write_checked(df: DataFrame, path: str, rules: Mapping[str, Column], keep: S
 
 def aligned(left: DataFrame, right: DataFrame, on: Sequence[str], path: str, strict: bool = True) -> dict:
     """Write the join of left with right, every row of left having exactly one match; rows without one, and keys that right has more than once, are counted while
-    that is done.."""
+    that is done."""
     many = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in right.columns if c not in on])
     j = left.join(many, list(on), "left")
     rules = {"unmatched": F.col("_n").isNull(), "ambiguous": F.col("_n") > 1}
