@@ -32,8 +32,6 @@ from fluvial.common import small_batches
 NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 #: What can end a tag: a quoted value that begins, or >.
 IN_TAG = re.compile(r"""=\s*(["'])|>""")
-#: So many tags whose quotes don't close are read to the end of the page in search of one; then quotes no longer count.
-OPEN_QUOTES = 32
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_WORD = re.compile(r"[a-z]+")
 PART_WORD = re.compile(r"^(?:has|no|with|without)[-_]|^(?:article|post|entry|content|story|section)[-_]+header$")
@@ -157,13 +155,35 @@ class _Open:
             self.cut(min(found))
 
 
+def _tag_end(page: str, at: int, ends: dict[int, int]) -> int:
+    """Where the tag that goes on at `at` ends: at the first > outside quotes; -1 if a quote doesn't close.
+
+    ends: the same for each quote that opens and each > met so far. Every one is looked at once, and the stretches to their
+    closing quotes don't overlap for either kind of quote, so all calls for a page together are linear in it.
+    """
+    met, end = [], -1
+    while q := IN_TAG.search(page, at):
+        if q.start() in ends:
+            end = ends[q.start()]
+            break
+        met.append(q.start())
+        if not q[1]:
+            end = q.start()
+            break
+        at = page.find(q[1], q.end()) + 1
+        if not at:
+            break
+    ends.update(dict.fromkeys(met, end))
+    return end
+
+
 def parse(page: str) -> Node:
     root = Node("html", None, False, 0.0)
     stack = _Open(root)
     done, at, n = 0, 0, len(page)  # text up to done is in the tree
     last_end = page.rfind(">")
     absent: set[str] = set()
-    unclosed = 0
+    ends: dict[int, int] = {}
 
     def text_to(k: int) -> None:
         if k > done:
@@ -183,15 +203,7 @@ def parse(page: str) -> Node:
         if not m:
             at = lt + 1
             continue
-        end = -1
-        if unclosed < OPEN_QUOTES:
-            k = m.end()
-            while (q := IN_TAG.search(page, k)) and q[1]:
-                k = page.find(q[1], q.end()) + 1
-                if not k:
-                    break
-            end = q.start() if q and not q[1] else -1
-            unclosed += end < 0
+        end = _tag_end(page, m.end(), ends)
         if end < 0:
             end = page.find(">", lt)
         text_to(lt)
