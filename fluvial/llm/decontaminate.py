@@ -11,8 +11,8 @@ slop s each proximity match, in which every word stands at most s words from its
 
 Windows are made and counted in joins. The index is read once for the counts of words and once for the search: if the
 windows have at most BLOCK_BYTES, which is counted, they are broadcast; otherwise each segment's words are joined with the
-windows' rarest words, and each segment meets the windows it may hold in a cogroup, in parts of about BLOCK_BYTES. So the
-number of passes doesn't grow with the test items, and no item needs to fit anywhere but in its own text.
+windows' rarest words, and each segment meets the windows it may hold in a cogroup, in as many parts of about BLOCK_BYTES
+as its own windows need; segments that may hold none aren't moved. So the number of passes doesn't grow with the test items, and no item needs to fit anywhere but in its own text.
 
 Null or empty texts have no words and never match. Repeated documents are indexed each; repeated items count once.
 Null item_id: as the id "". No documents or no items: nothing matches. Very long texts are inverted whole; a segment is at least
@@ -22,8 +22,6 @@ their names.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -241,10 +239,12 @@ def matches(index: DataFrame, ordered: DataFrame, slop: int = 0) -> DataFrame:
     rare = ordered.select("wid", weight.alias("w"), F.get("terms", F.lit(0)).alias("term"))
     terms = index.select("segment", F.explode("terms").alias("term"))
     held = materialize(terms.join(rare, "term").select("segment", "wid", "w"), "segment-windows")
-    most = held.groupBy("segment").agg(F.sum("w").alias("w")).agg(F.max("w")).first()[0] or 0
-    parts = max(1, math.ceil(most / BLOCK_BYTES))
-    held = held.select("segment", "wid", F.pmod("wid", F.lit(parts)).alias("part")).join(ordered, "wid")
-    segments = index.select(*_SEGMENT, F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")).alias("part"))
+    parts = materialize(held.groupBy("segment").agg(F.ceil(F.sum("w") / BLOCK_BYTES).cast("bigint").alias("parts")), "segment-parts")
+    held = checked_join(held.select("segment", "wid"), parts, "segment", "inner", row_bytes=64)
+    held = held.select("segment", "wid", F.pmod("wid", "parts").alias("part")).join(ordered, "wid")
+    # a segment travels as often as its own windows fill blocks; one that holds none of them stays where it is
+    wanted = checked_join(index.select(*_SEGMENT), parts, "segment", "inner", row_bytes=64)
+    segments = wanted.select(*_SEGMENT, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
 
     def meet(windows: pa.Table, segment: pa.Table) -> pa.Table:
         if not windows.num_rows or not segment.num_rows:
