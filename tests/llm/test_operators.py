@@ -176,6 +176,22 @@ def test_decontaminate_many_windows_and_segments(spark, docs, monkeypatch):
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got.collect()) == Counter((*w[:3], tuple(w[3])) for w in want)
 
 
+def test_decontaminate_moves_only_segments_with_windows(spark, monkeypatch):
+    """Of many segments one holds windows, more than a block of them; the others aren't moved, and it is in parts."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    moved = []
+    plain = decontaminate.checked_join
+    monkeypatch.setattr(decontaminate, "checked_join", lambda *a, **k: moved.append(plain(*a, **k)) or moved[-1])
+    d = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(40))) for k in range(30)], "doc_id bigint, text string").coalesce(1)
+    items = spark.createDataFrame([(1, " ".join(f"w7x{j}" for j in range(5, 35)))], "item_id bigint, text string")
+    index = decontaminate.materialize(decontaminate.build_index(d, 40), "index")
+    assert index.count() == 30
+    found = decontaminate.search(index, items).collect()
+    assert [(r.doc_id, [tuple(s) for s in r.spans]) for r in found] == [(7, [(5, 35)])]
+    wanted = next(m for m in moved if {"positions", "parts"} <= set(m.columns)).collect()
+    assert len(wanted) == 1 and wanted[0].parts > 1
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "red fox runs home"), (2, "red big fox runs home"), (3, "fox red"), (4, "red"), (5, "fox runs home")], "doc_id bigint, text string")
     index = decontaminate.build_index(d)
@@ -209,6 +225,30 @@ def test_html_never_fails(page):
     assert isinstance(html_extract.extract(page), str)
 
 
+def tag_end(page, at):
+    """The same as _tag_end, tag by tag."""
+    while q := html_extract.IN_TAG.search(page, at):
+        if not q[1]:
+            return q.start()
+        close = page.find(q[1], q.end())
+        if close < 0:
+            return -1
+        at = close + 1
+    return -1
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="<> a='\"", max_size=60))
+def test_html_tags_end_where_each_alone_does(page):
+    ends = {}
+    assert [html_extract._tag_end(page, k, ends) for k in range(len(page) + 1)] == [tag_end(page, k) for k in range(len(page) + 1)]
+
+
+@pytest.mark.parametrize("n", [1, 31, 32, 33, 1000])
+def test_html_quotes_count_behind_any_number_of_open_ones(n):
+    assert html_extract.extract("<b ='' ='>" * n + '<p title="x > y">Text of the paragraph.</p>') == "Text of the paragraph."
+
+
 def test_html_without_article():
     page = "<body><div id=menu><a href=1>One, two</a></div><div class=content><p>" + "Long text, with commas, " * 5 + "</p><p>Tail</p></div><div class=sidebar><p>Side, side, side</p></div></body>"
     assert html_extract.extract(page) == ("Long text, with commas, " * 5).strip() + "\nTail"
@@ -258,7 +298,7 @@ def test_html_leaves_out_what_is_beside_the_text():
     assert html_extract.extract(f"<article><header><h1>Title</h1></header><p>{text}</p></article>").startswith("Title\n")
 
 
-@pytest.mark.parametrize("page", ["<a " * 350_000, "<a " * 350_000 + ">", "<b>" * 100_000 + "<li>" * 100_000, "<b>" * 100_000 + "<p>x" * 100_000, "<a href=\">" * 100_001, "<svg>" * 200_000, "<td>" * 250_000, "<ul><li>" * 120_000, "<div><p>" * 60_000 + "</p></div>" * 60_000])
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<a " * 350_000 + ">", "<b>" * 100_000 + "<li>" * 100_000, "<b>" * 100_000 + "<p>x" * 100_000, "<a href=\">" * 100_001, "<a ='' ='>" * 100_001, "<a =\"'>" * 100_001, "<a =\"' ='\" >" * 70_000 + "<b =\"", "<svg>" * 200_000, "<td>" * 250_000, "<ul><li>" * 120_000, "<div><p>" * 60_000 + "</p></div>" * 60_000])
 def test_html_of_a_megabyte_takes_linear_time(page):
     began = time.process_time()
     html_extract.extract(page)
