@@ -359,6 +359,47 @@ def q75b_shapefile_polygons(spark, sf):
     return _read_layer(spark, sf, 5)
 
 
+def _layer_file(root):
+    """Writes the .shp, .shx and .dbf of some customers, in the order of their keys, each a line of 2 to 6 points."""
+    import struct
+
+    import numpy as np
+    import pandas as pd
+
+    from fluvial.sources import arrays
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("c_custkey")
+        name, shp, shx, rows, at = f"{root}/{pdf.file.iloc[0]}", [b"\0" * 100], [b"\0" * 100], [], 100
+        for k, r in enumerate(pdf.itertuples(), 1):
+            n = int(r.c_custkey % 5 + 2)
+            points = np.column_stack([np.arange(n) + r.c_nationkey, 0.5 * np.arange(n)]).astype("<f8")
+            body = struct.pack("<i4d3i", 3, 0, 0, 0, 0, 1, n, 0) + points.tobytes()
+            shp.append(struct.pack(">2i", k, len(body) // 2) + body)
+            shx.append(struct.pack(">2i", at // 2, len(body) // 2))
+            at += len(shp[-1])
+            rows.append(b" " + str(r.c_custkey).rjust(18).encode() + (b"Against" if r.c_nationkey == 2 else b"With   "))
+        field = lambda n, kind, size: n.ljust(11, b"\0") + kind + b"\0" * 4 + bytes([size]) + b"\0" * 15
+        head = struct.pack("<4BIHH20x", 3, 0, 0, 0, len(rows), 97, 26) + field(b"COMID", b"N", 18) + field(b"FLOWDIR", b"C", 7) + b"\r"
+        for ending, data in ((".shp", shp), (".shx", shx), (".dbf", [head, *rows])):
+            arrays.write_bytes(name + ending, b"".join(data))
+        return pd.DataFrame({"rows": [len(rows)]})
+
+    return write
+
+
+@query("SELECT c_custkey::BIGINT AS comid, (row_number() OVER (PARTITION BY c_custkey // 2000 ORDER BY c_custkey))::BIGINT AS record, c_nationkey = 2 AS against, (c_custkey % 5 + 2)::BIGINT AS n_points, c_nationkey::DOUBLE AS x, 0.5::DOUBLE * (c_custkey % 5 + 1) AS y FROM customer")
+def q75d_shapefile_pieces(spark, sf):
+    """Lines of many files of 2000 keys each, every file read in pieces of 16 kB that its index tells."""
+    from fluvial.sources import shapes
+
+    path = shared_path(spark, "layers")
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.floor(F.col("c_custkey") / 2000).cast("bigint").alias("file"))
+    c.groupBy("file").applyInPandas(_layer_file(path), "rows long").write.format("noop").mode("overwrite").save()
+    d = shapes.read_shapefile(spark, path, piece=1 << 14)
+    return d.select(F.col("attributes")["COMID"].cast("bigint").alias("comid"), F.col("record").cast("bigint").alias("record"), shapes.against_flow().alias("against"), F.size("points").cast("bigint").alias("n_points"), F.get("points", F.lit(0))["x"].alias("x"), F.element_at("points", -1)["y"].alias("y"))
+
+
 @query("SELECT n_nationkey::VARCHAR AS id, CASE WHEN n_regionkey > 0 THEN n_name END AS name, (n_regionkey + 1)::BIGINT AS geometry_bytes FROM nation")
 def q75c_sqlite_layer(spark, sf):
     """A table of a SQLite file, as GeoPackages are, with a geometry as binary; a file without the table gives no rows."""

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import struct
 
 import pytest
@@ -123,6 +124,79 @@ def test_shapefile(spark, tmp_path):
     assert shapes.read_attributes(spark, str(tmp_path)).where("record = 2").first().attributes == {}
 
 
+def _layer_files(folder, n, index=True):
+    """A layer of n lines of which the k-th has k % 7 + 2 points, each third a point shape, and its table, each fifth row deleted."""
+    rng, at, shp, shx, rows = random.Random(n), 100, b"", b"", b""
+    lines = {}
+    for k in range(1, n + 1):
+        points = [(rng.random(), rng.random()) for _ in range(k % 7 + 2)]
+        record = struct.pack(">i", k) + (_shp([points[:1]], 1) if k % 3 == 0 else _shp([points[:2], points[2:]] if len(points) > 3 else [points]))[4:]
+        if k % 3:
+            lines[k] = [points[:2], points[2:]] if len(points) > 3 else [points]
+        shx += struct.pack(">ii", at // 2, len(record) // 2 - 4)
+        shp, at = shp + record, at + len(record)
+        rows += (b"*" if k % 5 == 0 else b" ") + f"{k:6d}".encode()
+    field = b"ID".ljust(11, b"\0") + b"N" + b"\0" * 4 + bytes([6]) + b"\0" * 15
+    (folder / "a layer%.shp").write_bytes(b"\0" * 100 + shp)
+    if index:
+        (folder / "a layer%.shx").write_bytes(b"\0" * 100 + (shx if index is True else index(shx)))
+    (folder / "a layer%.dbf").write_bytes(struct.pack("<4BIHH20x", 3, 0, 0, 0, n, 65, 7) + field + b"\r" + rows)
+    return lines
+
+
+def _swapped(shx):
+    return shx[8:16] + shx[:8] + shx[16:]
+
+
+@pytest.mark.parametrize("index, pieces", [(True, 8), (False, 1), (_swapped, 1), (lambda shx: shx[:-8] + b"\x7f" + shx[-7:], 1), (lambda shx: b"", 1)])
+def test_shapefile_in_pieces(spark, tmp_path, monkeypatch, index, pieces):
+    """Every record once, however a file is cut; reads and batches are small."""
+    lines = _layer_files(tmp_path, 200, index)
+    for name, value in (("BLOCK", 700), ("ENTRIES", 9), ("OUT", 50)):
+        monkeypatch.setattr(shapes, name, value)
+    cut = shapes.shape_pieces(str(tmp_path / "a layer%.shp"), (tmp_path / "a layer%.shp").stat().st_size, 3000)
+    assert len(cut) >= pieces and (pieces > 1 or len(cut) == 1) and cut[0][0] == 100 and all(a[1] == b[0] for a, b in zip(cut, cut[1:]))
+    assert all(size <= 3000 + 300 for *_, size in cut[: len(cut) * (pieces > 1)])
+    got = shapes.read_shapefile(spark, str(tmp_path), piece=3000).collect()
+    assert sorted((r.record, r.part, [tuple(p) for p in r.points], (r.attributes or {}).get("ID")) for r in got) == sorted((k, j, part, None if k % 5 == 0 else str(k)) for k, parts in lines.items() for j, part in enumerate(parts))
+    rows = shapes.read_attributes(spark, str(tmp_path), piece=100)
+    assert sorted((r.record, r.attributes.get("ID")) for r in rows.collect()) == [(k, None if k % 5 == 0 else str(k)) for k in range(1, 201)]
+    assert len(shapes.table_pieces(str(tmp_path / "a layer%.dbf"), (tmp_path / "a layer%.dbf").stat().st_size, 100)) == 15
+
+
+def test_shapefile_bounds(spark, tmp_path):
+    """What a task reads at once is a block, whatever the file's length; a truncated file ends with its last whole record."""
+    _layer_files(tmp_path, 500)
+    path = tmp_path / "a layer%.shp"
+
+    class Counting:
+        def __init__(self, f):
+            self.f, self.most = f, 0
+
+        def seek(self, k):
+            self.f.seek(k)
+
+        def read(self, n):
+            self.most = max(self.most, n)
+            return self.f.read(n)
+
+    with open(path, "rb") as f:
+        counting, block = Counting(f), shapes.BLOCK
+        shapes.BLOCK = 512
+        try:
+            assert len(list(shapes.shapes_of(counting, 100, path.stat().st_size))) == 334
+        finally:
+            shapes.BLOCK = block
+        assert counting.most <= 512
+    path.write_bytes(path.read_bytes()[:-1])
+    (tmp_path / "a layer%.dbf").write_bytes((tmp_path / "a layer%.dbf").read_bytes()[:-1])
+    assert shapes.read_lines(spark, str(tmp_path), piece=5000).select("record").distinct().count() == 333
+    assert shapes.read_attributes(spark, str(tmp_path), piece=500).count() == 499
+    for name in ("a layer%.shp", "a layer%.dbf"):
+        (tmp_path / name).write_bytes(b"")
+    assert shapes.read_shapefile(spark, str(tmp_path)).count() == 0
+
+
 GOOD = {k: "x" for k in config.REQUIRED} | {"forcing": {"variables": ["a"]}, "static": {}, "targets": {"variables": ["q"]}, "windowing": {"sequence_days": 180}}
 
 
