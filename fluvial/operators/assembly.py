@@ -124,13 +124,23 @@ def node_inputs(runoff: DataFrame, lags: Sequence[int], dynamic: DataFrame | Non
     return d.select("node", time, *[clip(or_zero(f"`{c}`"), low, limit).alias(c) for c in d.columns if c not in ("node", time)])
 
 
-def routed(runoff: DataFrame, mapping: DataFrame, nodes: DataFrame, edges: DataFrame, gauges: DataFrame, layers: Sequence[Mapping], head: tuple, lags: Sequence[int] = (0, 1), context: int = 0, time: str = "date", **inputs) -> DataFrame:
+def routed(runoff: DataFrame, mapping: DataFrame, nodes: DataFrame, edges: DataFrame, gauges: DataFrame, layers: Sequence[Mapping], head: tuple, lags: Sequence[int] = (0, 1), context: int = 0, time: str = "date", temporal: Sequence[tuple] = (), residual: bool = True, reduction: tuple[str, int | None] | None = None, **inputs) -> DataFrame:
     """gauge_id, time, prediction: runoff of cells (source, time, value) carried to nodes, lagged, routed by graph layers, and
-    read at the gauges (gauge_id, node); the first `context` steps are left out."""
+    read at the gauges (gauge_id, node).
+
+    temporal: layers of a temporal head (routing.temporal_head) along each gauge's series. reduction: ("sum" or "mean", steps) over so many steps, which
+    must divide the series, or over all if None; the time is that of the first. The first `context` steps of what then is there are left out.
+    """
     at_nodes = transfer.transfer(runoff, mapping, nodes.select(F.col("node").alias("target")), time=time).withColumnRenamed("target", "node")
     given = node_inputs(at_nodes, lags, time=time, **inputs)
     state = [c for c in given.columns if c not in ("node", time)]
     out = routing.graph_forward(given, edges, state, layers, head, by=(time,))
     read = out.join(gauges.select("gauge_id", "node"), "node").select("gauge_id", time, F.col("value").alias("prediction"))
+    if temporal:
+        read = routing.temporal_head(read, "prediction", temporal, ["gauge_id"], time, residual)
+    if reduction and reduction[1] is None:
+        read = read.groupBy("gauge_id").agg(F.min(time).alias(time), {"sum": F.sum, "mean": F.avg}[reduction[0]]("prediction").alias("prediction"))
+    elif reduction:
+        read = windows.reduce_steps(read, "prediction", reduction[1], ["gauge_id"], time, reduction[0], start=True).select("gauge_id", time, "prediction")
     n = F.row_number().over(Window.partitionBy("gauge_id").orderBy(time))
     return read.withColumn("_n", n).where(F.col("_n") > context).drop("_n")

@@ -101,19 +101,35 @@ def sage_layer(nodes, edges, state, w_neighbour: np.ndarray, w_self: np.ndarray,
     return dense(out, [f"agg_{c}" for c in state] + list(state), both, bias, outputs)
 
 
-def gat_layer(nodes, edges, state, attend_src: Sequence[float], attend_dst: Sequence[float], by=(), slope: float = 0.2):
-    """One attention head over in-edges and a self loop, on states that have been through the dense layer."""
-    dot = lambda w: reduce(lambda a, k: a + float(w[k]) * F.col(state[k]), range(len(state)), F.lit(0.0))
-    scored = nodes.select("node", *by, *state, dot(attend_src).alias("_as"), dot(attend_dst).alias("_ad"))
+def gat_layer(nodes, edges, state, attend_src: Sequence[float], attend_dst: Sequence[float], by=(), slope: float = 0.2, heads: int = 1, edge_features: Sequence[str] = (), attend_edge: np.ndarray | None = None):
+    """Attention over in-edges and a self loop, on states that have been through the dense layer.
+
+    Each head has its part of the state, in order, and its softmax; their results stand side by side. attend_edge, a row a head, weighs
+    edge_features in the scores; a self loop has the mean of its node's in-edges, 0 without any. Missing features are 0. All heads share one pass
+    over the messages.
+    """
+    if len(state) % heads:
+        raise ValueError("the width of the state must be a multiple of the heads")
+    width, every = len(state) // heads, range(heads)
+    parts = [range(h * width, (h + 1) * width) for h in every]
+    dot = lambda w, h: reduce(lambda a, k: a + float(w[k]) * F.col(state[k]), parts[h], F.lit(0.0))
+    scored = nodes.select("node", *by, *state, *[dot(attend_src, h).alias(f"_as{h}") for h in every], *[dot(attend_dst, h).alias(f"_ad{h}") for h in every])
+    given = [f"_e{k}" for k in range(len(edge_features))]
+    e = edges.where("src <> dst").select("src", "dst", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(g) for c, g in zip(edge_features, given)])
     loops = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst")).distinct()
-    e = edges.select("src", "dst").where("src <> dst").unionByName(loops)
-    m = gather(scored, e, [*state, "_as"], by).join(scored.select(F.col("node").alias("dst"), *by, "_ad"), ["dst", *by])
-    z = F.col("_as") + F.col("_ad")
-    m = m.withColumn("_z", F.when(z > 0, z).otherwise(slope * z))
+    if given:
+        mean = e.groupBy("dst").agg(*[F.avg(g).alias(g) for g in given])
+        loops = loops.join(mean, "dst", "left").select("src", "dst", *[F.coalesce(g, F.lit(0.0)).alias(g) for g in given])
+    m = gather(scored.drop(*[f"_ad{h}" for h in every]), e.unionByName(loops), [*state, *[f"_as{h}" for h in every]], by)
+    m = m.join(scored.select(F.col("node").alias("dst"), *by, *[f"_ad{h}" for h in every]), ["dst", *by])
+    score = lambda h: reduce(lambda a, k: a + float(attend_edge[h][k]) * F.col(given[k]), range(len(given)), F.col(f"_as{h}") + F.col(f"_ad{h}"))
+    m = m.withColumns({f"_z{h}": score(h) for h in every})
+    m = m.withColumns({f"_z{h}": F.when(F.col(f"_z{h}") > 0, F.col(f"_z{h}")).otherwise(slope * F.col(f"_z{h}")) for h in every})
     w = Window.partitionBy("dst", *by)
-    m = m.withColumn("_e", F.exp(F.col("_z") - F.max("_z").over(w)))
-    m = m.withColumn("_p", F.col("_e") / F.sum("_e").over(w))
-    out = collect(nodes, weighted(m, state, "_p"), state, by)
+    m = m.withColumns({f"_p{h}": F.exp(F.col(f"_z{h}") - F.max(f"_z{h}").over(w)) for h in every})
+    m = m.withColumns({f"_p{h}": F.col(f"_p{h}") / F.sum(f"_p{h}").over(w) for h in every})
+    m = m.withColumns({state[k]: F.col(state[k]) * F.col(f"_p{h}") for h in every for k in parts[h]})
+    out = collect(nodes, m, state, by)
     return out.select("node", *by, *[F.col(f"agg_{c}").alias(c) for c in state])
 
 
@@ -156,7 +172,7 @@ def graph_forward(nodes: DataFrame, edges: DataFrame, state: Sequence[str], laye
             d = dense(gin_layer(d, edges, cols, by), cols, w, b, outs)
         else:
             d = dense(d, cols, w, None, outs)
-            d = gcn_layer(d, edges, outs, by, layer.get("weight")) if kind == "gcn" else gat_layer(d, edges, outs, layer["attend_src"], layer["attend_dst"], by)
+            d = gcn_layer(d, edges, outs, by, layer.get("weight")) if kind == "gcn" else gat_layer(d, edges, outs, layer["attend_src"], layer["attend_dst"], by, heads=layer.get("heads", 1), edge_features=layer.get("edge_features", ()), attend_edge=layer.get("attend_edge"))
             if b is not None:
                 d = d.withColumns({o: F.col(o) + float(b[k]) for k, o in enumerate(outs)})
         d = layer_norm(d, outs)
@@ -268,3 +284,21 @@ def causal_layer(df: DataFrame, inputs: Sequence[str], kernels: np.ndarray, bias
     total = lambda o: reduce(lambda a, ik: a + float(kernels[o, ik[0], ik[1]]) * shifted[ik], shifted, F.lit(float(bias[o])))
     unit = lambda o: ACTIVATIONS["silu"](total(o)) + (F.col(inputs[o]) if n_in == n_out else 0.0)
     return df.select(by, order, *[unit(o).alias(f"t{o}") for o in range(n_out)])
+
+
+def temporal_head(df: DataFrame, value: str, layers: Sequence[tuple[np.ndarray, Sequence[float]]], by: Sequence[str], order: str, residual: bool = True) -> DataFrame:
+    """df with `value` put through centred convolutions along each series, (kernels: out, in, odd width; bias), with ReLU between them, and
+    added to itself if residual. Steps beyond the ends, and missing values, count as 0. All layers share one order of the rows."""
+    if np.shape(layers[0][0])[1] != 1 or np.shape(layers[-1][0])[0] != 1 or any(np.shape(k)[2] % 2 == 0 for k, _ in layers):
+        raise ValueError("a temporal head goes from one value to one, by kernels of odd width")
+    w = Window.partitionBy(*by).orderBy(order)
+    moved = lambda c, shift: F.col(c) if not shift else F.lag(c, shift, 0.0).over(w) if shift > 0 else F.lead(c, -shift, 0.0).over(w)
+    d, ins, made = df.withColumn("_t", F.coalesce(F.col(value).cast("double"), F.lit(0.0))), ["_t"], ["_t"]
+    for n, (kernels, bias) in enumerate(layers):
+        kernels, last = np.asarray(kernels, float), n == len(layers) - 1
+        half, outs = kernels.shape[2] // 2, [f"_t{n}_{o}" for o in range(kernels.shape[0])]
+        taps = [(i, k) for i in range(kernels.shape[1]) for k in range(kernels.shape[2])]
+        total = lambda o: reduce(lambda a, x: a + float(kernels[o, x[0], x[1]]) * moved(ins[x[0]], half - x[1]), taps, F.lit(float(bias[o])))  # noqa: B023, E731
+        d = d.withColumns({c: total(o) if last else F.greatest(total(o), F.lit(0.0)) for o, c in enumerate(outs)})
+        ins, made = outs, made + outs
+    return d.withColumn(value, F.col(ins[0]) + F.col("_t") if residual else F.col(ins[0])).drop(*made)

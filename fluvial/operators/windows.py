@@ -136,15 +136,16 @@ def filtered(df: DataFrame, value: str, weights: Sequence[float], by: Sequence[s
     return df.withColumn(name or f"{value}_filtered", total)
 
 
-def reduce_steps(df: DataFrame, value: str, k: int, by: Sequence[str], order: str, op: str = "mean", strict: bool = True) -> DataFrame:
-    """Sum or mean over consecutive groups of k rows; a series that k doesn't divide raises an error when run."""
+def reduce_steps(df: DataFrame, value: str, k: int, by: Sequence[str], order: str, op: str = "mean", strict: bool = True, start: bool = False) -> DataFrame:
+    """Sum or mean over consecutive groups of k rows; a series that k doesn't divide raises an error when run. start: with the first `order` of
+    each group."""
     w = Window.partitionBy(*by)
     n = F.row_number().over(w.orderBy(order)) - 1
     d = df.withColumns({"_n": n, "_all": F.count(F.lit(1)).over(w)})
     if strict:
         d = d.where(F.when(F.col("_all") % k != 0, F.raise_error(F.lit(f"the number of steps must be a multiple of {k}"))).otherwise(F.lit(True)))
     f = {"mean": F.avg, "sum": F.sum}[op]
-    return d.groupBy(*by, F.floor(F.col("_n") / k).alias("step")).agg(f(value).alias(value))
+    return d.groupBy(*by, F.floor(F.col("_n") / k).alias("step")).agg(f(value).alias(value), *([F.min(order).alias(order)] if start else []))
 
 
 def median_step_seconds(df: DataFrame, by: Sequence[str], time: str = "time") -> DataFrame:

@@ -8,7 +8,7 @@ from fluvial.common import table
 from fluvial.functions import columns as C
 from fluvial.operators import assembly, compare, history, network, prepare, routing, skill, spatial, splits, windows
 from fluvial.plans import views as V
-from fluvial.plans.network_queries import ACTIVE_SQL, MB, MW, NODES_SQL, OB, OW, STATE, UB, UW, _active, _demo, _graph, _sql_dense
+from fluvial.plans.network_queries import ACTIVE_SQL, MB, MW, NODES_SQL, OB, OW, STATE, UB, UW, _active, _demo, _graph, _sql_dense, _sql_heads
 from fluvial.plans.registry import query, rounded
 from fluvial.plans.series_queries import E32
 
@@ -390,6 +390,43 @@ def q84c_runoff_to_gauges(spark, sf):
     return rounded(out, 4)
 
 
+AW, AB, AS, AD, AE, AH, AC = _demo(55, 3, 4), _demo(56, 4), _demo(57, 4), _demo(58, 4), _demo(59, 2, 2), _demo(60, 4, 1), _demo(61, 1)
+T1, TB1, T2, TB2 = _demo(62, 2, 1, 3), _demo(63, 2), _demo(64, 1, 2, 3), _demo(65, 1)
+
+
+def _sql_conv(kernel, bias, ins: list[str]) -> str:
+    """A centred convolution of three steps along each node's series."""
+    at = {0: "coalesce(lag({}) OVER w, 0)", 1: "{}", 2: "coalesce(lead({}) OVER w, 0)"}
+    return " + ".join([f"({float(bias)})"] + [f"({float(kernel[i, k])}) * {at[k].format(c)}" for i, c in enumerate(ins) for k in range(3)])
+
+
+ACTS = [f"c{j}" for j in range(4)]
+
+
+@query(f"""WITH {INPUTS_SQL}, ef AS (SELECT s_suppkey AS src, s_suppkey // 2 AS dst, (s_suppkey % 3)::DOUBLE AS w0, s_acctbal::DOUBLE / 10000 AS w1 FROM supplier WHERE s_suppkey // 2 >= 1),
+x AS (SELECT node, date, {", ".join(f"({float(AW[0, j])}) * l0 + ({float(AW[1, j])}) * l1 + ({float(AW[2, j])}) * b AS c{j}" for j in range(4))} FROM given),
+{_sql_heads("a", "ef", "x", ACTS, 2, [(AS[2 * h : 2 * h + 2], AD[2 * h : 2 * h + 2], AE[h]) for h in range(2)], "node, date")},
+g AS (SELECT node, date, {", ".join(f"c{j} + ({float(AB[j])}) AS c{j}" for j in range(4))} FROM attended), m AS (SELECT *, (c0 + c1 + c2 + c3) / 4 AS m FROM g), v AS (SELECT *, ({" + ".join(f"(c{j} - m) ** 2" for j in range(4))}) / 4 AS v FROM m),
+y AS (SELECT node, date, ln(1 + exp({" + ".join([f"({float(AC[0])})"] + [f"({float(AH[j, 0])}) * greatest((c{j} - m) / sqrt(v + 1e-5), 0)" for j in range(4)])})) AS y FROM v WHERE (SELECT count(*) % 2 FROM times) = 0 OR date < (SELECT max(date) FROM times)),
+t1 AS (SELECT node, date, y, {", ".join(f"greatest({_sql_conv(T1[o], TB1[o], ['y'])}, 0) AS t{o}" for o in range(2))} FROM y WINDOW w AS (PARTITION BY node ORDER BY date)),
+t2 AS (SELECT node, date, y + {_sql_conv(T2[0], TB2[0], ["t0", "t1"])} AS y, row_number() OVER w - 1 AS k FROM t1 WINDOW w AS (PARTITION BY node ORDER BY date)),
+r AS (SELECT node, k // 2 AS step, min(date) AS date, avg(y) AS y FROM t2 GROUP BY 1, 2) SELECT node::VARCHAR AS gauge_id, date, round(y, 4) AS prediction FROM r WHERE step >= 1""")
+def q84d_attention_to_gauges(spark, sf):
+    """The whole chain with a gauge at every node: two attention heads with features of edges, a temporal head, means of two steps, without the context."""
+    nodes = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"))
+    supplier = table(spark, sf, "supplier")
+    edges = supplier.select(F.col("s_suppkey").alias("src"), F.floor(F.col("s_suppkey") / 2).alias("dst"), (F.col("s_suppkey") % 3).cast("double").alias("turn"), (F.col("s_acctbal").cast("double") / 10000).alias("slope")).where("dst >= 1")
+    gauges = nodes.select(F.col("node").cast("string").alias("gauge_id"), "node")
+    features = supplier.select(F.col("s_suppkey").alias("node"), (F.col("s_acctbal") / 1000).alias("balance"))
+    runoff = V.runoff(spark, sf)
+    n = runoff.select("date").distinct().count()
+    if n % 2:  # an odd last month has no pair
+        runoff = runoff.join(F.broadcast(runoff.agg(F.max("date").alias("_last"))), F.col("date") < F.col("_last")).drop("_last")
+    layers = [{"kind": "gat", "weights": AW, "bias": AB, "attend_src": AS, "attend_dst": AD, "heads": 2, "edge_features": ["turn", "slope"], "attend_edge": AE}]
+    out = assembly.routed(runoff, V.sources(spark, sf), nodes, edges, gauges, layers, (AH, AC), (0, 1), 1, node_features=features, scaler=(0.0, 10.0), transform="log1p", limit=3.0, temporal=[(T1, TB1), (T2, TB2)], reduction=("mean", 2))
+    return rounded(out, 4)
+
+
 @query(f"""WITH {V.SERIES_SQL}, m AS (SELECT gauge_id, count(*) AS n, sum(prediction) AS sum_p, sum((prediction - observation) ** 2) AS sse FROM series WHERE prediction IS NOT NULL AND observation IS NOT NULL GROUP BY 1) SELECT gauge_id, n, round(sum_p, 2) AS sum_p, round(sse, 0) AS sse FROM m""")
 def q85_moment_stream(spark, sf):
     """Sums of metrics over a stream of files, in complete mode."""

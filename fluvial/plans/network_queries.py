@@ -222,6 +222,30 @@ def q43e_gat_layer(spark, sf):
     return rounded(routing.gat_layer(nodes, edges, STATE, *ATTEND))
 
 
+EDGE_ATTEND = ((0.4, -0.3), (-0.2, 0.1))
+
+
+def _sql_heads(z: str, edges: str, nodes: str, state: list[str], width: int, heads: list[tuple], keys: str = "node") -> str:
+    """CTEs up to `attended`: heads of attention (weights of src, of dst, of w0 and w1) over edges (src, dst, w0, w1) on states."""
+    of = lambda w, h, t: " + ".join(f"({float(a)}) * {t}.{state[h * width + k]}" for k, a in enumerate(w))
+    other = [k for k in keys.split(", ") if k != "node"]
+    same, extra = "".join(f" AND p.{k} = q.{k}" for k in other), "".join(f", {k}" for k in other)
+    score = lambda h: f"{of(heads[h][0], h, 'p')} + {of(heads[h][1], h, 'q')} + ({float(heads[h][2][0])}) * w0 + ({float(heads[h][2][1])}) * w1"
+    return f"""ee AS (SELECT src, dst, w0, w1 FROM {edges} WHERE src <> dst UNION ALL SELECT n.node, n.node, coalesce(avg(w0), 0), coalesce(avg(w1), 0) FROM (SELECT DISTINCT node FROM {nodes}) n LEFT JOIN (SELECT * FROM {edges} WHERE src <> dst) x ON x.dst = n.node GROUP BY 1),
+{z}z AS (SELECT dst, p.*, {", ".join(f"{score(h)} AS s{h}" for h in range(len(heads)))} FROM ee JOIN {nodes} p ON p.node = src JOIN {nodes} q ON q.node = dst{same}),
+{z}w AS (SELECT *, {", ".join(f"exp(greatest(s{h}, 0.2 * s{h})) / sum(exp(greatest(s{h}, 0.2 * s{h}))) OVER (PARTITION BY dst{extra}) AS p{h}" for h in range(len(heads)))} FROM {z}z),
+attended AS (SELECT dst AS node{extra}, {", ".join(f"sum({c} * p{k // width}) AS {c}" for k, c in enumerate(state))} FROM {z}w GROUP BY dst{extra})"""
+
+
+@query(f"""WITH {NODES_SQL}, ef AS (SELECT src, dst, weight AS w0, (src % 7 - 3)::DOUBLE AS w1 FROM edges), {_sql_heads("h", "ef", "nodes", STATE, 2, [(ATTEND[0][2 * h : 2 * h + 2], ATTEND[1][2 * h : 2 * h + 2], EDGE_ATTEND[h]) for h in range(2)])}
+SELECT node, {", ".join(f"round({c}, 6) AS {c}" for c in STATE)} FROM attended""")
+def q43h_gat_heads(spark, sf):
+    """Two attention heads whose scores also weigh features of the edges; loops have the mean of their node's edges."""
+    nodes, edges = _graph(spark, sf)
+    edges = edges.withColumn("turn", (F.col("src") % 7 - 3).cast("double"))
+    return rounded(routing.gat_layer(nodes, edges, STATE, *ATTEND, heads=2, edge_features=["weight", "turn"], attend_edge=EDGE_ATTEND))
+
+
 def _demo(seed: int, *shape: int) -> np.ndarray:
     return np.round(np.random.default_rng(seed).normal(0, 0.5, shape), 3)
 

@@ -344,6 +344,54 @@ def test_lstm_and_causal_layer(spark):
     assert out[5].t0 == pytest.approx(z * sig(z))
 
 
+def test_gat_heads_with_edge_features(spark):
+    """Against a plain version: two heads, loops among the edges, a node without edges, a missing feature, two times."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(2, 5, 4))
+    edges = [(0, 1, 0.5, 1.0), (2, 1, -1.0, None), (1, 3, 2.0, 0.3), (3, 3, 9.0, 9.0), (0, 3, 0.1, -0.7)]
+    src, dst, edge = rng.normal(size=4), rng.normal(size=4), rng.normal(size=(2, 2))
+    nodes = spark.createDataFrame([(n, t, *map(float, x[t, n])) for t in range(2) for n in range(5)], "node int, t int, a double, b double, c double, d double")
+    e = spark.createDataFrame(edges, "src int, dst int, a double, w double")
+    got = {(r.node, r.t): r[2:] for r in routing.gat_layer(nodes, e, ["a", "b", "c", "d"], src, dst, ("t",), heads=2, edge_features=["a", "w"], attend_edge=edge).collect()}
+    assert len(got) == 10
+    plain = [(a, b, np.array([f or 0.0, g or 0.0])) for a, b, f, g in edges if a != b]
+    for t in range(2):
+        for n in range(5):
+            into = [(a, f) for a, b, f in plain if b == n]
+            into.append((n, np.mean([f for _, f in into], axis=0) if into else np.zeros(2)))
+            for h in range(2):
+                part = slice(2 * h, 2 * h + 2)
+                z = np.array([x[t, a, part] @ src[part] + x[t, n, part] @ dst[part] + f @ edge[h] for a, f in into])
+                z = np.exp(np.where(z > 0, z, 0.2 * z))
+                assert got[n, t][part] == pytest.approx(z @ np.array([x[t, a, part] for a, _ in into]) / z.sum())
+    one = routing.gat_layer(nodes, e, ["a", "b"], src, dst, ("t",)).count()
+    assert one == 10
+    with pytest.raises(ValueError, match="multiple"):
+        routing.gat_layer(nodes, e, ["a", "b", "c"], src, dst, ("t",), heads=2)
+
+
+@pytest.mark.parametrize("residual", [True, False])
+def test_temporal_head(spark, residual):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(2, 7))
+    layers = [(rng.normal(size=(3, 1, 3)), rng.normal(size=3)), (rng.normal(size=(2, 3, 1)), rng.normal(size=2)), (rng.normal(size=(1, 2, 5)), rng.normal(size=1))]
+    rows = [(g, t, None if (g, t) == (1, 2) else float(x[g, t])) for g in range(2) for t in range(7)]
+    d = spark.createDataFrame(rows, "g int, t int, v double")
+    got = {(r.g, r.t): r.v for r in routing.temporal_head(d, "v", layers, ["g"], "t", residual).collect()}
+    x[1, 2] = 0
+    for g in range(2):
+        z = x[g][None]
+        for n, (k, b) in enumerate(layers):
+            half = k.shape[2] // 2
+            padded = np.pad(z, ((0, 0), (half, half)))
+            z = np.array([[b[o] + np.sum(k[o] * padded[:, t : t + k.shape[2]]) for t in range(7)] for o in range(len(k))])
+            z = z if n == 2 else np.maximum(z, 0)
+        assert [got[g, t] for t in range(7)] == pytest.approx(list(z[0] + residual * x[g]))
+    for bad in ([(np.ones((1, 1, 2)), [0.0])], [(np.ones((2, 1, 3)), [0.0, 0.0])]):
+        with pytest.raises(ValueError, match="odd width"):
+            routing.temporal_head(d, "v", bad, ["g"], "t")
+
+
 def test_splits(spark):
     assert splits.shares(10, {"train": 0.65, "validation": 0.2, "test": 0.15}) == {"train": 7, "validation": 2, "test": 1}
     assert sum(splits.shares(7, {"train": 0.6, "validation": 0.2, "test": 0.2}).values()) == 7
