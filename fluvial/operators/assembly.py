@@ -8,9 +8,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvial.common import materialize
+from fluvial.common import checked_join, materialize
 from fluvial.functions.columns import INVERSE_TRANSFORMS, TRANSFORMS, clip, finite, or_zero
-from fluvial.operators import network, prepare, routing, transfer, windows
+from fluvial.operators import network, prepare, routing, spatial, transfer, windows
 
 
 def enrich(left: DataFrame, attributes: DataFrame, key: str, suffix: str = "_attr", columns: Sequence[str] | None = None) -> DataFrame:
@@ -90,6 +90,45 @@ def flowline_network(lines: DataFrame, cells: DataFrame, step: float, attributes
     return network.unique_edges(every, attributes)
 
 
+#: What a source map can tell of a cell and its target.
+SOURCE_FEATURES = ("elevation", "cell_area", "overlap_area", "overlap_fraction", "x", "y", "distance_to_path")
+
+
+def source_map(cells: DataFrame, divides: DataFrame, paths: DataFrame, nodes: DataFrame, width: float, height: float, method: str = "center", min_fraction: float = 1e-8, features: Sequence[str] = ()) -> DataFrame:
+    """source, target, weight, fraction and features: which cells of a grid give their runoff to which nodes.
+
+    cells: flat_index, x, y, and, if there are such, active and elevation; divides: divide_id, ring or rings; paths: id, divide_id, and points for the distance;
+    nodes: id, node. method "center": a cell goes whole to the divide that its centre lies in (of several the smallest id); "fractional_area": by the
+    area that it shares with each divide, from min_fraction of the cell on. A divide has the smallest of its paths; cells of divides without a path
+    among the nodes stay away, and if no cell has a target that is an error. Missing elevations, and distances to paths without points, are 0.
+    """
+    unknown = set(features) - set(SOURCE_FEATURES)
+    if unknown or method not in ("center", "fractional_area"):
+        raise ValueError(f"unknown method {method!r} or features {sorted(unknown)}")
+    if "active" in cells.columns:
+        cells = cells.where("active")
+    if method == "center":
+        met = spatial.cells_in_polygons(cells, divides, "divide_id").select("flat_index", "divide_id", F.lit(width * height).alias("weight"), F.lit(1.0).alias("fraction"))
+    else:
+        met = spatial.overlap(cells, divides, "divide_id", width, height, min_fraction=min_fraction).withColumnRenamed("area", "weight")
+    points = [F.col("points")] if "distance_to_path" in features else []
+    targets = paths.where("divide_id IS NOT NULL").select("divide_id", F.struct("id", *points).alias("p"))
+    targets = targets.groupBy("divide_id").agg(F.min_by("p", "p.id").alias("p")).select("divide_id", "p.*").join(nodes.select("id", F.col("node").alias("target")), "id")
+    out = checked_join(met.select("flat_index", "divide_id", "weight", "fraction"), targets.drop("id"), "divide_id", "inner", row_bytes=4096)
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    told = {
+        "elevation": or_zero("elevation") if "elevation" in cells.columns else F.lit(0.0), "cell_area": F.lit(width * height), "overlap_area": F.col("weight"),
+        "overlap_fraction": F.col("fraction"), "x": x, "y": y, "distance_to_path": F.coalesce(spatial.distance_to_line(F.col("points"), x, y), F.lit(0.0)),
+    }
+    if features:
+        of_cell = [c for c in ("x", "y", "elevation") if c in cells.columns]
+        out = out.join(cells.select("flat_index", *of_cell), "flat_index")
+    out = materialize(out.select(F.col("flat_index").alias("source"), "target", "weight", "fraction", *[told[c].alias(c) for c in features]), "source-map")
+    if out.isEmpty():
+        raise ValueError("no cell lies in a divide that has a path among the nodes")
+    return out
+
+
 def physical(df: DataFrame, scaler: DataFrame, by: Sequence[str], space: str = "scaled", transform: str = "none", values: Sequence[str] = ("prediction", "observation")) -> DataFrame:
     """Predictions and observations as a loss in `space` takes them: scaled back, and with the transform undone, only for
     physical, original or unscaled. Without any scaler they stay as they are; a series that the scaler lacks is an error when run."""

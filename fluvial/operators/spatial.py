@@ -102,3 +102,18 @@ def overlap(cells: DataFrame, polygons: DataFrame, key: str, width: float, heigh
 
 def _inside(ring: list, x: float, y: float) -> bool:
     return sum((p[1] > y) != (q[1] > y) and x < p[0] + (y - p[1]) * (q[0] - p[0]) / (q[1] - p[1]) for p, q in zip(ring, ring[1:] + ring[:1])) % 2 == 1
+
+
+def distance_to_line(points: Column, x: Column, y: Column) -> Column:
+    """From (x, y) to the nearest place of a line of points; null if it has none."""
+
+    def far(k):
+        a = F.get(points, k)
+        b = F.coalesce(F.get(points, k + 1), a)
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        t = F.coalesce(F.try_divide((x - a["x"]) * dx + (y - a["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))
+        t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+        return F.hypot(x - a["x"] - t * dx, y - a["y"] - t * dy)
+
+    # the last point is a segment of its own
+    return F.when(F.size(points) > 0, F.array_min(F.transform(F.sequence(F.lit(0), F.size(points) - 1), far)))

@@ -223,6 +223,35 @@ def q82h_fraction_check(spark, sf):
     return rounded(transfer.fraction_check(V.sources(spark, sf)), 4)
 
 
+# A divide a nation, as squares that overlap; of every fifth none has a path, and each third has two.
+SOURCE_SQL = f"""{SQUARES_SQL}, paths AS (SELECT zone + 100 AS id, zone, x0, y0 FROM sq WHERE zone % 5 <> 4 UNION ALL SELECT zone + 200, zone, x0 + 1, y0 FROM sq WHERE zone % 3 = 0 AND zone % 5 <> 4), known AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS node FROM paths),
+one AS (SELECT zone, min(id) AS id FROM paths GROUP BY 1), target AS (SELECT zone, node AS target, x0, y0 FROM one JOIN known USING (id) JOIN sq USING (zone)), live AS (SELECT * FROM cells WHERE active),
+far AS (SELECT flat_index AS source, target, zone, x::DOUBLE AS x, y::DOUBLE AS y, elevation, x0, y0, sqrt(least((x - x0 - 1) ** 2 + (y - greatest(least(y, y0 + 1), y0)) ** 2, (x - greatest(least(x, x0 + 4), x0 + 1)) ** 2 + (y - y0 - 1) ** 2)) AS distance FROM live, target)"""
+
+
+def _source_map(spark, sf, method, features, **options):
+    n = _squares(spark, sf).withColumnRenamed("zone", "divide_id")
+    p = lambda x, y: F.struct((F.col("ring")[0]["x"] + x).alias("x"), (F.col("ring")[0]["y"] + y).alias("y"))
+    line = lambda k: F.array(p(k, 0), p(k, 1), p(k + 3, 1))
+    some = n.where("divide_id % 5 <> 4")
+    paths = some.select((F.col("divide_id") + 100).alias("id"), "divide_id", line(1).alias("points")).unionByName(some.where("divide_id % 3 = 0").select((F.col("divide_id") + 200).alias("id"), "divide_id", line(2).alias("points")))
+    return assembly.source_map(V.cells(spark, sf), n, paths, network.dense_index(paths, ["id"]).select("id", "node"), 1.0, 1.0, method, features=features, **options)
+
+
+@query(f"""WITH {SOURCE_SQL}, o AS (SELECT *, greatest(least(x + 0.5, x0 + 6.5) - greatest(x - 0.5, x0), 0) * greatest(least(y + 0.5, y0 + 1.75) - greatest(y - 0.5, y0), 0) AS a FROM far)
+SELECT source, target, round(a, 6)::DOUBLE AS weight, round(a, 6)::DOUBLE AS fraction, elevation, 1.0::DOUBLE AS cell_area, x, y, round(distance, 6) AS distance_to_path FROM o WHERE a >= 0.1""")
+def q82i_source_map_by_area(spark, sf):
+    """Cells shared out among divides by area, divides to their paths' nodes, with what is known of each."""
+    return rounded(_source_map(spark, sf, "fractional_area", ["elevation", "cell_area", "x", "y", "distance_to_path"], min_fraction=0.1))
+
+
+@query(f"""WITH {SOURCE_SQL}, c AS (SELECT flat_index, min(zone) AS zone FROM live JOIN sq ON x > x0 AND x < x0 + 6.5 AND y > y0 AND y < y0 + 1.75 GROUP BY 1), m AS (SELECT flat_index AS source, target FROM c JOIN target USING (zone))
+SELECT target, count(*) AS cells, count(*)::DOUBLE AS weight, 1.0::DOUBLE AS fraction FROM m GROUP BY 1""")
+def q82j_source_map_by_centre(spark, sf):
+    """What each node gets if a cell goes whole to the divide that its centre lies in."""
+    return _source_map(spark, sf, "center", []).groupBy(F.col("target").cast("bigint").alias("target")).agg(F.count(F.lit(1)).alias("cells"), F.sum("weight").alias("weight"), F.max("fraction").alias("fraction"))
+
+
 # -- series --------------------------------------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluvial.functions import columns as C
-from fluvial.operators import compare, network, prepare, routing, skill, spatial, splits, transfer, windows
+from fluvial.operators import assembly, compare, network, prepare, routing, skill, spatial, splits, transfer, windows
 
 D = dt.date
 
@@ -392,6 +392,28 @@ def test_temporal_head(spark, residual):
             routing.temporal_head(d, "v", bad, ["g"], "t")
 
 
+def test_source_map(spark):
+    """Divides with two paths, without one, and with one that is no node; inactive cells; missing elevations and lines."""
+    box = lambda a, b: [(a, 0.0), (b, 0.0), (b, 2.0), (a, 2.0)]
+    point = "array<struct<x:double,y:double>>"
+    divides = spark.createDataFrame([("p", box(0.0, 2.5)), ("q", box(2.5, 4.0)), ("r", box(4.0, 5.0)), ("s", box(5.0, 6.0))], f"divide_id string, ring {point}")
+    paths = spark.createDataFrame([("b", "p", [(9.0, 9.0)]), ("a", "p", [(0.5, 0.0), (0.5, 2.0)]), ("c", "q", None), ("d", "s", []), ("e", None, [])], f"id string, divide_id string, points {point}")
+    nodes = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "id string, node bigint")
+    cells = spark.createDataFrame([(k, k + 0.5, 1.5, None if k == 1 else float(k), k != 0) for k in range(6)], "flat_index int, x double, y double, elevation double, active boolean")
+    got = assembly.source_map(cells, divides, paths, nodes, 1.0, 1.0, "fractional_area", features=["elevation", "distance_to_path", "overlap_area"])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, 1.0, 1.0, 0.0, 1.0, 1.0), (2, 0, 0.5, 0.5, 2.0, 2.0, 0.5), (2, 2, 0.5, 0.5, 2.0, 0.0, 0.5), (3, 2, 1.0, 1.0, 3.0, 0.0, 1.0)]
+    moved = cells.withColumn("x", F.col("x") - 0.1)
+    whole = assembly.source_map(moved, divides, paths, nodes, 1.0, 1.0)
+    assert sorted((r.source, r.target, r.weight, r.fraction) for r in whole.collect()) == [(1, 0, 1.0, 1.0), (2, 0, 1.0, 1.0), (3, 2, 1.0, 1.0)]
+    assert whole.columns == ["source", "target", "weight", "fraction"]
+    with pytest.raises(ValueError, match="no cell"):
+        assembly.source_map(cells, divides, paths, nodes.where("node > 5"), 1.0, 1.0)
+    with pytest.raises(ValueError, match="unknown"):
+        assembly.source_map(cells, divides, paths, nodes, 1.0, 1.0, "magic")
+    d = spark.sql("SELECT array(named_struct('x', 0D, 'y', 0D), named_struct('x', 2D, 'y', 0D), named_struct('x', 2D, 'y', 0D)) AS l").select(*[spatial.distance_to_line(F.col("l"), F.lit(x), F.lit(y)) for x, y in ((1.0, 3.0), (5.0, 4.0), (-3.0, -4.0), (2.0, 0.0))]).first()
+    assert list(d) == [3.0, 5.0, 5.0, 0.0]
+
+
 def test_splits(spark):
     assert splits.shares(10, {"train": 0.65, "validation": 0.2, "test": 0.15}) == {"train": 7, "validation": 2, "test": 1}
     assert sum(splits.shares(7, {"train": 0.6, "validation": 0.2, "test": 0.2}).values()) == 7
