@@ -3,7 +3,8 @@
 evaluate       daily predictions and observations to metrics by gauge, month and season, distributions and a summary
 compare        two models' daily series to monthly sums, metrics and differences
 daily          sub-daily long values to daily ones, written by year
-split          daily targets to blocks with balanced periods
+split          daily targets to blocks with balanced periods; with --file to a split file, too
+sources        cells, divides and flow paths to a map of which cells feed which nodes
 network        nodes and successors to hydrology features
 scaler         long values to a scaler of each variable
 """
@@ -61,6 +62,8 @@ def split(spark: SparkSession, a) -> None:
     done = splits.balanced(blocks, seed=a.seed)
     sinks.write_report(done, f"{a.output}/blocks", ("block_id",))
     sinks.write_report(splits.period_summary(done), f"{a.output}/periods", ("period",))
+    if a.file:
+        sinks.write_split(done, a.file, {"seed": a.seed, "days": a.days})
 
 
 def network_features(spark: SparkSession, a) -> None:
@@ -73,6 +76,12 @@ def hydrofabric(spark: SparkSession, a) -> None:
     sinks.write_graph({"nodes": nodes, "edges": edges}, a.output, {"builder": "hydrofabric"})
 
 
+def sources(spark: SparkSession, a) -> None:
+    cells, divides, paths, nodes = (spark.read.parquet(p) for p in (a.cells, a.divides, a.paths, a.nodes))
+    made = assembly.source_map(cells, divides, paths, nodes, a.width, a.height, a.method, a.min_fraction, a.features)
+    made.write.mode("overwrite").parquet(a.output)
+
+
 def runoff(spark: SparkSession, a) -> None:
     sinks.write_yearly(readers.read_runoff_days(spark, a.input, a.pattern), a.output, "date", a.mode)
 
@@ -96,7 +105,8 @@ def parser() -> argparse.ArgumentParser:
     add("evaluate", evaluate, "--input", "--output", gauges={"nargs": "*"}, metadata={}, overlapping={"action": "store_true"})
     add("compare", compare_models, "--first", "--second", "--output", op={"choices": ["sum", "mean"], "default": "sum"})
     add("daily", daily, "--input", "--output", cell={"default": "flat_index"}, min_steps={"type": int}, mode={"choices": list(sinks.MODES), "default": "fail"})
-    add("split", split, "--input", "--output", days={"type": int, "default": 180}, context={"type": int, "default": 0}, min_valid={"type": float, "default": 0.0}, seed={"type": int, "default": 42})
+    add("split", split, "--input", "--output", days={"type": int, "default": 180}, context={"type": int, "default": 0}, min_valid={"type": float, "default": 0.0}, seed={"type": int, "default": 42}, file={})
+    add("sources", sources, "--cells", "--divides", "--paths", "--nodes", "--output", width={"type": float, "required": True}, height={"type": float, "required": True}, method={"choices": ["center", "fractional_area"], "default": "center"}, min_fraction={"type": float, "default": 1e-8}, features={"nargs": "*", "choices": assembly.SOURCE_FEATURES, "default": []})
     add("network", network_features, "--nodes", "--edges", "--output")
     add("hydrofabric", hydrofabric, "--paths", "--junctions", "--output", path_attributes={}, divide_attributes={})
     add("runoff", runoff, "--input", "--output", pattern={"default": "*.parquet"}, mode={"choices": list(sinks.MODES), "default": "fail"})

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvial.common import materialize, numbered
+from fluvial.common import checked_join, materialize, numbered
 from fluvial.functions.columns import canonical_id, clip, col, finite, kirpich_minutes, numeric_id, or_zero, ratio
 from fluvial.operators import quadtree
 from fluvial.operators.quantiles import quantiles
@@ -437,3 +437,21 @@ def median_spacing(cells: DataFrame, axis: str) -> DataFrame:
     placed = numbered(cells.select(finite(axis).alias("c")).where("c IS NOT NULL").distinct(), ["c"], "k")
     after = placed.select((F.col("k") - 1).alias("k"), F.col("c").alias("next"))
     return quantiles(placed.join(after, "k").select((F.col("next") - F.col("c")).alias("d")), [], "d", {"spacing": 0.5})
+
+
+def dem_grid(dem: DataFrame, value: str = "elevation") -> DataFrame:
+    """flat_index, row, col, x, y, elevation, active, cell_area of an elevation model (x, y, value), one row a cell of the full grid.
+
+    Rows go by y and columns by x, both upwards; a cell is active if its elevation is a finite number, and cells that the model lacks aren't. The area is the
+    product of the median distances of neighbouring coordinates, null if an axis has but one. Of several rows for one cell the lowest elevation counts. The axes are numbered and
+    measured apart; they are broadcast if they are small, cells aren't.
+    """
+    d = dem.select(finite("x").alias("x"), finite("y").alias("y"), finite(value).alias("elevation")).where("x IS NOT NULL AND y IS NOT NULL")
+    d = d.groupBy("x", "y").agg(F.min("elevation").alias("elevation"))
+    axis = lambda c, name: materialize(numbered(d.select(c).distinct(), [c], name), f"axis-{c}")
+    xs, ys = axis("x", "col"), axis("y", "row")
+    wide, tall = xs.count(), ys.count()
+    area = reduce(lambda a, b: None if a is None or b is None else a * b, [median_spacing(a, c).first()[0] for a, c in ((xs, "x"), (ys, "y"))])
+    every = dem.sparkSession.range(wide * tall).select(F.col("id").alias("flat_index"), (F.col("id") % max(wide, 1)).alias("col"), F.floor(F.col("id") / max(wide, 1)).alias("row"))
+    cells = checked_join(checked_join(every, xs, "col", "inner", row_bytes=32), ys, "row", "inner", row_bytes=32).join(d, ["x", "y"], "left")
+    return cells.select("flat_index", "row", "col", "x", "y", "elevation", F.col("elevation").isNotNull().alias("active"), F.lit(area).cast("double").alias("cell_area"))

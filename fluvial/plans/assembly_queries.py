@@ -239,10 +239,10 @@ def _source_map(spark, sf, method, features, **options):
 
 
 @query(f"""WITH {SOURCE_SQL}, o AS (SELECT *, greatest(least(x + 0.5, x0 + 6.5) - greatest(x - 0.5, x0), 0) * greatest(least(y + 0.5, y0 + 1.75) - greatest(y - 0.5, y0), 0) AS a FROM far)
-SELECT source, target, round(a, 6)::DOUBLE AS weight, round(a, 6)::DOUBLE AS fraction, elevation, 1.0::DOUBLE AS cell_area, x, y, round(distance, 6) AS distance_to_path FROM o WHERE a >= 0.1""")
+SELECT source, target, round(a, 6)::DOUBLE AS weight, round(a, 6)::DOUBLE AS fraction, elevation, 1.0::DOUBLE AS cell_area, x, y, round(distance, 6) AS distance_to_path FROM o WHERE a >= 0.105""")
 def q82i_source_map_by_area(spark, sf):
     """Cells shared out among divides by area, divides to their paths' nodes, with what is known of each."""
-    return rounded(_source_map(spark, sf, "fractional_area", ["elevation", "cell_area", "x", "y", "distance_to_path"], min_fraction=0.1))
+    return rounded(_source_map(spark, sf, "fractional_area", ["elevation", "cell_area", "x", "y", "distance_to_path"], min_fraction=0.105))  # shares are multiples of 1/80, so none is at the limit
 
 
 @query(f"""WITH {SOURCE_SQL}, c AS (SELECT flat_index, min(zone) AS zone FROM live JOIN sq ON x > x0 AND x < x0 + 6.5 AND y > y0 AND y < y0 + 1.75 GROUP BY 1), m AS (SELECT flat_index AS source, target FROM c JOIN target USING (zone))
@@ -252,6 +252,16 @@ def q82j_source_map_by_centre(spark, sf):
     return _source_map(spark, sf, "center", []).groupBy(F.col("target").cast("bigint").alias("target")).agg(F.count(F.lit(1)).alias("cells"), F.sum("weight").alias("weight"), F.max("fraction").alias("fraction"))
 
 
+@query("""WITH d AS (SELECT (p_partkey % 50 * 1.5)::DOUBLE AS x, (p_partkey // 50 * 2)::DOUBLE AS y, CASE WHEN p_size > 5 THEN p_retailprice END AS e FROM part WHERE p_partkey % 11 <> 0), xs AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS col FROM (SELECT DISTINCT x FROM d)), ys AS (SELECT y, row_number() OVER (ORDER BY y) - 1 AS row FROM (SELECT DISTINCT y FROM d)),
+step AS (SELECT (SELECT median(n) FROM (SELECT lead(x) OVER (ORDER BY x) - x AS n FROM xs)) * (SELECT median(n) FROM (SELECT lead(y) OVER (ORDER BY y) - y AS n FROM ys)) AS area, (SELECT count(*) FROM xs) AS wide)
+SELECT ys.row * wide + col AS flat_index, ys.row AS "row", col, xs.x, ys.y, e AS elevation, e IS NOT NULL AS active, area AS cell_area FROM xs CROSS JOIN ys CROSS JOIN step LEFT JOIN d ON d.x = xs.x AND d.y = ys.y""")
+def q81m_dem_grid(spark, sf):
+    """The full grid of an elevation model that lacks some cells, with areas."""
+    k = F.col("p_partkey").cast("bigint")
+    dem = table(spark, sf, "part").where("p_partkey % 11 <> 0").select((k % 50 * 1.5).alias("x"), (F.floor(k / 50) * 2.0).alias("y"), F.when(F.col("p_size") > 5, F.col("p_retailprice")).alias("elevation"))
+    return network.dem_grid(dem)
+
+
 # -- series --------------------------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fluvial.common import shared_path, table
 from fluvial.functions import columns as C
 from fluvial.functions import projections
-from fluvial.operators import checks, prepare, windows
+from fluvial.operators import checks, prepare, splits, windows
 from fluvial.plans import views as V
 from fluvial.plans.registry import query, rounded
 from fluvial.sources import arrays, geometry, manifest, readers, sinks
@@ -476,3 +476,23 @@ def q10c_metrics_full_join(spark, sf):
     count = lambda d, name: d.groupBy(F.col("o_custkey").cast("bigint").alias("gauge")).agg(F.count(F.lit(1)).alias(name))
     late, early = count(o.where("o_orderdate >= '1998-01-01'"), "n_late"), count(o.where("o_orderdate < '1993-01-01'"), "n_early")
     return late.join(early, "gauge", "full").na.fill(0, ["n_late", "n_early"])
+
+
+@query("SELECT o_orderpriority AS variable, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS std FROM orders GROUP BY 1")
+def q73h_scaler_file(spark, sf):
+    """A scaler of each variable, written to a file and read again."""
+    path = f"{shared_path(spark, 'scaler')}.yml"
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("variable"), F.col("o_totalprice").cast("double").alias("value"))
+    sinks.write_yaml(sinks.scaler_mapping(prepare.scaler_from_sums(prepare.scaler_sums(o, ["variable"]), ["variable"])), path)
+    return rounded(sinks.read_scaler(spark, path), 4)
+
+
+@query("""SELECT (year(d) * 12 + month(d))::BIGINT AS block_id, d AS start, (d + INTERVAL 1 MONTH)::DATE AS "end", 'validation' AS period FROM (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS d FROM orders) WHERE month(d) % 3 = 1""")
+def q73i_split_file(spark, sf):
+    """A block for each month, dealt to periods, written to a split file; the blocks of one period that a loader takes from it."""
+    path = f"{shared_path(spark, 'split')}.yml"
+    d = table(spark, sf, "orders").select(F.trunc("o_orderdate", "MM").alias("block_start")).distinct()
+    period = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (1 + F.month("block_start") % 3).cast("int"))
+    blocks = d.select((F.year("block_start") * 12 + F.month("block_start")).cast("bigint").alias("block_id"), "block_start", F.add_months("block_start", 1).alias("block_end"), period.alias("period"))
+    sinks.write_split(blocks, path, {"seed": 42})
+    return splits.load_blocks(sinks.read_split(spark, path), "validation")

@@ -69,7 +69,8 @@ def read_bytes(path: str, offset: int = 0, length: int | None = None) -> bytes |
 
 def write_bytes(path: str, data: bytes) -> None:
     files, at = storage(path)
-    files.create_dir(at.rpartition("/")[0])
+    if folder := at.rpartition("/")[0]:
+        files.create_dir(folder)
     with files.open_output_stream(at) as f:
         f.write(data)
 

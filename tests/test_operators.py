@@ -392,6 +392,16 @@ def test_temporal_head(spark, residual):
             routing.temporal_head(d, "v", bad, ["g"], "t")
 
 
+def test_dem_grid(spark):
+    rows = [(10.0, 5.0, 1.0), (12.0, 5.0, 2.0), (16.0, 7.0, math.nan), (10.0, 7.0, 3.0), (10.0, 7.0, 2.5), (None, 5.0, 9.0)]
+    got = network.dem_grid(spark.createDataFrame(rows, "x double, y double, elevation double")).orderBy("flat_index").collect()
+    assert [(r.flat_index, r.row, r.col, r.x, r.y, r.elevation, r.active) for r in got] == [(0, 0, 0, 10, 5, 1, True), (1, 0, 1, 12, 5, 2, True), (2, 0, 2, 16, 5, None, False), (3, 1, 0, 10, 7, 2.5, True), (4, 1, 1, 12, 7, None, False), (5, 1, 2, 16, 7, None, False)]
+    assert {r.cell_area for r in got} == {6.0}
+    empty = spark.createDataFrame([], "x double, y double, elevation double")
+    assert network.dem_grid(empty).count() == 0
+    assert network.dem_grid(spark.createDataFrame(rows[:1], "x double, y double, elevation double")).first().cell_area is None
+
+
 def test_source_map(spark):
     """Divides with two paths, without one, and with one that is no node; inactive cells; missing elevations and lines."""
     box = lambda a, b: [(a, 0.0), (b, 0.0), (b, 2.0), (a, 2.0)]

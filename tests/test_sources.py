@@ -5,7 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from fluvial.operators import skill
+from fluvial.operators import skill, splits
 from fluvial.sources import config, readers, shapes, sinks
 from fluvial.streaming import daily
 
@@ -213,6 +213,32 @@ def test_config(tmp_path):
     assert config.learning_rates({"training": {"learning_rate": 1.0}, "curriculum": {"stage_learning_rate_decay": 0.5, "stages": [{}, {}, {"learning_rate": 9}]}}) == [1.0, 0.5, 9.0]
 
 
+def test_scaler_and_split_files(spark, tmp_path, monkeypatch):
+    p = str(tmp_path / "new folder" / "s.yml")
+    sinks.write_yaml({"q": {"mean": 1, "std": "2.5"}}, p)
+    assert [tuple(r) for r in sinks.read_scaler(spark, p).collect()] == [("q", 1.0, 2.5)]
+    for bad in ({"mean": 1}, {"mean": "x", "std": 1}, {"mean": float("nan"), "std": 1}, 3, None):
+        sinks.write_yaml({"q": bad}, p)
+        with pytest.raises(ValueError, match="mean and a std"):
+            sinks.read_scaler(spark, p)
+    sinks.write_yaml({}, p)
+    assert sinks.read_scaler(spark, p).count() == 0
+    blocks = spark.createDataFrame([(2, dt.date(2001, 1, 1), dt.date(2001, 2, 1), "val"), (1, dt.date(2000, 1, 1), dt.date(2000, 2, 1), "train")], "block_id int, block_start date, block_end date, period string")
+    sinks.write_split(blocks, p, {"seed": 1})
+    assert sinks.read_yaml(p)["metadata"] == {"seed": 1, "assignment_summary": {"train": 1, "val": 1}}
+    assert [b["block_id"] for b in sinks.read_yaml(p)["blocks"]] == [1, 2]
+    assert [tuple(r) for r in splits.load_blocks(sinks.read_split(spark, p), "validation").collect()] == [(2, dt.date(2001, 1, 1), dt.date(2001, 2, 1), "validation")]
+    sinks.write_yaml({"blocks": [{"start": "2000-01-01", "end": "2000-01-09 12:00:00", "period": "test"}, {"id": 7, "start": "x", "period": "train"}]}, p)
+    assert [tuple(r)[:1] for r in sinks.read_split(spark, p).collect()] == [(0,), (7,)]
+    with pytest.raises(Exception, match="invalid block 7"):
+        splits.load_blocks(sinks.read_split(spark, p), "train").collect()
+    with pytest.raises(FileNotFoundError):
+        sinks.read_yaml(str(tmp_path / "none.yml"))
+    monkeypatch.setattr(sinks, "SPLIT_BLOCKS", 1)
+    with pytest.raises(ValueError, match="at most"):
+        sinks.write_split(blocks, p)
+
+
 def test_streams(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = [(c, T(2020, 1, d, h), float(d * h)) for c in (1, 2) for d in (1, 2, 9) for h in (0, 6)]
