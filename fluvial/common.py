@@ -102,9 +102,15 @@ def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) ->
     return df.select(F.lit(1)).limit(most + 1).count() <= most
 
 
+def shuffled_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join that shuffles and sorts both sides, whatever their estimated sizes: estimates are those of compressed files, of which a
+    broadcast table takes fifty times as much in the driver and in each executor."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def checked_join(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join that broadcasts right if its counted size is below the limit and shuffles both sides otherwise."""
-    return left.join(F.broadcast(right) if small_enough(right, row_bytes, limit) else right, on, how)
+    return left.join(F.broadcast(right), on, how) if small_enough(right, row_bytes, limit) else shuffled_join(left, right, on, how)
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, share: int = HOT_SHARE) -> DataFrame:

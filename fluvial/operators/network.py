@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvial.common import checked_join, materialize, numbered
+from fluvial.common import checked_join, materialize, numbered, shuffled_join
 from fluvial.functions.columns import canonical_id, clip, col, finite, kirpich_minutes, numeric_id, or_zero, ratio
 from fluvial.operators import quadtree
 from fluvial.operators.quantiles import quantiles
@@ -79,7 +79,7 @@ def d8_edges(cells: DataFrame, code: str = "code", encoding: str = "arcgis") ->
 def downhill_edges(cells: DataFrame, elevation: str = "elevation", neighbours: int = 8) -> DataFrame:
     """src, dst: from each cell to its lowest strictly lower neighbour; of equally low ones the first, row by row."""
     offsets = {4: FOUR, 8: EIGHT}[neighbours]
-    near = _toward(cells, offsets, elevation).join(cells.select("y", "x", F.col("flat_index").alias("dst"), F.col(elevation).alias("e")), ["y", "x"])
+    near = shuffled_join(_toward(cells, offsets, elevation), cells.select("y", "x", F.col("flat_index").alias("dst"), F.col(elevation).alias("e")), ["y", "x"])
     near = near.where(F.col("e") < F.col(f"src_{elevation}"))
     return near.groupBy("src").agg(F.min_by("dst", F.struct("e", "k")).alias("dst"))
 
@@ -98,7 +98,7 @@ def with_self_loops(edges: DataFrame, nodes: DataFrame, node: str = "node") -> D
 def with_ends(edges: DataFrame, nodes: DataFrame, columns: Sequence[str], node: str = "node") -> DataFrame:
     """Edges with the columns of both their nodes, as src_... and dst_...; edges without a node at an end are left out."""
     of = lambda side: nodes.select(F.col(node).alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
-    return edges.join(of("src"), "src").join(of("dst"), "dst")
+    return shuffled_join(shuffled_join(edges, of("src"), "src"), of("dst"), "dst")
 
 
 EDGE_FEATURES = {
