@@ -63,7 +63,7 @@ def grid_edges(cells: DataFrame, neighbours: int = 8, directed: bool = False, re
     offsets = {4: FOUR, 8: EIGHT}[neighbours]
     if not directed:
         offsets = [s for s in offsets if s > (0, 0)]
-    pairs = _toward(cells, offsets).join(cells.select("y", "x", F.col("flat_index").alias("dst")), ["y", "x"]).select("src", "dst")
+    pairs = shuffled_join(_toward(cells, offsets), cells.select("y", "x", F.col("flat_index").alias("dst")), ["y", "x"]).select("src", "dst")
     return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if reverse and not directed else pairs
 
 
@@ -73,7 +73,7 @@ def d8_edges(cells: DataFrame, code: str = "code", encoding: str = "arcgis") ->
     step = F.create_map(*[x for c, (dy, dx) in codes.items() for x in (F.lit(c).cast("bigint"), F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")))])
     d = cells.withColumn("_s", F.try_element_at(step, F.col(code).cast("bigint"))).where("_s IS NOT NULL")
     d = d.select(F.col("flat_index").alias("src"), (F.col("y") + F.col("_s.dy")).alias("y"), (F.col("x") + F.col("_s.dx")).alias("x"))
-    return d.join(cells.select("y", "x", F.col("flat_index").alias("dst")), ["y", "x"]).select("src", "dst")
+    return shuffled_join(d, cells.select("y", "x", F.col("flat_index").alias("dst")), ["y", "x"]).select("src", "dst")
 
 
 def downhill_edges(cells: DataFrame, elevation: str = "elevation", neighbours: int = 8) -> DataFrame:
@@ -163,7 +163,7 @@ def compact(nodes: DataFrame, edges: DataFrame, key: str = "flat_index") -> tupl
     """Nodes numbered from 0 by key, and edges between them by number; edges to other cells are left out."""
     numbered = dense_index(nodes, [key])
     of = lambda side: numbered.select(F.col(key).alias(side), F.col("node").alias(f"_{side}"))
-    e = edges.join(of("src"), "src").join(of("dst"), "dst")
+    e = shuffled_join(shuffled_join(edges, of("src"), "src"), of("dst"), "dst")
     return numbered, e.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
 
 
