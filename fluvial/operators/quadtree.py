@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvial.common import checked_join, materialize
@@ -96,7 +96,8 @@ def nearest(points: DataFrame, cells: DataFrame, key: str, cell: str = "flat_ind
 
     Without cells there is no result; points without a coordinate have none.
     """
-    tree = build(cells.select(cell, "x", "y"), leaf)
+    places = cells.select(cell, "x", "y").groupBy("x", "y").agg(F.min(cell).alias(cell))
+    tree = build(places, leaf)
     narrow = F.cos(F.radians("_qy")) if geographic else F.lit(1.0)
     q = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(key, F.col("x").cast("double").alias("_qx"), F.col("y").cast("double").alias("_qy"))
     square = lambda dx, dy: F.pow(dx * narrow, F.lit(2)) + F.pow(dy, F.lit(2))
@@ -112,9 +113,16 @@ def nearest(points: DataFrame, cells: DataFrame, key: str, cell: str = "flat_ind
         return kept.select(key, "_qx", "_qy", "_most", F.col("s._node").alias("_node"), F.col("s.leaf").alias("leaf"))
 
     leaves = descend(tree, q.withColumn("_most", F.lit(float("inf"))), near <= F.col("_most"), bound)
-    met = leaves.join(tree.points, ["_depth", "_node"])
-    d2 = square(F.col("x") - F.col("_qx"), F.col("y") - F.col("_qy"))
-    best = met.groupBy(key).agg(F.min(F.struct(d2.alias("d2"), F.col(cell))).alias("b"))
+    # a leaf's cells come as one array (those of a deepest square, of which there may be many, as several), so that a query meets a row
+    # a leaf, not a row a cell, and only its best cell goes on
+    place = Window.partitionBy("_depth", "_node").orderBy(cell)
+    held = tree.points.withColumn("_chunk", F.floor((F.row_number().over(place) - 1) / leaf))
+    held = held.groupBy("_depth", "_node", "_chunk").agg(F.collect_list(F.struct("x", "y", cell)).alias("_cells"))
+    held = materialize(held.drop("_chunk"), "quadtree-leaves")
+    met = checked_join(leaves, held, ["_depth", "_node"], "inner", row_bytes=32 * leaf)
+    d2 = lambda c: square(c["x"] - F.col("_qx"), c["y"] - F.col("_qy"))
+    met = met.select(key, F.array_min(F.transform("_cells", lambda c: F.struct(d2(c).alias("d2"), c[cell].alias(cell)))).alias("b"))
+    best = met.groupBy(key).agg(F.min("b").alias("b"))
     return best.select(key, F.col(f"b.{cell}").alias(cell), (F.sqrt("b.d2") * (111.32 if geographic else 1.0)).alias("distance"))
 
 
