@@ -184,7 +184,7 @@ def accumulate(nodes: DataFrame, next_of: DataFrame, upstream: Sequence[str] = (
     """
     ups, downs = [f"up_{c}" for c in upstream], [f"down_{c}" for c in downstream]
     cols = [*[F.coalesce(col(c), F.lit(0.0)).cast("double").alias(f"up_{c}") for c in upstream], *[F.coalesce(col(c), F.lit(0.0)).cast("double").alias(f"down_{c}") for c in downstream]]
-    state = materialize(nodes.select("node", *cols).join(next_of, "node", "left"), "flow")
+    state = materialize(shuffled_join(nodes.select("node", *cols), next_of, "node", "left"), "flow")
     late = []  # what still arrives at nodes, round by round; those that have reached the outlet take part in no join
     done = state.where("next IS NULL").select("node", *ups, *downs)
     running = state.where("next IS NOT NULL")
@@ -193,14 +193,14 @@ def accumulate(nodes: DataFrame, next_of: DataFrame, upstream: Sequence[str] = (
             out = done
             if ups and late:
                 more = reduce(lambda a, b: a.unionByName(b), late).groupBy("node").agg(*[F.sum(f"_{c}").alias(f"_{c}") for c in ups])
-                out = done.join(more, "node", "left").select("node", *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in ups], *downs)
+                out = shuffled_join(done, more, "node", "left").select("node", *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in ups], *downs)
             return out
         arriving = materialize(running.groupBy(F.col("next").alias("node")).agg(*[F.sum(c).alias(f"_{c}") for c in ups], F.lit(1).alias("_")).drop("_"), "flow")
         ahead = done.withColumn("_next", F.lit(None).cast(state.schema["next"].dataType)).unionByName(running.withColumnRenamed("next", "_next"))
         ahead = ahead.select(F.col("node").alias("next"), *[F.col(c).alias(f"_{c}") for c in downs], "_next")
         if ups:
-            late.append(arriving.join(running.select("node"), "node", "left_anti"))
-        s = running.join(arriving, "node", "left").join(ahead, "next", "left")
+            late.append(shuffled_join(arriving, running.select("node"), "node", "left_anti"))
+        s = shuffled_join(shuffled_join(running, arriving, "node", "left"), ahead, "next", "left")
         s = materialize(s.select("node", *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in [*ups, *downs]], F.col("_next").alias("next")), "flow")
         running, done = s.where("next IS NOT NULL"), done.unionByName(s.where("next IS NULL").drop("next"))
     raise ValueError("the network has a cycle")
@@ -218,7 +218,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if larger:
             pairs = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
-        joined = pairs.where("v > u").join(least, "u") if larger else pairs.join(least, "u")
+        joined = shuffled_join(pairs.where("v > u") if larger else pairs, least, "u")
         down = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
         return down if larger else down.unionByName(least.select("u", F.col("m").alias("v")))
 
@@ -237,9 +237,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def component_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component: 0 for the component of the smallest node, and so on."""
     labels = components(edges)
-    named = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    named = shuffled_join(nodes.select("node"), labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     numbers = dense_index(named.select("label").distinct(), ["label"], "component")
-    return named.join(numbers, "label").select("node", "component")
+    return shuffled_join(named, numbers, "label").select("node", "component")
 
 
 def levels(nodes: DataFrame, next_of: DataFrame) -> DataFrame:
@@ -255,20 +255,20 @@ def topological_order(nodes: DataFrame, next_of: DataFrame) -> DataFrame:
     2 ** k steps. When 2 ** k is the number of nodes, only nodes that run into a cycle still have a 2 ** k-th successor, and
     these successors are the nodes of the cycles.
     """
-    d = nodes.select("node").distinct().join(next_of.select("node", "next"), "node", "left").withColumn("level", F.lit(0).cast("bigint"))
+    d = shuffled_join(nodes.select("node").distinct(), next_of.select("node", "next"), "node", "left").withColumn("level", F.lit(0).cast("bigint"))
     state = materialize(d, "order")
     n, step = state.count(), 1
     while step < n and not state.where("next IS NOT NULL").isEmpty():
         running = state.where("next IS NOT NULL")
         arriving = running.groupBy(F.col("next").alias("node")).agg((F.max("level") + step).alias("_far"))
         ahead = running.select(F.col("node").alias("next"), F.col("next").alias("_next"))
-        s = state.join(arriving, "node", "left").join(ahead, "next", "left")
+        s = shuffled_join(shuffled_join(state, arriving, "node", "left"), ahead, "next", "left")
         state = materialize(s.select("node", F.col("_next").alias("next"), F.greatest("level", F.coalesce("_far", "level")).alias("level")), "order")
         step *= 2
     looped = state.where("next IS NOT NULL").select(F.col("next").alias("node")).distinct().withColumn("on_cycle", F.lit(True))
     if n == 1:  # no round was needed: a node that flows to itself
         looped = state.where("next = node").select("node", F.lit(True).alias("on_cycle"))
-    d = state.join(looped, "node", "left").select("node", "level", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
+    d = shuffled_join(state, looped, "node", "left").select("node", "level", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
     d = d.withColumn("level", F.when(~F.col("on_cycle"), F.col("level")))
     return numbered(d, ["on_cycle", "level", "node"], "position")
 
@@ -286,7 +286,7 @@ def hydrology_features(nodes: DataFrame, edges: DataFrame, musk: bool | None = N
     nxt = successors(edges)
     sums = accumulate(n, nxt, ["one", "own_area"], ["length", "travel"])
     total = F.greatest(or_zero("total_area"), F.lit(1e-6))
-    d = n.join(sums, "node").join(component_ids(nodes, edges), "node").join(nxt, "node", "left")
+    d = shuffled_join(shuffled_join(shuffled_join(n, sums, "node"), component_ids(nodes, edges), "node"), nxt, "node", "left")
     top = F.max("stream_order").over(Window.partitionBy("component"))
     return d.select(
         "node", F.col("length").alias("local_length_m"), F.col("down_length").alias("distance_to_outlet_m"), F.col("travel").alias("local_travel_time_proxy"), F.col("down_travel").alias("travel_time_proxy_to_outlet"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from fluvial.common import shared_path, table
+from fluvial.common import shared_path, shuffled_join, table
 from fluvial.operators import compare, network, prepare, routing, transfer
 from fluvial.plans import views as V
 from fluvial.plans.registry import query, rounded
@@ -116,7 +116,7 @@ def q39b_hydrology_features(spark, sf):
     f = V.flow(spark, sf)
     nodes, nxt = _tree(spark, sf)
     total = network.accumulate(nodes, nxt, upstream=["area"]).select("node", F.col("up_area").alias("total_area"))
-    n = nodes.join(total, "node").withColumns({"slope": 0.001 + F.col("area") / 1000, "stream_order": F.col("area")})
+    n = shuffled_join(nodes, total, "node").withColumns({"slope": 0.001 + F.col("area") / 1000, "stream_order": F.col("area")})
     h = network.hydrology_features(n, f.where("toid IS NOT NULL").select(F.col("id").alias("src"), F.col("toid").alias("dst")))
     h = h.withColumns({"travel_time_proxy_to_outlet": F.round("travel_time_proxy_to_outlet", 3), "distance_to_outlet_m": F.round("distance_to_outlet_m", 4), "upstream_area_km2_topologic": F.round("upstream_area_km2_topologic", 4)})
     return rounded(h.drop("local_length_m", "local_travel_time_proxy"))
