@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 #: A key is hot if it holds more than 1 / HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 1000
+#: Where tables are dealt out by their counted rows, so many go to one task.
+TASK_ROWS = 500_000
 
 _own_dir: dict[str, str] = {}
 
@@ -113,6 +115,19 @@ def checked_join(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int
     return left.join(F.broadcast(right), on, how) if small_enough(right, row_bytes, limit) else shuffled_join(left, right, on, how)
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """How many tasks take so many rows: as many as the session shuffles to, or more if those would have more than TASK_ROWS each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df as it is while a shuffle by the session's partitions leaves at most TASK_ROWS rows a task; else shuffled by keys into more. Sums by
+    the keys then take the memory of TASK_ROWS rows a task, however large df is; before, both sides of their shuffle grew with it. df is
+    counted, so it should be cheap to count: a table, not a sum."""
+    n = tasks_for(df.sparkSession, df.count())
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, share: int = HOT_SHARE) -> DataFrame:
     """Left join on one key that stays even when a few keys hold most rows of left.
 

@@ -8,10 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvial.common import checked_join
+from fluvial.common import materialize, shuffled_join, small_enough, tasks_for
 from fluvial.functions.columns import ACTIVATIONS, EPS64, finite, or_zero
 from fluvial.operators.quantiles import quantiles
 
+#: A source with more rows than this, of values and targets, isn't gathered into one row.
+SOURCE_ROWS = 100_000
+
 STRATEGIES = ("stored", "cell_area", "inverse_distance", "exp_distance", "downhill", "downhill_distance")
 
 
@@ -68,15 +71,42 @@ def multipliers(mapping: DataFrame, features: dict[str, float], bias: float = 0.
     return mapping.withColumn("weight", F.col("weight") * factor)
 
 
+def _products(v: DataFrame, m: DataFrame, time: str) -> DataFrame:
+    """target, time, _p: v (source, time, _v) times m (source, target, weight), neighbouring sources in the same task.
+
+    The products are many more than the rows of either side, and their partial sums have a row a target and time. Sources near
+    each other share targets, so ranges of sources keep each task's sums few, where a hash would give every task all of them. Both sides
+    of a source are gathered into a row that is unfolded at once; sources with more than SOURCE_ROWS rows go through a join.
+    """
+    both = v.select("source", F.struct(time, "_v").alias("_r")).unionByName(m.select("source", F.struct("target", "weight").alias("_m")), allowMissingColumns=True).where("source IS NOT NULL")
+    hot = both.groupBy("source").count().where(F.col("count") > SOURCE_ROWS).select("source")
+    joined = None
+    if not hot.isEmpty():
+        hot = F.broadcast(materialize(hot, "transfer-hot"))
+        joined = shuffled_join(v.join(hot, "source", "left_semi"), m.join(hot, "source", "left_semi"), "source").select("target", time, (F.col("_v") * F.col("weight")).alias("_p"))
+        both = both.join(hot, "source", "left_anti")
+    n = tasks_for(v.sparkSession, v.count() + m.count())
+    gathered = both.repartitionByRange(n, "source").groupBy("source").agg(F.collect_list("_r").alias("_r"), F.collect_list("_m").alias("_m"))
+    rows = gathered.select(F.explode("_r").alias("_r"), "_m").select("_r", F.explode("_m").alias("_m"))
+    rows = rows.select("_m.target", f"_r.{time}", (F.col("_r._v") * F.col("_m.weight")).alias("_p"))
+    return rows if joined is None else rows.unionByName(joined)
+
+
 def transfer(values: DataFrame, mapping: DataFrame, targets: DataFrame | None = None, value: str = "value", time: str = "date") -> DataFrame:
     """target, time, value: the weighted sum of the sources' values. Missing values count as 0. With targets (target), those
-    without a source have 0 at every time. The mapping is broadcast if it is small."""
+    without a source have 0 at every time. The mapping is written, and broadcast if it is small; otherwise values are written, too, and both meet by
+    ranges of sources."""
     v = values.select("source", time, or_zero(value).alias("_v"))
-    j = checked_join(v, mapping.select("source", "target", "weight"), "source", "inner", row_bytes=40)
-    out = j.groupBy("target", time).agg(F.sum(F.col("_v") * F.col("weight")).alias(value))
+    m = materialize(mapping.select("source", "target", "weight"), "transfer-mapping")
+    if small_enough(m, row_bytes=40):
+        j = v.join(F.broadcast(m), "source").select("target", time, (F.col("_v") * F.col("weight")).alias("_p"))
+    else:
+        v = materialize(v, "transfer-values")
+        j = _products(v, m, time)
+    out = j.groupBy("target", time).agg(F.sum("_p").alias(value))
     if targets is None:
         return out
-    times = values.agg(F.collect_set(time).alias("_t")).scalar()
+    times = v.agg(F.collect_set(time).alias("_t")).scalar()
     grid = targets.select("target").distinct().select("target", F.explode(times).alias(time))
     return grid.join(out, ["target", time], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvial.common import table
+from fluvial.common import spread, table
 
 SERIES_SQL = """series AS (SELECT l_suppkey::VARCHAR AS gauge_id, l_shipdate::DATE AS date, sum(l_extendedprice * (1 - l_discount)) AS prediction,
   sum(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice END) AS observation FROM lineitem GROUP BY 1, 2)"""
@@ -89,7 +89,8 @@ MAP_SQL = """sources AS (SELECT l_partkey AS source, l_suppkey AS target, sum(l_
 
 def sources(spark: SparkSession, sf: str) -> DataFrame:
     """A sparse mapping of grid cells to network nodes with weights and features."""
-    li = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")).agg(F.sum("l_quantity").alias("weight"))
+    li = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), "l_quantity")
+    li = spread(li, "source", "target").groupBy("source", "target").agg(F.sum("l_quantity").alias("weight"))
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("source"), F.col("p_size").cast("double").alias("cell_area"), F.col("p_retailprice").alias("source_elevation"))
     supplier = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("target"), F.col("s_acctbal").alias("target_elevation"))
     return li.join(part, "source").join(supplier, "target").withColumn("distance", 100.0 + (F.col("source") * 7 + F.col("target") * 13) % 500)
@@ -100,7 +101,8 @@ RUNOFF_SQL = "runoff AS (SELECT l_partkey AS source, date_trunc('month', l_shipd
 
 def runoff(spark: SparkSession, sf: str) -> DataFrame:
     """A value for each source cell and month."""
-    return table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("source"), F.trunc("l_shipdate", "MM").alias("date")).agg(F.sum("l_extendedprice").alias("value"))
+    li = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("source"), F.trunc("l_shipdate", "MM").alias("date"), "l_extendedprice")
+    return spread(li, "source", "date").groupBy("source", "date").agg(F.sum("l_extendedprice").alias("value"))
 
 
 EMBEDDED_SQL = "feats AS (SELECT vec_id AS node, label, unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) - 1 AS feature FROM embeddings)"
