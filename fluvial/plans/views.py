@@ -16,10 +16,10 @@ SERIES_SQL = """series AS (SELECT l_suppkey::VARCHAR AS gauge_id, l_shipdate::DA
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
     """Daily predictions and observations of each gauge; days with returns only have no observation."""
-    li = table(spark, sf, "lineitem")
-    return li.groupBy(F.col("l_suppkey").cast("string").alias("gauge_id"), F.to_date("l_shipdate").alias("date")).agg(
-        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("prediction"), F.sum(F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice"))).alias("observation")
+    li = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("gauge_id"), F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("prediction"), F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice")).alias("observation")
     )
+    return spread(li, "gauge_id", "date").groupBy("gauge_id", "date").agg(F.sum("prediction").alias("prediction"), F.sum("observation").alias("observation"))
 
 
 COMPARED_SQL = """compared AS (SELECT l_suppkey::VARCHAR AS gauge_id, l_shipdate::DATE AS date, sum(l_extendedprice * (1 - l_discount)) AS gnn,
@@ -28,11 +28,11 @@ COMPARED_SQL = """compared AS (SELECT l_suppkey::VARCHAR AS gauge_id, l_shipdate
 
 def compared(spark: SparkSession, sf: str) -> DataFrame:
     """Two models and observations."""
-    li = table(spark, sf, "lineitem")
-    return li.groupBy(F.col("l_suppkey").cast("string").alias("gauge_id"), F.to_date("l_shipdate").alias("date")).agg(
-        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("gnn"), F.sum(F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice"))).alias("observed"),
-        (1500 * F.sum(F.col("l_quantity") * (1 + F.col("l_tax")))).alias("other"),
+    li = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("gauge_id"), F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("gnn"), F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice")).alias("observed"),
+        (F.col("l_quantity") * (1 + F.col("l_tax"))).alias("other"),
     )
+    return spread(li, "gauge_id", "date").groupBy("gauge_id", "date").agg(F.sum("gnn").alias("gnn"), F.sum("observed").alias("observed"), (1500 * F.sum("other")).alias("other"))
 
 
 SAMPLES_SQL = "samples AS (SELECT user_id AS cell, ts AS time, event_type AS variable, value, event_id FROM events)"

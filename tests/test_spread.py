@@ -61,3 +61,18 @@ def test_tasks_of_mapping_and_runoff_stay_small(spark, monkeypatch, view):
     monkeypatch.setattr(common, "TASK_ROWS", 300)
     got = rows_a_task(getattr(views, view)(spark, SF))
     assert len(got) > 4 and max(got) <= 600
+
+
+@pytest.mark.parametrize("view", ["series", "compared"])
+def test_tasks_of_daily_series_stay_small(spark, monkeypatch, view):
+    monkeypatch.setattr(common, "TASK_ROWS", 300)
+    got = rows_a_task(getattr(views, view)(spark, SF))
+    assert len(got) > 4 and max(got) <= 600
+
+
+def test_windows_keep_the_tasks_of_the_series(spark, monkeypatch):
+    from fluvial.plans import window_queries
+
+    monkeypatch.setattr(common, "TASK_ROWS", 300)
+    got = rows_a_task(window_queries.q23_window_overlap_dedupe(spark, SF))
+    assert len(got) > 4 and max(got) <= 600
