@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvial.common import checked_join, materialize
+from fluvial.common import checked_join, materialize, tasks_for
 from fluvial.functions.columns import INVERSE_TRANSFORMS, TRANSFORMS, clip, finite, or_zero
 from fluvial.operators import network, prepare, routing, spatial, transfer, windows
 
@@ -171,9 +171,13 @@ def routed(runoff: DataFrame, mapping: DataFrame, nodes: DataFrame, edges: DataF
     must divide the series, or over all if None; the time is that of the first. The first `context` steps of what then is there are left out.
     """
     at_nodes = transfer.transfer(runoff, mapping, nodes.select(F.col("node").alias("target")), time=time).withColumnRenamed("target", "node")
-    given = node_inputs(at_nodes, lags, time=time, **inputs)
+    given = materialize(node_inputs(at_nodes, lags, time=time, **inputs), "routed-inputs")
     state = [c for c in given.columns if c not in ("node", time)]
-    out = routing.graph_forward(given, edges, state, layers, head, by=(time,))
+    states = given.count()
+    messages = states + states * edges.count() // max(nodes.count(), 1)
+    tasks = tasks_for(given.sparkSession, messages)
+    tasks = tasks if tasks > tasks_for(given.sparkSession, 0) else None
+    out = routing.graph_forward(given, edges, state, layers, head, by=(time,), tasks=tasks)
     read = out.join(gauges.select("gauge_id", "node"), "node").select("gauge_id", time, F.col("value").alias("prediction"))
     if temporal:
         read = routing.temporal_head(read, "prediction", temporal, ["gauge_id"], time, residual)

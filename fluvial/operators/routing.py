@@ -101,12 +101,12 @@ def sage_layer(nodes, edges, state, w_neighbour: np.ndarray, w_self: np.ndarray,
     return dense(out, [f"agg_{c}" for c in state] + list(state), both, bias, outputs)
 
 
-def gat_layer(nodes, edges, state, attend_src: Sequence[float], attend_dst: Sequence[float], by=(), slope: float = 0.2, heads: int = 1, edge_features: Sequence[str] = (), attend_edge: np.ndarray | None = None):
+def gat_layer(nodes, edges, state, attend_src: Sequence[float], attend_dst: Sequence[float], by=(), slope: float = 0.2, heads: int = 1, edge_features: Sequence[str] = (), attend_edge: np.ndarray | None = None, tasks: int | None = None):
     """Attention over in-edges and a self loop, on states that have been through the dense layer.
 
     Each head has its part of the state, in order, and its softmax; their results stand side by side. attend_edge, a row a head, weighs
     edge_features in the scores; a self loop has the mean of its node's in-edges, 0 without any. Missing features are 0. All heads share one pass
-    over the messages.
+    over the messages. tasks: how many tasks take the messages of nodes, if not what the session says.
     """
     if len(state) % heads:
         raise ValueError("the width of the state must be a multiple of the heads")
@@ -121,7 +121,8 @@ def gat_layer(nodes, edges, state, attend_src: Sequence[float], attend_dst: Sequ
         mean = e.groupBy("dst").agg(*[F.avg(g).alias(g) for g in given])
         loops = loops.join(mean, "dst", "left").select("src", "dst", *[F.coalesce(g, F.lit(0.0)).alias(g) for g in given])
     m = gather(scored.drop(*[f"_ad{h}" for h in every]), e.unionByName(loops), [*state, *[f"_as{h}" for h in every]], by)
-    m = m.join(scored.select(F.col("node").alias("dst"), *by, *[f"_ad{h}" for h in every]), ["dst", *by])
+    own = scored.select(F.col("node").alias("dst"), *by, *[f"_ad{h}" for h in every])
+    m = m.join(own.repartition(tasks, "dst", *by) if tasks else own, ["dst", *by])
     score = lambda h: reduce(lambda a, k: a + float(attend_edge[h][k]) * F.col(given[k]), range(len(given)), F.col(f"_as{h}") + F.col(f"_ad{h}"))
     m = m.withColumns({f"_z{h}": score(h) for h in every})
     m = m.withColumns({f"_z{h}": F.when(F.col(f"_z{h}") > 0, F.col(f"_z{h}")).otherwise(slope * F.col(f"_z{h}")) for h in every})
@@ -159,9 +160,9 @@ def mpnn_layer(nodes: DataFrame, edges: DataFrame, state: Sequence[str], edge_fe
     return mlp(both, [f"o{k}" for k in range(np.shape(own[-1][0])[1])] + [f"agg_{h}" for h in hs], update, "h")
 
 
-def graph_forward(nodes: DataFrame, edges: DataFrame, state: Sequence[str], layers: Sequence[dict], head: tuple, by: Sequence[str] = ("date",), activation: str = "softplus") -> DataFrame:
+def graph_forward(nodes: DataFrame, edges: DataFrame, state: Sequence[str], layers: Sequence[dict], head: tuple, by: Sequence[str] = ("date",), activation: str = "softplus", tasks: int | None = None) -> DataFrame:
     """node, by..., value: dense layer, convolution, normalisation and ReLU for each of layers (kind, weights, bias), then a
-    linear head."""
+    linear head. tasks: for the messages of attention, if the session's aren't enough."""
     d, cols = nodes.select("node", *by, *state), list(state)
     for layer in layers:
         w, b, kind = np.asarray(layer["weights"], float), layer.get("bias"), layer.get("kind", "gcn")
@@ -172,7 +173,7 @@ def graph_forward(nodes: DataFrame, edges: DataFrame, state: Sequence[str], laye
             d = dense(gin_layer(d, edges, cols, by), cols, w, b, outs)
         else:
             d = dense(d, cols, w, None, outs)
-            d = gcn_layer(d, edges, outs, by, layer.get("weight")) if kind == "gcn" else gat_layer(d, edges, outs, layer["attend_src"], layer["attend_dst"], by, heads=layer.get("heads", 1), edge_features=layer.get("edge_features", ()), attend_edge=layer.get("attend_edge"))
+            d = gcn_layer(d, edges, outs, by, layer.get("weight")) if kind == "gcn" else gat_layer(d, edges, outs, layer["attend_src"], layer["attend_dst"], by, heads=layer.get("heads", 1), edge_features=layer.get("edge_features", ()), attend_edge=layer.get("attend_edge"), tasks=tasks)
             if b is not None:
                 d = d.withColumns({o: F.col(o) + float(b[k]) for k, o in enumerate(outs)})
         d = layer_norm(d, outs)

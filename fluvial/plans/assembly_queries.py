@@ -458,9 +458,9 @@ def q84d_attention_to_gauges(spark, sf):
     gauges = nodes.select(F.col("node").cast("string").alias("gauge_id"), "node")
     features = supplier.select(F.col("s_suppkey").alias("node"), (F.col("s_acctbal") / 1000).alias("balance"))
     runoff = V.runoff(spark, sf)
-    n = runoff.select("date").distinct().count()
-    if n % 2:  # an odd last month has no pair
-        runoff = runoff.join(F.broadcast(runoff.agg(F.max("date").alias("_last"))), F.col("date") < F.col("_last")).drop("_last")
+    dates = table(spark, sf, "lineitem").select(F.trunc("l_shipdate", "MM").alias("date")).distinct()  # those of runoff, without its sums
+    if dates.count() % 2:  # an odd last month has no pair
+        runoff = runoff.join(F.broadcast(dates.agg(F.max("date").alias("_last"))), F.col("date") < F.col("_last")).drop("_last")
     layers = [{"kind": "gat", "weights": AW, "bias": AB, "attend_src": AS, "attend_dst": AD, "heads": 2, "edge_features": ["turn", "slope"], "attend_edge": AE}]
     out = assembly.routed(runoff, V.sources(spark, sf), nodes, edges, gauges, layers, (AH, AC), (0, 1), 1, node_features=features, scaler=(0.0, 10.0), transform="log1p", limit=3.0, temporal=[(T1, TB1), (T2, TB2)], reduction=("mean", 2))
     return rounded(out, 4)

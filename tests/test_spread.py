@@ -76,3 +76,31 @@ def test_windows_keep_the_tasks_of_the_series(spark, monkeypatch):
     monkeypatch.setattr(common, "TASK_ROWS", 300)
     got = rows_a_task(window_queries.q23_window_overlap_dedupe(spark, SF))
     assert len(got) > 4 and max(got) <= 600
+
+
+def test_messages_of_attention_go_to_more_tasks(spark, monkeypatch):
+    """The states of 40 nodes at 10 steps, with an edge each, are 800 messages: tasks of 100 are 8, where the session has 4."""
+    import numpy as np
+
+    from fluvial.operators import assembly, routing
+
+    monkeypatch.setattr(common, "TASK_ROWS", 100)
+    seen = {}
+    real = routing.gat_layer
+    monkeypatch.setattr(routing, "gat_layer", lambda *a, **k: seen.setdefault("out", real(*a, **k)))
+    nodes = spark.range(40).select(F.col("id").alias("node"))
+    edges = nodes.select(F.col("node").alias("src"), ((F.col("node") + 1) % 40).alias("dst"))
+    runoff = nodes.select(F.col("node").alias("source"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("date"), F.lit(1.0).alias("value"))
+    mapping = nodes.select(F.col("node").alias("source"), F.col("node").alias("target"), (1.0 + F.col("node")).alias("weight"))
+    layers = [{"kind": "gat", "weights": np.ones((1, 2)), "attend_src": [0.1, 0.2], "attend_dst": [0.3, 0.4]}]
+    args = (runoff, mapping, nodes, edges, nodes.select(F.col("node").cast("string").alias("gauge_id"), "node"), layers, (np.array([[1.0], [2.0]]), [0.5]), (0,))
+    got = {(r.gauge_id, r.date): r.prediction for r in assembly.routed(*args).collect()}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if tables were large
+    try:
+        each = [r.n for r in seen.pop("out").groupBy(F.spark_partition_id()).agg(F.count("c0").alias("n"), F.sum("c0")).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(each) > 4 and sum(each) == 400
+    monkeypatch.setattr(common, "TASK_ROWS", 1_000_000)
+    assert got == pytest.approx({(r.gauge_id, r.date): r.prediction for r in assembly.routed(*args).collect()})
