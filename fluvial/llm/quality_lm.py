@@ -4,15 +4,20 @@ Every word and every n-gram that occurs in a trusted text counts; there is no vo
 lowest order is interpolated with a model that spells words: byte trigrams, again by modified Kneser-Ney. So an unknown word
 costs what its letters cost, in any script. A text is START START w1 ... wn END.
 
-Training. Counts are summed in shards by key; context totals, continuation counts (distinct words before), discounts and
-back-off weights come from them by further sums, and meet in joins by key. The result is one table of gains: an n-gram's gain
-is what it adds to the log probability of a text beyond that of its own suffix, with its weight as a context. A text's log
-probability is then that of spelling all its words, plus the gain of each n-gram in it that the table has.
+Shards. A trigram goes to the shard of its middle word, and with it all that its probability needs but the counts of single
+words: its count, the totals of its context (first two words), the words before its last two, and the totals of the middle word.
+A middle word of more than `hot` tokens is spread: trigrams over several shards by their first word, and the gains of their
+last two words over as many by the last one. What such shards need of each other are bigram counts, summed in joins by key. All
+trigrams that share their first two words are in one shard.
 
-Scoring. Each task has the spelling model (a table over byte values), the HOT most frequent gains, and a Bloom filter of
-BLOOM_BITS of all n-grams in the table. N-grams that the filter doesn't know are in no trusted text; those that are hot are
-added at once; all others meet the table in a join by key, and a sum by document adds what is found. Filter and hot table
-change no result, only how many n-grams travel; texts never do.
+Training sums counts in the shards: how many n-grams occur once, twice and so on, for the discounts, and after how many words
+each word occurs. A table then tells each shard the words' counts that it needs, and those of bigrams of spread words.
+
+Scoring. All texts send their trigrams to the shards, trusted ones as well for the counts, which are made again there, not
+stored. A text's log probability is that of spelling all its words, plus the gain of each n-gram in it: what the n-gram
+adds beyond its own suffix, with its weight as a context. Both go in rounds over shares of the shards: texts are read again in each, and what a round
+shuffles is deleted at its end, so disk holds a share of the n-grams, in packs with local numbers for words. Equal texts have
+equal scores, so sums go by a hash of the text.
 
 Perplexity is that of a character: all log probabilities over the number of characters of words and the spaces after
 them. A document is kept if its perplexity is at most that quantile of the held-out trusted documents of its language, times
@@ -29,21 +34,37 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
+import pickle
+from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluvial.common import checked_join, materialize, small_batches
+from fluvial.common import checked_join, materialize, scratch, shuffled_join, skew_join, small_batches
 
 BINS = 1000
 FOLDS = 5
+#: A middle word of more tokens is spread over shards of about half as many.
 HOT = 1_000_000
-#: The hot table has 2 ** HOT_BITS slots, each with the most frequent n-gram that falls into it.
-HOT_BITS = 21
+#: Of so many tokens each, but at least SHARDS a round.
+SHARD_TOKENS = 1_000_000
+SHARDS = 16
+#: At most so many rounds, of at least ROUND_TOKENS tokens.
+ROUNDS = 4
+ROUND_TOKENS = 2_000_000
+#: A pack holds the trigrams of one shard in so many tokens of a task.
+PACK_TOKENS = 1_000_000
+#: A task names words that make up more than 1 / NAMED of its tokens, so that the most frequent ones of all are found.
+NAMED = 5000
+#: No longer used: there is no Bloom filter any more, but tests set it.
 BLOOM_BITS = 27
 
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (" start", " end"))  # no word has a space
@@ -64,37 +85,6 @@ def hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-@dataclass
-class Sequences:
-    """Texts with START and END as one array: the hash of each word, its text, and the keys of the n-grams that end in it."""
-
-    word: np.ndarray
-    text: np.ndarray
-    pair: np.ndarray
-    triple: np.ndarray
-    #: whether a bigram (all but the first START) or trigram (all but both) ends here
-    second: np.ndarray
-    third: np.ndarray
-
-
-def sequences(texts: list[list[str]]) -> Sequences:
-    size = np.array([len(t) + 3 for t in texts], np.int64)
-    ends = np.cumsum(size)
-    starts = ends - size
-    word = np.empty(int(size.sum()), np.uint64)
-    inner = np.ones(len(word), bool)
-    inner[starts] = inner[starts + 1] = inner[ends - 1] = False
-    word[starts] = word[starts + 1] = START
-    word[ends - 1] = END
-    word[inner] = hashes([w for t in texts for w in t])
-    before = np.concatenate([[START], word[:-1]]) if len(word) else word
-    pair = _mix(before * _A + word)
-    pair_before = np.concatenate([[pair[0]], pair[:-1]]) if len(pair) else pair
-    second, third = np.ones(len(word), bool), np.ones(len(word), bool)
-    second[starts] = third[starts] = third[starts + 1] = False
-    return Sequences(word, np.repeat(np.arange(len(texts)), size), pair, _mix(pair_before * _B + pair), second, third)
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -179,203 +169,428 @@ def train_speller(trusted: DataFrame) -> Speller:
     return Speller(counts, symbol)
 
 
-# -- the model ---------------------------------------------------------------------------------------------------------
+# -- shards ------------------------------------------------------------------------------------------------------------
 
 
-def trigram_counts(trusted: DataFrame) -> DataFrame:
-    """k12, k23, c: how often each trigram occurs, by the keys of its two bigrams."""
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """A block in which the files of a query's shuffles are deleted when the query is done, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-    def run(batches):
-        for batch in batches:
-            s = sequences([w for t in batch.column(0).to_pylist() if (w := words_of(t))])
-            at = np.flatnonzero(s.third)
-            _, first, n = np.unique(s.triple[at], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(s.pair[at[first] - 1]), _signed(s.pair[at[first]]), pa.array(n, pa.int64())], ["k12", "k23", "c"])
 
-    return trusted.select("text").mapInArrow(run, "k12 bigint, k23 bigint, c bigint").groupBy("k12", "k23").agg(F.sum("c").alias("c"))
+@dataclass
+class Deal:
+    """Which shard has a trigram: words with more than one part are spread."""
 
+    shards: int
+    rounds: int
+    #: rounds of training, in which only trusted texts travel
+    training: int
+    #: hashes of the words that are spread, ascending, and over how many shards each
+    spread: np.ndarray
+    parts: np.ndarray
 
-def bigram_types(trusted: DataFrame) -> DataFrame:
-    """key, w2, w3, f: the key and the words of each bigram but START START, and how often it occurs."""
+    def parts_of(self, word: np.ndarray) -> np.ndarray:
+        found, at = lookup(self.spread, word)
+        return np.where(found, self.parts[at] if len(self.parts) else 1, 1)
 
-    def run(batches):
-        for batch in batches:
-            s = sequences([w for t in batch.column(0).to_pylist() if (w := words_of(t))])
-            at = np.flatnonzero(s.third)
-            keys, first, n = np.unique(s.pair[at], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(keys), _signed(s.word[at[first] - 1]), _signed(s.word[at[first]]), pa.array(n, pa.int64())], ["key", "w2", "w3", "f"])
 
-    return trusted.select("text").mapInArrow(run, "key bigint, w2 bigint, w3 bigint, f bigint").groupBy("key", "w2", "w3").agg(F.sum("f").alias("f"))
+def lookup(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether ascending keys hold each asked one, and where; 0 if not."""
+    if not len(keys):
+        return np.zeros(len(asked), bool), np.zeros(len(asked), np.int64)
+    at = np.searchsorted(keys, asked)
+    at[at == len(keys)] = 0
+    found = keys[at] == asked
+    return found, np.where(found, at, 0)
 
 
-def spelled_words(trusted: DataFrame, speller: Speller) -> DataFrame:
-    """w, spell: each word, and END, with the log probability of its letters."""
-    shared = trusted.sparkSession.sparkContext.broadcast(speller)
+def dealt(texts: DataFrame, hot: int) -> Deal:
+    """Of texts: text, learned. On the driver: a row for each word that is spread."""
+
+    def count(batches):
+        words, total, trusted = Counter(), 0, 0
+        for batch in batches:
+            for text, learned in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if w := words_of(text):
+                    words.update(w)
+                    total += len(w) + 1
+                    trusted += (len(w) + 1) * learned
+                    words[" start"] += 1
+            if len(words) > PACK_TOKENS:  # keep memory small: rare words are not named anyhow
+                words = Counter({w: n for w, n in words.items() if n * NAMED > total})
+        named = [(w, n) for w, n in words.items() if n * NAMED > total]
+        key = np.append(hashes([w for w, _ in named]), np.zeros(2, np.uint64))
+        yield pa.RecordBatch.from_arrays([_signed(key), pa.array([0] * len(named) + [1, 2]), pa.array([n for _, n in named] + [total, trusted], pa.int64())], ["w", "kind", "n"])
+
+    sums = texts.mapInArrow(count, "w bigint, kind bigint, n bigint").groupBy("w", "kind").agg(F.sum("n").alias("n"))
+    rows = sums.where((F.col("kind") > 0) | (F.col("n") > hot)).collect()
+    total, trusted = (sum(r.n for r in rows if r.kind == k) for k in (1, 2))
+    rounds = max(1, min(ROUNDS, total // ROUND_TOKENS))
+    shards = rounds * max(SHARDS, -(-total // (rounds * SHARD_TOKENS)))
+    spread = sorted((r.w, max(2, min(shards, -(-r.n // max(1, hot // 2))))) for r in rows if r.kind == 0)
+    keys = np.array([w for w, _ in spread], np.int64).view(np.uint64)
+    parts, order = np.array([n for _, n in spread], np.int64), np.argsort(keys)
+    return Deal(shards, rounds, max(1, -(-rounds * trusted // max(1, total))), keys[order], parts[order])
+
+
+#: What a trigram in a pack is for: its context and itself; its last two words; counts of the model; a text's score.
+OUTER, INNER, LEARN, SCORE = 1, 2, 4, 8
+
+
+def _small(x: np.ndarray, most: int) -> np.ndarray:
+    return x.astype(np.uint16 if most <= 1 << 16 else np.uint32)
+
+
+def text_key(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text)
+
+
+def packs(texts: DataFrame, shared: Broadcast, rounds: int, k: int) -> DataFrame:
+    """shard, size, pack: the trigrams of texts (text, learned, scored) in the shards of round k. shared: a Deal, and the speller or None."""
+
+    def pack(texts: list[tuple]):
+        deal, speller = shared.value
+        number: dict[str, int] = {}
+        at = [np.fromiter((number.setdefault(w, len(number) + 2) for w in words), np.int64, len(words)) for _, words, _, _ in texts]
+        one, two = np.zeros(2, np.int64), np.ones(1, np.int64)  # START is word 0, END is word 1
+        at = np.concatenate([x for a in at for x in (one, a, two)])
+        size = np.array([len(t[1]) + 3 for t in texts])
+        text = np.repeat(np.arange(len(texts)), size)
+        third = np.ones(len(at), bool)
+        starts = np.cumsum(size) - size
+        third[starts] = third[starts + 1] = False
+        third = np.flatnonzero(third)
+        words = list(number)
+        key = np.concatenate([[START, END], hashes(words)])
+        spell = np.zeros(len(key), np.float32)
+        if speller:
+            n = np.array([len(w.encode()) + 1 for w in words])
+            spell[1], spell[2:] = speller.end, np.add.reduceat(speller.spell(spelled(words)).astype(float), np.cumsum(n) - n)
+        signed, parts = key.view(np.int64), deal.parts_of(key)
+        first, middle, last, text = at[third - 2], at[third - 1], at[third], text[third]
+        use = np.array([LEARN * t[2] + SCORE * t[3] for t in texts], np.uint8)[text]
+        n = parts[middle]
+        outer = (signed[middle] % deal.shards + signed[first] % n) % deal.shards
+        inner = (signed[middle] % deal.shards + signed[last] % n) % deal.shards
+        alone = n == 1
+        here = np.flatnonzero(outer % rounds == k)
+        there = np.flatnonzero(~alone & (inner % rounds == k) & (use & SCORE > 0))
+        item = np.concatenate([here, there])
+        shard = np.concatenate([outer[here], inner[there]])
+        what = np.concatenate([use[here] | OUTER | INNER * alone[here].astype(np.uint8), use[there] & SCORE | INNER]).astype(np.uint8)
+        order = np.argsort(shard, kind="stable")
+        shard, item, what = shard[order], item[order], what[order]
+        texts_at = np.array([text_key(t[0]) for t in texts], np.uint64)
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+        for lo, hi in zip(cuts, [*cuts[1:], len(shard)]):
+            i = item[lo:hi]
+            local, of = np.unique(np.concatenate([first[i], middle[i], last[i]]).astype(np.uint32), return_inverse=True)
+            docs, doc = np.unique(text[i], return_inverse=True)
+            of = _small(of.reshape(3, -1), len(local))
+            raw = pickle.dumps((key[local], spell[local], *of, what[lo:hi], texts_at[docs], _small(doc, len(docs))), 5)
+            yield int(shard[lo]), len(raw), pa.compress(raw, "zstd", asbytes=True)
 
     def run(batches):
+        held, n = [], 0
         for batch in batches:
-            words = sorted({w for t in batch.column(0).to_pylist() for w in words_of(t)})
-            if not words:
-                continue
-            size = np.array([len(w.encode()) + 1 for w in words])
-            each = np.add.reduceat(shared.value.spell(spelled(words)).astype(float), np.cumsum(size) - size)
-            yield pa.RecordBatch.from_arrays([_signed(np.append(hashes(words), END)), pa.array(np.append(each, shared.value.end))], ["w", "spell"])
-
-    return trusted.select("text").mapInArrow(run, "w bigint, spell double").groupBy("w").agg(F.first("spell").alias("spell"))
-
-
-def _off(counts: DataFrame) -> Column:
-    n = counts.agg(*[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    d = discounts([n.n1, n.n2, n.n3, n.n4])
-    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-
-
-def _contexts(counts: DataFrame, by: str, off: Column) -> DataFrame:
-    return counts.groupBy(by).agg(F.sum("c").alias("total"), (F.sum(off) / F.sum("c")).alias("back"))
-
-
-def train(trusted: DataFrame, speller: Speller) -> tuple[DataFrame, float]:
-    """key, gain, f (about how often the n-gram occurs), and the log of the weight of spelling in the lowest order."""
-    t3 = materialize(trigram_counts(trusted), "lm-trigrams")
-    off3 = _off(t3)
-    c3 = materialize(_contexts(t3, "k12", off3), "lm-contexts")
-    t2 = bigram_types(trusted).join(t3.groupBy(F.col("k23").alias("key")).agg(F.count(F.lit(1)).alias("c")), "key")
-    t2 = materialize(t2, "lm-bigrams")
-    off2 = _off(t2)
-    c2 = materialize(_contexts(t2, "w2", off2), "lm-contexts")
-    t1 = materialize(t2.groupBy(F.col("w3").alias("w")).agg(F.count(F.lit(1)).alias("c"), F.sum("f").alias("f")).join(spelled_words(trusted, speller), "w"), "lm-words")
-    off1 = _off(t1)
-    whole = t1.agg(F.sum("c").alias("total"), F.sum(off1).alias("off")).first()
-    if not whole.total:
-        return t1.select(F.col("w").alias("key"), F.lit(0.0).cast("float").alias("gain"), "f"), 0.0
-    free = float(np.log(whole.off / whole.total))
-
-    log_back = F.log(F.coalesce("back", F.lit(1.0)))
-    t1 = t1.withColumn("p1", (F.col("c") - off1) / whole.total + F.exp(free + F.col("spell")))
-    g1 = t1.select("w", "f", (F.log("p1") - free - F.col("spell")).alias("g")).join(c2.withColumnRenamed("w2", "w"), "w", "full")  # START is a context only
-    g1 = g1.select(F.col("w").alias("key"), (F.coalesce("g", F.lit(0.0)) + log_back).alias("gain"), F.coalesce("f", F.lit(1 << 40)).alias("f"))
-
-    t2 = t2.withColumn("d", F.col("c") - off2).join(c2, "w2").join(t1.select(F.col("w").alias("w3"), "p1"), "w3")
-    low = F.col("back") * F.col("p1")
-    t2 = materialize(t2.select("key", "f", (F.col("d") / F.col("total") + low).alias("p2"), F.log((F.col("d") / F.col("total") + low) / low).alias("g")), "lm-pairs")
-    g2 = t2.select("key", "f", "g").join(c3.select(F.col("k12").alias("key"), "back"), "key", "full")  # START START is a context only
-    g2 = g2.select("key", (F.coalesce("g", F.lit(0.0)) + log_back).alias("gain"), F.coalesce("f", F.lit(1 << 40)).alias("f"))
-
-    t3 = t3.select("k12", "k23", "c", (F.col("c") - off3).alias("d")).join(c3, "k12").join(t2.select(F.col("key").alias("k23"), "p2"), "k23")
-    low = F.col("back") * F.col("p2")
-    g3 = t3.select("k12", "k23", F.log((F.col("d") / F.col("total") + low) / low).cast("float").alias("gain"), F.col("c").alias("f"))
-
-    def keyed(batches):
-        for b in batches:
-            k12, k23 = (b.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([_signed(_mix(k12 * _B + k23)), b.column(2), b.column(3)], ["key", "gain", "f"])
-
-    g3 = g3.mapInArrow(keyed, "key bigint, gain float, f bigint")
-    lower = g1.unionByName(g2).withColumn("gain", F.col("gain").cast("float"))
-    return materialize(lower.unionByName(g3), "lm-gains"), free
-
-
-def frequent(counts: DataFrame, most: int, count: str) -> int:
-    """The lowest count that at most `most` rows of counts have or exceed. Only how many rows have which count is collected."""
-    left, cut = most, 1 << 62
-    for r in counts.groupBy(count).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc(count)).collect():
-        if r.rows > left:
-            break
-        left, cut = left - r.rows, r[count]
-    return cut
-
-
-def hot_table(gains: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and gains by slot; a slot without an n-gram holds a key of another slot. At most `most` rows are collected."""
-    rows = gains.where(F.col("f") >= frequent(gains.where("f > 1"), most, "f")).toArrow()
-    key, gain, f = (rows.column(c).to_numpy() for c in ("key", "gain", "f"))
-    keys, values = np.zeros(1 << HOT_BITS, np.uint64), np.zeros(1 << HOT_BITS, np.float32)
-    keys[0] = np.uint64(1) << np.uint64(63)
-    order = np.argsort(f, kind="stable")  # the most frequent of a slot is written last
-    key = key[order].view(np.uint64)
-    at = _slot(key)
-    keys[at], values[at] = key, gain[order]
-    return keys, values
-
-
-def _slot(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(64 - HOT_BITS)).astype(np.int64)
-
-
-def bloom_filter(gains: DataFrame) -> np.ndarray:
-    """Two bits of 2 ** BLOOM_BITS for each key, in words of 64; at most 2 ** (BLOOM_BITS - 6) rows are collected."""
-    bit = lambda shift: F.col("key").bitwiseAND(F.lit((1 << 63) - 1)) if not shift else F.shiftrightunsigned("key", shift)
-    bits = gains.select(F.explode(F.array(*[(bit(s) % F.lit(1 << BLOOM_BITS)).alias("b") for s in (0, 32)])).alias("b"))
-    words = bits.groupBy(F.floor(F.col("b") / 64).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 AS int))")).alias("word")).toArrow()
-    out = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
-    out[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
-    return out
-
-
-def maybe_known(bloom: np.ndarray, key: np.ndarray) -> np.ndarray:
-    out = np.ones(len(key), bool)
-    for bit in (key & np.uint64((1 << 63) - 1), key >> np.uint64(32)):
-        bit = bit % np.uint64(64 * len(bloom))
-        out &= (bloom[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-    return out
+            for text, learned, scored in zip(*(c.to_pylist() for c in batch.columns)):
+                if w := words_of(text):
+                    held.append((text, w, learned, scored))
+                    n += len(w) + 3
+                if n > PACK_TOKENS:
+                    yield from _packed(pack(held))
+                    held, n = [], 0
+        if held:
+            yield from _packed(pack(held))
+
+    return texts.select("text", "learned", "scored").mapInArrow(run, "shard int, size bigint, pack binary")
+
+
+def _packed(rows) -> Iterator[pa.RecordBatch]:
+    for shard, size, data in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([size]), pa.array([data], pa.binary())], ["shard", "size", "pack"])
+
+
+def unpacked(table: pa.Table) -> Iterator[tuple]:
+    """key and spell of words, numbers of the first, middle and last word, what the trigram is for, key of texts, number of the text."""
+    for size, data in zip(table.column("size").to_pylist(), table.column("pack")):
+        yield pickle.loads(pa.decompress(data.as_buffer(), size, "zstd"))
+
+
+def keys_of(first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the first two words, the last two, and all three."""
+    k12, k23 = _mix(first * _A + middle), _mix(middle * _A + last)
+    return k12, k23, _mix(k12 * _B + k23)
+
+
+@dataclass
+class Counts:
+    """Distinct trigrams of trusted texts in a shard, by ascending key."""
+
+    key: np.ndarray
+    c: np.ndarray
+    k12: np.ndarray
+    k23: np.ndarray
+    middle: np.ndarray
+    last: np.ndarray
+
+
+def counted(table: pa.Table) -> Counts:
+    found = [np.empty((6, 0), np.uint64)]
+    for key, _, first, middle, last, what, _, _ in unpacked(table):
+        of = np.flatnonzero((what & LEARN > 0) & (what & OUTER > 0))
+        w1, w2, w3 = key[first[of]], key[middle[of]], key[last[of]]
+        k12, k23, k123 = keys_of(w1, w2, w3)
+        k, at, n = np.unique(k123, return_index=True, return_counts=True)
+        found.append(np.stack([k, n.astype(np.uint64), k12[at], k23[at], w2[at], w3[at]]))
+    key, n, *others = np.concatenate(found, axis=1)
+    k, at, of = np.unique(key, return_index=True, return_inverse=True)
+    return Counts(k, np.bincount(of, n, len(k)).astype(np.int64), *(x[at] for x in others))
+
+
+# -- training ----------------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Model:
+    trusted: DataFrame
+    hot: int
+    deal: Deal
+    #: discounts of words, bigrams and trigrams by their counts
+    off: tuple[np.ndarray, np.ndarray, np.ndarray]
+    #: words of all bigrams; 0: nothing is known
+    total: int
+    free: float
+    #: the gain of END as a word
+    end: float
+    #: shard, a, b, c: after how many words b occurs; after how many the words a and b do, where a isn't 0
+    told: DataFrame
+    #: of words that are spread: totals and back-off weights of their bigrams
+    totals: np.ndarray
+    back: np.ndarray
+
+
+def _offs(n: list[int]) -> np.ndarray:
+    return np.array([0.0, *discounts(n)])
+
+
+def _histogram(c: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(c, 5), minlength=6)[1:5]
+
+
+#: Rows of what training finds in a shard: after how many words each word occurs, after how many each bigram of a spread word does, and how many
+#: trigrams and bigrams (of other words) have a count of 1, 2, 3 and 4.
+WORD, BIGRAM, HOW3, HOW2 = range(4)
+
+
+def shares(table: pa.Table, deal: Deal) -> pa.Table:
+    t = counted(table)
+    shard = table.column("shard")[0].as_py()
+    is_spread = lookup(deal.spread, t.middle)[0]
+    light, heavy = np.flatnonzero(~is_spread), np.flatnonzero(is_spread)
+    _, at, c2 = np.unique(t.k23[light], return_index=True, return_counts=True)
+    words, c1 = np.unique(t.last[light[at]], return_counts=True)
+    _, first, part = np.unique(t.k23[heavy], return_index=True, return_counts=True)
+    first = heavy[first]
+    four, none = np.arange(1, 5), np.zeros(4, np.uint64)
+    kind = np.repeat([WORD, BIGRAM, HOW3, HOW2], [len(words), len(first), 4, 4])
+    a = np.concatenate([np.zeros(len(words), np.uint64), t.middle[first], none, none])
+    b = np.concatenate([words, t.last[first], four.astype(np.uint64), four.astype(np.uint64)])
+    n = np.concatenate([c1, part, _histogram(t.c), _histogram(c2)])
+    return pa.table({"kind": pa.array(kind, pa.int32()), "shard": pa.array(np.full(len(kind), shard), pa.int32()), "a": _signed(a), "b": _signed(b), "n": pa.array(n, pa.int64())})
+
+
+def train(trusted: DataFrame, speller: Speller, docs: DataFrame | None = None, hot: int = HOT) -> tuple[Model, float]:
+    """The model of trusted texts, and the log of the weight of spelling in the lowest order. docs are other texts that will be
+    scored; how the work is dealt out looks at them."""
+    spark = trusted.sparkSession
+    yes, no = F.lit(True), F.lit(False)
+    texts = trusted.select("text", yes.alias("learned"), no.alias("scored"))
+    deal = dealt(texts.select("text", "learned") if docs is None else texts.select("text", "learned").unionByName(docs.select("text", no.alias("learned"))), hot)
+    with scratch(spark) as keep:
+        parts, shared = [], spark.sparkContext.broadcast((deal, None))
+        for k in range(deal.training):
+            sent = packs(texts, shared, deal.training, k)
+            parts.append(materialize(sent.groupBy("shard").applyInArrow(lambda t: shares(t, deal), "kind int, shard int, a bigint, b bigint, n bigint"), "lm-shares"))
+        found = functools.reduce(DataFrame.unionByName, parts)
+        how = {(r.kind, r.b): r.n for r in found.where(F.col("kind") >= HOW3).groupBy("kind", "b").agg(F.sum("n").alias("n")).collect()}
+        pairs = found.where(F.col("kind") == BIGRAM)
+        heavy = materialize(pairs.groupBy("a", "b").agg(F.sum("n").alias("c")), "lm-bigrams")
+        few = lambda df: [df.agg(*[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()[k] for k in range(4)]
+        off3, off2 = _offs([how.get((HOW3, k), 0) for k in (1, 2, 3, 4)]), _offs([how.get((HOW2, k), 0) + n for k, n in zip((1, 2, 3, 4), few(heavy))])
+        each = found.where(F.col("kind") == WORD).select("b", "n").unionByName(heavy.select("b", F.lit(1).cast("bigint").alias("n")))
+        words = materialize(each.groupBy("b").agg(F.sum("n").alias("c")), "lm-words")
+        off1 = _offs(few(words))
+        whole = words.agg(F.sum("c").alias("total"), *[F.count(F.when(x, 1)).alias(n) for n, x in (("one", F.col("c") == 1), ("two", F.col("c") == 2), ("more", F.col("c") > 2), ("end", F.col("b") == int(END.view(np.int64))))], F.max(F.when(F.col("b") == int(END.view(np.int64)), F.col("c"))).alias("c_end")).first()
+        total = whole.total or 0
+        free = float(np.log((whole.one * off1[1] + whole.two * off1[2] + whole.more * off1[3]) / total)) if total else 0.0
+        end = float(np.log((whole.c_end - off1[min(whole.c_end, 3)]) / total + np.exp(free + speller.end)) - free - speller.end) if total else 0.0
+
+        by = {r.a: r for r in heavy.groupBy("a").agg(F.sum("c").alias("total"), *[F.count(F.when(x, 1)).alias(n) for n, x in (("one", F.col("c") == 1), ("two", F.col("c") == 2), ("more", F.col("c") > 2))]).collect()}
+        of = [by.get(int(w)) for w in deal.spread.view(np.int64)]
+        totals = np.array([r.total if r else 0 for r in of], float)
+        back = np.array([(r.one * off2[1] + r.two * off2[2] + r.more * off2[3]) / r.total if r else 1.0 for r in of])
+
+        ways = spark.createDataFrame(list(zip(deal.spread.view(np.int64).tolist(), deal.parts.tolist())), "w bigint, parts bigint")
+        shard = lambda word, by: ((F.pmod(word, F.lit(deal.shards)) + by) % deal.shards).cast("int")
+        own = words.join(F.broadcast(ways), words.b == ways.w, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1)))
+        own = own.select(shard(F.col("b"), F.col("part")).alias("shard"), F.lit(0).cast("bigint").alias("a"), "b", "c")
+        placed = heavy.join(F.broadcast(ways), heavy.a == ways.w).select(shard(F.col("a"), F.pmod("b", "parts")).alias("shard"), "a", "b", "c")
+        asked = found.where(F.col("kind") <= BIGRAM).select("shard", "b").unionByName(placed.select("shard", "b")).distinct()
+        asked = shuffled_join(asked, words, "b").select("shard", F.lit(0).cast("bigint").alias("a"), "b", "c")
+        both = shuffled_join(pairs.select("shard", "a", "b"), heavy, ["a", "b"]).select("shard", "a", "b", "c")
+        told = keep(functools.reduce(DataFrame.unionByName, [own, asked, placed, both]), "lm-told")
+    return Model(trusted, hot, deal, (off1, off2, off3), total, free, end, told, totals, back), free
 
 
 # -- scoring -----------------------------------------------------------------------------------------------------------
 
 
-def partial_scores(docs: DataFrame, speller: Speller, free: float, hot: tuple[np.ndarray, np.ndarray], bloom: np.ndarray, keep: list[str]) -> DataFrame:
-    """row, key, add, n_chars_scored and the columns to keep: one row for each document, with what it has without the
-    n-grams that are still to be looked up, and one for each of those, with key."""
-    shared = docs.sparkSession.sparkContext.broadcast((speller, hot, bloom))
+def _lookup_sorted(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    k, at = np.unique(key, return_index=True)
+    return k, *(v[at] for v in values)
+
+
+def _sums(of: np.ndarray, n: int, c: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Totals and back-off weights of n contexts."""
+    total = np.bincount(of, c, n)
+    return total, np.bincount(of, off, n) / np.maximum(total, 1)
+
+
+def scores(table: pa.Table, told: pa.Table, deal: Deal, off: tuple, total: int, free: float, totals: np.ndarray, back: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of texts, and what the n-grams of a shard add to their log probabilities."""
+    off1, off2, off3 = off
+    discount = lambda c, d: d[np.minimum(c, 3)]
+    a, b = (told.column(k).to_numpy().view(np.uint64) for k in ("a", "b"))
+    c = told.column("c").to_numpy()
+    known, c1 = _lookup_sorted(b[a == 0], c[a == 0])
+
+    # words of the shard, and how they are spelled
+    spell_keys, spell = [np.empty(0, np.uint64)], [np.empty(0, np.float32)]
+    for key, each, *_ in unpacked(table):
+        spell_keys.append(key)
+        spell.append(each)
+    spell_keys, spell = _lookup_sorted(np.concatenate(spell_keys), np.concatenate(spell).astype(float))
+
+    t = counted(table)
+    light = np.flatnonzero(~lookup(deal.spread, t.middle)[0])
+    k23, at, c2 = np.unique(t.k23[light], return_index=True, return_counts=True)
+    w2, w3 = t.middle[light[at]], t.last[light[at]]
+    contexts, of = np.unique(w2, return_inverse=True)
+    total2, back2 = _sums(of, len(contexts), c2, discount(c2, off2))
+    contexts, total2, back2 = _lookup_sorted(np.concatenate([contexts, deal.spread]), np.concatenate([total2, totals]), np.concatenate([back2, back]))
+    # bigrams of spread words, where the shard has the last word in a text
+    pair = np.flatnonzero(a != 0)
+    pair = pair[lookup(spell_keys, b[pair])[0]]
+    w2, w3, c2 = np.concatenate([w2, a[pair]]), np.concatenate([w3, b[pair]]), np.concatenate([c2, c[pair]])
+    bigram, w2, w3, c2 = _lookup_sorted(np.concatenate([k23, _mix(a[pair] * _A + b[pair])]), w2, w3, c2)
+    n1, context = c1[lookup(known, w3)[1]], lookup(contexts, w2)[1]
+    p1 = (n1 - discount(n1, off1)) / total + np.exp(free + spell[lookup(spell_keys, w3)[1]])
+    p2 = (c2 - discount(c2, off2)) / total2[context] + back2[context] * p1
+    gain2 = np.log(p2 / p1)
+
+    k12, of = np.unique(t.k12, return_inverse=True)
+    total3, back3 = _sums(of, len(k12), t.c, discount(t.c, off3))
+    low = p2[lookup(bigram, t.k23)[1]]
+    gain3 = np.log(((t.c - discount(t.c, off3)) / total3[of] + back3[of] * low) / low)
+    log_back2, log_back3 = np.log(back2), np.log(back3)
+
+    for key, each, first, middle, last, what, texts, text in unpacked(table):
+        # of words: the gain alone, and the weight as a context
+        is_known, at = lookup(known, key)
+        alone = np.zeros(len(key))
+        n, base = c1[at[is_known]], free + each[is_known].astype(float)
+        alone[is_known] = np.log((n - discount(n, off1)) / total + np.exp(base)) - base
+        alone[key == START] = 0.0
+        is_context, at = lookup(contexts, key)
+        weight = np.zeros(len(key))
+        weight[is_context] = log_back2[at[is_context]]
+
+        score = what & SCORE > 0
+        outer, inner = np.flatnonzero(score & (what & OUTER > 0)), np.flatnonzero(score & (what & INNER > 0))
+        add = np.zeros(len(what))
+        w12, _, w123 = keys_of(key[first[outer]], key[middle[outer]], key[last[outer]])
+        found, at = lookup(t.key, w123)
+        gain = np.zeros(len(outer))
+        gain[found] = gain3[at[found]]
+        others = np.flatnonzero(~found)
+        found, at = lookup(k12, w12[others])
+        gain[others[found]] = log_back3[at[found]]
+        add[outer] += gain + alone[middle[outer]]
+        found, at = lookup(bigram, _mix(key[middle[inner]] * _A + key[last[inner]]))
+        gain = weight[middle[inner]]
+        gain[found] = gain2[at[found]]
+        add[inner] += gain
+        asked = np.unique(text[np.flatnonzero(score)])
+        yield texts[asked], np.bincount(text, add, len(texts))[asked]
+
+
+def own_scores(docs: DataFrame, shared: Broadcast, free: float, end: float, keep: list[str]) -> DataFrame:
+    """keep columns, n_chars_scored, key of the text, own: the log probability of spelling its words, and the gain of END."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        speller, (hot_keys, hot_gains), bloom = shared.value
+        _, speller = shared.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts = [words_of(t) for t in batch.column(len(keep)).to_pylist()]
-            rows = np.arange(row, row + len(texts))
+            raw = batch.column(len(keep)).to_pylist()
+            texts = [words_of(t) for t in raw]
+            # texts without words need a key of their own, so that they don't meet in one task
+            key = np.array([text_key(t) if w else row + k for k, (t, w) in enumerate(zip(raw, texts))], np.uint64)
             row += len(texts)
-            some = [k for k, t in enumerate(texts) if t]
-            full = [texts[k] for k in some]
-            s = sequences(full)
-            local = np.zeros(len(texts))
             chars = np.array([sum(map(len, t)) + len(t) for t in texts], np.int64)
-            keys, of = [], []
-            if full:
-                size = np.array([len("".join(t).encode()) + len(t) for t in full])
-                each = speller.spell(np.concatenate([spelled(t) for t in full])).astype(float)
-                local[some] = np.add.reduceat(each, np.cumsum(size) - size) + speller.end + free * np.array([len(t) + 1 for t in full])
-                for key, at in ((s.word, s.second), (s.pair, s.second), (s.triple, s.third)):
-                    key, text = key[at], s.text[at]
-                    slot = _slot(key)
-                    is_hot = hot_keys[slot] == key
-                    local[some] += np.bincount(text[is_hot], hot_gains[slot[is_hot]], len(full))
-                    key, text = key[~is_hot], text[~is_hot]
-                    known = maybe_known(bloom, key)
-                    keys.append(key[known])
-                    of.append(text[known])
-            key, of = np.concatenate([*keys, np.empty(0, np.uint64)]), np.concatenate([*of, np.empty(0, np.int64)]).astype(np.int64)
-            n = len(texts)
-            none = lambda c: pa.concat_arrays([c, pa.nulls(len(key), c.type)])
-            yield pa.RecordBatch.from_arrays(
-                [*[none(c) for c in batch.columns[: len(keep)]], pa.array(np.concatenate([rows, rows[np.array(some, np.int64)[of]]])), pa.concat_arrays([pa.nulls(n, pa.int64()), _signed(key)]), none(pa.array(local)), none(pa.array(chars))],
-                [*keep, "row", "key", "add", "n_chars_scored"],
-            )
+            own = np.zeros(len(texts))
+            some = [k for k, t in enumerate(texts) if t]
+            if some:
+                size = np.array([len("".join(texts[k]).encode()) + len(texts[k]) for k in some])
+                each = speller.spell(np.concatenate([spelled(texts[k]) for k in some])).astype(float)
+                own[some] = np.add.reduceat(each, np.cumsum(size) - size) + speller.end + end + free * np.array([len(texts[k]) + 1 for k in some])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(chars), _signed(key), pa.array(own)], [*keep, "n_chars_scored", "lm_key", "lm_own"])
 
     d = docs.select(*keep, "text")
-    return d.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "text") + ", row bigint, key bigint, add double, n_chars_scored bigint")
-
-
-def perplexities(docs: DataFrame, speller: Speller, gains: DataFrame, free: float, keep: list[str], hot: int = HOT) -> DataFrame:
-    """keep columns, n_chars_scored, perplexity."""
-    parts = partial_scores(docs, speller, free, hot_table(gains, hot), bloom_filter(gains), keep)
-    # rows of documents have no key: deal them out by their number, so that they don't meet in one task
-    on = F.coalesce("key", F.xxhash64("row")).alias("on")
-    joined = parts.select(*keep, "row", "n_chars_scored", "add", F.col("key").isNotNull().alias("asks"), on).join(gains.select(F.col("key").alias("on"), "gain"), "on", "left")
-    scored = joined.groupBy("row").agg(*[F.max(c).alias(c) for c in [*keep, "n_chars_scored"]], F.sum(F.coalesce("add", F.lit(0.0)) + F.when(F.col("asks"), F.coalesce("gain", F.lit(0.0))).otherwise(0.0)).alias("total"))
-    return scored.select(*keep, "n_chars_scored", F.when(F.col("n_chars_scored") > 0, F.exp(-F.col("total") / F.col("n_chars_scored"))).alias("perplexity"))
+    return d.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "text") + ", n_chars_scored bigint, lm_key bigint, lm_own double")
+
+
+def perplexities(docs: DataFrame, speller: Speller, model: Model, free: float, keep: list[str], hot: int | None = None, learned: Column | None = None) -> DataFrame:
+    """keep columns, n_chars_scored, perplexity. learned: which of docs are the model's trusted texts; without it those are read beside
+    docs. hot: another limit than the model's spreads other words."""
+    if hot is not None and hot != model.hot:
+        model, free = train(model.trusted, speller, docs, hot)
+    shared = docs.sparkSession.sparkContext.broadcast((model.deal, speller))
+    own = materialize(own_scores(docs, shared, model.free, model.end, keep), "lm-own")
+    sums = []
+    if model.total:
+        yes, no = F.lit(True), F.lit(False)
+        if learned is None:
+            texts = docs.select("text", no.alias("learned"), yes.alias("scored")).unionByName(model.trusted.select("text", yes.alias("learned"), no.alias("scored")))
+        else:
+            texts = docs.select("text", learned.alias("learned"), yes.alias("scored"))
+        deal, off, total, free, totals, back = model.deal, model.off, model.total, model.free, model.totals, model.back
+
+        def run(table, told):
+            found = [(np.empty(0, np.uint64), np.empty(0)), *(scores(table, told, deal, off, total, free, totals, back) if len(table) else ())]
+            return pa.table({"lm_key": _signed(np.concatenate([k for k, _ in found])), "add": pa.array(np.concatenate([x for _, x in found]))})
+
+        for k in range(deal.rounds):
+            sent = packs(texts, shared, deal.rounds, k).groupBy("shard")
+            added = sent.cogroup(model.told.where(F.col("shard") % deal.rounds == k).groupBy("shard")).applyInArrow(run, "lm_key bigint, add double")
+            sums.append(materialize(added.groupBy("lm_key").agg(F.sum("add").alias("add")), "lm-sums"))
+    added = F.lit(0.0)
+    if sums:
+        # equal texts have added their n-grams to one sum
+        copies = own.groupBy("lm_key").agg(F.count(F.lit(1)).alias("copies"))
+        each = shuffled_join(functools.reduce(DataFrame.unionByName, sums).groupBy("lm_key").agg(F.sum("add").alias("add")), copies, "lm_key")
+        each = materialize(each.select("lm_key", "copies", (F.col("add") / F.col("copies")).alias("lm_add")), "lm-added")
+        own, added = skew_join(own, each, "lm_key", "copies", own.count()), F.coalesce("lm_add", F.lit(0.0))
+    return own.select(*keep, "n_chars_scored", F.when(F.col("n_chars_scored") > 0, F.exp(-(F.col("lm_own") + added) / F.col("n_chars_scored"))).alias("perplexity"))
 
 
 def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
@@ -398,10 +613,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack:
     d = docs.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), held_out(F.col("text")).alias("held"))
     ids = labels.where("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
     marked = checked_join(d, ids, "doc_id", "left", row_bytes=24).withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    learned = marked.where("trusted AND NOT held")
-    speller = train_speller(learned)
-    gains, free = train(learned, speller)
-    scored = materialize(perplexities(marked, speller, gains, free, ["doc_id", "lang", "trusted", "held"]), "lm-scores")
+    learned = F.col("trusted") & ~F.col("held")
+    speller = train_speller(marked.where(learned))
+    with scratch(docs.sparkSession) as keep, freed_shuffles(docs.sparkSession):
+        model, free = train(marked.where(learned), speller, docs=marked.where(~learned))
+        scored = keep(perplexities(marked, speller, model, free, ["doc_id", "lang", "trusted", "held"], learned=learned), "lm-scores")
     limits = {r.lang: r.threshold for r in thresholds(scored.where("held"), quantile).collect()}  # one row for each language
     limit = F.lit(limits.pop(None, float("inf")))
     for lang, t in limits.items():

@@ -142,6 +142,26 @@ def test_perplexities_against_brute_force(spark, monkeypatch, hot, bits):
         assert got[k] is None and of(t) is None or got[k] == pytest.approx(of(t), rel=1e-5), t
 
 
+def test_quality_model_in_rounds(spark, monkeypatch):
+    """Many rounds, shards and packs give the plain model's perplexities, and of all tables only the scores stay on disk."""
+    from fluvial.common import shared_dir
+
+    monkeypatch.setattr(quality_lm, "ROUND_TOKENS", 8)
+    monkeypatch.setattr(quality_lm, "SHARDS", 3)
+    texts = [t for t in TRUSTED if t] + ["gamma delta alpha unseen", "alpha beta", "alpha beta", "漢字 文字 née"]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string").repartition(3)
+    held = {r.doc_id for r in docs.where(quality_lm.held_out(F.col("text"))).collect()}
+    good = range(len(TRUSTED) - 2)
+    labels = spark.createDataFrame([(k, 1) for k in good], "doc_id bigint, quality int")
+    at = f"{shared_dir(spark).removeprefix('file:')}/fluvial"
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    got = {r.doc_id: r.perplexity for r in quality_lm.classify(docs, labels).collect()}
+    assert {name.rsplit("-", 1)[0] for name in set(os.listdir(at)) - before} == {"lm-scores"}
+    of, _ = brute.perplexity([texts[k] for k in good if k not in held])
+    for k, t in enumerate(texts):
+        assert got[k] is None and of(t) is None or got[k] == pytest.approx(of(t), rel=1e-5), t
+
+
 # -- 3 -----------------------------------------------------------------------------------------------------------------
 
 
