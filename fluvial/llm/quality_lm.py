@@ -36,7 +36,7 @@ from __future__ import annotations
 
 import functools
 import pickle
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -55,13 +55,13 @@ FOLDS = 5
 #: A middle word of more tokens is spread over shards of about half as many.
 HOT = 1_000_000
 #: Of so many tokens each, but at least SHARDS a round.
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 3_000_000
 SHARDS = 16
 #: At most so many rounds, of at least ROUND_TOKENS tokens.
-ROUNDS = 4
+ROUNDS = 3
 ROUND_TOKENS = 2_000_000
 #: A pack holds the trigrams of one shard in so many tokens of a task.
-PACK_TOKENS = 1_000_000
+PACK_TOKENS = 4_000_000
 #: A task names words that make up more than 1 / NAMED of its tokens, so that the most frequent ones of all are found.
 NAMED = 5000
 #: No longer used: there is no Bloom filter any more, but tests set it.
@@ -136,14 +136,32 @@ def spelled(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join([w + " " for w in words]).encode(), np.uint8)
 
 
+def numbers() -> defaultdict[str, int]:
+    """Gives each word that it is asked for the next number."""
+    number: defaultdict[str, int] = defaultdict()
+    number.default_factory = number.__len__
+    return number
+
+
+def numbered(number: defaultdict[str, int], words: list[str]) -> np.ndarray:
+    return np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+
+
+def spellings(words: list[str], speller: Speller) -> np.ndarray:
+    """The log probability of the letters of each word."""
+    if not words:
+        return np.zeros(0)
+    n = np.array([len(w.encode()) + 1 for w in words])
+    return np.add.reduceat(speller.spell(spelled(words)).astype(float), np.cumsum(n) - n)
+
+
 def train_speller(trusted: DataFrame) -> Speller:
     """From all trusted texts. On the driver: one row for each trigram of byte values that occurs."""
 
     def seen(batches):
         total = np.zeros(256, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total += np.bincount(spelled(words_of(text)), minlength=256)
+            total += np.bincount(spelled(list({w for text in batch.column(0).to_pylist() for w in words_of(text)})), minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total))], ["b"])
 
     found = sorted(r.b for r in trusted.select("text").mapInArrow(seen, "b bigint").distinct().collect())
@@ -155,11 +173,14 @@ def train_speller(trusted: DataFrame) -> Speller:
     def count(batches):
         total = np.zeros(a**3, np.int64)
         for batch in batches:
+            words: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
-                if words := words_of(text):
-                    keys, n = np.unique(plain.keys(spelled(words)), return_counts=True)
-                    total[keys] += n
+                if of := words_of(text):
+                    words.update(of)
                     total[symbol[10]] += 1
+            if words:  # each word is spelled once, and counts as often as it occurs
+                keys, at = np.unique(plain.keys(spelled(list(words))), return_inverse=True)
+                total[keys] += np.bincount(at, np.repeat(list(words.values()), [len(w.encode()) + 1 for w in words])).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["key", "c"])
 
@@ -255,39 +276,41 @@ def text_key(text: str) -> int:
 def packs(texts: DataFrame, shared: Broadcast, rounds: int, k: int) -> DataFrame:
     """shard, size, pack: the trigrams of texts (text, learned, scored) in the shards of round k. shared: a Deal, and the speller or None."""
 
-    def pack(texts: list[tuple]):
+    def pack(number: dict[str, int], at: list[np.ndarray], texts: list[tuple]):
         deal, speller = shared.value
-        number: dict[str, int] = {}
-        at = [np.fromiter((number.setdefault(w, len(number) + 2) for w in words), np.int64, len(words)) for _, words, _, _ in texts]
-        one, two = np.zeros(2, np.int64), np.ones(1, np.int64)  # START is word 0, END is word 1
-        at = np.concatenate([x for a in at for x in (one, a, two)])
-        size = np.array([len(t[1]) + 3 for t in texts])
-        text = np.repeat(np.arange(len(texts)), size)
-        third = np.ones(len(at), bool)
-        starts = np.cumsum(size) - size
-        third[starts] = third[starts + 1] = False
-        third = np.flatnonzero(third)
-        words = list(number)
+        size = np.array([len(a) for a in at])
+        at = np.concatenate(at)
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+        words = list(number)[2:]
         key = np.concatenate([[START, END], hashes(words)])
         spell = np.zeros(len(key), np.float32)
         if speller:
-            n = np.array([len(w.encode()) + 1 for w in words])
-            spell[1], spell[2:] = speller.end, np.add.reduceat(speller.spell(spelled(words)).astype(float), np.cumsum(n) - n)
+            spell[1], spell[2:] = speller.end, spellings(words, speller)
         signed, parts = key.view(np.int64), deal.parts_of(key)
+        base = signed % deal.shards
+        alone = parts == 1
+        # where a middle word has a shard of this round, or may have one
+        wanted = (base % rounds == k) | ~alone
+        middle_at = wanted[at]
+        starts = np.cumsum(size) - size
+        middle_at[starts] = middle_at[starts + size - 1] = False
+        third = np.flatnonzero(middle_at) + 1
         first, middle, last, text = at[third - 2], at[third - 1], at[third], text[third]
-        use = np.array([LEARN * t[2] + SCORE * t[3] for t in texts], np.uint8)[text]
-        n = parts[middle]
-        outer = (signed[middle] % deal.shards + signed[first] % n) % deal.shards
-        inner = (signed[middle] % deal.shards + signed[last] % n) % deal.shards
-        alone = n == 1
+        use = np.array([LEARN * learned + SCORE * scored for _, learned, scored in texts], np.uint8)[text]
+        outer = base[middle]
+        inner = outer.copy()
+        many = np.flatnonzero(~alone[middle])
+        n = parts[middle[many]]
+        outer[many] = (outer[many] + signed[first[many]] % n) % deal.shards
+        inner[many] = (inner[many] + signed[last[many]] % n) % deal.shards
         here = np.flatnonzero(outer % rounds == k)
-        there = np.flatnonzero(~alone & (inner % rounds == k) & (use & SCORE > 0))
+        there = many[(inner[many] % rounds == k) & (use[many] & SCORE > 0)]
         item = np.concatenate([here, there])
         shard = np.concatenate([outer[here], inner[there]])
-        what = np.concatenate([use[here] | OUTER | INNER * alone[here].astype(np.uint8), use[there] & SCORE | INNER]).astype(np.uint8)
+        what = np.concatenate([use[here] | OUTER | INNER * alone[middle[here]].astype(np.uint8), use[there] & SCORE | INNER]).astype(np.uint8)
         order = np.argsort(shard, kind="stable")
         shard, item, what = shard[order], item[order], what[order]
-        texts_at = np.array([text_key(t[0]) for t in texts], np.uint64)
+        texts_at = np.array([t[0] for t in texts], np.uint64)
         cuts = np.flatnonzero(np.diff(shard, prepend=-1))
         for lo, hi in zip(cuts, [*cuts[1:], len(shard)]):
             i = item[lo:hi]
@@ -298,17 +321,22 @@ def packs(texts: DataFrame, shared: Broadcast, rounds: int, k: int) -> DataFrame
             yield int(shard[lo]), len(raw), pa.compress(raw, "zstd", asbytes=True)
 
     def run(batches):
-        held, n = [], 0
+        start, end = np.zeros(2, np.int32), np.ones(1, np.int32)
+        number, at, held, n = None, [], [], 0
         for batch in batches:
             for text, learned, scored in zip(*(c.to_pylist() for c in batch.columns)):
                 if w := words_of(text):
-                    held.append((text, w, learned, scored))
+                    if number is None:
+                        number, at, held, n = numbers(), [], [], 0
+                        number[" start"], number[" end"]  # words 0 and 1: no word has a space
+                    at.append(np.concatenate([start, numbered(number, w), end]))
+                    held.append((text_key(text), learned, scored))
                     n += len(w) + 3
-                if n > PACK_TOKENS:
-                    yield from _packed(pack(held))
-                    held, n = [], 0
-        if held:
-            yield from _packed(pack(held))
+                    if n > PACK_TOKENS:
+                        yield from _packed(pack(number, at, held))
+                        number = None
+        if number is not None:
+            yield from _packed(pack(number, at, held))
 
     return texts.select("text", "learned", "scored").mapInArrow(run, "shard int, size bigint, pack binary")
 
@@ -548,11 +576,12 @@ def own_scores(docs: DataFrame, shared: Broadcast, free: float, end: float, keep
             row += len(texts)
             chars = np.array([sum(map(len, t)) + len(t) for t in texts], np.int64)
             own = np.zeros(len(texts))
-            some = [k for k, t in enumerate(texts) if t]
-            if some:
-                size = np.array([len("".join(texts[k]).encode()) + len(texts[k]) for k in some])
-                each = speller.spell(np.concatenate([spelled(texts[k]) for k in some])).astype(float)
-                own[some] = np.add.reduceat(each, np.cumsum(size) - size) + speller.end + end + free * np.array([len(texts[k]) + 1 for k in some])
+            number = numbers()
+            at = [numbered(number, t) for t in texts]
+            each = spellings(list(number), speller)
+            for k, a in enumerate(at):
+                if len(a):
+                    own[k] = each[a].sum() + speller.end + end + free * (len(a) + 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(chars), _signed(key), pa.array(own)], [*keep, "n_chars_scored", "lm_key", "lm_own"])
 
     d = docs.select(*keep, "text")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import time
 from collections import Counter
 
