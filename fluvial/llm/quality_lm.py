@@ -55,13 +55,13 @@ FOLDS = 5
 #: A middle word of more tokens is spread over shards of about half as many.
 HOT = 1_000_000
 #: Of so many tokens each, but at least SHARDS a round.
-SHARD_TOKENS = 3_000_000
+SHARD_TOKENS = 2_000_000
 SHARDS = 16
 #: At most so many rounds, of at least ROUND_TOKENS tokens.
-ROUNDS = 3
+ROUNDS = 5
 ROUND_TOKENS = 2_000_000
 #: A pack holds the trigrams of one shard in so many tokens of a task.
-PACK_TOKENS = 4_000_000
+PACK_TOKENS = 2_000_000
 #: A task names words that make up more than 1 / NAMED of its tokens, so that the most frequent ones of all are found.
 NAMED = 5000
 #: No longer used: there is no Bloom filter any more, but tests set it.
