@@ -36,13 +36,14 @@ from __future__ import annotations
 
 import functools
 import pickle
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,29 +59,41 @@ HOT = 1_000_000
 SHARD_TOKENS = 2_000_000
 SHARDS = 16
 #: At most so many rounds, of at least ROUND_TOKENS tokens.
-ROUNDS = 5
+ROUNDS = 4
 ROUND_TOKENS = 2_000_000
-#: A pack holds the trigrams of one shard in so many tokens of a task.
+#: A pack holds the trigrams of one shard in so many tokens of a task, or a batch more.
 PACK_TOKENS = 2_000_000
+#: So many of the most frequent words have numbers that all packs share; others take their hashes along. All words count alike in the model.
+BOOK = 1 << 15
 #: A task names words that make up more than 1 / NAMED of its tokens, so that the most frequent ones of all are found.
-NAMED = 5000
+NAMED = 200_000
+#: Sums over a shard take so many of its trigrams at a time, or those of one middle word.
+SLICE = 500_000
+#: Bits of a number that stands for three words.
+BITS = 64
 #: No longer used: there is no Bloom filter any more, but tests set it.
 BLOOM_BITS = 27
 
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (" start", " end"))  # no word has a space
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
+def words_in(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """The words_of() all texts, and how many each has, without an object for each word."""
+    trimmed = pc.utf8_trim_whitespace(strings(t.lower() if t else "" for t in texts))
+    split = pc.utf8_split_whitespace(trimmed)
+    empty = pc.binary_length(trimmed).to_numpy() == 0  # such a text is split into one empty word
+    words = split.flatten()
+    return words.filter(pc.not_equal(words, "")) if empty.any() else words, np.where(empty, 0, pc.list_value_length(split).to_numpy())
+
+
+def strings(words: Iterable[str]) -> pa.Array:
+    return pa.array(list(words), pa.string())
+
+
 def hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
@@ -132,26 +145,17 @@ class Speller:
         return self.log_p[self.keys(spelled)]
 
 
-def spelled(words: list[str]) -> np.ndarray:
-    return np.frombuffer("".join([w + " " for w in words]).encode(), np.uint8)
-
-
-def numbers() -> defaultdict[str, int]:
-    """Gives each word that it is asked for the next number."""
-    number: defaultdict[str, int] = defaultdict()
-    number.default_factory = number.__len__
-    return number
-
+def spelled(words: pa.Array) -> np.ndarray:
+    """The bytes of words, each followed by a space."""
+    data = pc.binary_join_element_wise(words, "", " ").buffers()[2]
+    return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
 
-def numbered(number: defaultdict[str, int], words: list[str]) -> np.ndarray:
-    return np.fromiter(map(number.__getitem__, words), np.int32, len(words))
 
-
-def spellings(words: list[str], speller: Speller) -> np.ndarray:
+def spellings(words: pa.Array, speller: Speller) -> np.ndarray:
     """The log probability of the letters of each word."""
-    if not words:
+    if not len(words):
         return np.zeros(0)
-    n = np.array([len(w.encode()) + 1 for w in words])
+    n = pc.binary_length(words).to_numpy() + 1
     return np.add.reduceat(speller.spell(spelled(words)).astype(float), np.cumsum(n) - n)
 
 
@@ -161,7 +165,7 @@ def train_speller(trusted: DataFrame) -> Speller:
     def seen(batches):
         total = np.zeros(256, np.int64)
         for batch in batches:
-            total += np.bincount(spelled(list({w for text in batch.column(0).to_pylist() for w in words_of(text)})), minlength=256)
+            total += np.bincount(spelled(words_in(batch.column(0).to_pylist())[0]), minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total))], ["b"])
 
     found = sorted(r.b for r in trusted.select("text").mapInArrow(seen, "b bigint").distinct().collect())
@@ -173,14 +177,12 @@ def train_speller(trusted: DataFrame) -> Speller:
     def count(batches):
         total = np.zeros(a**3, np.int64)
         for batch in batches:
-            words: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                if of := words_of(text):
-                    words.update(of)
-                    total[symbol[10]] += 1
-            if words:  # each word is spelled once, and counts as often as it occurs
-                keys, at = np.unique(plain.keys(spelled(list(words))), return_inverse=True)
-                total[keys] += np.bincount(at, np.repeat(list(words.values()), [len(w.encode()) + 1 for w in words])).astype(np.int64)
+            words, size = words_in(batch.column(0).to_pylist())
+            total[symbol[10]] += np.count_nonzero(size)
+            if len(words):  # each word is spelled once, and counts as often as it occurs
+                each, n = words.value_counts().flatten()
+                keys, at = np.unique(plain.keys(spelled(each)), return_inverse=True)
+                total[keys] += np.bincount(at, np.repeat(n.to_numpy(), pc.binary_length(each).to_numpy() + 1)).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["key", "c"])
 
@@ -216,6 +218,8 @@ class Deal:
     #: hashes of the words that are spread, ascending, and over how many shards each
     spread: np.ndarray
     parts: np.ndarray
+    #: the most frequent words
+    book: list[str]
 
     def parts_of(self, word: np.ndarray) -> np.ndarray:
         found, at = lookup(self.spread, word)
@@ -233,154 +237,236 @@ def lookup(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def dealt(texts: DataFrame, hot: int) -> Deal:
-    """Of texts: text, learned. On the driver: a row for each word that is spread."""
+    """Of texts: text, learned. On the driver: a row for each word that is spread, and BOOK others."""
 
     def count(batches):
-        words, total, trusted = Counter(), 0, 0
+        words, held, n, total, trusted = Counter(), [], 0, 0, 0
+
+        def count_held():
+            each, times = pa.chunked_array(held, pa.string()).value_counts().flatten()
+            often = times.to_numpy() * NAMED > n
+            words.update(dict(zip(each.filter(pa.array(often)).to_pylist(), times.to_numpy()[often].tolist())))
+
         for batch in batches:
-            for text, learned in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if w := words_of(text):
-                    words.update(w)
-                    total += len(w) + 1
-                    trusted += (len(w) + 1) * learned
-                    words[" start"] += 1
-            if len(words) > PACK_TOKENS:  # keep memory small: rare words are not named anyhow
-                words = Counter({w: n for w, n in words.items() if n * NAMED > total})
+            of, size = words_in(batch.column(0).to_pylist())
+            tokens = size + (size > 0)
+            held.append(of)
+            n += len(of)
+            total += int(tokens.sum())
+            trusted += int(tokens[batch.column(1).to_numpy(zero_copy_only=False).astype(bool)].sum())
+            words[" start"] += int(np.count_nonzero(size))
+            if n > PACK_TOKENS:
+                count_held()
+                held, n = [], 0
+        if n:
+            count_held()
         named = [(w, n) for w, n in words.items() if n * NAMED > total]
-        key = np.append(hashes([w for w, _ in named]), np.zeros(2, np.uint64))
-        yield pa.RecordBatch.from_arrays([_signed(key), pa.array([0] * len(named) + [1, 2]), pa.array([n for _, n in named] + [total, trusted], pa.int64())], ["w", "kind", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in named] + ["", ""], pa.string()), pa.array([0] * len(named) + [1, 2]), pa.array([n for _, n in named] + [total, trusted], pa.int64())], ["w", "kind", "n"])
 
-    sums = texts.mapInArrow(count, "w bigint, kind bigint, n bigint").groupBy("w", "kind").agg(F.sum("n").alias("n"))
-    rows = sums.where((F.col("kind") > 0) | (F.col("n") > hot)).collect()
-    total, trusted = (sum(r.n for r in rows if r.kind == k) for k in (1, 2))
+    sums = materialize(texts.mapInArrow(count, "w string, kind bigint, n bigint").groupBy("w", "kind").agg(F.sum("n").alias("n")), "lm-named")
+    total, trusted = (sum(r.n for r in sums.where(F.col("kind") == k).collect()) for k in (1, 2))
+    hot_words = sums.where((F.col("kind") == 0) & (F.col("n") > hot)).collect()
+    book = sums.where((F.col("kind") == 0) & (F.col("w") != " start")).orderBy(F.desc("n"), "w").limit(BOOK).collect()
     rounds = max(1, min(ROUNDS, total // ROUND_TOKENS))
     shards = rounds * max(SHARDS, -(-total // (rounds * SHARD_TOKENS)))
-    spread = sorted((r.w, max(2, min(shards, -(-r.n // max(1, hot // 2))))) for r in rows if r.kind == 0)
-    keys = np.array([w for w, _ in spread], np.int64).view(np.uint64)
-    parts, order = np.array([n for _, n in spread], np.int64), np.argsort(keys)
-    return Deal(shards, rounds, max(1, -(-rounds * trusted // max(1, total))), keys[order], parts[order])
+    keys, parts = hashes([r.w for r in hot_words]), np.array([max(2, min(shards, -(-r.n // max(1, hot // 2)))) for r in hot_words], np.int64)
+    order = np.argsort(keys)
+    return Deal(shards, rounds, max(1, -(-rounds * trusted // max(1, total))), keys[order], parts[order], [r.w for r in book])
+
+
+class Book:
+    """The words that all packs number alike: START, END, and the most frequent ones."""
+
+    def __init__(self, deal: Deal, speller: Speller | None):
+        self.words = strings([" start", " end", *deal.book])  # no word has a space
+        self.key = np.concatenate([[START, END], hashes(deal.book)])
+        self.spell = np.zeros(len(self.key), np.float32)
+        if speller:
+            self.spell[1], self.spell[2:] = speller.end, spellings(self.words[2:], speller)
+        self.order = np.argsort(self.key)
+        self.ascending = self.key[self.order]
+
+    def numbered(self, words: list[pa.Array]) -> tuple[np.ndarray, pa.Array]:
+        """The number of each word, and the words beyond the book, whose numbers follow those of the book."""
+        coded = pa.chunked_array(words, pa.string()).dictionary_encode()
+        each = coded.chunk(coded.num_chunks - 1).dictionary  # all chunks have one
+        at = pc.index_in(each, value_set=self.words)
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        number = np.where(known, at.fill_null(0).to_numpy(), len(self.words) + np.cumsum(~known) - 1).astype(np.int32)
+        return number[np.concatenate([c.indices.to_numpy() for c in coded.chunks])], each.filter(pa.array(~known))
 
 
-#: What a trigram in a pack is for: its context and itself; its last two words; counts of the model; a text's score.
-OUTER, INNER, LEARN, SCORE = 1, 2, 4, 8
+def share(spark: SparkSession, deal: Deal, speller: Speller | None) -> Broadcast:
+    return spark.sparkContext.broadcast((deal, speller, Book(deal, speller)))
 
 
-def _small(x: np.ndarray, most: int) -> np.ndarray:
-    return x.astype(np.uint16 if most <= 1 << 16 else np.uint32)
+#: What a trigram in a pack is for: counts of the model, a text's score; the latter of its last two words only, as the first is elsewhere.
+LEARN, SCORE, PAIR = 1, 2, 4
 
 
 def text_key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text)
 
 
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """Each array by itself, its bytes by their place in the items, so that like bytes are side by side."""
+    out = []
+    for x in arrays:
+        raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+        out.append((x.dtype.str, len(x), pa.compress(raw.tobytes(), "zstd", asbytes=True)))
+    return pickle.dumps(out, 5)
+
+
+def unsqueezed(data: list[tuple]) -> Iterator[np.ndarray]:
+    for kind, n, raw in data:
+        size = np.dtype(kind).itemsize
+        plain = np.frombuffer(pa.decompress(raw, n * size, "zstd", asbytes=True), np.uint8)
+        yield np.ascontiguousarray(plain.reshape(size, n).T).view(kind).reshape(n)
+
+
 def packs(texts: DataFrame, shared: Broadcast, rounds: int, k: int) -> DataFrame:
-    """shard, size, pack: the trigrams of texts (text, learned, scored) in the shards of round k. shared: a Deal, and the speller or None."""
-
-    def pack(number: dict[str, int], at: list[np.ndarray], texts: list[tuple]):
-        deal, speller = shared.value
-        size = np.array([len(a) for a in at])
-        at = np.concatenate(at)
-        text = np.repeat(np.arange(len(texts), dtype=np.int32), size)
-        words = list(number)[2:]
-        key = np.concatenate([[START, END], hashes(words)])
-        spell = np.zeros(len(key), np.float32)
-        if speller:
-            spell[1], spell[2:] = speller.end, spellings(words, speller)
+    """shard, pack: the trigrams of texts (text, learned, scored) in the shards of round k. shared: what share() gives."""
+
+    def pack(words: list[pa.Array], size: list[np.ndarray], texts: list[int], uses: list[np.ndarray]):
+        deal, speller, book = shared.value
+        size, own = np.concatenate(size) + 3, len(book.key)
+        ends = np.cumsum(size)
+        # START START, the words, END
+        at, inside = np.zeros(ends[-1], np.int32), np.ones(ends[-1], bool)
+        inside[ends - size] = inside[ends - size + 1] = inside[ends - 1] = False
+        at[ends - 1] = 1
+        at[inside], rest = book.numbered(words)
+        key = np.concatenate([book.key, hashes(rest.to_pylist())])
+        spell = np.concatenate([book.spell, spellings(rest, speller) if speller else np.zeros(len(rest))]).astype(np.float32)
         signed, parts = key.view(np.int64), deal.parts_of(key)
         base = signed % deal.shards
         alone = parts == 1
         # where a middle word has a shard of this round, or may have one
-        wanted = (base % rounds == k) | ~alone
-        middle_at = wanted[at]
-        starts = np.cumsum(size) - size
-        middle_at[starts] = middle_at[starts + size - 1] = False
+        middle_at = ((base % rounds == k) | ~alone)[at]
+        middle_at[ends - size] = middle_at[ends - 1] = False
         third = np.flatnonzero(middle_at) + 1
-        first, middle, last, text = at[third - 2], at[third - 1], at[third], text[third]
-        use = np.array([LEARN * learned + SCORE * scored for _, learned, scored in texts], np.uint8)[text]
-        outer = base[middle]
-        inner = outer.copy()
+        first, middle, last = at[third - 2], at[third - 1], at[third]
+        text = np.searchsorted(ends, third, "right").astype(np.int32)
+        use = np.concatenate(uses)[text]
+        shard = base[middle]
         many = np.flatnonzero(~alone[middle])
-        n = parts[middle[many]]
-        outer[many] = (outer[many] + signed[first[many]] % n) % deal.shards
-        inner[many] = (inner[many] + signed[last[many]] % n) % deal.shards
-        here = np.flatnonzero(outer % rounds == k)
-        there = many[(inner[many] % rounds == k) & (use[many] & SCORE > 0)]
-        item = np.concatenate([here, there])
-        shard = np.concatenate([outer[here], inner[there]])
-        what = np.concatenate([use[here] | OUTER | INNER * alone[middle[here]].astype(np.uint8), use[there] & SCORE | INNER]).astype(np.uint8)
-        order = np.argsort(shard, kind="stable")
-        shard, item, what = shard[order], item[order], what[order]
-        texts_at = np.array([t[0] for t in texts], np.uint64)
-        cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+        n, spread = parts[middle[many]], shard[many]
+        shard[many] = (spread + signed[first[many]] % n) % deal.shards
+        inner = (spread + signed[last[many]] % n) % deal.shards
+        here, there = np.flatnonzero(shard % rounds == k), np.flatnonzero((inner % rounds == k) & (use[many] & SCORE > 0))
+        shard, inner, there = shard[here], inner[there], many[there]
+        shard = np.concatenate([shard, inner])
+        # the first word isn't needed there
+        first, middle, last, text = np.concatenate([first[here], np.zeros(len(there), first.dtype)]), *(np.concatenate([x[here], x[there]]) for x in (middle, last, text))
+        use = np.concatenate([use[here], np.full(len(there), SCORE | PAIR, np.uint8)])
+        order = np.argsort(shard.astype(np.uint16) if deal.shards <= 1 << 16 else shard, kind="stable")
+        shard, first, middle, last, text, use = (x[order] for x in (shard, first, middle, last, text, use))
+        keys, cuts = np.array(texts, np.uint64), np.flatnonzero(np.diff(shard, prepend=-1))
+        place = np.arange(len(key), dtype=np.int32)
         for lo, hi in zip(cuts, [*cuts[1:], len(shard)]):
-            i = item[lo:hi]
-            local, of = np.unique(np.concatenate([first[i], middle[i], last[i]]).astype(np.uint32), return_inverse=True)
-            docs, doc = np.unique(text[i], return_inverse=True)
-            of = _small(of.reshape(3, -1), len(local))
-            raw = pickle.dumps((key[local], spell[local], *of, what[lo:hi], texts_at[docs], _small(doc, len(docs))), 5)
-            yield int(shard[lo]), len(raw), pa.compress(raw, "zstd", asbytes=True)
+            # middle and last words beyond the book, which are spelled, then those that only come first
+            w = np.concatenate([middle[lo:hi], last[lo:hi]])
+            near, far = np.unique(w[w >= own]), np.unique(first[lo:hi][first[lo:hi] >= own])
+            far = far[~lookup(near, far)[0]]
+            place[near], place[far] = own + np.arange(len(near)), own + len(near) + np.arange(len(far))
+            kind = np.uint16 if own + len(near) + len(far) <= 1 << 16 else np.uint32
+            seen = np.zeros(len(keys), bool)
+            seen[text[lo:hi]] = True
+            doc = (np.cumsum(seen) - 1)[text[lo:hi]]
+            placed = (place[x[lo:hi]].astype(kind) for x in (first, middle, last))
+            yield int(shard[lo]), squeezed(key[near], key[far], spell[near], *placed, use[lo:hi], keys[seen], np.diff(doc, prepend=0).astype(np.int32))
 
     def run(batches):
-        start, end = np.zeros(2, np.int32), np.ones(1, np.int32)
-        number, at, held, n = None, [], [], 0
+        held, n = None, 0
         for batch in batches:
-            for text, learned, scored in zip(*(c.to_pylist() for c in batch.columns)):
-                if w := words_of(text):
-                    if number is None:
-                        number, at, held, n = numbers(), [], [], 0
-                        number[" start"], number[" end"]  # words 0 and 1: no word has a space
-                    at.append(np.concatenate([start, numbered(number, w), end]))
-                    held.append((text_key(text), learned, scored))
-                    n += len(w) + 3
-                    if n > PACK_TOKENS:
-                        yield from _packed(pack(number, at, held))
-                        number = None
-        if number is not None:
-            yield from _packed(pack(number, at, held))
-
-    return texts.select("text", "learned", "scored").mapInArrow(run, "shard int, size bigint, pack binary")
+            if held is None:
+                words, size, held, uses = [], [], [], []
+            raw = batch.column(0).to_pylist()
+            of, many = words_in(raw)
+            some = np.flatnonzero(many)
+            words.append(of)
+            size.append(many[some])
+            held += [text_key(raw[k]) for k in some]
+            learned, scored = (c.to_numpy(zero_copy_only=False).astype(np.uint8) for c in batch.columns[1:])
+            uses.append((LEARN * learned + SCORE * scored)[some].astype(np.uint8))
+            n += len(of)
+            if n > PACK_TOKENS:
+                yield from _packed(pack(words, size, held, uses))
+                held, n = None, 0
+        if n:
+            yield from _packed(pack(words, size, held, uses))
+
+    return texts.select("text", "learned", "scored").mapInArrow(run, "shard int, pack binary")
 
 
 def _packed(rows) -> Iterator[pa.RecordBatch]:
-    for shard, size, data in rows:
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([size]), pa.array([data], pa.binary())], ["shard", "size", "pack"])
-
-
-def unpacked(table: pa.Table) -> Iterator[tuple]:
-    """key and spell of words, numbers of the first, middle and last word, what the trigram is for, key of texts, number of the text."""
-    for size, data in zip(table.column("size").to_pylist(), table.column("pack")):
-        yield pickle.loads(pa.decompress(data.as_buffer(), size, "zstd"))
-
-
-def keys_of(first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the first two words, the last two, and all three."""
-    k12, k23 = _mix(first * _A + middle), _mix(middle * _A + last)
-    return k12, k23, _mix(k12 * _B + k23)
-
-
-@dataclass
-class Counts:
-    """Distinct trigrams of trusted texts in a shard, by ascending key."""
-
-    key: np.ndarray
-    c: np.ndarray
-    k12: np.ndarray
-    k23: np.ndarray
-    middle: np.ndarray
-    last: np.ndarray
-
-
-def counted(table: pa.Table) -> Counts:
-    found = [np.empty((6, 0), np.uint64)]
-    for key, _, first, middle, last, what, _, _ in unpacked(table):
-        of = np.flatnonzero((what & LEARN > 0) & (what & OUTER > 0))
-        w1, w2, w3 = key[first[of]], key[middle[of]], key[last[of]]
-        k12, k23, k123 = keys_of(w1, w2, w3)
-        k, at, n = np.unique(k123, return_index=True, return_counts=True)
-        found.append(np.stack([k, n.astype(np.uint64), k12[at], k23[at], w2[at], w3[at]]))
-    key, n, *others = np.concatenate(found, axis=1)
-    k, at, of = np.unique(key, return_index=True, return_inverse=True)
-    return Counts(k, np.bincount(of, n, len(k)).astype(np.int64), *(x[at] for x in others))
+    for shard, data in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([data], pa.binary())], ["shard", "pack"])
+
+
+class Shard:
+    """The packs of a shard with one number for each word: those of the book, then others by ascending hash."""
+
+    def __init__(self, table: pa.Table, book: Book):
+        self.book = book
+        found = [pickle.loads(data.as_buffer()) for data in table.column("pack")]
+        ends = [tuple(unsqueezed(f[:3])) for f in found]  # only words at first
+        own, cuts = len(book.key), np.cumsum([0, *(len(near) + len(far) for near, far, _ in ends)])
+        self.rest, number = np.unique(np.concatenate([x for near, far, _ in ends for x in (near, far)]), return_inverse=True)
+        number = number.astype(np.int32) + np.int32(own)
+        self.key = np.concatenate([book.key, self.rest])
+        self.spell = np.concatenate([book.spell, np.zeros(len(self.rest), np.float32)]).astype(float)
+        for lo, (near, _, spell) in zip(cuts, ends):
+            self.spell[number[lo : lo + len(near)]] = spell
+        del ends
+        size = sum(f[6][1] for f in found)
+        self.first, self.middle, self.last, self.text = np.empty((4, size), np.int32)
+        self.use, texts, n, k = np.empty(size, np.uint8), [], 0, 0
+        for at, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            first, middle, last, use, keys, doc = unsqueezed(found[at][3:])
+            found[at] = None
+            place, rows = np.concatenate([np.arange(own, dtype=np.int32), number[lo:hi]]), slice(k, k + len(use))
+            self.first[rows], self.middle[rows], self.last[rows] = place[first], place[middle], place[last]
+            self.use[rows], self.text[rows] = use, np.cumsum(doc) + n
+            texts.append(keys)
+            n += len(keys)
+            k += len(use)
+        self.texts = np.concatenate(texts)
+        self.bits = len(self.key).bit_length()
+
+    def numbers(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are words of the shard, and their numbers."""
+        known, at = lookup(self.book.ascending, key)
+        found, after = lookup(self.rest, key)
+        return known | found, np.where(known, self.book.order[at], len(self.book.key) + after)
+
+    def slices(self) -> Iterator[np.ndarray]:
+        """The rows of some middle words at a time: all that belongs together has one middle word."""
+        n = -(-len(self.use) // SLICE)
+        part = self.middle % n
+        for k in range(n):
+            yield np.flatnonzero(part == k)
+
+    def pairs(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return one.astype(np.uint64) << np.uint64(self.bits) | two.astype(np.uint64)
+
+
+class Trigrams:
+    """Distinct trigrams in rows of a shard, by their first two words."""
+
+    def __init__(self, shard: Shard, rows: np.ndarray):
+        middle, last = shard.middle[rows], shard.last[rows]
+        context = shard.pairs(shard.first[rows], middle)
+        if 3 * shard.bits > BITS:  # too many words for one number
+            context = np.unique(context, return_inverse=True)[1]
+        key, self.of = np.unique(shard.pairs(context, last), return_inverse=True)
+        self.middle, self.last = np.empty(len(key), np.int32), np.empty(len(key), np.int32)
+        self.middle[self.of], self.last[self.of] = middle, last
+        #: trigrams with the same first two words have the same number
+        self.context = np.cumsum(np.diff(key >> np.uint64(shard.bits), prepend=key[:1] >> np.uint64(shard.bits)) != 0)
+
+    def counts(self, which: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of[which], minlength=len(self.middle))
 
 
 # -- training ----------------------------------------------------------------------------------------------------------
@@ -418,20 +504,27 @@ def _histogram(c: np.ndarray) -> np.ndarray:
 WORD, BIGRAM, HOW3, HOW2 = range(4)
 
 
-def shares(table: pa.Table, deal: Deal) -> pa.Table:
-    t = counted(table)
-    shard = table.column("shard")[0].as_py()
-    is_spread = lookup(deal.spread, t.middle)[0]
-    light, heavy = np.flatnonzero(~is_spread), np.flatnonzero(is_spread)
-    _, at, c2 = np.unique(t.k23[light], return_index=True, return_counts=True)
-    words, c1 = np.unique(t.last[light[at]], return_counts=True)
-    _, first, part = np.unique(t.k23[heavy], return_index=True, return_counts=True)
-    first = heavy[first]
+def shares(table: pa.Table, shared: Broadcast) -> pa.Table:
+    deal, _, book = shared.value
+    s = Shard(table, book)
+    is_spread, mask = lookup(deal.spread, s.key)[0], np.uint64((1 << s.bits) - 1)
+    c1, how3, how2, bigrams = np.zeros(len(s.key), np.int64), np.zeros(4, np.int64), np.zeros(4, np.int64), []
+    for rows in s.slices():
+        t = Trigrams(s, rows)
+        pair, heavy = s.pairs(t.middle, t.last), is_spread[t.middle]
+        light, c2 = np.unique(pair[~heavy], return_counts=True)
+        c1 += np.bincount((light & mask).astype(np.int64), minlength=len(s.key))
+        how3 += _histogram(np.bincount(t.of))
+        how2 += _histogram(c2)
+        bigrams.append(np.unique(pair[heavy], return_counts=True))
+    heavy, part = (np.concatenate(x) for x in zip(*bigrams))
+    words = np.flatnonzero(c1)
     four, none = np.arange(1, 5), np.zeros(4, np.uint64)
-    kind = np.repeat([WORD, BIGRAM, HOW3, HOW2], [len(words), len(first), 4, 4])
-    a = np.concatenate([np.zeros(len(words), np.uint64), t.middle[first], none, none])
-    b = np.concatenate([words, t.last[first], four.astype(np.uint64), four.astype(np.uint64)])
-    n = np.concatenate([c1, part, _histogram(t.c), _histogram(c2)])
+    kind = np.repeat([WORD, BIGRAM, HOW3, HOW2], [len(words), len(heavy), 4, 4])
+    a = np.concatenate([np.zeros(len(words), np.uint64), s.key[(heavy >> np.uint64(s.bits)).astype(np.int64)], none, none])
+    b = np.concatenate([s.key[words], s.key[(heavy & mask).astype(np.int64)], four.astype(np.uint64), four.astype(np.uint64)])
+    n = np.concatenate([c1[words], part, how3, how2])
+    shard = table.column("shard")[0].as_py()
     return pa.table({"kind": pa.array(kind, pa.int32()), "shard": pa.array(np.full(len(kind), shard), pa.int32()), "a": _signed(a), "b": _signed(b), "n": pa.array(n, pa.int64())})
 
 
@@ -443,10 +536,10 @@ def train(trusted: DataFrame, speller: Speller, docs: DataFrame | None = None, h
     texts = trusted.select("text", yes.alias("learned"), no.alias("scored"))
     deal = dealt(texts.select("text", "learned") if docs is None else texts.select("text", "learned").unionByName(docs.select("text", no.alias("learned"))), hot)
     with scratch(spark) as keep:
-        parts, shared = [], spark.sparkContext.broadcast((deal, None))
+        parts, shared = [], share(spark, deal, None)
         for k in range(deal.training):
             sent = packs(texts, shared, deal.training, k)
-            parts.append(materialize(sent.groupBy("shard").applyInArrow(lambda t: shares(t, deal), "kind int, shard int, a bigint, b bigint, n bigint"), "lm-shares"))
+            parts.append(materialize(sent.groupBy("shard").applyInArrow(lambda t: shares(t, shared), "kind int, shard int, a bigint, b bigint, n bigint"), "lm-shares"))
         found = functools.reduce(DataFrame.unionByName, parts)
         how = {(r.kind, r.b): r.n for r in found.where(F.col("kind") >= HOW3).groupBy("kind", "b").agg(F.sum("n").alias("n")).collect()}
         pairs = found.where(F.col("kind") == BIGRAM)
@@ -481,107 +574,100 @@ def train(trusted: DataFrame, speller: Speller, docs: DataFrame | None = None, h
 # -- scoring -----------------------------------------------------------------------------------------------------------
 
 
-def _lookup_sorted(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    k, at = np.unique(key, return_index=True)
-    return k, *(v[at] for v in values)
-
-
 def _sums(of: np.ndarray, n: int, c: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Totals and back-off weights of n contexts."""
     total = np.bincount(of, c, n)
     return total, np.bincount(of, off, n) / np.maximum(total, 1)
 
 
-def scores(table: pa.Table, told: pa.Table, deal: Deal, off: tuple, total: int, free: float, totals: np.ndarray, back: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def scores(table: pa.Table, told: pa.Table, shared: Broadcast, off: tuple, total: int, free: float, totals: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of texts, and what the n-grams of a shard add to their log probabilities."""
+    deal, _, book = shared.value
     off1, off2, off3 = off
     discount = lambda c, d: d[np.minimum(c, 3)]
+    log = lambda x, where: np.log(x, out=np.zeros(len(x)), where=where)
+    s = Shard(table, book)
+    words = len(s.key)
     a, b = (told.column(k).to_numpy().view(np.uint64) for k in ("a", "b"))
     c = told.column("c").to_numpy()
-    known, c1 = _lookup_sorted(b[a == 0], c[a == 0])
-
-    # words of the shard, and how they are spelled
-    spell_keys, spell = [np.empty(0, np.uint64)], [np.empty(0, np.float32)]
-    for key, each, *_ in unpacked(table):
-        spell_keys.append(key)
-        spell.append(each)
-    spell_keys, spell = _lookup_sorted(np.concatenate(spell_keys), np.concatenate(spell).astype(float))
-
-    t = counted(table)
-    light = np.flatnonzero(~lookup(deal.spread, t.middle)[0])
-    k23, at, c2 = np.unique(t.k23[light], return_index=True, return_counts=True)
-    w2, w3 = t.middle[light[at]], t.last[light[at]]
-    contexts, of = np.unique(w2, return_inverse=True)
-    total2, back2 = _sums(of, len(contexts), c2, discount(c2, off2))
-    contexts, total2, back2 = _lookup_sorted(np.concatenate([contexts, deal.spread]), np.concatenate([total2, totals]), np.concatenate([back2, back]))
-    # bigrams of spread words, where the shard has the last word in a text
-    pair = np.flatnonzero(a != 0)
-    pair = pair[lookup(spell_keys, b[pair])[0]]
-    w2, w3, c2 = np.concatenate([w2, a[pair]]), np.concatenate([w3, b[pair]]), np.concatenate([c2, c[pair]])
-    bigram, w2, w3, c2 = _lookup_sorted(np.concatenate([k23, _mix(a[pair] * _A + b[pair])]), w2, w3, c2)
-    n1, context = c1[lookup(known, w3)[1]], lookup(contexts, w2)[1]
-    p1 = (n1 - discount(n1, off1)) / total + np.exp(free + spell[lookup(spell_keys, w3)[1]])
-    p2 = (c2 - discount(c2, off2)) / total2[context] + back2[context] * p1
-    gain2 = np.log(p2 / p1)
-
-    k12, of = np.unique(t.k12, return_inverse=True)
-    total3, back3 = _sums(of, len(k12), t.c, discount(t.c, off3))
-    low = p2[lookup(bigram, t.k23)[1]]
-    gain3 = np.log(((t.c - discount(t.c, off3)) / total3[of] + back3[of] * low) / low)
-    log_back2, log_back3 = np.log(back2), np.log(back3)
-
-    for key, each, first, middle, last, what, texts, text in unpacked(table):
-        # of words: the gain alone, and the weight as a context
-        is_known, at = lookup(known, key)
-        alone = np.zeros(len(key))
-        n, base = c1[at[is_known]], free + each[is_known].astype(float)
-        alone[is_known] = np.log((n - discount(n, off1)) / total + np.exp(base)) - base
-        alone[key == START] = 0.0
-        is_context, at = lookup(contexts, key)
-        weight = np.zeros(len(key))
-        weight[is_context] = log_back2[at[is_context]]
-
-        score = what & SCORE > 0
-        outer, inner = np.flatnonzero(score & (what & OUTER > 0)), np.flatnonzero(score & (what & INNER > 0))
-        add = np.zeros(len(what))
-        w12, _, w123 = keys_of(key[first[outer]], key[middle[outer]], key[last[outer]])
-        found, at = lookup(t.key, w123)
-        gain = np.zeros(len(outer))
-        gain[found] = gain3[at[found]]
-        others = np.flatnonzero(~found)
-        found, at = lookup(k12, w12[others])
-        gain[others[found]] = log_back3[at[found]]
-        add[outer] += gain + alone[middle[outer]]
-        found, at = lookup(bigram, _mix(key[middle[inner]] * _A + key[last[inner]]))
-        gain = weight[middle[inner]]
-        gain[found] = gain2[at[found]]
-        add[inner] += gain
-        asked = np.unique(text[np.flatnonzero(score)])
-        yield texts[asked], np.bincount(text, add, len(texts))[asked]
-
-
-def own_scores(docs: DataFrame, shared: Broadcast, free: float, end: float, keep: list[str]) -> DataFrame:
-    """keep columns, n_chars_scored, key of the text, own: the log probability of spelling its words, and the gain of END."""
+
+    # of words: how likely they are after any other, the gain of that alone, and the weight as a context
+    n1 = np.zeros(words, np.int64)
+    found, at = s.numbers(b[a == 0])
+    n1[at[found]] = c[a == 0][found]
+    base = free + s.spell
+    p1 = (n1 - discount(n1, off1)) / total + np.exp(base)
+    alone = np.where(n1 > 0, log(p1, n1 > 0) - base, 0.0)
+    found, at = s.numbers(deal.spread)
+    is_spread, spread = np.zeros(words, bool), at[found]
+    is_spread[spread] = True
+    totals, back = totals[found], back[found]
+    heavy = np.flatnonzero(a != 0)
+    (is_a, at_a), (is_b, at_b) = s.numbers(a[heavy]), s.numbers(b[heavy])
+    known = is_a & is_b
+    heavy, heavy_pair = c[heavy[known]], s.pairs(at_a[known], at_b[known])
+    # that of spelling, too; START isn't spelled
+    alone += base
+    alone[0] = 0.0
+
+    sums, asked = np.zeros(len(s.texts)), np.zeros(len(s.texts), bool)
+    for rows in s.slices():
+        whole, pair = rows[s.use[rows] & PAIR == 0], rows[s.use[rows] & PAIR > 0]
+        t = Trigrams(s, whole)
+        c3 = t.counts(np.flatnonzero(s.use[whole] & LEARN > 0))
+        light = ~is_spread[t.middle]
+
+        # bigrams: those of the trigrams, then those of rows without a first word
+        middle, last = np.concatenate([t.middle, s.middle[pair]]), np.concatenate([t.last, s.last[pair]])
+        key, of = np.unique(s.pairs(middle, last), return_inverse=True)
+        w2, w3 = np.empty(len(key), np.int32), np.empty(len(key), np.int32)
+        w2[of], w3[of] = middle, last
+        of, of_pair = of[: len(t.middle)], of[len(t.middle) :]
+        c2 = np.bincount(of[light & (c3 > 0)], minlength=len(key))
+        total2, back2 = _sums(w2, words, c2, discount(c2, off2))
+        total2[spread], back2[spread] = totals, back
+        weight = log(back2, total2 > 0)
+        found, at = lookup(key, heavy_pair)
+        c2[at[found]] = heavy[found]
+        p2 = (c2 - discount(c2, off2)) / np.maximum(total2[w2], 1) + back2[w2] * p1[w3]
+        gain2 = np.where(c2 > 0, log(np.divide(p2, p1[w3], out=np.ones(len(p2)), where=c2 > 0), c2 > 0), weight[w2])
+
+        total3, back3 = _sums(t.context, len(t.context), c3, discount(c3, off3))
+        total3, back3, low = total3[t.context], back3[t.context], np.where(c3 > 0, p2[of], 1.0)
+        gain = np.where(c3 > 0, log(((c3 - discount(c3, off3)) / np.maximum(total3, 1) + back3 * low) / low, c3 > 0), log(back3, total3 > 0))
+        gain += alone[t.middle] + np.where(light, gain2[of], 0.0)
+
+        score = s.use[whole] & SCORE > 0
+        for text, add in ((s.text[whole[score]], gain[t.of[score]]), (s.text[pair], gain2[of_pair])):
+            sums += np.bincount(text, add, len(sums))
+            asked[text] = True
+    return s.texts[asked], sums[asked]
+
+
+def own_scores(docs: DataFrame, shared: Broadcast, model: Model, keep: list[str]) -> DataFrame:
+    """keep columns, n_chars_scored, key of the text, own: the log probability of END, and without a model that of spelling all words, which
+    shards add otherwise."""
+    free, end, trained = model.free, model.end, bool(model.total)
 
     def run(batches):
         from pyspark import TaskContext
 
-        _, speller = shared.value
+        _, speller, book = shared.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             raw = batch.column(len(keep)).to_pylist()
-            texts = [words_of(t) for t in raw]
+            words, size = words_in(raw)
             # texts without words need a key of their own, so that they don't meet in one task
-            key = np.array([text_key(t) if w else row + k for k, (t, w) in enumerate(zip(raw, texts))], np.uint64)
-            row += len(texts)
-            chars = np.array([sum(map(len, t)) + len(t) for t in texts], np.int64)
-            own = np.zeros(len(texts))
-            number = numbers()
-            at = [numbered(number, t) for t in texts]
-            each = spellings(list(number), speller)
-            for k, a in enumerate(at):
-                if len(a):
-                    own[k] = each[a].sum() + speller.end + end + free * (len(a) + 1)
+            key = np.array([text_key(t) if n else row + k for k, (t, n) in enumerate(zip(raw, size))], np.uint64)
+            row += len(raw)
+            some = np.flatnonzero(size)
+            starts, chars, own = (np.cumsum(size) - size)[some], size.astype(np.int64), np.zeros(len(raw))
+            if len(some):
+                chars[some] += np.add.reduceat(pc.utf8_length(words).to_numpy(), starts)
+                own[some] = speller.end + end + free
+                if not trained:
+                    at, rest = book.numbered([words])
+                    own[some] += np.add.reduceat(np.concatenate([book.spell, spellings(rest, speller)])[at], starts) + free * size[some]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(chars), _signed(key), pa.array(own)], [*keep, "n_chars_scored", "lm_key", "lm_own"])
 
     d = docs.select(*keep, "text")
@@ -593,8 +679,8 @@ def perplexities(docs: DataFrame, speller: Speller, model: Model, free: float, k
     docs. hot: another limit than the model's spreads other words."""
     if hot is not None and hot != model.hot:
         model, free = train(model.trusted, speller, docs, hot)
-    shared = docs.sparkSession.sparkContext.broadcast((model.deal, speller))
-    own = materialize(own_scores(docs, shared, model.free, model.end, keep), "lm-own")
+    shared = share(docs.sparkSession, model.deal, speller)
+    own = materialize(own_scores(docs, shared, model, keep), "lm-own")
     sums = []
     if model.total:
         yes, no = F.lit(True), F.lit(False)
@@ -605,8 +691,8 @@ def perplexities(docs: DataFrame, speller: Speller, model: Model, free: float, k
         deal, off, total, free, totals, back = model.deal, model.off, model.total, model.free, model.totals, model.back
 
         def run(table, told):
-            found = [(np.empty(0, np.uint64), np.empty(0)), *(scores(table, told, deal, off, total, free, totals, back) if len(table) else ())]
-            return pa.table({"lm_key": _signed(np.concatenate([k for k, _ in found])), "add": pa.array(np.concatenate([x for _, x in found]))})
+            keys, add = scores(table, told, shared, off, total, free, totals, back) if len(table) else (np.empty(0, np.uint64), np.empty(0))
+            return pa.table({"lm_key": _signed(keys), "add": pa.array(add)})
 
         for k in range(deal.rounds):
             sent = packs(texts, shared, deal.rounds, k).groupBy("shard")

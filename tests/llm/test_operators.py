@@ -1,6 +1,7 @@
 """Each operator on a small table with nulls, empty and long texts, ties, repeated rows and clashing columns; and empty tables."""
 
 import base64
+import dataclasses
 import hashlib
 import os
 import time
@@ -163,6 +164,45 @@ def test_quality_model_in_rounds(spark, monkeypatch):
         assert got[k] is None and of(t) is None or got[k] == pytest.approx(of(t), rel=1e-5), t
 
 
+def shard_of(spark, texts, learned):
+    """All trigrams of texts in one shard, and how many bytes its packs took."""
+    d = spark.createDataFrame([(t, x, True) for t, x in zip(texts, learned)], "text string, learned boolean, scored boolean").repartition(2)
+    deal = dataclasses.replace(quality_lm.dealt(d.select("text", "learned"), 10**9), shards=1, rounds=1)
+    shared = quality_lm.share(spark, deal, None)
+    table = quality_lm.packs(d, shared, 1, 0).toArrow()
+    return quality_lm.Shard(table, shared.value[2]), sum(map(len, table.column("pack").to_pylist()))
+
+
+@pytest.mark.parametrize("book", [0, 2, 1000])
+def test_quality_packs_hold_every_trigram(spark, monkeypatch, book):
+    """Whatever words have numbers of their own, and also if three don't fit in one number."""
+    monkeypatch.setattr(quality_lm, "BOOK", book)
+    texts = [t for t in TRUSTED if t] + ["once alpha beta zeta " * 5, "漢字 文字 née", "alpha"]
+    shard, _ = shard_of(spark, texts, [k % 2 == 0 for k in range(len(texts))])
+    want = Counter()
+    for k, t in enumerate(texts):
+        if w := quality_lm.words_of(t):
+            at = [quality_lm.START] * 2 + quality_lm.hashes(w).tolist() + [quality_lm.END]
+            want.update((int(a), int(b), int(c), quality_lm.LEARN * (k % 2 == 0) + quality_lm.SCORE, quality_lm.text_key(t)) for a, b, c in zip(at, at[1:], at[2:]))
+    key = shard.key.tolist()
+    rows = zip(shard.first, shard.middle, shard.last, shard.use.tolist(), shard.texts[shard.text].tolist())
+    assert Counter((key[a], key[b], key[c], use, text) for a, b, c, use, text in rows) == want
+    plain = Counter(x[:3] for x in want.elements())
+    for bits in (64, 1):
+        monkeypatch.setattr(quality_lm, "BITS", bits)
+        t = quality_lm.Trigrams(shard, np.arange(len(shard.use)))
+        assert sorted(t.counts(np.arange(len(t.of)))) == sorted(plain.values())
+        assert sorted(Counter(t.context.tolist()).values()) == sorted(Counter(x[:2] for x in plain).values())
+
+
+def test_quality_packs_are_small(spark):
+    """A trigram takes a few bytes on its way to its shard: frequent words take no hashes along."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL").select("text").collect()
+    texts = [r.text for r in d]
+    _, size = shard_of(spark, texts, [True] * len(texts))
+    assert size < 9 * sum(len(quality_lm.words_of(t)) + 1 for t in texts)
+
+
 # -- 3 -----------------------------------------------------------------------------------------------------------------
 
 
