@@ -16,8 +16,9 @@ each word occurs. A table then tells each shard the words' counts that it needs,
 Scoring. All texts send their trigrams to the shards, trusted ones as well for the counts, which are made again there, not
 stored. A text's log probability is that of spelling all its words, plus the gain of each n-gram in it: what the n-gram
 adds beyond its own suffix, with its weight as a context. Both go in rounds over shares of the shards: texts are read again in each, and what a round
-shuffles is deleted at its end, so disk holds a share of the n-grams, in packs with local numbers for words. Equal texts have
-equal scores, so sums go by a hash of the text.
+shuffles is deleted at its end, so disk holds a share of the n-grams. They travel in packs, where frequent words have numbers that all
+packs share and others take their hashes along. A shard gives all its words numbers and sums slices of middle words one after the
+other, so temporary memory is that of a slice. Equal texts have equal scores, so sums go by a hash of the text.
 
 Perplexity is that of a character: all log probabilities over the number of characters of words and the spaces after
 them. A document is kept if its perplexity is at most that quantile of the held-out trusted documents of its language, times
@@ -62,7 +63,7 @@ SHARDS = 16
 ROUNDS = 4
 ROUND_TOKENS = 2_000_000
 #: A pack holds the trigrams of one shard in so many tokens of a task, or a batch more.
-PACK_TOKENS = 2_000_000
+PACK_TOKENS = 1_000_000
 #: So many of the most frequent words have numbers that all packs share; others take their hashes along. All words count alike in the model.
 BOOK = 1 << 15
 #: A task names words that make up more than 1 / NAMED of its tokens, so that the most frequent ones of all are found.
