@@ -98,6 +98,18 @@ def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
             _scratch[-1].extend(kept)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """A block in which the files of a query's shuffles are deleted when the query is done, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether df, counted, fits in limit. Counting stops as soon as the limit is passed."""
     most = limit // row_bytes

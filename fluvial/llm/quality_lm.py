@@ -39,7 +39,6 @@ import functools
 import pickle
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,7 +49,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluvial.common import checked_join, materialize, scratch, shuffled_join, skew_join, small_batches
+from fluvial.common import checked_join, freed_shuffles, materialize, scratch, shuffled_join, skew_join, small_batches
 
 BINS = 1000
 FOLDS = 5
@@ -196,18 +195,6 @@ def train_speller(trusted: DataFrame) -> Speller:
 # -- shards ------------------------------------------------------------------------------------------------------------
 
 
-@contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """A block in which the files of a query's shuffles are deleted when the query is done, not when the driver collects garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 @dataclass
 class Deal:
     """Which shard has a trigram: words with more than one part are spread."""
