@@ -20,6 +20,8 @@ SOURCE_ROWS = 100_000
 WIDTH = 32
 #: Rows of sums are made in rounds of so many.
 ROUND_ROWS = 150_000
+#: A task unfolds at most so many ranges of sources as they come, since it holds them all until it ends; more are written first.
+RANGES = 6
 
 STRATEGIES = ("stored", "cell_area", "inverse_distance", "exp_distance", "downhill", "downhill_distance")
 
@@ -133,9 +135,10 @@ def _sums(v: DataFrame, m: DataFrame, value: str, time: str) -> tuple[DataFrame,
     slots, parts = [f"_s{k}" for k in range(width)], []
     with scratch(spark) as keep:
         hot = materialize(sizes.where(F.col("_n") > SOURCE_ROWS).select("source"), "transfer-hot") if (found.most or 0) > SOURCE_ROWS else None
-        p = _products(w, m, tasks_for(spark, rows), hot, rounds > 1)
+        n, few = tasks_for(spark, rows), spark.sparkContext.defaultParallelism
+        p = _products(w, m, n, hot, rounds > 1 or n > RANGES * few)
         for k in range(rounds):
-            own = p.where(F.pmod(F.hash("target"), F.lit(rounds)) == k).coalesce(spark.sparkContext.defaultParallelism)
+            own = p.where(F.pmod(F.hash("target"), F.lit(rounds)) == k).coalesce(few)
             own = own.groupBy("target", "_block").agg(F.bit_or("_mask").alias("_mask"), *[F.sum(c).alias(c) for c in slots])
             own = own.select("target", "_block", "_mask", F.posexplode(F.array(*slots)).alias("_slot", value)).where(F.getbit("_mask", F.col("_slot")) == 1)
             own = checked_join(own.withColumn("_n", F.col("_block") * width + F.col("_slot")), times, "_n", "inner", row_bytes=64)
