@@ -109,7 +109,7 @@ def test_disk_of_the_transfer_does_not_grow_with_its_tasks(spark, monkeypatch):
     assert sum(n for k, n in sent(spark).items() if k not in before) < 120_000
 
 
-@pytest.mark.parametrize("name", ["q40_runoff_transfer", "q84b_node_inputs", "q84d_attention_to_gauges"])
+@pytest.mark.parametrize("name", ["q40_runoff_transfer", "q84b_node_inputs", "q84c_runoff_to_gauges", "q84d_attention_to_gauges"])
 def test_queries_with_a_large_mapping(spark, monkeypatch, name):
     """In more than a hundred tasks and several rounds, results are those of SQL, and rows that are shuffled don't grow with the tasks."""
     monkeypatch.setattr(transfer, "small_enough", lambda *a, **k: False)
